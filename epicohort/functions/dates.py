@@ -62,7 +62,7 @@ def dob_from_quarter(q: Column, form: str = "Q") -> Column:
         cond = q.contains(f"Q{n}") if form == "Q" else (F.substring(q, 6, 2) == F.lit(f"0{n}"))
         val = F.concat(F.substring(q, 1, 5), F.lit(md))
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return F.try_to_date(expr, F.lit("yyyy-MM-dd"))
+    return F.try_to_date(expr, "yyyy-MM-dd")
 
 
 def date_from_parts(y: Column, m: Column, d: Column) -> Column:
