@@ -105,6 +105,6 @@ FIXTURE_CONFIG = StudyConfig(
     associated_codes=("ECONOMY", "SMALL"),
     sentinel_cutoff=dt.date(1996, 1, 1),
     in_window_end_col="epistart",
-    sample_total=50000,
+    sample_total=300,
     seed="42",
 )

@@ -22,7 +22,7 @@ from epicohort.operators import panel as P
 from epicohort.operators import sample as S
 from epicohort.plans import sqlgen as G
 from epicohort.plans.study import STRATA, Study
-from epicohort.sources.fixtures import FixtureTables, oracle_ctes
+from epicohort.sources.fixtures import FixtureTables, oracle_ctes, register_driver_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,8 +37,18 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_STUDIES: dict = {}
+
+
 def study(spark: SparkSession, sf_dir: str) -> Study:
-    return Study(FixtureTables(spark, sf_dir), CFG)
+    """One study per (session, input folder); its finished stages are tables in
+    the session's checkpoint folder, reused by every query of the same study."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STUDIES:
+        _STUDIES[key] = Study(FixtureTables(spark, sf_dir), CFG)
+    s = _STUDIES[key]
+    register_driver_tables(spark, sf_dir)
+    return s
 
 
 # Averages of cent amounts over a few rows often end exactly on a rounding
@@ -374,7 +384,7 @@ def q_strata_shares(spark, sf_dir):
     return rounded(study(spark, sf_dir).shares)
 
 
-SAMPLE_TOTAL = 300
+SAMPLE_TOTAL = CFG.sample_total
 
 
 def _sample_sql(total: int) -> str:
@@ -460,3 +470,199 @@ def q_event_series(spark, sf_dir):
     """Pay and employment by months since the index event, all and in-work rows."""
     from epicohort.operators.describe import series
     return rounded(series(described(spark, sf_dir), ["t_op"]))
+
+
+# ------------------------------------------------------------------ stage 4a
+def _sample_linked_cte() -> str:
+    from epicohort.functions import recode as R
+    from epicohort.functions.draws import duckdb_draw
+    b5t = G.ranges_sql("age_at_operation", R.FIVE_YEAR_LOW_TAIL + R.FIVE_YEAR_BANDS + R.FIVE_YEAR_HIGH_TAIL, None,
+                       half_open=True)
+    return f"""
+unexposed_sample_linked AS (
+  SELECT p.* EXCLUDE (u_draw, five_year_bands), 'None' AS operation_type
+  FROM (SELECT u.*, {b5t} AS five_year_bands, {duckdb_draw('census_id_final', CFG.seed)} AS u_draw
+        FROM unexposed_dated_linked u) p
+  JOIN (SELECT census_sex, five_year_bands, CAST(round({SAMPLE_TOTAL} * prop) AS BIGINT) AS n_wanted FROM shares) s
+    USING (census_sex, five_year_bands)
+  QUALIFY row_number() OVER (PARTITION BY census_sex, five_year_bands ORDER BY u_draw, census_id_final) <= n_wanted)"""
+
+
+def _analysis_ctes(x: str, treated: bool) -> str:
+    o = CFG.origin
+    o_no = o.year * 12 + o.month - 1
+    tail = (f"max(CASE WHEN t_op = 1 THEN six_month_num END) OVER (PARTITION BY census_id_final) AS treatment_group, "
+            f"1 AS treat") if treated else "CAST(0 AS BIGINT) AS treatment_group, 0 AS treat"
+    where = f"WHERE t_op <= {CFG.event_window[1]}" if treated else ""
+    cols = ", ".join(Study.ANALYSIS_COLS)
+    return f"""
+{x}_an0 AS (
+  SELECT {cols},
+         CAST(ceil(t_op / 12.0) AS BIGINT) AS t_treatment_year,
+         CAST(CASE WHEN t_op <= 0 THEN ceil(t_op / 6.0) WHEN t_op <= 6 THEN t_op ELSE ceil(t_op / 6.0) + 5 END AS BIGINT)
+           AS t_treatment_6_month,
+         CAST(month_label || '-01' AS DATE) AS month,
+         CAST({G.month_no("CAST(month_label || '-01' AS DATE)")} - {o_no} + 1 AS INTEGER) AS month_num
+  FROM {x}_panel),
+{x}_an1 AS (
+  SELECT a.*, greatest(t_treatment_year, 0) AS t_treatment_year_baseline,
+         greatest(t_treatment_6_month, 0) AS t_treatment_6_month_baseline,
+         month(month) AS cal_month, CAST(ceil(month_num / 6.0) AS BIGINT) AS six_month_num,
+         CASE WHEN pay > 0 THEN 1 ELSE 0 END AS in_work,
+         CASE WHEN pay > q.q THEN q.q ELSE pay END AS pay_winsor
+  FROM {x}_an0 a, (SELECT quantile_cont(pay, 0.9999) AS q FROM {x}_an0) q),
+{x}_an AS (
+  SELECT a.*, pay_winsor / f.cpih_deflator_2023 AS pay_deflated,
+         CASE WHEN pay_winsor / f.cpih_deflator_2023 > 0 THEN ln(pay_winsor / f.cpih_deflator_2023) END AS log_pay,
+         ln(pay_winsor / f.cpih_deflator_2023 + 1) AS log_pay_plus_1, {tail}
+  FROM {x}_an1 a LEFT JOIN deflator f ON f.month = a.month {where})"""
+
+
+PANEL_U = G.panel_ctes("unexposed_sample", CFG)
+AN_E = _analysis_ctes("exposed", True)
+AN_U = _analysis_ctes("unexposed_sample", False)
+COMBINED = """
+combined AS (
+  SELECT * FROM exposed_an
+  UNION ALL BY NAME
+  SELECT * REPLACE (CAST(0 AS BIGINT) AS t_treatment_6_month, CAST(0 AS BIGINT) AS t_treatment_6_month_baseline)
+  FROM unexposed_sample_an)"""
+FULL = [FLAGGED, DIST, REG, LINK_E, LINK_U, SHARES, _sample_linked_cte(), PANEL_E, PANEL_U, AN_E, AN_U, COMBINED]
+
+
+@register("event_bins", oracle("""
+SELECT census_id_final, CAST(t_op AS BIGINT) AS t_op, t_treatment_year, t_treatment_6_month,
+       t_treatment_year_baseline, t_treatment_6_month_baseline FROM exposed_an""", FLAGGED, REG, LINK_E, PANEL_E, AN_E))
+def q_event_bins(spark, sf_dir):
+    """Yearly and six-month event bins and baseline forms."""
+    return study(spark, sf_dir).exposed_analysis.select(
+        "census_id_final", "t_op", "t_treatment_year", "t_treatment_6_month", "t_treatment_year_baseline",
+        "t_treatment_6_month_baseline")
+
+
+@register("bin_bounds", oracle("""
+SELECT t_treatment_6_month,
+       CAST(CASE WHEN t_treatment_6_month <= 0 THEN t_treatment_6_month * 6 - 6 WHEN t_treatment_6_month <= 6
+            THEN t_treatment_6_month - 1 ELSE t_treatment_6_month * 6 - 36 END AS BIGINT) AS month_left,
+       CAST(CASE WHEN t_treatment_6_month <= 0 THEN t_treatment_6_month * 6 WHEN t_treatment_6_month <= 6
+            THEN t_treatment_6_month ELSE t_treatment_6_month * 6 - 30 END AS BIGINT) AS month_right,
+       round(CASE WHEN t_treatment_6_month <= 0 THEN t_treatment_6_month * 6 - 3 WHEN t_treatment_6_month <= 6
+            THEN t_treatment_6_month - 0.5 ELSE t_treatment_6_month * 6 - 33 END, 4) AS month_mid
+FROM (SELECT DISTINCT t_treatment_6_month FROM exposed_an) b""", FLAGGED, REG, LINK_E, PANEL_E, AN_E))
+def q_bin_bounds(spark, sf_dir):
+    """Left, right and mid month of every six-month bin present."""
+    b = study(spark, sf_dir).exposed_analysis.select("t_treatment_6_month").distinct()
+    return rounded(b.select("t_treatment_6_month", *[v.alias(k) for k, v in P.bin_bounds().items()]))
+
+
+@register("calendar_index", oracle("""
+SELECT census_id_final, month_label, month_num, cal_month, six_month_num, treatment_group FROM exposed_an""",
+                                   FLAGGED, REG, LINK_E, PANEL_E, AN_E))
+def q_calendar_index(spark, sf_dir):
+    """Calendar month and six-month index; treatment group = six-month index at event month."""
+    return study(spark, sf_dir).exposed_analysis.select(
+        "census_id_final", "month_label", "month_num", "cal_month", "six_month_num", "treatment_group")
+
+
+@register("outcomes", oracle("""
+SELECT census_id_final, month_label, in_work, round(pay_winsor, 4) AS pay_winsor, round(pay_deflated, 4) AS pay_deflated,
+       round(log_pay, 4) AS log_pay, round(log_pay_plus_1, 4) AS log_pay_plus_1 FROM exposed_an""",
+                             FLAGGED, REG, LINK_E, PANEL_E, AN_E))
+def q_outcomes(spark, sf_dir):
+    """In-work flag, winsorised (exact 99.99 % quantile), deflated and log pay."""
+    return rounded(study(spark, sf_dir).exposed_analysis.select(
+        "census_id_final", "month_label", "in_work", "pay_winsor", "pay_deflated", "log_pay", "log_pay_plus_1"))
+
+
+@register("combine_cohorts", oracle("""
+SELECT treat, operation_type, t_treatment_6_month, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(count(DISTINCT census_id_final) AS BIGINT) AS n_people, round(avg(pay_deflated), 4) AS mean_pay_deflated
+FROM combined GROUP BY treat, operation_type, t_treatment_6_month""", *FULL))
+def q_combine_cohorts(spark, sf_dir):
+    """L15 X5 stage 1e for the sample: exposed and matched unexposed panels stacked."""
+    c = study(spark, sf_dir).combined
+    return rounded(c.groupBy("treat", "operation_type", "t_treatment_6_month").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("census_id_final").alias("n_people"),
+        F.avg("pay_deflated").alias("mean_pay_deflated")))
+
+
+@register("rebased_bins", oracle("""
+SELECT treat, CASE WHEN treat = 0 THEN -4 WHEN t_treatment_6_month IN (-1, -2, -3) THEN 0
+                   ELSE t_treatment_6_month END AS bin,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM combined GROUP BY treat, CASE WHEN treat = 0 THEN -4 WHEN t_treatment_6_month IN (-1, -2, -3) THEN 0
+                   ELSE t_treatment_6_month END""", *FULL))
+def q_rebased_bins(spark, sf_dir):
+    """Baseline merged over bins -3..-1, unexposed moved to bin -4."""
+    r = P.rebase(study(spark, sf_dir).combined, merge_bins=(-1, -2, -3), unexposed_bin=-4)
+    return r.groupBy("treat", F.col("t_treatment_6_month").alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+SIX = """
+six AS (
+  SELECT census_id_final, six_month_num, treat, treatment_group, census_sex,
+         avg(pay_deflated) AS pay_deflated_six_month, min(age_monthly) AS age_monthly_six_month
+  FROM combined GROUP BY census_id_final, six_month_num, treat, treatment_group, census_sex),
+six2 AS (
+  SELECT *, CASE WHEN pay_deflated_six_month > 0 THEN 1 ELSE 0 END AS in_work_six_month,
+         CAST(CASE WHEN treat = 1 THEN six_month_num - treatment_group + 1 ELSE 0 END AS BIGINT) AS event_time
+  FROM six)"""
+
+
+@register("six_month_panel", oracle("""
+SELECT census_id_final, six_month_num, treat, treatment_group, round(pay_deflated_six_month, 4) AS pay_deflated_six_month,
+       age_monthly_six_month, in_work_six_month, event_time FROM six2""", *FULL, SIX))
+def q_six_month_panel(spark, sf_dir):
+    """Person x six-month panel with event time for group-time effects."""
+    from epicohort.operators.att import six_month_panel
+    return rounded(six_month_panel(study(spark, sf_dir).combined).select(
+        "census_id_final", "six_month_num", "treat", "treatment_group", "pay_deflated_six_month",
+        "age_monthly_six_month", "in_work_six_month", "event_time"))
+
+
+ATT = """
+cells AS (SELECT treatment_group AS G, six_month_num AS T, sum(pay_deflated_six_month) AS sy, count(*) AS n
+          FROM six2 WHERE pay_deflated_six_month IS NOT NULL GROUP BY treatment_group, six_month_num),
+tt AS (
+  SELECT a.G AS grp, a.T AS tm, a.sy / a.n AS m_t, b.sy / b.n AS m_b, a.n AS n_treated
+  FROM cells a JOIN cells b ON b.G = a.G AND b.T = a.G - 1 WHERE a.G > 0),
+att AS (
+  SELECT grp, tm, tm - grp AS event_time,
+         (m_t - m_b) - ((SELECT sum(sy) / sum(n) FROM cells c WHERE c.T = tm AND (c.G = 0 OR c.G > greatest(tm, grp - 1)))
+                       - (SELECT sum(sy) / sum(n) FROM cells c WHERE c.T = grp - 1 AND (c.G = 0 OR c.G > greatest(tm, grp - 1))))
+           AS att,
+         n_treated,
+         (SELECT sum(n) FROM cells c WHERE c.T = tm AND (c.G = 0 OR c.G > greatest(tm, grp - 1))) AS n_control
+  FROM tt)"""
+
+
+def _att_frames(spark, sf_dir):
+    from epicohort.operators.att import att_gt, six_month_panel
+    sp = six_month_panel(study(spark, sf_dir).combined)
+    return sp, att_gt(sp, "pay_deflated_six_month")
+
+
+@register("att_gt", oracle("""
+SELECT CAST(grp AS BIGINT) AS "group", CAST(tm AS BIGINT) AS time, CAST(event_time AS BIGINT) AS event_time,
+       round(att, 4) AS att, CAST(n_treated AS BIGINT) AS n_treated, CAST(n_control AS BIGINT) AS n_control
+FROM att WHERE att IS NOT NULL""", *FULL, SIX, ATT))
+def q_att_gt(spark, sf_dir):
+    """Group-time ATT with not-yet-treated controls and universal base period g-1."""
+    _, att = _att_frames(spark, sf_dir)
+    return rounded(att.where(F.col("att").isNotNull()).select(
+        F.col("group").cast("long").alias("group"), F.col("time").cast("long").alias("time"),
+        F.col("event_time").cast("long").alias("event_time"), "att", "n_treated", "n_control"))
+
+
+@register("att_dynamic", oracle("""
+SELECT CAST(a.event_time AS BIGINT) AS event_time, round(sum(a.att * w.w) / sum(w.w), 4) AS att,
+       CAST(count(*) AS BIGINT) AS n_groups
+FROM att a JOIN (SELECT treatment_group AS grp, count(DISTINCT census_id_final) AS w FROM six2
+                 WHERE treatment_group > 0 GROUP BY treatment_group) w USING (grp)
+WHERE a.att IS NOT NULL GROUP BY a.event_time""", *FULL, SIX, ATT))
+def q_att_dynamic(spark, sf_dir):
+    """Dynamic aggregation of ATT(g, t) by event time, weighted by group size."""
+    from epicohort.operators.att import aggregate_att
+    sp, att = _att_frames(spark, sf_dir)
+    agg = aggregate_att(att.where(F.col("att").isNotNull()), sp)
+    return rounded(agg.select(F.col("event_time").cast("long").alias("event_time"), "att", "n_groups"))

@@ -23,6 +23,7 @@ from epicohort.operators import panel as P
 from epicohort.operators import sample as S
 from epicohort.functions.recode import five_year_bands
 from epicohort.sources.fixtures import FixtureTables
+from epicohort.sources.io import new_version, read_stage, write_stage
 
 STRATA = ["census_sex", "five_year_bands"]
 
@@ -30,15 +31,25 @@ STRATA = ["census_sex", "five_year_bands"]
 class Study:
     """One study over one set of input tables (lazy DataFrames, cached per object)."""
 
-    def __init__(self, tables: FixtureTables, cfg: StudyConfig = FIXTURE_CONFIG):
+    def __init__(self, tables: FixtureTables, cfg: StudyConfig = FIXTURE_CONFIG, materialize: bool = True):
         self.t = tables
         self.cfg = cfg
+        self.materialize = materialize
+        self.version = new_version()
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """S6 + S2: persist a finished stage in the shared checkpoint folder and
+        continue from the written table (lineage cut, no recomputation)."""
+        if not self.materialize:
+            return df
+        write_stage(df, name, self.version)
+        return read_stage(df.sparkSession, name, self.version)
 
     # ---------------------------------------------------------------- 1a
     @cached_property
     def flagged(self) -> DataFrame:
         """Every episode with episode flags and person flags."""
-        return C.person_flags(C.flag_episodes(self.t.episodes, self.cfg))
+        return self.stage("flagged", C.person_flags(C.flag_episodes(self.t.episodes, self.cfg)))
 
     def exposure_stages(self):
         op = F.col("metabolic_op_flag") == 1
@@ -66,9 +77,9 @@ class Study:
             "op_date", C.impute_sentinel("op_date", self.cfg.sentinel_cutoff, "epistart"))
         idx = C.index_event(ep)
         idx = C.tie_break(idx, ["census_id_final", "epistart", "epiend"], "op_date", "epikey")
-        return idx.select("census_id_final", "census_id_flag", "epikey", "epistart", "epiend",
-                          "op_code", "operation_type", "op_date", "primary_obesity_flag",
-                          "secondary_obesity_flag", "associated_cond_flag")
+        return self.stage("exposed", idx.select(
+            "census_id_final", "census_id_flag", "epikey", "epistart", "epiend", "op_code", "operation_type",
+            "op_date", "primary_obesity_flag", "secondary_obesity_flag", "associated_cond_flag"))
 
     def exposure_flow(self) -> DataFrame:
         stages = FL.flow_counts(self.flagged, "census_id_final", self.exposure_stages())
@@ -89,8 +100,8 @@ class Study:
         people = self.t.registry_2011.select(F.col("il4_person_id").alias("census_id_final"))
         any_op = self.person_surgery.where((F.col("any_prev_metab_surgery_flag") == 1)
                                            | (F.col("any_metabolic_op_flag_in_dates") == 1))
-        return C.exclude(people, any_op.select("census_id_final"), "census_id_final").withColumn(
-            "census_id_flag", F.lit(1))
+        return self.stage("unexposed", C.exclude(people, any_op.select("census_id_final"), "census_id_final")
+                          .withColumn("census_id_flag", F.lit(1)))
 
     def unexposed_flow(self) -> DataFrame:
         people = self.t.registry_2011.select(F.col("il4_person_id").alias("census_id_final"))
@@ -104,11 +115,11 @@ class Study:
     # ---------------------------------------------------------------- 1b
     @cached_property
     def distribution(self) -> DataFrame:
-        return S.month_distribution(self.exposed, self.cfg)
+        return self.stage("distribution", S.month_distribution(self.exposed, self.cfg))
 
     @cached_property
     def unexposed_dated(self) -> DataFrame:
-        return S.assign_dates(self.unexposed, self.distribution, self.cfg)
+        return self.stage("unexposed_dated", S.assign_dates(self.unexposed, self.distribution, self.cfg))
 
     # ---------------------------------------------------------------- 1c
     @cached_property
@@ -136,17 +147,17 @@ class Study:
 
     @cached_property
     def exposed_linked(self) -> DataFrame:
-        return self.linked(self.exposed)
+        return self.stage("exposed_linked", self.linked(self.exposed))
 
     @cached_property
     def unexposed_linked(self) -> DataFrame:
-        return self.linked(self.unexposed_dated)
+        return self.stage("unexposed_linked", self.linked(self.unexposed_dated))
 
     # ---------------------------------------------------------------- 1d
     @cached_property
     def shares(self) -> DataFrame:
         e = self.exposed_linked.withColumn("five_year_bands", five_year_bands(F.col("age_at_operation")))
-        return S.strata_shares(e, STRATA)
+        return self.stage("shares", S.strata_shares(e, STRATA))
 
     def sample(self, total: int | None = None) -> DataFrame:
         total = self.cfg.sample_total if total is None else total
@@ -165,4 +176,44 @@ class Study:
 
     @cached_property
     def exposed_panel(self) -> DataFrame:
-        return self.panel(self.exposed_linked)
+        return self.stage("exposed_panel", self.panel(self.exposed_linked))
+
+    @cached_property
+    def unexposed_sample(self) -> DataFrame:
+        return self.stage("unexposed_sample", self.sample())
+
+    @cached_property
+    def unexposed_panel(self) -> DataFrame:
+        return self.stage("unexposed_panel", self.panel(self.unexposed_sample.withColumn("operation_type", F.lit("None"))))
+
+    # ---------------------------------------------------------------- 4a
+    ANALYSIS_COLS = ["census_id_final", "t_op", "month_label", "census_sex", "age_monthly", "pay",
+                     "disability_binary", "rural_urban", "imd_quintile", "region", "age_bands",
+                     "birth_in_1yr", "birth_in_5yr", "ethnic_group_tb", "operation_type"]
+
+    def analysis(self, panel: DataFrame, treated: bool) -> DataFrame:
+        """Treatment bins, calendar index, outcomes (winsor quantile per cohort,
+        trap 9), treatment group (W8) and cohort constants (P25)."""
+        from epicohort.operators.quantiles import quantile_values
+        df = P.calendar_index(P.event_bins(panel.select(*self.ANALYSIS_COLS)), self.cfg)
+        q_hi = quantile_values(df, "pay", [0.9999])[0]
+        df = P.outcomes(df, q_hi if q_hi is not None else float("inf"), self.t.deflator)
+        if treated:
+            df = P.value_where(df, "census_id_final", "six_month_num", F.col("t_op") == 1, "treatment_group")
+            return df.withColumn("treat", F.lit(1)).where(F.col("t_op") <= self.cfg.event_window[1])
+        return df.withColumns({"treat": F.lit(1) * 0, "treatment_group": F.lit(0).cast("long")})
+
+    @cached_property
+    def exposed_analysis(self) -> DataFrame:
+        return self.stage("exposed_analysis", self.analysis(self.exposed_panel, True))
+
+    @cached_property
+    def unexposed_analysis(self) -> DataFrame:
+        return self.stage("unexposed_analysis", self.analysis(self.unexposed_panel, False))
+
+    @cached_property
+    def combined(self) -> DataFrame:
+        """Unexposed at bin 0 at all times, treat 0, group 0, type 'None'."""
+        u = self.unexposed_analysis.withColumns({"t_treatment_6_month": F.lit(0).cast("long"),
+                                                 "t_treatment_6_month_baseline": F.lit(0).cast("long")})
+        return self.exposed_analysis.unionByName(u, allowMissingColumns=True)
