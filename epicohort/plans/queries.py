@@ -666,3 +666,119 @@ def q_att_dynamic(spark, sf_dir):
     sp, att = _att_frames(spark, sf_dir)
     agg = aggregate_att(att.where(F.col("att").isNotNull()), sp)
     return rounded(agg.select(F.col("event_time").cast("long").alias("event_time"), "att", "n_groups"))
+
+
+# ------------------------------------------------------------------ models
+BAL_MONTHS = (CFG.follow_up_start, CFG.follow_up_end)
+
+
+def balanced_panel(spark, sf_dir) -> DataFrame:
+    """Every linked identifier owner x every month of the follow-up window
+    (J13 explode of a bounded month sequence), pay and days from A18, 0 when absent."""
+    from epicohort.functions.dates import month_label as mlabel
+    from epicohort.functions.dates import month_of_number
+    s = study(spark, sf_dir)
+    links = P.identifier_links(s.id_routes)
+    people = links.select("census_id_flag", "census_id_final").distinct()
+    lo = BAL_MONTHS[0].year * 12 + BAL_MONTHS[0].month - 1
+    hi = BAL_MONTHS[1].year * 12 + BAL_MONTHS[1].month - 2
+    grid = people.withColumn("_m", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn(
+        "month_label", mlabel(month_of_number(F.col("_m")))).drop("_m")
+    pay = P.combine_ids(s.t.monthly_pay, links)
+    return P.attach_measures(grid, pay)
+
+
+def _balanced_sql() -> str:
+    lo = BAL_MONTHS[0]
+    hi_idx = BAL_MONTHS[1].year * 12 + BAL_MONTHS[1].month - 2
+    import datetime as dt
+    hi = dt.date(hi_idx // 12, hi_idx % 12 + 1, 1)
+    return f"""
+SELECT 'days_worked' AS term, round(b, 4) AS estimate,
+       round(sqrt(sum(s * s) / (sxx * sxx) * g / (g - 1.0) * (n - 1.0) / (n - k)), 4) AS std_error
+FROM (SELECT pid, sum(xd * (yd - b * xd)) AS s FROM dm, beta GROUP BY pid) sc, beta
+GROUP BY b, sxx, g, n, k"""
+
+
+BALANCED = f"""
+bp AS (
+  SELECT k.census_id_final AS pid, m.month_label, coalesce(pm.pay, 0.0) AS y, coalesce(pm.days_worked, 0.0) AS x
+  FROM (SELECT DISTINCT census_id_flag, census_id_final FROM links) k
+  CROSS JOIN (SELECT {G.label('CAST(g.m AS DATE)')} AS month_label
+              FROM generate_series({G.d(BAL_MONTHS[0])}, {G.d(BAL_MONTHS[1])} - INTERVAL 1 MONTH, INTERVAL 1 MONTH) g(m)) m
+  LEFT JOIN pm ON pm.census_id_flag = k.census_id_flag AND pm.census_id_final = k.census_id_final
+              AND pm.month_label = m.month_label),
+dm AS (
+  SELECT pid, x - avg(x) OVER (PARTITION BY pid) - avg(x) OVER (PARTITION BY month_label) + avg(x) OVER () AS xd,
+         y - avg(y) OVER (PARTITION BY pid) - avg(y) OVER (PARTITION BY month_label) + avg(y) OVER () AS yd
+  FROM bp),
+beta AS (
+  SELECT sum(xd * yd) / sum(xd * xd) AS b, sum(xd * xd) AS sxx, CAST(count(*) AS DOUBLE) AS n,
+         CAST(count(DISTINCT pid) AS DOUBLE) AS g,
+         CAST((SELECT count(DISTINCT month_label) FROM bp) AS DOUBLE) AS k
+  FROM dm)"""
+
+
+@register("fe_one_regressor_balanced", oracle(_balanced_sql(), REG, BALANCED))
+def q_fe_balanced(spark, sf_dir):
+    """Two-way fixed effects (person absorbed by demeaning, month
+    dummies) of pay on days worked, person-clustered SE, on a balanced panel."""
+    from epicohort.operators.fe import fe_event_study
+    res = fe_event_study(balanced_panel(spark, sf_dir), "pay", {}, ["days_worked"])
+    rows = [r for r in res.rows() if r["term"] == "days_worked"]
+    df = spark.createDataFrame([(r["term"], r["estimate"], r["std_error"]) for r in rows],
+                               "term string, estimate double, std_error double")
+    return rounded(df)
+
+
+def main_fit(spark, sf_dir, y: str = "pay_deflated", subset=None, interact=None, label: str = "main"):
+    """M1 M2: outcome ~ six-month bins (ref 0) + ns(age, 5) | person + month, clustered by person."""
+    from epicohort.operators.fe import fe_event_study, natural_spline_knots, natural_spline_terms
+    df = study(spark, sf_dir).combined
+    if subset is not None:
+        df = df.where(subset)
+    knots = natural_spline_knots(df, "age_monthly")
+    df = df.withColumns(natural_spline_terms(F.col("age_monthly"), knots, "age_ns"))
+    return fe_event_study(df, y, {"t_treatment_6_month": 0}, [f"age_ns{i}" for i in range(1, 6)],
+                          interact=interact, label=label)
+
+
+@register("fe_event_study")
+def q_fe_event_study(spark, sf_dir):
+    """M1-M6: tidy coefficients of the main event study (pay, deflated)."""
+    return main_fit(spark, sf_dir).tidy(spark)
+
+
+@register("fe_suite")
+def q_fe_suite(spark, sf_dir):
+    """Pay, pay in work and employment (x100) fits side by side."""
+    from epicohort.operators.report import compare_models
+    fits = {"pay": main_fit(spark, sf_dir).tidy(spark),
+            "pay_in_work": main_fit(spark, sf_dir, subset=F.col("in_work") == 1).tidy(spark),
+            "employment": main_fit(spark, sf_dir, y="in_work").tidy(spark, scale="percent")}
+    return compare_models(fits)
+
+
+@register("significance_table")
+def q_significance_table(spark, sf_dir):
+    """Estimate, stars and interval text per term, AIC/BIC rows."""
+    from epicohort.operators.report import significance_table
+    res = main_fit(spark, sf_dir)
+    return significance_table(res.tidy(spark), res.fit_stats())
+
+
+@register("fe_interaction")
+def q_fe_interaction(spark, sf_dir):
+    """M7: bins interacted with sex; per-level effects from the joint covariance."""
+    res = main_fit(spark, sf_dir, interact=("t_treatment_6_month", "census_sex"), label="by_sex")
+    return res.tidy(spark)
+
+
+@register("fe_by_stratum")
+def q_fe_by_stratum(spark, sf_dir):
+    """M9: one fit per sex (stratified models)."""
+    frames = []
+    for sex in ("Females", "Males"):
+        r = main_fit(spark, sf_dir, subset=F.col("census_sex") == sex, label=sex)
+        frames.append(r.tidy(spark).withColumn("stratum", F.lit(sex)))
+    return frames[0].unionByName(frames[1])
