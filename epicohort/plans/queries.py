@@ -782,3 +782,194 @@ def q_fe_by_stratum(spark, sf_dir):
         r = main_fit(spark, sf_dir, subset=F.col("census_sex") == sex, label=sex)
         frames.append(r.tidy(spark).withColumn("stratum", F.lit(sex)))
     return frames[0].unionByName(frames[1])
+
+
+# ------------------------------------------------------------------ descriptives (02)
+def _measures_sql(where: str = "TRUE") -> str:
+    parts = []
+    for name in ("pay", "pay_deflated"):
+        parts += [f"round(avg({name}) FILTER (WHERE {where}), 4) AS average_monthly_{name}",
+                  f"round(quantile_cont({name}, 0.5) FILTER (WHERE {where}), 4) AS median_monthly_{name}",
+                  f"round(round(max({name}) FILTER (WHERE {where}), -2), 4) AS max_monthly_{name}",
+                  f"round(avg({name}) FILTER (WHERE {where} AND in_work = 1), 4) AS average_monthly_{name}_in_work",
+                  f"round(quantile_cont({name}, 0.5) FILTER (WHERE {where} AND in_work = 1), 4) "
+                  f"AS median_monthly_{name}_in_work",
+                  f"round(round(max({name}) FILTER (WHERE {where} AND in_work = 1), -2), 4) "
+                  f"AS max_monthly_{name}_in_work"]
+    parts.append(f"round(sum(in_work) FILTER (WHERE {where}) / count(*) FILTER (WHERE {where}), 4) AS prop_in_work")
+    return ", ".join(parts)
+
+
+@register("pay_summary", oracle(f"""
+SELECT 'overall' AS "group", {_measures_sql()} FROM exposed_desc
+UNION ALL
+SELECT CASE WHEN t_op < 0 THEN 'pre-surgery' ELSE 'post-surgery' END, {_measures_sql()} FROM exposed_desc
+GROUP BY CASE WHEN t_op < 0 THEN 'pre-surgery' ELSE 'post-surgery' END""", FLAGGED, REG, LINK_E, PANEL_E, DESCR_E))
+def q_pay_summary(spark, sf_dir):
+    """Pay summary overall and pre/post the event (t = 0 is post, trap 10)."""
+    from epicohort.operators.describe import pay_summary_pre_post
+    return rounded(pay_summary_pre_post(described(spark, sf_dir)))
+
+
+def _series_keys_sql(src: str, keys: str, where: str = "TRUE") -> str:
+    return _series_sql(f"(SELECT * FROM {src} WHERE {where}) s", keys)
+
+
+CAL = f"{G.month_no('ref_date')} - {G.month_no(G.d(CFG.origin))}"
+
+
+@register("calendar_series", oracle(f"""
+SELECT 'all' AS series, * FROM ({_series_sql(f"(SELECT *, {CAL} AS cal_month_index FROM exposed_desc) s", "cal_month_index")}) a
+UNION ALL
+SELECT 'before event', * FROM ({_series_sql(f"(SELECT *, {CAL} AS cal_month_index FROM exposed_desc WHERE t_op < 0) s",
+                                         "cal_month_index")}) b""", FLAGGED, REG, LINK_E, PANEL_E, DESCR_E))
+def q_calendar_series(spark, sf_dir):
+    """Series by calendar month, plus the series censored at the event, labelled and stacked."""
+    from epicohort.functions.dates import months_since
+    from epicohort.operators.describe import series
+    d = described(spark, sf_dir).withColumn("cal_month_index", months_since(F.col("ref_date"), CFG.origin))
+    a = series(d, ["cal_month_index"]).withColumn("series", F.lit("all"))
+    b = series(d.where(F.col("t_op") < 0), ["cal_month_index"]).withColumn("series", F.lit("before event"))
+    return rounded(a.unionByName(b))
+
+
+@register("age_series", oracle(_series_sql("exposed_desc", "age_monthly, census_sex"),
+                               FLAGGED, REG, LINK_E, PANEL_E, DESCR_E))
+def q_age_series(spark, sf_dir):
+    """A10: series by monthly age and sex."""
+    from epicohort.operators.describe import series
+    return rounded(series(described(spark, sf_dir), ["age_monthly", "census_sex"]))
+
+
+@register("type_month_totals", oracle(f"""
+SELECT CAST(op_month AS INTEGER) AS op_month, coalesce(operation_type, 'total') AS operation_type,
+       CAST(count(*) AS BIGINT) AS n
+FROM (SELECT {G.month_no('op_date')} - {G.month_no(G.d(CFG.origin))} AS op_month, operation_type FROM exposed) t
+GROUP BY GROUPING SETS ((op_month, operation_type), (op_month))""", FLAGGED))
+def q_type_month_totals(spark, sf_dir):
+    """A2: index events by month and type plus a 'total' row per month (one grouping-sets aggregate)."""
+    from epicohort.operators.describe import count_with_total
+    e = study(spark, sf_dir).exposed.withColumn("op_month", S.event_month("op_date", CFG.origin))
+    return count_with_total(e, "op_month", "operation_type")
+
+
+_CAT_COLS = ["census_sex", "ethnic_group_tb", "disability_category", "ns_sec", "religion_tb", "highest_qualification",
+             "legal_partnership_status", "region", "rural_urban", "imd_quintile"]
+
+
+@register("category_counts", oracle("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS Variable_names, CAST({c} AS VARCHAR) AS Category_name, CAST(count(*) AS BIGINT) AS Count, "
+    f"round(count(*) * 100.0 / (SELECT count(*) FROM exposed_linked), 1) AS Percentage "
+    f"FROM exposed_linked GROUP BY {c}" for c in _CAT_COLS), FLAGGED, REG, LINK_E))
+def q_category_counts(spark, sf_dir):
+    """Counts and percent (1 dp) of each category of ten person attributes, one unpivot + aggregate."""
+    from epicohort.operators.describe import category_counts
+    cc = category_counts(study(spark, sf_dir).exposed_linked, _CAT_COLS)
+    return cc.withColumn("Percentage", F.round(F.col("Count") / F.sum("Count").over(
+        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("Variable_names")) * 100 * (1 + NUDGE), 1))
+
+
+@register("crosstab", oracle("""
+SELECT operation_type, CAST(census_sex AS VARCHAR) AS grouping, CAST(count(*) AS BIGINT) AS Count,
+       'census_sex' AS characteristic
+FROM (SELECT * FROM exposed_linked
+      QUALIFY row_number() OVER (PARTITION BY census_id_final ORDER BY operation_type NULLS LAST,
+                                 census_sex NULLS LAST) = 1) t
+GROUP BY operation_type, census_sex""", FLAGGED, REG, LINK_E))
+def q_crosstab(spark, sf_dir):
+    """One row per person, then counts by procedure type and sex."""
+    from epicohort.operators.describe import crosstab_long
+    return crosstab_long(study(spark, sf_dir).exposed_linked, "operation_type", "census_sex")
+
+
+STD_SRC = """
+std_src AS (
+  SELECT 1 AS treat, age_at_operation, imd_decile, disability_binary, CASE WHEN census_sex = 'Females' THEN 1 ELSE 0 END AS female
+  FROM exposed_linked
+  UNION ALL
+  SELECT 0, age_at_operation, imd_decile, disability_binary, CASE WHEN census_sex = 'Females' THEN 1 ELSE 0 END
+  FROM unexposed_sample_linked)"""
+
+
+def _std_sql(kind: str) -> str:
+    cols = ["age_at_operation", "imd_decile"] if kind == "numeric" else ["disability_binary", "female"]
+    parts = []
+    for c in cols:
+        m = {g: f"avg(CAST({c} AS DOUBLE)) FILTER (WHERE treat = {g})" for g in (0, 1)}
+        n = {g: f"count({c}) FILTER (WHERE treat = {g})" for g in (0, 1)}
+        if kind == "numeric":
+            pooled = f"(var_samp(CAST({c} AS DOUBLE)) FILTER (WHERE treat = 1) + var_samp(CAST({c} AS DOUBLE)) FILTER (WHERE treat = 0)) / 2"
+        else:
+            pooled = f"({m[1]} * (1 - {m[1]}) + {m[0]} * (1 - {m[0]})) / 2"
+        d = f"abs({m[1]} - {m[0]}) / sqrt({pooled})"
+        se = f"sqrt(({n[1]} + {n[0]}) / ({n[1]} * {n[0]}) + ({d}) * ({d}) / (2 * ({n[1]} + {n[0]})))"
+        parts.append(f"SELECT '{c}' AS variable, round({d}, 4) AS std_diff, round({d} - 1.96 * {se}, 4) AS std_diff_lcl, "
+                     f"round({d} + 1.96 * {se}, 4) AS std_diff_ucl FROM std_src")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _std_frame(spark, sf_dir) -> DataFrame:
+    s = study(spark, sf_dir)
+    cols = ["age_at_operation", "imd_decile", "disability_binary", "female"]
+
+    def prep(df, treat):
+        return df.select(F.lit(treat).alias("treat"), "age_at_operation", "imd_decile", "disability_binary",
+                         F.when(F.col("census_sex") == "Females", 1).otherwise(0).alias("female"))
+    return prep(s.exposed_linked, 1).unionByName(prep(s.unexposed_sample, 0)).select("treat", *cols)
+
+
+STD_PARTS = [FLAGGED, DIST, REG, LINK_E, LINK_U, SHARES, _sample_linked_cte(), STD_SRC]
+
+
+@register("std_diff_numeric", oracle(_std_sql("numeric"), *STD_PARTS))
+def q_std_diff_numeric(spark, sf_dir):
+    """Standardised mean differences (with CI) exposed vs matched sample."""
+    from epicohort.operators.describe import std_diff_numeric
+    return rounded(std_diff_numeric(_std_frame(spark, sf_dir), "treat", ["age_at_operation", "imd_decile"]))
+
+
+@register("std_diff_binary", oracle(_std_sql("binary"), *STD_PARTS))
+def q_std_diff_binary(spark, sf_dir):
+    """A15 (binary case): standardised differences of proportions."""
+    from epicohort.operators.describe import std_diff_binary
+    return rounded(std_diff_binary(_std_frame(spark, sf_dir), "treat", ["disability_binary", "female"]))
+
+
+@register("follow_up", oracle("""
+SELECT period, round(avg(len), 4) AS mean_months, round(quantile_cont(len, 0.5), 4) AS median_months,
+       CAST(max(len) AS BIGINT) AS max_months, CAST(min(len) AS BIGINT) AS min_months
+FROM (SELECT 'overall' AS period, census_id_final, max(t_op) - min(t_op) + 1 AS len FROM exposed_an GROUP BY census_id_final
+      UNION ALL
+      SELECT 'post', census_id_final, max(t_op) - min(t_op) + 1 FROM exposed_an WHERE t_op >= 1 GROUP BY census_id_final
+      UNION ALL
+      SELECT 'pre', census_id_final, max(t_op) - min(t_op) + 1 FROM exposed_an WHERE t_op < 1 GROUP BY census_id_final) t
+GROUP BY period""", FLAGGED, REG, LINK_E, PANEL_E, AN_E))
+def q_follow_up(spark, sf_dir):
+    """Follow-up months per person, summarised overall / post / pre (exact median)."""
+    from epicohort.operators.describe import follow_up
+    f = follow_up(study(spark, sf_dir).exposed_analysis)
+    return rounded(f.select("period", "mean_months", F.col("median_months").cast("double"),
+                            F.col("max_months").cast("long"), F.col("min_months").cast("long")))
+
+
+HIST = (10000.0, 0.0, 1000000.0)
+
+
+@register("histogram", oracle(f"""
+SELECT CAST(floor((pay - {HIST[1]}) / {HIST[0]}) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n,
+       round(floor((pay - {HIST[1]}) / {HIST[0]}) * {HIST[0]} + {HIST[1]}, 4) AS bin_start
+FROM exposed_desc WHERE pay >= {HIST[1]} AND pay < {HIST[2]} GROUP BY floor((pay - {HIST[1]}) / {HIST[0]})""",
+                            FLAGGED, REG, LINK_E, PANEL_E, DESCR_E))
+def q_histogram(spark, sf_dir):
+    """Histogram of monthly pay (fixed-width bins) computed on the cluster."""
+    from epicohort.operators.describe import histogram
+    return rounded(histogram(described(spark, sf_dir), "pay", *HIST))
+
+
+@register("describe_age", oracle("""
+SELECT min(age_at_operation) AS min, max(age_at_operation) AS max, round(avg(age_at_operation), 4) AS mean,
+       round(stddev_samp(age_at_operation), 4) AS sd FROM exposed_linked""", FLAGGED, REG, LINK_E))
+def q_describe_age(spark, sf_dir):
+    """A4: min, max, mean and sample sd of age at the index event."""
+    from epicohort.operators.describe import describe_num
+    return rounded(describe_num(study(spark, sf_dir).exposed_linked, "age_at_operation"))
