@@ -343,7 +343,7 @@ def _independent_columns(g: np.ndarray, tol: float = 1e-9) -> list:
         if keep:
             a = g[np.ix_(keep, keep)]
             c = g[np.ix_(keep, [j])]
-            resid = g[j, j] - float(c.T @ np.linalg.solve(a, c))
+            resid = g[j, j] - float((c.T @ np.linalg.solve(a, c))[0, 0])
         else:
             resid = g[j, j]
         if resid > tol * max(g[j, j], 1.0):
