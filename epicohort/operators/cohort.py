@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epicohort.config import StudyConfig
@@ -41,14 +41,23 @@ def flag_episodes(ep: DataFrame, cfg: StudyConfig, op_cols: Sequence[str] = OP_C
     })
 
 
+def per_key(df: DataFrame, keys: Sequence[str], aggs: dict) -> DataFrame:
+    """Attach per-key aggregates to every row: a grouped aggregate (map-side
+    combined, so a key holding a third of the rows costs one row per task)
+    joined back on the key (AQE splits a skewed join partition).  Used in
+    place of ``agg().over(partitionBy(key))``, which would put a hot key's
+    rows into one task."""
+    stats = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
+    return df.join(stats, on=list(keys), how="inner")
+
+
 def any_flag_over(df: DataFrame, id_col: str, flags: dict) -> DataFrame:
     """Person-level 'any' of episode flags on every row of the person.
 
     Rows without an id are kept apart (NULL person flags) so they never form
-    one giant window partition; the window shuffles on the id only."""
-    w = Window.partitionBy(id_col)
-    keyed = df.where(F.col(id_col).isNotNull()).withColumns(
-        {out: F.max(F.col(flag)).over(w) for out, flag in flags.items()})
+    one giant group."""
+    keyed = per_key(df.where(F.col(id_col).isNotNull()), [id_col],
+                    {out: F.max(F.col(flag)) for out, flag in flags.items()})
     unkeyed = df.where(F.col(id_col).isNull()).withColumns(
         {out: F.lit(None).cast("int") for out in flags})
     return keyed.unionByName(unkeyed)
@@ -104,19 +113,20 @@ def index_event(df: DataFrame, id_col: str = "census_id_final", start: str = "ep
                 end: str = "epiend") -> DataFrame:
     """Rows holding both the person's earliest start and earliest end.
     A person with no row holding both minima drops out (as in the reference)."""
-    w = Window.partitionBy(id_col)
-    return (df.withColumns({"_min_s": F.min(start).over(w), "_min_e": F.min(end).over(w)})
-              .where((F.col(start) == F.col("_min_s")) & (F.col(end) == F.col("_min_e")))
-              .drop("_min_s", "_min_e"))
+    return (per_key(df, [id_col], {"_min_s": F.min(start), "_min_e": F.min(end)})
+            .where((F.col(start) == F.col("_min_s")) & (F.col(end) == F.col("_min_e")))
+            .drop("_min_s", "_min_e"))
 
 
 def tie_break(df: DataFrame, part_cols: Sequence[str], asc_col: str = "op_date",
               desc_col: str = "epikey") -> DataFrame:
     """Earliest ``asc_col`` within the partition, then the largest
-    ``desc_col`` among those; rows with NULL ``asc_col`` never survive."""
-    w = Window.partitionBy(*part_cols).orderBy(F.col(asc_col).asc(), F.col(desc_col).desc())
-    return (df.where(F.col(asc_col).isNotNull())
-              .withColumn("_rk", F.rank().over(w)).where(F.col("_rk") == 1).drop("_rk"))
+    ``desc_col`` among those rows; rows with NULL ``asc_col`` never survive.
+    Both steps are grouped aggregates joined back (skew safe)."""
+    first = (per_key(df, part_cols, {"_min_a": F.min(asc_col)})
+             .where(F.col(asc_col) == F.col("_min_a")).drop("_min_a"))
+    return (per_key(first, part_cols, {"_max_d": F.max(desc_col)})
+            .where(F.col(desc_col) == F.col("_max_d")).drop("_max_d"))
 
 
 def exclude(df: DataFrame, flagged: DataFrame, on) -> DataFrame:

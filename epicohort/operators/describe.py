@@ -100,9 +100,9 @@ def category_counts(df: DataFrame, cols: Sequence[str], id_col: str = "census_id
 
 
 def crosstab_long(df: DataFrame, a: str, b: str, id_col: str = "census_id_final") -> DataFrame:
-    """One row per person (smallest a, b), then counts by (a, b)."""
-    w = Window.partitionBy(id_col).orderBy(F.col(a).asc_nulls_last(), F.col(b).asc_nulls_last())
-    one = df.select(id_col, a, b).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    """One row per person (smallest a, then b), then counts by (a, b)."""
+    from epicohort.operators.panel import first_row_by
+    one = first_row_by(df.select(id_col, a, b), id_col, [a, b])
     return (one.groupBy(F.col(a), F.col(b).cast("string").alias("grouping")).agg(F.count(F.lit(1)).alias("Count"))
                .withColumn("characteristic", F.lit(b)))
 

@@ -3,7 +3,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epicohort.config import StudyConfig
@@ -13,11 +15,23 @@ from epicohort.functions.recode import age_bands
 from epicohort.sources.fixtures import BIRTH_COLS
 
 
+def first_row_by(df: DataFrame, id_col: str, order_cols: Sequence[str]) -> DataFrame:
+    """One whole row per id: the one with the smallest ``order_cols`` (NULLs
+    last), ties broken by the remaining columns.  A ``min`` over a struct is
+    an ordinary aggregate with map-side combine, so no id's rows are ever
+    gathered in one task (unlike ``row_number`` over a window)."""
+    rest = [c for c in df.columns if c != id_col and c not in order_cols]
+    keyed = F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(f"_o{i}")
+                       for i, c in enumerate(order_cols)],
+                     *[F.col(c) for c in order_cols + rest])
+    return (df.groupBy(id_col).agg(F.min(keyed).alias("_r"))
+              .select(id_col, *[F.col(f"_r.{c}").alias(c) for c in order_cols + rest]))
+
+
 def one_row_per_person(df: DataFrame, id_col: str = "census_id_final", order_col: str = "lsoa_final") -> DataFrame:
     """Collapse crosswalk fan-out deterministically (smallest area code) so the
     panel is unique on (person, month)."""
-    w = Window.partitionBy(id_col).orderBy(F.col(order_col).asc_nulls_last())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    return first_row_by(df, id_col, [order_col])
 
 
 def expand_months(df: DataFrame, cfg: StudyConfig, op: str = "op_date") -> DataFrame:
@@ -172,8 +186,10 @@ def outcomes(df: DataFrame, winsor_hi: float, deflator: DataFrame) -> DataFrame:
 
 
 def value_where(df: DataFrame, id_col: str, value: str, cond, out: str) -> DataFrame:
-    """The value on the row meeting ``cond``, on every row of the id (NULL if none)."""
-    return df.withColumn(out, F.max(F.when(cond, F.col(value))).over(Window.partitionBy(id_col)))
+    """The value on the row meeting ``cond``, on every row of the id (NULL
+    if none): grouped aggregate joined back."""
+    stats = df.groupBy(id_col).agg(F.max(F.when(cond, F.col(value))).alias(out))
+    return df.join(stats, on=id_col, how="left")
 
 
 def rebase(df: DataFrame, merge_bins=(-1,), unexposed_bin: int | None = None, col: str = "t_treatment_6_month",
