@@ -72,8 +72,11 @@ def pay_summary(df: DataFrame, keys: Sequence[str] = (), pay: str = "pay", defla
     if with_n:
         aggs.append(F.count(F.lit(1)).alias("n_people"))
     main = df.groupBy(*keys).agg(*aggs)
-    out = main.join(medians_wide(df, keys, med), on=keys, how="left")
-    return out.drop("_all") if keys == ["_all"] else out
+    meds = medians_wide(df, keys, med)
+    if keys == ["_all"]:  # one row each: merge without a join on a constant key
+        both = main.unionByName(meds, allowMissingColumns=True)
+        return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns if c != "_all"])
+    return main.join(meds, on=keys, how="left")
 
 
 def pay_summary_pre_post(df: DataFrame, t: str = "t_op", **kw) -> DataFrame:

@@ -22,15 +22,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
                     accuracy: int = 100000, small: int = 200000) -> DataFrame:
     """Long result: (*by, p, q).  NULL values are ignored; empty groups are absent."""
     by = list(by)
-    keyless = not by
-    if keyless:  # one group: a constant key, and the bracket table (one row per p) is broadcast
-        df, by = df.withColumn("_g", F.lit(0)), ["_g"]
+    if not by:
+        return _exact_quantiles_global(df, value, probs, accuracy, small)
     base = df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    delta = 4.0 / accuracy
-    aggs = [F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")]
-    for i, p in enumerate(probs):
-        aggs.append(F.percentile_approx("_x", [max(0.0, p - delta), min(1.0, p + delta)], accuracy).alias(f"_b{i}"))
-    groups = base.groupBy(*by).agg(*aggs)
+    groups = base.groupBy(*by).agg(*_bracket_aggs(probs, accuracy))
     per_p = [groups.select(*by, "_n", F.lit(float(p)).alias("p"),
                            F.when(F.col("_n") < small, F.col("_min")).otherwise(F.col(f"_b{i}")[0]).alias("_lo"),
                            F.when(F.col("_n") < small, F.col("_max")).otherwise(F.col(f"_b{i}")[1]).alias("_hi"))
@@ -38,30 +33,74 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     brackets = per_p[0]
     for b in per_p[1:]:
         brackets = brackets.unionByName(b)
-    brackets = brackets.withColumns({
-        "_h": (F.col("_n") - 1) * F.col("p"),
-    }).withColumns({"_k1": F.floor("_h")}).withColumn(
-        "_k2", F.least(F.col("_k1") + 1, F.col("_n") - 1))
-
+    brackets = brackets.withColumn("_h", (F.col("_n") - 1) * F.col("p")).withColumn("_k1", F.floor("_h"))
+    brackets = brackets.withColumn("_k2", F.least(F.col("_k1") + 1, F.col("_n") - 1))
     key = by + ["p"]
-    br = brackets.select(*key, "_lo", "_hi")
-    j = base.join(F.broadcast(br) if keyless else br, on=by, how="inner")
+    j = base.join(brackets.select(*key, "_lo", "_hi"), on=by, how="inner")
     below = j.where(F.col("_x") < F.col("_lo")).groupBy(*key).agg(F.count(F.lit(1)).alias("_below"))
     mid = (j.where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
              .groupBy(*key, "_x").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*key).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mid = mid.withColumn("_cum", F.sum("_c").over(w))
     stats = (mid.join(brackets.select(*key, "_h", "_k1", "_k2"), on=key)
                 .join(below, on=key, how="left")
-                .withColumn("_below", F.coalesce("_below", F.lit(0)))
-                .withColumns({"_end": F.col("_below") + F.col("_cum"),
-                              "_start": F.col("_below") + F.col("_cum") - F.col("_c")}))
+                .withColumn("_below", F.coalesce("_below", F.lit(0))))
+    return _pick(stats, key)
+
+
+def _bracket_aggs(probs, accuracy):
+    delta = 4.0 / accuracy
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")]
+    for i, p in enumerate(probs):
+        aggs.append(F.percentile_approx("_x", [max(0.0, p - delta), min(1.0, p + delta)], accuracy).alias(f"_b{i}"))
+    return aggs
+
+
+def _pick(stats: DataFrame, key: list) -> DataFrame:
+    """Order statistics k1, k2 from per-value counts and interpolation."""
+    w = Window.partitionBy(*key).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stats = stats.withColumn("_cum", F.sum("_c").over(w)).withColumns({
+        "_end": F.col("_below") + F.col("_cum"),
+        "_start": F.col("_below") + F.col("_cum") - F.col("_c")})
     pick = stats.groupBy(*key).agg(
         F.first("_h").alias("_h"), F.first("_k1").alias("_k1"),
         F.min(F.when((F.col("_start") <= F.col("_k1")) & (F.col("_k1") < F.col("_end")), F.col("_x"))).alias("_v1"),
         F.min(F.when((F.col("_start") <= F.col("_k2")) & (F.col("_k2") < F.col("_end")), F.col("_x"))).alias("_v2"))
-    out_key = ["p"] if keyless else key
-    return pick.select(*out_key, (F.col("_v1") + (F.col("_h") - F.col("_k1")) * (F.col("_v2") - F.col("_v1"))).alias("q"))
+    return pick.select(*key, (F.col("_v1") + (F.col("_h") - F.col("_k1")) * (F.col("_v2") - F.col("_v1"))).alias("q"))
+
+
+def _exact_quantiles_global(df: DataFrame, value: str, probs, accuracy, small) -> DataFrame:
+    """Whole-column case: the brackets are one row per probability, so they
+    become literals (no join against a constant key)."""
+    base = df.select(F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    g = base.agg(*_bracket_aggs(probs, accuracy)).first()
+    n = g["_n"]
+    if not n:
+        return df.sparkSession.createDataFrame([], "p double, q double")
+    parts = []
+    for i, p in enumerate(probs):
+        lo, hi = (g["_min"], g["_max"]) if n < small else (g[f"_b{i}"][0], g[f"_b{i}"][1])
+        h = (n - 1) * p
+        k1 = int(h // 1)
+        k2 = min(k1 + 1, n - 1)
+        mid = (base.where((F.col("_x") >= F.lit(lo)) & (F.col("_x") <= F.lit(hi)))
+                   .groupBy("_x").agg(F.count(F.lit(1)).alias("_c")))
+        parts.append(mid.withColumns({"p": F.lit(float(p)), "_h": F.lit(float(h)), "_k1": F.lit(k1),
+                                      "_k2": F.lit(k2), "_lo": F.lit(lo)}))
+    stats = parts[0]
+    for part in parts[1:]:
+        stats = stats.unionByName(part)
+    belows = base.agg(*[F.sum(F.when(F.col("_x") < F.lit(r), 1).otherwise(0)).alias(f"_bl{i}")
+                        for i, r in enumerate(_los(g, probs, n, small))]).first()
+    below_col = None
+    for i, p in enumerate(probs):
+        v = F.lit(int(belows[f"_bl{i}"] or 0))
+        below_col = F.when(F.col("p") == F.lit(float(p)), v) if below_col is None else below_col.when(
+            F.col("p") == F.lit(float(p)), v)
+    stats = stats.withColumn("_below", below_col).drop("_lo")
+    return _pick(stats, ["p"])
+
+
+def _los(g, probs, n, small):
+    return [g["_min"] if n < small else g[f"_b{i}"][0] for i in range(len(probs))]
 
 
 def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:

@@ -126,3 +126,13 @@ def test_exact_quantiles_match_numpy_with_ties(spark):
 
 def test_fixture_config_is_half_open_window():
     assert FIXTURE_CONFIG.follow_up_start < FIXTURE_CONFIG.follow_up_end
+
+
+def test_exact_quantiles_global_match_numpy(spark):
+    rng = np.random.default_rng(2)
+    vals = np.concatenate([np.zeros(300), rng.exponential(size=700).round(3)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    for small in (10, 10_000):
+        got = {r.p: r.q for r in exact_quantiles(df, "x", [0.0001, 0.5, 0.9, 0.9999], small=small, accuracy=200).collect()}
+        for p in (0.0001, 0.5, 0.9, 0.9999):
+            assert abs(got[p] - np.quantile(vals, p)) < 1e-9
