@@ -1,0 +1,8 @@
+"""Streaming.
+
+The study this library rebuilds reads only bounded tables: no stream,
+watermark, window-over-time or stateful operator occurs in it (SURVEY 2.12),
+so there is no streaming operator here.  Every operator is a batch
+DataFrame function; a stage table can be produced by any Spark job,
+including a Structured Streaming ``foreachBatch`` sink, without changes.
+"""
