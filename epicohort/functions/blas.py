@@ -1,0 +1,37 @@
+"""Keep the driver's small k x k linear algebra single-threaded.
+
+OpenBLAS starts a thread pool per process; in a driver whose cores are busy
+with Spark's JVM threads it can stall inside LAPACK calls on matrices of a
+few hundred rows.  The model matrices here are small, so one thread is
+enough; this calls OpenBLAS's own ``set_num_threads`` entry point."""
+
+from __future__ import annotations
+
+import ctypes
+import glob
+import os
+
+_DONE = False
+
+
+def single_thread_blas() -> bool:
+    global _DONE
+    if _DONE:
+        return True
+    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+    import numpy as np
+    roots = [os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs"), os.path.dirname(np.__file__)]
+    for root in roots:
+        for path in glob.glob(os.path.join(root, "*openblas*")):
+            try:
+                lib = ctypes.CDLL(path)
+            except OSError:
+                continue
+            for sym in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_",
+                        "openblas_set_num_threads", "scipy_openblas_set_num_threads"):
+                fn = getattr(lib, sym, None)
+                if fn is not None:
+                    fn(1)
+                    _DONE = True
+                    return True
+    return False

@@ -25,6 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epicohort.functions.blas import single_thread_blas
 from epicohort.operators.quantiles import quantile_values
 
 Z975 = 1.959963984540054
@@ -289,6 +290,7 @@ def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str]
     xty = vec[k * k:k * k + k]
     yy, n, n_groups = vec[-3], int(vec[-2]), int(vec[-1])
 
+    single_thread_blas()
     keep = _independent_columns(xtx)
     beta = np.full(k, np.nan)
     bread = np.zeros((k, k))

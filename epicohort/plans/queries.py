@@ -731,16 +731,23 @@ def q_fe_balanced(spark, sf_dir):
     return rounded(df)
 
 
-def main_fit(spark, sf_dir, y: str = "pay_deflated", subset=None, interact=None, label: str = "main"):
-    """M1 M2: outcome ~ six-month bins (ref 0) + ns(age, 5) | person + month, clustered by person."""
+def main_fit(spark, sf_dir, y: str = "pay_deflated", subset=None, interact=None, label: str = "main",
+             transform=None, ref=0, controls=(), month: str = "month_label", spline: bool = True):
+    """M1 M2: outcome ~ six-month bins (reference ``ref``) + ns(age, 5) + controls
+    | person + month, clustered by person."""
     from epicohort.operators.fe import fe_event_study, natural_spline_knots, natural_spline_terms
     df = study(spark, sf_dir).combined
+    if transform is not None:
+        df = transform(df)
     if subset is not None:
         df = df.where(subset)
-    knots = natural_spline_knots(df, "age_monthly")
-    df = df.withColumns(natural_spline_terms(F.col("age_monthly"), knots, "age_ns"))
-    return fe_event_study(df, y, {"t_treatment_6_month": 0}, [f"age_ns{i}" for i in range(1, 6)],
-                          interact=interact, label=label)
+    numeric = list(controls)
+    if spline:
+        knots = natural_spline_knots(df, "age_monthly")
+        df = df.withColumns(natural_spline_terms(F.col("age_monthly"), knots, "age_ns"))
+        numeric = [f"age_ns{i}" for i in range(1, 6)] + numeric
+    return fe_event_study(df, y, {"t_treatment_6_month": ref}, numeric, interact=interact, label=label,
+                          month=month)
 
 
 @register("fe_event_study")
@@ -973,3 +980,47 @@ def q_describe_age(spark, sf_dir):
     """A4: min, max, mean and sample sd of age at the index event."""
     from epicohort.operators.describe import describe_num
     return rounded(describe_num(study(spark, sf_dir).exposed_linked, "age_at_operation"))
+
+
+@register("fe_lr_test")
+def q_fe_lr_test(spark, sf_dir):
+    """M5: likelihood-ratio test of the age spline (bins only vs bins + spline), with AIC/BIC."""
+    from epicohort.operators.fe import lr_test
+    full = main_fit(spark, sf_dir)
+    restricted = main_fit(spark, sf_dir, spline=False, label="no_spline")
+    t = lr_test(restricted, full)
+    rows = [("lr_statistic", float(t["statistic"])), ("lr_df", float(t["df"])), ("lr_p_value", float(t["p_value"])),
+            ("aic_full", full.aic()), ("aic_restricted", restricted.aic()),
+            ("bic_full", full.bic()), ("bic_restricted", restricted.bic())]
+    return spark.createDataFrame(rows, "stat string, value double")
+
+
+@register("fe_with_births")
+def q_fe_with_births(spark, sf_dir):
+    """Main model with recent-birth controls."""
+    return main_fit(spark, sf_dir, controls=("birth_in_1yr", "birth_in_5yr"), label="births").tidy(spark)
+
+
+@register("fe_factor_month")
+def q_fe_factor_month(spark, sf_dir):
+    """M8: bins x sex interaction with sex-specific month effects absorbed."""
+    def tr(df):
+        return df.withColumn("sex_month", F.concat_ws("|", "census_sex", "month_label"))
+    return main_fit(spark, sf_dir, transform=tr, month="sex_month",
+                    interact=("t_treatment_6_month", "census_sex"), label="sex_month").tidy(spark)
+
+
+@register("sensitivity")
+def q_sensitivity(spark, sf_dir):
+    """Baseline 12 / 24 months, unexposed moved to bin -1 as
+    reference, months from index 72 dropped; estimates side by side."""
+    fits = {
+        "main": main_fit(spark, sf_dir),
+        "baseline_12m": main_fit(spark, sf_dir, transform=lambda d: P.rebase(d, merge_bins=(-1,))),
+        "baseline_24m": main_fit(spark, sf_dir, transform=lambda d: P.rebase(d, merge_bins=(-1, -2, -3))),
+        "unexposed_ref_-1": main_fit(spark, sf_dir, ref=-1,
+                                     transform=lambda d: P.rebase(d, merge_bins=(), unexposed_bin=-1)),
+        "before_month_72": main_fit(spark, sf_dir, subset=F.col("month_num") < 72),
+    }
+    from epicohort.operators.report import compare_models
+    return compare_models({k: v.tidy(spark) for k, v in fits.items()})
