@@ -758,11 +758,14 @@ def q_fe_event_study(spark, sf_dir):
 
 @register("fe_suite")
 def q_fe_suite(spark, sf_dir):
-    """Pay, pay in work and employment (x100) fits side by side."""
+    """Pay, pay in work, employment (x100) and log pay in work
+    (exp(b) - 1, percent) fits side by side."""
     from epicohort.operators.report import compare_models
     fits = {"pay": main_fit(spark, sf_dir).tidy(spark),
             "pay_in_work": main_fit(spark, sf_dir, subset=F.col("in_work") == 1).tidy(spark),
-            "employment": main_fit(spark, sf_dir, y="in_work").tidy(spark, scale="percent")}
+            "employment": main_fit(spark, sf_dir, y="in_work").tidy(spark, scale="percent"),
+            "log_pay_in_work": main_fit(spark, sf_dir, y="log_pay", subset=F.col("in_work") == 1).tidy(
+                spark, scale="log")}
     return compare_models(fits)
 
 
@@ -1024,3 +1027,11 @@ def q_sensitivity(spark, sf_dir):
     }
     from epicohort.operators.report import compare_models
     return compare_models({k: v.tidy(spark) for k, v in fits.items()})
+
+
+@register("procedure_type_counts", oracle("""
+SELECT operation_type, CAST(count(*) AS BIGINT) AS n FROM exposed GROUP BY operation_type""", FLAGGED))
+def q_procedure_type_counts(spark, sf_dir):
+    """Index events per procedure type, largest first."""
+    from epicohort.operators.describe import count_by
+    return count_by(study(spark, sf_dir).exposed, ["operation_type"]).orderBy(F.desc("n"), "operation_type")
