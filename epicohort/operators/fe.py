@@ -5,12 +5,20 @@ errors clustered by person.
 
 The person effect is absorbed by demeaning within person; month effects
 enter as explicit dummies (first level dropped), which by Frisch-Waugh is the
-full two-way dummy regression.  Spark repartitions the rows by person and
-sorts them; one ``mapInPandas`` pass demeans each whole person and adds the
-partition's rows to X'X, X'y and y'y; the per-partition sums are reduced by
-a Spark aggregate.  Only the k x k system is solved on the driver.  A second
-pass with the coefficients broadcast forms the residuals and each person's
-score vector and adds their outer products (the clustered "meat").
+full two-way dummy regression.  Everything comes from sufficient
+statistics, so no person's rows are ever gathered in one task:
+
+* pass 1 (rows, any partitioning, ``mapInPandas``): Z'Z for z = [x, y] and
+  per-person sums S_i; person partials (at most a few per task) are summed
+  by a grouped aggregate.  The within-person Gram is Z'Z - sum_i S_i S_i'/n_i
+  (pass 2, one row per person).
+* the k x k system is solved on the driver;
+* pass 3 (rows, coefficients broadcast): per-person sums of x r with
+  r = y - x b, and sum r^2; pass 4 (one row per person): cluster score
+  s_i = sum_t x_it r_it - S_x,i (S_y,i - S_x,i b) / n_i, meat = sum s_i s_i',
+  RSS = sum r^2 - sum_i (S_y,i - S_x,i b)^2 / n_i.
+
+A person holding a third of all rows costs one partial vector per task.
 """
 
 from __future__ import annotations
@@ -142,34 +150,80 @@ class Design:
         return np.column_stack(cols) if cols else np.zeros((len(pdf), 0))
 
 
-def _person_blocks(batches, id_col: str):
-    """Yield pandas frames holding whole persons from a partition sorted by id
-    (the last person of a batch is carried into the next one)."""
-    carry = None
+FLUSH_PERSONS = 50000  # per-task bound on persons held in the partial-sum dict
+
+
+def _group_sum(ids: np.ndarray, vec: np.ndarray, cnt: np.ndarray | None = None):
+    """(unique ids, row counts, summed rows) by sort + reduceat (vectorised)."""
+    codes, uniq = pd.factorize(ids)
+    order = np.argsort(codes, kind="stable")
+    sc = codes[order]
+    starts = np.flatnonzero(np.r_[True, sc[1:] != sc[:-1]])
+    sums = np.add.reduceat(vec[order], starts, axis=0)
+    n = np.add.reduceat((cnt if cnt is not None else np.ones(len(ids), dtype=np.int64))[order], starts)
+    return uniq[sc[starts]], n, sums
+
+
+def _partial_person_sums(batches, person: str, build):
+    """Per task: sum the rows' vectors per person across Arrow batches, kept
+    compact and flushed every FLUSH_PERSONS persons, so a person contributes
+    at most a few partial vectors per task however many rows it has."""
+    ids, cnts, sums, held = [], [], [], 0
     for pdf in batches:
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
         if len(pdf) == 0:
             continue
-        last = pdf[id_col].iloc[-1]
-        tail = (pdf[id_col] == last).to_numpy()
-        carry = pdf[tail]
-        head = pdf[~tail]
-        if len(head):
-            yield head
-    if carry is not None and len(carry):
-        yield carry
-
-
-def _demean(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Subtract group means (codes are 0..G-1 group indices)."""
-    g = codes.max() + 1 if len(codes) else 0
-    cnt = np.bincount(codes, minlength=g).astype(np.float64)
-    if x.ndim == 1:
-        return x - (np.bincount(codes, weights=x, minlength=g) / cnt)[codes]
-    sums = np.zeros((g, x.shape[1]))
-    np.add.at(sums, codes, x)
-    return x - (sums / cnt[:, None])[codes]
+        vec, extra = build(pdf)
+        u, n, sm = _group_sum(pdf[person].to_numpy(), vec)
+        ids.append(np.asarray(u, dtype=object))
+        cnts.append(n)
+        sums.append(sm)
+        held += len(u)
+        yield extra
+        if held >= FLUSH_PERSONS:
+            u, n, sm = _group_sum(np.concatenate(ids), np.vstack(sums), np.concatenate(cnts))
+            ids, cnts, sums, held = [np.asarray(u, dtype=object)], [n], [sm], len(u)
+            if held >= FLUSH_PERSONS:
+                yield (u, n, sm)
+                ids, cnts, sums, held = [], [], [], 0
+    if ids:
+        yield _group_sum(np.concatenate(ids), np.vstack(sums), np.concatenate(cnts))
+
+
+def _emit(parts, k_total: int):
+    """Turn pass output (global partial vectors and per-person partial sums)
+    into rows of one schema: kind 0 = global entry (i, v), kind 1 = person partial."""
+    glob = np.zeros(k_total)
+    for part in parts:
+        if isinstance(part, tuple):
+            u, n, sm = part
+            yield pd.DataFrame({"kind": np.ones(len(u), dtype=np.int32), "pid": list(u),
+                                "n": n.astype(np.int64), "i": np.zeros(len(u), dtype=np.int64),
+                                "v": np.zeros(len(u)), "s": list(sm)})
+        elif part is not None:
+            glob += part
+    yield pd.DataFrame({"kind": np.zeros(k_total, dtype=np.int32), "pid": [None] * k_total,
+                        "n": np.zeros(k_total, dtype=np.int64), "i": np.arange(k_total, dtype=np.int64),
+                        "v": glob, "s": [None] * k_total})
+
+
+PASS_SCHEMA = "kind int, pid string, n long, i long, v double, s array<double>"
+
+
+def _reduce_people(rows: DataFrame, width: int) -> DataFrame:
+    """Sum person partial vectors: partials per person are bounded by the
+    number of tasks, and collect_list is aggregated map-side."""
+    zero = F.array_repeat(F.lit(0.0), width)
+    people = (rows.where(F.col("kind") == 1).groupBy("pid")
+                  .agg(F.sum("n").alias("n"), F.collect_list("s").alias("_ss")))
+    return people.select("pid", "n", F.aggregate("_ss", zero, lambda acc, x: F.zip_with(
+        acc, x, lambda a, b: a + b)).alias("s"))
+
+
+def _global(rows: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    for r in rows.where(F.col("kind") == 0).groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
 
 
 @dataclass
@@ -261,34 +315,45 @@ def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str]
         by_levels = _levels(data, by)
         design.interact, design.interact_with, design.interact_levels = by, f, by_levels[1:]
     k = len(design.terms)
-    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prepared = (data.repartition(nparts, person).sortWithinPartitions(person)
-                    .persist(StorageLevel.MEMORY_AND_DISK))
-
-    def gram(batches):
-        xtx = np.zeros((k, k))
-        xty = np.zeros(k)
-        yy, n, g = 0.0, 0, 0
-        for pdf in _person_blocks(batches, person):
-            codes = pd.factorize(pdf[person])[0]
-            x = _demean(design.matrix(pdf), codes)
-            yv = _demean(pdf[y].astype(np.float64).to_numpy(), codes)
-            xtx += x.T @ x
-            xty += x.T @ yv
-            yy += float(yv @ yv)
-            n += len(pdf)
-            g += int(codes.max()) + 1
-        vec = np.concatenate([xtx.ravel(), xty, [yy, n, g]])
+    kz = k + 1
+    if partitions:  # optional round-robin spread (a person's rows then sit in many tasks)
+        data = data.repartition(partitions)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+
+    # Pass 1 (rows in any partitioning): raw Z'Z with z = [x, y] and per-person
+    # sums S_i of z.  The within-person Gram is Z'Z - sum_i S_i S_i' / n_i.
+    def pass1(batches):
+        def build(pdf):
+            z = np.column_stack([design.matrix(pdf), pdf[y].astype(np.float64).to_numpy()])
+            return z, (z.T @ z).ravel()
+        yield from _emit(_partial_person_sums(batches, person, build), kz * kz)
+
+    rows1 = data.select(F.col(person).cast("string").alias(person), *[c for c in data.columns if c != person]) \
+        .mapInPandas(pass1, PASS_SCHEMA)
+    rows1 = rows1.persist(StorageLevel.MEMORY_AND_DISK)
+    zz = _global(rows1, kz * kz).reshape(kz, kz)
+    people = _reduce_people(rows1, kz).persist(StorageLevel.MEMORY_AND_DISK)
+
+    # Pass 2 (one row per person): the between-person correction.
+    def pass2(batches):
+        c = np.zeros((kz, kz))
+        g, rows = 0, 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            sm = np.array(pdf["s"].tolist(), dtype=np.float64)
+            c += (sm / pdf["n"].to_numpy(np.float64)[:, None]).T @ sm
+            g += len(pdf)
+            rows += int(pdf["n"].sum())
+        vec = np.concatenate([c.ravel(), [g, rows]])
         yield pd.DataFrame({"i": np.arange(len(vec), dtype=np.int64), "v": vec})
 
-    sums = (prepared.mapInPandas(gram, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
-                    .collect())
-    vec = np.zeros(k * k + k + 3)
-    for r in sums:
-        vec[r["i"]] = r["v"]
-    xtx = vec[:k * k].reshape(k, k)
-    xty = vec[k * k:k * k + k]
-    yy, n, n_groups = vec[-3], int(vec[-2]), int(vec[-1])
+    corr = np.zeros(kz * kz + 2)
+    for r in people.mapInPandas(pass2, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        corr[r["i"]] = r["v"]
+    n_groups, n = int(corr[-2]), int(corr[-1])
+    zt = zz - corr[:-2].reshape(kz, kz)
+    xtx, xty, yy = zt[:k, :k], zt[:k, k], zt[k, k]
 
     single_thread_blas()
     keep = _independent_columns(xtx)
@@ -301,29 +366,45 @@ def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str]
         bread[np.ix_(keep, keep)] = inv
     b_use = np.nan_to_num(beta)
 
-    def meat(batches):
+    # Pass 3 (rows): r = y - x b; per-person sums of x r and the global sum of r^2.
+    def pass3(batches):
+        def build(pdf):
+            x = design.matrix(pdf)
+            r = pdf[y].astype(np.float64).to_numpy() - x @ b_use
+            return x * r[:, None], np.array([float(r @ r)])
+        yield from _emit(_partial_person_sums(batches, person, build), 1)
+
+    rows3 = data.select(F.col(person).cast("string").alias(person), *[c for c in data.columns if c != person]) \
+        .mapInPandas(pass3, PASS_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+    rr = _global(rows3, 1)[0]
+    xr = _reduce_people(rows3, k).withColumnRenamed("s", "xr").drop("n")
+
+    # Pass 4 (one row per person): score s_i = sum_t x~ e = XR_i - S_x,i * Sr_i / n_i
+    # with Sr_i = S_y,i - S_x,i b; meat = sum_i s_i s_i'; RSS = sum r^2 - sum Sr_i^2 / n_i.
+    def pass4(batches):
         m = np.zeros((k, k))
-        rss = 0.0
-        for pdf in _person_blocks(batches, person):
-            codes = pd.factorize(pdf[person])[0]
-            x = _demean(design.matrix(pdf), codes)
-            yv = _demean(pdf[y].astype(np.float64).to_numpy(), codes)
-            e = yv - x @ b_use
-            rss += float(e @ e)
-            g = codes.max() + 1
-            s = np.zeros((g, k))
-            np.add.at(s, codes, x * e[:, None])
-            m += s.T @ s
-        vec = np.concatenate([m.ravel(), [rss]])
+        between = 0.0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            sm = np.array(pdf["s"].tolist(), dtype=np.float64)
+            xrm = np.array(pdf["xr"].tolist(), dtype=np.float64)
+            nn = pdf["n"].to_numpy(np.float64)
+            sr = sm[:, k] - sm[:, :k] @ b_use
+            sc = xrm - sm[:, :k] * (sr / nn)[:, None]
+            m += sc.T @ sc
+            between += float(np.sum(sr * sr / nn))
+        vec = np.concatenate([m.ravel(), [between]])
         yield pd.DataFrame({"i": np.arange(len(vec), dtype=np.int64), "v": vec})
 
-    msums = prepared.mapInPandas(meat, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    prepared.unpersist()
     mv = np.zeros(k * k + 1)
-    for r in msums:
+    for r in (people.join(xr, "pid").mapInPandas(pass4, "i long, v double")
+                    .groupBy("i").agg(F.sum("v").alias("v")).collect()):
         mv[r["i"]] = r["v"]
+    for f in (rows1, rows3, people, data):
+        f.unpersist()
     meat_m = mv[:k * k].reshape(k, k)
-    rss = mv[-1]
+    rss = rr - mv[-1]
     cov = bread @ meat_m @ bread
     kk = len(keep)
     if small_sample and n_groups > 1 and n > kk:
