@@ -164,7 +164,7 @@ def _group_sum(ids: np.ndarray, vec: np.ndarray, cnt: np.ndarray | None = None):
     return uniq[sc[starts]], n, sums
 
 
-def _partial_person_sums(batches, person: str, build):
+def _partial_person_sums(batches, person: str, build, flush: int = FLUSH_PERSONS):
     """Per task: sum the rows' vectors per person across Arrow batches, kept
     compact and flushed every FLUSH_PERSONS persons, so a person contributes
     at most a few partial vectors per task however many rows it has."""
@@ -179,10 +179,10 @@ def _partial_person_sums(batches, person: str, build):
         sums.append(sm)
         held += len(u)
         yield extra
-        if held >= FLUSH_PERSONS:
+        if held >= flush:
             u, n, sm = _group_sum(np.concatenate(ids), np.vstack(sums), np.concatenate(cnts))
             ids, cnts, sums, held = [np.asarray(u, dtype=object)], [n], [sm], len(u)
-            if held >= FLUSH_PERSONS:
+            if held >= flush:
                 yield (u, n, sm)
                 ids, cnts, sums, held = [], [], [], 0
     if ids:
@@ -298,7 +298,7 @@ def _levels(df: DataFrame, col: str) -> list:
 def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str] = (),
                    person: str = "census_id_final", month: str | None = "month_label",
                    interact: tuple | None = None, partitions: int | None = None,
-                   small_sample: bool = True, label: str = "") -> FEResult:
+                   small_sample: bool = True, label: str = "", flush_persons: int = FLUSH_PERSONS) -> FEResult:
     """M1 (+M3, M7 via ``interact=(factor, by)``).
 
     factors: {column: reference level}; numeric: ready numeric columns."""
@@ -326,7 +326,7 @@ def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str]
         def build(pdf):
             z = np.column_stack([design.matrix(pdf), pdf[y].astype(np.float64).to_numpy()])
             return z, (z.T @ z).ravel()
-        yield from _emit(_partial_person_sums(batches, person, build), kz * kz)
+        yield from _emit(_partial_person_sums(batches, person, build, flush_persons), kz * kz)
 
     rows1 = data.select(F.col(person).cast("string").alias(person), *[c for c in data.columns if c != person]) \
         .mapInPandas(pass1, PASS_SCHEMA)
@@ -372,7 +372,7 @@ def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str]
             x = design.matrix(pdf)
             r = pdf[y].astype(np.float64).to_numpy() - x @ b_use
             return x * r[:, None], np.array([float(r @ r)])
-        yield from _emit(_partial_person_sums(batches, person, build), 1)
+        yield from _emit(_partial_person_sums(batches, person, build, flush_persons), 1)
 
     rows3 = data.select(F.col(person).cast("string").alias(person), *[c for c in data.columns if c != person]) \
         .mapInPandas(pass3, PASS_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)

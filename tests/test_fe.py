@@ -42,11 +42,10 @@ def test_fe_matches_dummy_regression(spark):
     assert abs(se["bin1"] - want_se[0]) < 1e-8 and abs(se["x"] - want_se[1]) < 1e-8
 
 
-def test_fe_hot_person_spread_over_tasks(spark, monkeypatch):
+def test_fe_hot_person_spread_over_tasks(spark):
     """One person holds most rows and sits in every task; partial sums are
     flushed after two persons, so every code path of the reduction runs."""
     import epicohort.operators.fe as FE
-    monkeypatch.setattr(FE, "FLUSH_PERSONS", 2)
     rng = np.random.default_rng(5)
     rows = []
     for p in range(12):
@@ -57,7 +56,7 @@ def test_fe_hot_person_spread_over_tasks(spark, monkeypatch):
             rows.append((f"p{p:02d}", f"m{t % 6}", b, x, 1.5 * b - 0.7 * x + p * 0.3 + rng.normal()))
     pdf = pd.DataFrame(rows, columns=["pid", "month", "bin", "x", "y"])
     res = FE.fe_event_study(spark.createDataFrame(pdf), "y", {"bin": 0}, ["x"], person="pid", month="month",
-                            small_sample=False, partitions=7)
+                            small_sample=False, partitions=7, flush_persons=2)
     want_b, want_se = _numpy_fit(pdf)
     got = dict(zip(res.terms, res.estimate))
     se = dict(zip(res.terms, res.std_error()))
