@@ -507,7 +507,7 @@ def _analysis_ctes(x: str, treated: bool) -> str:
 {x}_an1 AS (
   SELECT a.*, greatest(t_treatment_year, 0) AS t_treatment_year_baseline,
          greatest(t_treatment_6_month, 0) AS t_treatment_6_month_baseline,
-         month(month) AS cal_month, CAST(ceil(month_num / 6.0) AS BIGINT) AS six_month_num,
+         CAST(month(month) AS INTEGER) AS cal_month, CAST(ceil(month_num / 6.0) AS BIGINT) AS six_month_num,
          CASE WHEN pay > 0 THEN 1 ELSE 0 END AS in_work,
          CASE WHEN pay > q.q THEN q.q ELSE pay END AS pay_winsor
   FROM {x}_an0 a, (SELECT quantile_cont(pay, 0.9999) AS q FROM {x}_an0) q),
@@ -825,7 +825,7 @@ def _series_keys_sql(src: str, keys: str, where: str = "TRUE") -> str:
     return _series_sql(f"(SELECT * FROM {src} WHERE {where}) s", keys)
 
 
-CAL = f"{G.month_no('ref_date')} - {G.month_no(G.d(CFG.origin))}"
+CAL = f"CAST({G.month_no('ref_date')} - {G.month_no(G.d(CFG.origin))} AS INTEGER)"
 
 
 @register("calendar_series", oracle(f"""

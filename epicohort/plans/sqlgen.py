@@ -33,8 +33,8 @@ def month_no(x: str) -> str:
 
 
 def age(day: str, dob: str) -> str:
-    return (f"(year({day}) - year({dob}) - CASE WHEN strftime({day}, '%m-%d') < strftime({dob}, '%m-%d') "
-            f"THEN 1 ELSE 0 END)")
+    return (f"CAST(year({day}) - year({dob}) - CASE WHEN strftime({day}, '%m-%d') < strftime({dob}, '%m-%d') "
+            f"THEN 1 ELSE 0 END AS INTEGER)")
 
 
 def label(x: str) -> str:
