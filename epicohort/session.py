@@ -41,6 +41,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: stage tables need a folder every executor "
+                           "shares (e.g. HDFS or an object store); a machine-local folder would not survive "
+                           "executor loss")
     path = tempfile.mkdtemp(prefix="epicohort-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -136,3 +136,50 @@ def test_exact_quantiles_global_match_numpy(spark):
         got = {r.p: r.q for r in exact_quantiles(df, "x", [0.0001, 0.5, 0.9, 0.9999], small=small, accuracy=200).collect()}
         for p in (0.0001, 0.5, 0.9, 0.9999):
             assert abs(got[p] - np.quantile(vals, p)) < 1e-9
+
+
+def test_death_censoring_on_month_end(spark):
+    from epicohort.operators.panel import build_panel
+    cfg = FIXTURE_CONFIG.with_(spine_start=D(1998, 1, 1), spine_end=D(1998, 4, 1), panel_age=(0, 200))
+    df = spark.createDataFrame([("a", D(1998, 1, 10), D(1960, 1, 1), D(1998, 2, 28)),
+                                ("b", D(1998, 1, 10), D(1960, 1, 1), D(1998, 3, 1))],
+                               "census_id_final string, op_date date, prov_dob date, dod date")
+    got = {(r.census_id_final, r.ref_date) for r in build_panel(df, cfg).collect()}
+    assert ("a", D(1998, 2, 28)) not in got and ("a", D(1998, 1, 31)) in got
+    assert ("b", D(1998, 2, 28)) in got and ("b", D(1998, 3, 31)) not in got
+
+
+def test_crosswalk_fans_out_one_to_two(spark):
+    from epicohort.operators.link import crosswalk
+    df = spark.createDataFrame([("p", 0, "X21"), ("q", 1, "Y11")], "census_id_final string, census_id_flag int, lsoa_census string")
+    xw = spark.createDataFrame([("A11", "X21"), ("B11", "X21"), ("Y11", "Y21")], "LSOA11CD string, LSOA21CD string")
+    got = sorted((r.census_id_final, r.lsoa_census) for r in crosswalk(df, xw).collect())
+    assert got == [("p", "A11"), ("p", "B11"), ("q", "Y11")]
+
+
+def test_all_zero_pay_group_has_null_in_work_measures(spark):
+    from epicohort.operators.describe import pay_summary
+    df = spark.createDataFrame([("g", 0.0, 0), ("g", 0.0, 0), ("h", 5.0, 1)], "grp string, pay double, in_work int")
+    r = {x.grp: x for x in pay_summary(df, ["grp"], deflated=None).collect()}
+    assert r["g"].average_monthly_pay_in_work is None and r["g"].median_monthly_pay_in_work is None
+    assert r["g"].prop_in_work == 0.0 and r["h"].median_monthly_pay == 5.0
+
+
+def test_short_stratum_raises_when_checked(spark):
+    import pytest
+    pop = spark.createDataFrame([(f"m{i}", "M", "25-29") for i in range(9)],
+                                "census_id_final string, census_sex string, five_year_bands string")
+    targets = spark.createDataFrame([("M", "25-29", 10)], "census_sex string, five_year_bands string, n_wanted long")
+    with pytest.raises(ValueError):
+        stratified_sample(pop, targets, ["census_sex", "five_year_bands"], "7", check=True)
+
+
+def test_missing_stratum_leaves_others_unchanged(spark):
+    pop = spark.createDataFrame([(f"f{i}", "F", "25-29") for i in range(20)] + [(f"m{i}", "M", "30-34") for i in range(20)],
+                                "census_id_final string, census_sex string, five_year_bands string")
+    full = spark.createDataFrame([("F", "25-29", 5), ("M", "30-34", 5)], "census_sex string, five_year_bands string, n_wanted long")
+    part = spark.createDataFrame([("M", "30-34", 5)], "census_sex string, five_year_bands string, n_wanted long")
+    keys = ["census_sex", "five_year_bands"]
+    a = {r.census_id_final for r in stratified_sample(pop, full, keys, "3").where("census_sex = 'M'").collect()}
+    b = {r.census_id_final for r in stratified_sample(pop, part, keys, "3").collect()}
+    assert a == b and len(b) == 5
