@@ -1035,3 +1035,37 @@ def q_procedure_type_counts(spark, sf_dir):
     """Index events per procedure type, largest first."""
     from epicohort.operators.describe import count_by
     return count_by(study(spark, sf_dir).exposed, ["operation_type"]).orderBy(F.desc("n"), "operation_type")
+
+
+DESCR_U = """
+unexposed_desc AS (
+  SELECT p.*, CASE WHEN pay > 0 THEN 1 ELSE 0 END AS in_work, pay / f.cpih_deflator_2023 AS pay_deflated
+  FROM unexposed_sample_panel p LEFT JOIN deflator f ON f.month = CAST(month_label || '-01' AS DATE))"""
+
+
+def _cohort_side(src: str, tag: str) -> str:
+    return (f"SELECT CASE WHEN t_op < 0 THEN 'pre' ELSE 'post' END AS period, avg(pay_deflated) AS {tag}_mean_pay, "
+            f"avg(in_work) AS {tag}_prop_in_work, count(*) AS {tag}_n FROM {src} "
+            f"GROUP BY CASE WHEN t_op < 0 THEN 'pre' ELSE 'post' END")
+
+
+@register("cohort_compare", oracle(f"""
+SELECT coalesce(e.period, u.period) AS period, round(e.exposed_mean_pay, 4) AS exposed_mean_pay,
+       round(e.exposed_prop_in_work, 4) AS exposed_prop_in_work, CAST(e.exposed_n AS BIGINT) AS exposed_n,
+       round(u.unexposed_mean_pay, 4) AS unexposed_mean_pay, round(u.unexposed_prop_in_work, 4) AS unexposed_prop_in_work,
+       CAST(u.unexposed_n AS BIGINT) AS unexposed_n
+FROM ({_cohort_side('exposed_desc', 'exposed')}) e
+FULL OUTER JOIN ({_cohort_side('unexposed_desc', 'unexposed')}) u ON e.period = u.period""",
+                                    *FULL, DESCR_E, DESCR_U))
+def q_cohort_compare(spark, sf_dir):
+    """Exposed and matched unexposed pay before/after the (pseudo) event, full outer join by period."""
+    from epicohort.operators.link import deflate
+    from epicohort.operators.report import compare_tables
+    s = study(spark, sf_dir)
+
+    def side(panel, tag):
+        d = deflate(panel.withColumn("in_work", F.when(F.col("pay") > 0, 1).otherwise(0)), s.t.deflator, "pay")
+        return d.groupBy(F.when(F.col("t_op") < 0, "pre").otherwise("post").alias("period")).agg(
+            F.avg("pay_deflated").alias(f"{tag}_mean_pay"), F.avg("in_work").alias(f"{tag}_prop_in_work"),
+            F.count(F.lit(1)).alias(f"{tag}_n"))
+    return rounded(compare_tables(side(s.exposed_panel, "exposed"), side(s.unexposed_panel, "unexposed"), ["period"]))
