@@ -22,7 +22,7 @@ from epicohort.operators import panel as P
 from epicohort.operators import sample as S
 from epicohort.plans import sqlgen as G
 from epicohort.plans.study import STRATA, Study
-from epicohort.sources.fixtures import FixtureTables, oracle_ctes, register_driver_tables
+from epicohort.sources.fixtures import FixtureTables, oracle_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,9 +46,7 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STUDIES:
         _STUDIES[key] = Study(FixtureTables(spark, sf_dir), CFG)
-    s = _STUDIES[key]
-    register_driver_tables(spark, sf_dir)
-    return s
+    return _STUDIES[key]
 
 
 # Averages of cent amounts over a few rows often end exactly on a rounding

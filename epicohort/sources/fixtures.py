@@ -11,6 +11,8 @@ they only shape rows and do none of the study's work.
 
 from __future__ import annotations
 
+import re
+
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -231,11 +233,29 @@ FIXTURE_SQL = {
 }
 
 
-def register_driver_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Expose the driver's parquet files under their table names (column pruning
-    and filter pushdown still reach the scans through the views)."""
+def _suffix(sf_dir: str) -> str:
+    import hashlib
+    return hashlib.md5(sf_dir.encode()).hexdigest()[:10]
+
+
+def register_driver_tables(spark: SparkSession, sf_dir: str) -> dict:
+    """Expose the driver's parquet files as temp views named per input folder
+    (two studies over different folders never see each other's tables).
+    Column pruning and filter pushdown still reach the scans through the views."""
+    names = {}
     for name in DRIVER_TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        view = f"{name}_{_suffix(sf_dir)}"
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+        names[name] = view
+    return names
+
+
+_TABLE_RX = re.compile(r"\b(" + "|".join(DRIVER_TABLES) + r")\b")
+
+
+def bind_tables(sql: str, names: dict) -> str:
+    """Point the fixture SQL's table names at one folder's views."""
+    return _TABLE_RX.sub(lambda m: names[m.group(1)], sql)
 
 
 class FixtureTables:
@@ -244,10 +264,10 @@ class FixtureTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        register_driver_tables(spark, sf_dir)
+        self.names = register_driver_tables(spark, sf_dir)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.sql(FIXTURE_SQL[name])
+        return self.spark.sql(bind_tables(FIXTURE_SQL[name], self.names))
 
     def driver(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
