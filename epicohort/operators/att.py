@@ -5,8 +5,10 @@ the universal base period g-1 to period t with the same change among units
 not yet treated by max(t, g-1) (never-treated included).  With unbalanced
 panels allowed, each mean is over the observations present in that cell.
 Everything runs on the (group, period) cell table: one grouped pass over
-the panel, then joins on that small table.  Standard errors from the
-influence function are not computed here (counts are reported instead).
+the panel, then joins on that small table.  Person-clustered standard
+errors come from the influence functions of the four cell means
+(``att_standard_errors``); the reference's package draws a multiplier
+bootstrap instead, so intervals agree only approximately.
 """
 
 from __future__ import annotations
@@ -29,30 +31,97 @@ def six_month_panel(df: DataFrame, id_col: str = "census_id_final") -> DataFrame
     })
 
 
-def att_gt(df: DataFrame, y: str, t: str = "six_month_num", g: str = "treatment_group") -> DataFrame:
-    """(group, time, event_time, att, n_treated, n_control)."""
-    cells = df.where(F.col(y).isNotNull()).groupBy(F.col(g).alias("G"), F.col(t).alias("T")).agg(
+def _cells(df: DataFrame, y: str, t: str, g: str) -> DataFrame:
+    return df.where(F.col(y).isNotNull()).groupBy(F.col(g).alias("G"), F.col(t).alias("T")).agg(
         F.sum(y).alias("sy"), F.count(F.lit(1)).alias("n"))
+
+
+def att_gt(df: DataFrame, y: str, t: str = "six_month_num", g: str = "treatment_group") -> DataFrame:
+    """(group, time, event_time, att, n_treated, n_control) plus the cell
+    means and sizes the standard errors need (m_t, m_b, n_base, c_t, c_b, n_control_base)."""
+    cells = _cells(df, y, t, g)
     treated = cells.where(F.col("G") > 0)
     base = cells.select(F.col("G").alias("BG"), F.col("T").alias("B"), F.col("sy").alias("sy_b"),
                         F.col("n").alias("n_b"))
     tt = (treated.join(base, (F.col("BG") == F.col("G")) & (F.col("B") == F.col("G") - 1))
                  .select(F.col("G").alias("group"), F.col("T").alias("time"),
                          (F.col("sy") / F.col("n")).alias("m_t"), (F.col("sy_b") / F.col("n_b")).alias("m_b"),
-                         F.col("n").alias("n_treated")))
+                         F.col("n").alias("n_treated"), F.col("n_b").alias("n_base")))
     ctl = cells.select(F.col("G").alias("CG"), F.col("T").alias("CT"), F.col("sy").alias("csy"),
                        F.col("n").alias("cn"))
+    # not yet treated by max(t, g-1), never treated included, the cohort itself excluded
     limit = F.greatest(F.col("time"), F.col("group") - 1)
-    eligible = (F.col("CG") == 0) | (F.col("CG") > limit)
+    eligible = (F.col("CG") == 0) | ((F.col("CG") > limit) & (F.col("CG") != F.col("group")))
     c_t = (tt.join(ctl, (F.col("CT") == F.col("time")) & eligible)
              .groupBy("group", "time").agg((F.sum("csy") / F.sum("cn")).alias("c_t"),
                                            F.sum("cn").alias("n_control")))
     c_b = (tt.join(ctl, (F.col("CT") == F.col("group") - 1) & eligible)
-             .groupBy("group", "time").agg((F.sum("csy") / F.sum("cn")).alias("c_b")))
+             .groupBy("group", "time").agg((F.sum("csy") / F.sum("cn")).alias("c_b"),
+                                           F.sum("cn").alias("n_control_base")))
     out = tt.join(c_t, ["group", "time"]).join(c_b, ["group", "time"])
     return out.select("group", "time", (F.col("time") - F.col("group")).alias("event_time"),
                       ((F.col("m_t") - F.col("m_b")) - (F.col("c_t") - F.col("c_b"))).alias("att"),
-                      "n_treated", "n_control")
+                      "n_treated", "n_control", "m_t", "m_b", "n_base", "c_t", "c_b", "n_control_base")
+
+
+def att_standard_errors(df: DataFrame, att: DataFrame, y: str, id_col: str = "census_id_final",
+                        t: str = "six_month_num", g: str = "treatment_group") -> DataFrame:
+    """Person-clustered standard errors of ATT(g, t) from influence functions.
+
+    Each cell mean's influence is (y - mean) / n for its observations; a
+    person's influence on ATT(g, t) sums its observations in the four cells
+    (treated at t and g-1, eligible controls at t and g-1); the variance is
+    the sum of squared person influences.  Observations are first summed per
+    (person, period) (map-side combined), then one row per person carries at
+    most one entry per period; a ``mapInPandas`` pass adds each batch's
+    squared influences into one accumulator per (g, t) pair.  Nothing grows
+    with a person's row count."""
+    import numpy as np
+    import pandas as pd
+
+    pairs = [r.asDict() for r in att.select("group", "time", "m_t", "m_b", "n_treated", "n_base", "c_t", "c_b",
+                                            "n_control", "n_control_base").orderBy("group", "time").collect()]
+    if not pairs:
+        return att.sparkSession.createDataFrame([], "group long, time long, se double")
+    pp = df.where(F.col(y).isNotNull()).groupBy(F.col(id_col).alias("pid"), F.col(g).alias("G"),
+                                                  F.col(t).alias("T")).agg(F.sum(y).alias("S"),
+                                                                           F.count(F.lit(1)).alias("n"))
+    people = pp.groupBy("pid", "G").agg(F.collect_list(F.struct("T", "S", "n")).alias("obs"))
+    periods = sorted({p["time"] for p in pairs} | {p["group"] - 1 for p in pairs})
+    pos = {v: i for i, v in enumerate(periods)}
+    npair = len(pairs)
+
+    def run(batches):
+        acc = np.zeros(npair)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            m = len(pdf)
+            S = np.zeros((m, len(periods)))
+            N = np.zeros((m, len(periods)))
+            for j, obs in enumerate(pdf["obs"]):
+                for o in obs:
+                    k = pos.get(o["T"])
+                    if k is not None:
+                        S[j, k] += o["S"]
+                        N[j, k] += o["n"]
+            G = pdf["G"].to_numpy()
+            for q, p in enumerate(pairs):
+                gg, tt = p["group"], p["time"]
+                kt, kb = pos[tt], pos[gg - 1]
+                tr = G == gg
+                ct = (G == 0) | ((G > max(tt, gg - 1)) & (G != gg))
+                psi = np.where(tr, (S[:, kt] - N[:, kt] * p["m_t"]) / p["n_treated"]
+                               - (S[:, kb] - N[:, kb] * p["m_b"]) / p["n_base"], 0.0)
+                psi -= np.where(ct, (S[:, kt] - N[:, kt] * p["c_t"]) / p["n_control"]
+                                - (S[:, kb] - N[:, kb] * p["c_b"]) / p["n_control_base"], 0.0)
+                acc[q] += float(psi @ psi)
+        yield pd.DataFrame({"q": np.arange(npair, dtype=np.int64), "v": acc})
+
+    sums = people.mapInPandas(run, "q long, v double").groupBy("q").agg(F.sum("v").alias("v")).collect()
+    var = {r["q"]: r["v"] for r in sums}
+    rows = [(int(p["group"]), int(p["time"]), float(np.sqrt(var.get(q, 0.0)))) for q, p in enumerate(pairs)]
+    return att.sparkSession.createDataFrame(rows, "group long, time long, se double")
 
 
 def aggregate_att(att: DataFrame, df: DataFrame, id_col: str = "census_id_final",

@@ -622,16 +622,31 @@ ATT = """
 cells AS (SELECT treatment_group AS G, six_month_num AS T, sum(pay_deflated_six_month) AS sy, count(*) AS n
           FROM six2 WHERE pay_deflated_six_month IS NOT NULL GROUP BY treatment_group, six_month_num),
 tt AS (
-  SELECT a.G AS grp, a.T AS tm, a.sy / a.n AS m_t, b.sy / b.n AS m_b, a.n AS n_treated
+  SELECT a.G AS grp, a.T AS tm, a.sy / a.n AS m_t, b.sy / b.n AS m_b, a.n AS n_treated, b.n AS n_base
   FROM cells a JOIN cells b ON b.G = a.G AND b.T = a.G - 1 WHERE a.G > 0),
-att AS (
-  SELECT grp, tm, tm - grp AS event_time,
-         (m_t - m_b) - ((SELECT sum(sy) / sum(n) FROM cells c WHERE c.T = tm AND (c.G = 0 OR c.G > greatest(tm, grp - 1)))
-                       - (SELECT sum(sy) / sum(n) FROM cells c WHERE c.T = grp - 1 AND (c.G = 0 OR c.G > greatest(tm, grp - 1))))
-           AS att,
-         n_treated,
-         (SELECT sum(n) FROM cells c WHERE c.T = tm AND (c.G = 0 OR c.G > greatest(tm, grp - 1))) AS n_control
-  FROM tt)"""
+att0 AS (
+  SELECT tt.*, tm - grp AS event_time,
+         (SELECT sum(sy) / sum(n) FROM cells c WHERE c.T = tm AND (c.G = 0 OR (c.G > greatest(tm, grp - 1) AND c.G <> grp))) AS c_t,
+         (SELECT sum(sy) / sum(n) FROM cells c WHERE c.T = grp - 1 AND (c.G = 0 OR (c.G > greatest(tm, grp - 1) AND c.G <> grp))) AS c_b,
+         (SELECT sum(n) FROM cells c WHERE c.T = tm AND (c.G = 0 OR (c.G > greatest(tm, grp - 1) AND c.G <> grp))) AS n_control,
+         (SELECT sum(n) FROM cells c WHERE c.T = grp - 1 AND (c.G = 0 OR (c.G > greatest(tm, grp - 1) AND c.G <> grp))) AS n_control_base
+  FROM tt),
+att AS (SELECT *, (m_t - m_b) - (c_t - c_b) AS att FROM att0),
+pp AS (
+  SELECT census_id_final AS pid, treatment_group AS G, six_month_num AS T, sum(pay_deflated_six_month) AS S,
+         count(*) AS n
+  FROM six2 WHERE pay_deflated_six_month IS NOT NULL GROUP BY census_id_final, treatment_group, six_month_num),
+psi AS (
+  SELECT a.grp, a.tm, p.pid,
+         sum(CASE WHEN p.G = a.grp AND p.T = a.tm THEN (p.S - p.n * a.m_t) / a.n_treated ELSE 0 END)
+       - sum(CASE WHEN p.G = a.grp AND p.T = a.grp - 1 THEN (p.S - p.n * a.m_b) / a.n_base ELSE 0 END)
+       - sum(CASE WHEN (p.G = 0 OR (p.G > greatest(a.tm, a.grp - 1) AND p.G <> a.grp)) AND p.T = a.tm
+                  THEN (p.S - p.n * a.c_t) / a.n_control ELSE 0 END)
+       + sum(CASE WHEN (p.G = 0 OR (p.G > greatest(a.tm, a.grp - 1) AND p.G <> a.grp)) AND p.T = a.grp - 1
+                  THEN (p.S - p.n * a.c_b) / a.n_control_base ELSE 0 END) AS psi
+  FROM att a JOIN pp p ON p.T = a.tm OR p.T = a.grp - 1
+  GROUP BY a.grp, a.tm, p.pid),
+att_se AS (SELECT grp, tm, sqrt(sum(psi * psi)) AS se FROM psi GROUP BY grp, tm)"""
 
 
 def _att_frames(spark, sf_dir):
@@ -641,15 +656,20 @@ def _att_frames(spark, sf_dir):
 
 
 @register("att_gt", oracle("""
-SELECT CAST(grp AS BIGINT) AS "group", CAST(tm AS BIGINT) AS time, CAST(event_time AS BIGINT) AS event_time,
-       round(att, 4) AS att, CAST(n_treated AS BIGINT) AS n_treated, CAST(n_control AS BIGINT) AS n_control
-FROM att WHERE att IS NOT NULL""", *FULL, SIX, ATT))
+SELECT CAST(a.grp AS BIGINT) AS "group", CAST(a.tm AS BIGINT) AS time, CAST(a.event_time AS BIGINT) AS event_time,
+       round(a.att, 4) AS att, round(s.se, 4) AS se, CAST(a.n_treated AS BIGINT) AS n_treated,
+       CAST(a.n_control AS BIGINT) AS n_control
+FROM att a JOIN att_se s ON s.grp = a.grp AND s.tm = a.tm WHERE a.att IS NOT NULL""", *FULL, SIX, ATT))
 def q_att_gt(spark, sf_dir):
-    """Group-time ATT with not-yet-treated controls and universal base period g-1."""
-    _, att = _att_frames(spark, sf_dir)
-    return rounded(att.where(F.col("att").isNotNull()).select(
+    """Group-time ATT with not-yet-treated controls (own cohort excluded),
+    universal base period g-1, person-clustered influence-function SE."""
+    from epicohort.operators.att import att_standard_errors
+    sp, att = _att_frames(spark, sf_dir)
+    att = att.where(F.col("att").isNotNull())
+    se = att_standard_errors(sp, att, "pay_deflated_six_month")
+    return rounded(att.join(se, ["group", "time"]).select(
         F.col("group").cast("long").alias("group"), F.col("time").cast("long").alias("time"),
-        F.col("event_time").cast("long").alias("event_time"), "att", "n_treated", "n_control"))
+        F.col("event_time").cast("long").alias("event_time"), "att", "se", "n_treated", "n_control"))
 
 
 @register("att_dynamic", oracle("""
