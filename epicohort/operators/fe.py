@@ -281,6 +281,27 @@ class FEResult:
                   "conf_low double, conf_high double")
         return spark.createDataFrame(self.rows(scale), schema)
 
+    def effects_by_level(self, factor: str, by: str, by_levels: list, reference) -> list[dict]:
+        """M7: effect of each ``factor`` level within each ``by`` level: the
+        main term for the reference level, main + interaction otherwise, with
+        se = sqrt(v_main + v_int + 2 cov) and z-based interval and p-value."""
+        idx = {t: i for i, t in enumerate(self.terms)}
+        out = []
+        for t in self.terms:
+            if not t.startswith(factor) or ":" in t:
+                continue
+            i = idx[t]
+            for lv in [reference] + [x for x in by_levels if str(x) != str(reference)]:
+                j = idx.get(f"{t}:{by}{lv}")
+                est = self.estimate[i] + (self.estimate[j] if j is not None else 0.0)
+                var = self.cov[i, i] + ((self.cov[j, j] + 2 * self.cov[i, j]) if j is not None else 0.0)
+                se = math.sqrt(var) if var == var and var >= 0 else float("nan")
+                z = est / se if se and se == se else float("nan")
+                out.append({"term": t, "level": str(lv), "estimate": _nn(float(est)), "std_error": _nn(se),
+                            "p_value": _nn(two_sided_p(z, None)), "conf_low": _nn(float(est - Z975 * se)),
+                            "conf_high": _nn(float(est + Z975 * se))})
+        return out
+
     def fit_stats(self) -> dict:
         return {"n_obs": self.n, "n_clusters": self.n_clusters, "rss": self.rss, "aic": self.aic(),
                 "bic": self.bic(), "r2_within": 1 - self.rss / self.tss_within if self.tss_within else None}
@@ -310,6 +331,7 @@ def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str]
     levels = {c: [lv for lv in _levels(data, c) if str(lv) != str(ref)] for c, ref in factors.items()}
     months = _levels(data, month)[1:] if month else []
     design = Design(levels, list(numeric), month, months)
+    by_levels = []
     if interact:
         f, by = interact
         by_levels = _levels(data, by)
@@ -412,7 +434,9 @@ def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str]
     cov[~np.isin(np.arange(k), keep), :] = np.nan
     cov[:, ~np.isin(np.arange(k), keep)] = np.nan
     dropped = [design.terms[i] for i in range(k) if i not in keep]
-    return FEResult(design.terms, beta, cov, n, n_groups, rss, yy, n_groups + len(months), dropped, label)
+    res = FEResult(design.terms, beta, cov, n, n_groups, rss, yy, n_groups + len(months), dropped, label)
+    res.by_levels = by_levels
+    return res
 
 
 def _independent_columns(g: np.ndarray, tol: float = 1e-9) -> list:

@@ -797,9 +797,12 @@ def q_significance_table(spark, sf_dir):
 
 @register("fe_interaction")
 def q_fe_interaction(spark, sf_dir):
-    """M7: bins interacted with sex; per-level effects from the joint covariance."""
+    """M7: bins interacted with sex; effect per sex = reference + interaction,
+    SE from the joint covariance (delta rule), z-based interval."""
     res = main_fit(spark, sf_dir, interact=("t_treatment_6_month", "census_sex"), label="by_sex")
-    return res.tidy(spark)
+    rows = res.effects_by_level("t_treatment_6_month", "census_sex", res.by_levels, res.by_levels[0])
+    return spark.createDataFrame(rows, "term string, level string, estimate double, std_error double, "
+                                       "p_value double, conf_low double, conf_high double")
 
 
 @register("fe_by_stratum")

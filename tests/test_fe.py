@@ -63,3 +63,20 @@ def test_fe_hot_person_spread_over_tasks(spark):
     assert abs(got["bin1"] - want_b[0]) < 1e-8 and abs(got["x"] - want_b[1]) < 1e-8
     assert abs(se["bin1"] - want_se[0]) < 1e-8 and abs(se["x"] - want_se[1]) < 1e-8
     assert res.n == len(pdf) and res.n_clusters == 12
+
+
+def test_effects_by_level_delta_rule(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for p in range(60):
+        sex = "F" if p % 2 else "M"
+        for m in range(6):
+            b = int(m >= 3 and p % 3 == 0)
+            eff = 2.0 if sex == "F" else 3.5
+            rows.append((f"p{p:02d}", f"m{m}", b, sex, eff * b + rng.normal() * 0.01 + p))
+    pdf = pd.DataFrame(rows, columns=["pid", "month", "bin", "sex", "y"])
+    res = fe_event_study(spark.createDataFrame(pdf), "y", {"bin": 0}, [], person="pid", month="month",
+                         interact=("bin", "sex"))
+    eff = {r["level"]: r for r in res.effects_by_level("bin", "sex", res.by_levels, res.by_levels[0])}
+    assert abs(eff["F"]["estimate"] - 2.0) < 0.05 and abs(eff["M"]["estimate"] - 3.5) < 0.05
+    assert eff["M"]["std_error"] > 0
