@@ -134,20 +134,27 @@ class Design:
         return t
 
     def matrix(self, pdf: pd.DataFrame) -> np.ndarray:
-        cols = []
+        n = len(pdf)
+        blocks = []
+
+        def onehot(values, levels):
+            codes = pd.Categorical(values.astype(str), categories=[str(v) for v in levels]).codes
+            out = np.zeros((n, len(levels)))
+            hit = codes >= 0
+            out[np.flatnonzero(hit), codes[hit]] = 1.0
+            return out
+
         for c, levels in self.factors.items():
-            v = pdf[c].astype(str).to_numpy()
-            cols += [(v == str(lv)).astype(np.float64) for lv in levels]
-        cols += [pdf[c].astype(np.float64).to_numpy() for c in self.numeric]
+            blocks.append(onehot(pdf[c], levels))
+        if self.numeric:
+            blocks.append(pdf[list(self.numeric)].astype(np.float64).to_numpy())
         if self.interact:
-            v = pdf[self.interact_with].astype(str).to_numpy()
-            g = pdf[self.interact].astype(str).to_numpy()
-            cols += [((v == str(lv)) & (g == str(gl))).astype(np.float64)
-                     for lv in self.factors[self.interact_with] for gl in self.interact_levels]
+            main = onehot(pdf[self.interact_with], self.factors[self.interact_with])
+            grp = onehot(pdf[self.interact], self.interact_levels)
+            blocks.append((main[:, :, None] * grp[:, None, :]).reshape(n, -1))
         if self.absorb_month:
-            m = pdf[self.absorb_month].astype(str).to_numpy()
-            cols += [(m == str(lv)).astype(np.float64) for lv in self.month_levels]
-        return np.column_stack(cols) if cols else np.zeros((len(pdf), 0))
+            blocks.append(onehot(pdf[self.absorb_month], self.month_levels))
+        return np.hstack(blocks) if blocks else np.zeros((n, 0))
 
 
 FLUSH_PERSONS = 50000  # per-task bound on persons held in the partial-sum dict
