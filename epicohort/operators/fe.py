@@ -318,9 +318,17 @@ def _nn(v):
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else v
 
 
+MAX_LEVELS = 20000
+
+
 def _levels(df: DataFrame, col: str) -> list:
-    """Distinct levels of a low-cardinality factor (bins, months, groups)."""
-    return sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
+    """Distinct levels of a low-cardinality factor (bins, months, groups);
+    refuses a column with more than MAX_LEVELS levels rather than pulling an
+    unbounded set to the driver (absorb such a factor by demeaning instead)."""
+    got = [r[0] for r in df.select(col).distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(got) > MAX_LEVELS:
+        raise ValueError(f"{col} has more than {MAX_LEVELS} levels; it cannot be an explicit dummy factor")
+    return sorted(v for v in got if v is not None)
 
 
 def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str] = (),
