@@ -13,6 +13,27 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 5) -> dict:
+    """Settings this library is written for on a large cluster: AQE re-plans
+    joins and coalesces/splits partitions at run time, skewed join partitions
+    are split, scans read ~256 MB splits, and the initial shuffle width covers
+    about three tasks per core (AQE coalesces what is too small).
+    ``spark.checkpoint.dir`` must name a folder every executor shares."""
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.shuffle.partitions": str(3 * executors * cores_per_executor),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "epicohort") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
