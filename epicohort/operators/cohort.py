@@ -98,6 +98,20 @@ def first_procedure(df: DataFrame, cfg: StudyConfig, code_cols: Sequence[str] =
                .drop("Code").withColumnRenamed("Name", "operation_type"))
 
 
+def with_first_procedure(df: DataFrame, cfg: StudyConfig, code_cols: Sequence[str] = OP_COLS,
+                         date_cols: Sequence[str] = OPDATE_COLS) -> DataFrame:
+    """P4 + P5 only: first listed code and its slot date (NULL when none)."""
+    m = first_match(code_cols, cfg.procedure_codes, date_cols)
+    return df.withColumns({"op_code": m["code"], "op_date": m["value"]})
+
+
+def procedure_type(df: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Procedure type of ``op_code`` through the (broadcast) code lookup."""
+    lookup = procedure_lookup(df.sparkSession, cfg)
+    return (df.join(F.broadcast(lookup), df["op_code"] == lookup["Code"], "left")
+              .drop("Code").withColumnRenamed("Name", "operation_type"))
+
+
 def procedure_lookup(spark, cfg: StudyConfig) -> DataFrame:
     """The code -> type lookup as a small DataFrame (bounded by the code list)."""
     rows = sorted(cfg.procedure_codes.items())

@@ -122,7 +122,7 @@ WHERE metabolic_op_flag = 1""".format(*[" ".join(
 def q_first_code(spark, sf_dir):
     """First listed procedure code, its date and type, for every procedure episode."""
     s = study(spark, sf_dir)
-    return C.first_procedure(s.flagged.where(F.col("metabolic_op_flag") == 1), CFG).select(
+    return C.procedure_type(s.flagged.where(F.col("metabolic_op_flag") == 1), CFG).select(
         "epikey", "op_code", "op_date", "operation_type")
 
 

@@ -22,7 +22,7 @@ from epicohort.operators import link as L
 from epicohort.operators import panel as P
 from epicohort.operators import sample as S
 from epicohort.functions.recode import five_year_bands
-from epicohort.sources.fixtures import FixtureTables
+from epicohort.sources.fixtures import DIAG_COLS, OP_COLS, OPDATE_COLS, FixtureTables
 from epicohort.sources.io import new_version, read_stage, write_stage
 
 STRATA = ["census_sex", "five_year_bands"]
@@ -49,7 +49,11 @@ class Study:
     @cached_property
     def flagged(self) -> DataFrame:
         """Every episode with episode flags and person flags."""
-        return self.stage("flagged", C.person_flags(C.flag_episodes(self.t.episodes, self.cfg)))
+        fl = C.with_first_procedure(C.flag_episodes(self.t.episodes, self.cfg), self.cfg)
+        # the slot families are resolved into flags and (op_code, op_date): the
+        # stage keeps narrow columns only
+        fl = fl.drop(*OP_COLS, *OPDATE_COLS, *DIAG_COLS)
+        return self.stage("flagged", C.person_flags(fl))
 
     def exposure_stages(self):
         op = F.col("metabolic_op_flag") == 1
@@ -68,7 +72,7 @@ class Study:
         cond = F.lit(True)
         for _, pred in self.exposure_stages()[1:]:
             cond = cond & pred
-        return C.first_procedure(self.flagged.where(cond), self.cfg)
+        return C.procedure_type(self.flagged.where(cond), self.cfg)
 
     @cached_property
     def exposed(self) -> DataFrame:
