@@ -35,19 +35,24 @@ def _wide(col: str, out: str, n: int) -> str:
     )
 
 
-# One episode per order.  Slot = position of the line inside its order.
+# One episode per order.  Slot = position of the line inside its order; only
+# slots 1..24 are kept right after numbering (Spark then keeps at most 24
+# lines per order in each task before the shuffle), and the episode end comes
+# from a separate grouped max over all lines.
 EPISODES_SQL = f"""
 SELECT o.o_orderkey AS epikey,
        CAST(o.o_orderdate AS DATE) AS epistart,
-       greatest(CAST(o.o_orderdate AS DATE), w.last_ship) AS epiend,
+       greatest(CAST(o.o_orderdate AS DATE), e.last_ship) AS epiend,
        {", ".join(f"w.{c}" for c in OP_COLS)},
        {", ".join(f"w.{c}" for c in OPDATE_COLS)},
        {", ".join(f"w.{c}" for c in DIAG_COLS)},
        CASE WHEN o.o_custkey % 4 <> 0 THEN 'A' || CAST(o.o_custkey AS STRING) END AS census_person_id_2011,
        'B' || CAST(o.o_custkey AS STRING) AS census_id_2021
 FROM orders o
+LEFT JOIN (SELECT l_orderkey AS okey, max(CAST(l_shipdate AS DATE)) AS last_ship FROM lineitem GROUP BY l_orderkey) e
+  ON e.okey = o.o_orderkey
 LEFT JOIN (
-  SELECT okey, max(ship) AS last_ship,
+  SELECT okey,
 {_wide("op_code", "opertn_4_{i:02d}", N_OP_SLOTS)},
 {_wide("ship", "opdate_{i:02d}", N_OP_SLOTS)},
 {_wide("diag_code", "diag_4_{i:02d}", N_DIAG_SLOTS)}
@@ -56,10 +61,13 @@ LEFT JOIN (
            p.p_brand || '-' || substr(p.p_type, 1, 1) AS op_code,
            p.p_type AS diag_code
     FROM (
-      SELECT l_orderkey AS okey, l_partkey AS partkey, CAST(l_shipdate AS DATE) AS ship,
-             row_number() OVER (PARTITION BY l_orderkey
-                                ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS slot
-      FROM lineitem
+      SELECT * FROM (
+        SELECT l_orderkey AS okey, l_partkey AS partkey, CAST(l_shipdate AS DATE) AS ship,
+               row_number() OVER (PARTITION BY l_orderkey
+                                  ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS slot
+        FROM lineitem
+      ) numbered
+      WHERE slot <= {N_OP_SLOTS}
     ) s
     LEFT JOIN part p ON p.p_partkey = s.partkey
   ) c
