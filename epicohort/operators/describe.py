@@ -139,8 +139,8 @@ def std_diff_binary(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame
 def _std_diff_finish(st: DataFrame, pooled_var: Column) -> DataFrame:
     d = F.try_divide(F.abs(F.col("m1") - F.col("m0")), F.sqrt(pooled_var))  # no spread -> NULL, never an ANSI error
     st = st.withColumn("std_diff", d)
-    se = F.sqrt((F.col("n1") + F.col("n0")) / (F.col("n1") * F.col("n0"))
-                + F.col("std_diff") ** 2 / (2 * (F.col("n1") + F.col("n0"))))
+    se = F.sqrt(F.try_divide(F.col("n1") + F.col("n0"), F.col("n1") * F.col("n0"))
+                + F.try_divide(F.col("std_diff") ** 2, 2 * (F.col("n1") + F.col("n0"))))
     return st.select("variable", "std_diff", (F.col("std_diff") - 1.96 * se).alias("std_diff_lcl"),
                      (F.col("std_diff") + 1.96 * se).alias("std_diff_ucl"))
 
