@@ -405,8 +405,7 @@ def q_stratified_sample(spark, sf_dir):
     s = study(spark, sf_dir)
     pop = s.unexposed_linked.withColumn("five_year_bands", five_year_bands(F.col("age_at_operation"), tails=True))
     targets = S.stratum_targets(s.shares, SAMPLE_TOTAL)
-    from epicohort.plans.study import STRATA as K
-    return S.stratified_sample(pop, targets, K, CFG.seed).select("census_id_final", "census_sex",
+    return S.stratified_sample(pop, targets, STRATA, CFG.seed).select("census_id_final", "census_sex",
                                                                   "five_year_bands", "op_date")
 
 
