@@ -79,6 +79,8 @@ def att_standard_errors(df: DataFrame, att: DataFrame, y: str, id_col: str = "ce
     import numpy as np
     import pandas as pd
 
+    from epicohort.session import ship_package
+    ship_package(att.sparkSession)
     pairs = [r.asDict() for r in att.select("group", "time", "m_t", "m_b", "n_treated", "n_base", "c_t", "c_b",
                                             "n_control", "n_control_base").orderBy("group", "time").collect()]
     if not pairs:

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epicohort.functions.blas import single_thread_blas
+from epicohort.session import ship_package
 from epicohort.operators.quantiles import quantile_values
 
 Z975 = 1.959963984540054
@@ -339,6 +340,7 @@ def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str]
 
     factors: {column: reference level}; numeric: ready numeric columns."""
     spark = df.sparkSession
+    ship_package(spark)
     cols = [person, y] + list(factors) + list(numeric) + ([month] if month else [])
     if interact:
         cols.append(interact[1])

@@ -71,6 +71,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``epicohort`` importable in the Python workers (``mapInPandas``
+    stages pickle functions and classes of this package by reference): zip the
+    package once per SparkContext and hand it to ``addPyFile``, which sends it
+    to every executor."""
+    import zipfile
+
+    import epicohort
+    sc = spark.sparkContext
+    if getattr(sc, "_epicohort_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(epicohort.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="epicohort-pkg-"), "epicohort.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._epicohort_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
