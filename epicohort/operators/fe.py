@@ -338,13 +338,18 @@ def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str]
                    small_sample: bool = True, label: str = "", flush_persons: int = FLUSH_PERSONS) -> FEResult:
     """M1 (+M3, M7 via ``interact=(factor, by)``).
 
-    factors: {column: reference level}; numeric: ready numeric columns."""
+    factors: {column: reference level} expanded to dummies; numeric: ready
+    numeric columns; person: absorbed by demeaning and the cluster of the
+    standard errors; month: explicit dummies (first level dropped).  Rows
+    with a missing value in any model column are left out, as a regression
+    on complete cases does.  ``partitions`` spreads rows round-robin first
+    (tests use it to put one person's rows in many tasks)."""
     spark = df.sparkSession
     ship_package(spark)
     cols = [person, y] + list(factors) + list(numeric) + ([month] if month else [])
     if interact:
         cols.append(interact[1])
-    data = df.select(*dict.fromkeys(cols)).where(F.col(y).isNotNull())
+    data = df.select(*dict.fromkeys(cols)).dropna(subset=list(dict.fromkeys(cols)))
     levels = {c: [lv for lv in _levels(data, c) if str(lv) != str(ref)] for c, ref in factors.items()}
     months = _levels(data, month)[1:] if month else []
     design = Design(levels, list(numeric), month, months)
