@@ -205,7 +205,7 @@ class Study:
         if treated:
             df = P.value_where(df, "census_id_final", "six_month_num", F.col("t_op") == 1, "treatment_group")
             return df.withColumn("treat", F.lit(1)).where(F.col("t_op") <= self.cfg.event_window[1])
-        return df.withColumns({"treat": F.lit(1) * 0, "treatment_group": F.lit(0).cast("long")})
+        return df.withColumns({"treat": F.lit(0), "treatment_group": F.lit(0).cast("long")})
 
     @cached_property
     def exposed_analysis(self) -> DataFrame:
