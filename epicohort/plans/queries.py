@@ -455,11 +455,18 @@ exposed_desc AS (
   FROM exposed_panel p LEFT JOIN deflator f ON f.month = CAST(month_label || '-01' AS DATE))"""
 
 
-def described(spark, sf_dir) -> DataFrame:
-    """Exposed panel with in-work flag and deflated pay (02 descriptives input)."""
+def described(spark, sf_dir, cohort: str = "exposed") -> DataFrame:
+    """A cohort's panel with in-work flag and deflated pay (02 descriptives input)."""
     from epicohort.operators.link import deflate
-    p = study(spark, sf_dir).exposed_panel.withColumn("in_work", F.when(F.col("pay") > 0, 1).otherwise(0))
-    return deflate(p, study(spark, sf_dir).t.deflator, "pay")
+    s = study(spark, sf_dir)
+    panel = s.exposed_panel if cohort == "exposed" else s.unexposed_panel
+    p = panel.withColumn("in_work", F.when(F.col("pay") > 0, 1).otherwise(0))
+    return deflate(p, s.t.deflator, "pay")
+
+
+def person_level(spark, sf_dir, cohort: str = "exposed") -> DataFrame:
+    """One row per person: the panel row of the event month (t_op = 1)."""
+    return described(spark, sf_dir, cohort).where(F.col("t_op") == 1)
 
 
 @register("event_series", oracle(_series_sql("exposed_desc", "t_op"), FLAGGED, REG, LINK_E, PANEL_E, DESCR_E))
@@ -887,29 +894,43 @@ _CAT_COLS = ["census_sex", "ethnic_group_tb", "disability_category", "ns_sec", "
              "legal_partnership_status", "region", "rural_urban", "imd_quintile"]
 
 
-@register("category_counts", oracle("\nUNION ALL\n".join(
-    f"SELECT '{c}' AS Variable_names, CAST({c} AS VARCHAR) AS Category_name, CAST(count(*) AS BIGINT) AS Count, "
-    f"round(count(*) * 100.0 / (SELECT count(*) FROM exposed_linked), 1) AS Percentage "
-    f"FROM exposed_linked GROUP BY {c}" for c in _CAT_COLS), FLAGGED, REG, LINK_E))
-def q_category_counts(spark, sf_dir):
-    """Counts and percent (1 dp) of each category of ten person attributes, one unpivot + aggregate."""
+def _cat_sql(src: str) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS Variable_names, CAST({c} AS VARCHAR) AS Category_name, CAST(count(*) AS BIGINT) AS Count, "
+        f"round(count(*) * 100.0 / (SELECT count(*) FROM {src}), 1) AS Percentage "
+        f"FROM {src} GROUP BY {c}" for c in _CAT_COLS)
+
+
+def _category_counts(frame: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
     from epicohort.operators.describe import category_counts
-    cc = category_counts(study(spark, sf_dir).exposed_linked, _CAT_COLS)
+    cc = category_counts(frame, _CAT_COLS)
     return cc.withColumn("Percentage", F.round(F.col("Count") / F.sum("Count").over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("Variable_names")) * 100 * (1 + NUDGE), 1))
+        Window.partitionBy("Variable_names")) * 100 * (1 + NUDGE), 1))
+
+
+PL_E = "exposed_pl AS (SELECT * FROM exposed_desc WHERE t_op = 1)"
+PL_U = "unexposed_pl AS (SELECT * FROM unexposed_desc WHERE t_op = 1)"
+
+
+@register("category_counts", oracle(_cat_sql("exposed_pl"), FLAGGED, REG, LINK_E, PANEL_E, DESCR_E, PL_E))
+def q_category_counts(spark, sf_dir):
+    """Counts and percent (1 dp) of each category of ten person attributes
+    (person level = event-month panel row), one unpivot + aggregate."""
+    return _category_counts(person_level(spark, sf_dir))
 
 
 @register("crosstab", oracle("""
 SELECT operation_type, CAST(census_sex AS VARCHAR) AS grouping, CAST(count(*) AS BIGINT) AS Count,
        'census_sex' AS characteristic
-FROM (SELECT * FROM exposed_linked
+FROM (SELECT * FROM exposed_pl
       QUALIFY row_number() OVER (PARTITION BY census_id_final ORDER BY operation_type NULLS LAST,
                                  census_sex NULLS LAST) = 1) t
-GROUP BY operation_type, census_sex""", FLAGGED, REG, LINK_E))
+GROUP BY operation_type, census_sex""", FLAGGED, REG, LINK_E, PANEL_E, DESCR_E, PL_E))
 def q_crosstab(spark, sf_dir):
     """One row per person, then counts by procedure type and sex."""
     from epicohort.operators.describe import crosstab_long
-    return crosstab_long(study(spark, sf_dir).exposed_linked, "operation_type", "census_sex")
+    return crosstab_long(person_level(spark, sf_dir), "operation_type", "census_sex")
 
 
 STD_SRC = """
@@ -997,64 +1018,12 @@ def q_histogram(spark, sf_dir):
 
 
 @register("describe_age", oracle("""
-SELECT min(age_at_operation) AS min, max(age_at_operation) AS max, round(avg(age_at_operation), 4) AS mean,
-       round(stddev_samp(age_at_operation), 4) AS sd FROM exposed_linked""", FLAGGED, REG, LINK_E))
+SELECT min(age_monthly) AS min, max(age_monthly) AS max, round(avg(age_monthly), 4) AS mean,
+       round(stddev_samp(age_monthly), 4) AS sd FROM exposed_pl""", FLAGGED, REG, LINK_E, PANEL_E, DESCR_E, PL_E))
 def q_describe_age(spark, sf_dir):
-    """A4: min, max, mean and sample sd of age at the index event."""
+    """A4: min, max, mean and sample sd of age in the event month (person level)."""
     from epicohort.operators.describe import describe_num
-    return rounded(describe_num(study(spark, sf_dir).exposed_linked, "age_at_operation"))
-
-
-@register("fe_lr_test")
-def q_fe_lr_test(spark, sf_dir):
-    """M5: likelihood-ratio test of the age spline (bins only vs bins + spline), with AIC/BIC."""
-    from epicohort.operators.fe import lr_test
-    full = main_fit(spark, sf_dir)
-    restricted = main_fit(spark, sf_dir, spline=False, label="no_spline")
-    t = lr_test(restricted, full)
-    rows = [("lr_statistic", float(t["statistic"])), ("lr_df", float(t["df"])), ("lr_p_value", float(t["p_value"])),
-            ("aic_full", full.aic()), ("aic_restricted", restricted.aic()),
-            ("bic_full", full.bic()), ("bic_restricted", restricted.bic())]
-    return spark.createDataFrame(rows, "stat string, value double")
-
-
-@register("fe_with_births")
-def q_fe_with_births(spark, sf_dir):
-    """Main model with recent-birth controls."""
-    return main_fit(spark, sf_dir, controls=("birth_in_1yr", "birth_in_5yr"), label="births").tidy(spark)
-
-
-@register("fe_factor_month")
-def q_fe_factor_month(spark, sf_dir):
-    """M8: bins x sex interaction with sex-specific month effects absorbed."""
-    def tr(df):
-        return df.withColumn("sex_month", F.concat_ws("|", "census_sex", "month_label"))
-    return main_fit(spark, sf_dir, transform=tr, month="sex_month",
-                    interact=("t_treatment_6_month", "census_sex"), label="sex_month").tidy(spark)
-
-
-@register("sensitivity")
-def q_sensitivity(spark, sf_dir):
-    """Baseline 12 / 24 months, unexposed moved to bin -1 as
-    reference, months from index 72 dropped; estimates side by side."""
-    fits = {
-        "main": main_fit(spark, sf_dir),
-        "baseline_12m": main_fit(spark, sf_dir, transform=lambda d: P.rebase(d, merge_bins=(-1,))),
-        "baseline_24m": main_fit(spark, sf_dir, transform=lambda d: P.rebase(d, merge_bins=(-1, -2, -3))),
-        "unexposed_ref_-1": main_fit(spark, sf_dir, ref=-1,
-                                     transform=lambda d: P.rebase(d, merge_bins=(), unexposed_bin=-1)),
-        "before_month_72": main_fit(spark, sf_dir, subset=F.col("month_num") < 72),
-    }
-    from epicohort.operators.report import compare_models
-    return compare_models({k: v.tidy(spark) for k, v in fits.items()})
-
-
-@register("procedure_type_counts", oracle("""
-SELECT operation_type, CAST(count(*) AS BIGINT) AS n FROM exposed GROUP BY operation_type""", FLAGGED))
-def q_procedure_type_counts(spark, sf_dir):
-    """Index events per procedure type, largest first."""
-    from epicohort.operators.describe import count_by
-    return count_by(study(spark, sf_dir).exposed, ["operation_type"]).orderBy(F.desc("n"), "operation_type")
+    return rounded(describe_num(person_level(spark, sf_dir), "age_monthly"))
 
 
 DESCR_U = """
@@ -1140,3 +1109,28 @@ def q_panel_flow(spark, sf_dir):
         frame_counts(with_id, "census_id_final", _PANEL_STEPS[2][0], 3),
         flow_counts(panel, "census_id_final", [(_PANEL_STEPS[3][0], None),
                                                (_PANEL_STEPS[4][0], F.col("paye_flag") == 1)], first_step=4))
+
+
+# ------------------------------------------------------------------ descriptives of the matched unexposed
+@register("event_series_unexposed", oracle(_series_sql("unexposed_desc", "t_op"), *FULL, DESCR_U))
+def q_event_series_unexposed(spark, sf_dir):
+    """A8 for the matched unexposed cohort (pseudo event dates)."""
+    from epicohort.operators.describe import series
+    return rounded(series(described(spark, sf_dir, "unexposed"), ["t_op"]))
+
+
+@register("pay_summary_unexposed", oracle(f"""
+SELECT 'overall' AS "group", {_measures_sql()} FROM unexposed_desc
+UNION ALL
+SELECT CASE WHEN t_op < 0 THEN 'pre-surgery' ELSE 'post-surgery' END, {_measures_sql()} FROM unexposed_desc
+GROUP BY CASE WHEN t_op < 0 THEN 'pre-surgery' ELSE 'post-surgery' END""", *FULL, DESCR_U))
+def q_pay_summary_unexposed(spark, sf_dir):
+    """A5 A6 A7 for the matched unexposed cohort."""
+    from epicohort.operators.describe import pay_summary_pre_post
+    return rounded(pay_summary_pre_post(described(spark, sf_dir, "unexposed")))
+
+
+@register("category_counts_unexposed", oracle(_cat_sql("unexposed_pl"), *FULL, DESCR_U, PL_U))
+def q_category_counts_unexposed(spark, sf_dir):
+    """A11 for the matched unexposed cohort."""
+    return _category_counts(person_level(spark, sf_dir, "unexposed"))
