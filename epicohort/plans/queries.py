@@ -767,7 +767,12 @@ def main_fit(spark, sf_dir, y: str = "pay_deflated", subset=None, interact=None,
         df = df.where(subset)
     numeric = list(controls)
     if spline:
-        knots = natural_spline_knots(df, "age_monthly")
+        # knots depend only on which rows enter (transforms here recode bins, never rows)
+        cache = study(spark, sf_dir).__dict__.setdefault("_knots", {})
+        key = "all" if subset is None else str(subset)
+        if key not in cache:
+            cache[key] = natural_spline_knots(df, "age_monthly")
+        knots = cache[key]
         df = df.withColumns(natural_spline_terms(F.col("age_monthly"), knots, "age_ns"))
         numeric = [f"age_ns{i}" for i in range(1, 6)] + numeric
     return fe_event_study(df, y, {"t_treatment_6_month": ref}, numeric, interact=interact, label=label,
