@@ -1191,3 +1191,19 @@ def q_pay_summary_unexposed(spark, sf_dir):
 def q_category_counts_unexposed(spark, sf_dir):
     """A11 for the matched unexposed cohort."""
     return _category_counts(person_level(spark, sf_dir, "unexposed"))
+
+
+@register("fe_spline_interaction")
+def q_fe_spline_interaction(spark, sf_dir):
+    """M8: age spline interacted with sex (spline terms times the non-reference
+    sex dummy) plus bins x sex, with sex-specific month effects absorbed."""
+    from epicohort.operators.fe import fe_event_study, natural_spline_knots, natural_spline_terms
+    df = study(spark, sf_dir).combined.withColumn("sex_month", F.concat_ws("|", "census_sex", "month_label"))
+    knots = natural_spline_knots(df, "age_monthly")
+    terms = natural_spline_terms(F.col("age_monthly"), knots, "age_ns")
+    male = F.when(F.col("census_sex") == "Males", 1.0).otherwise(0.0)
+    df = df.withColumns({**terms, **{f"{k}_x_male": v * male for k, v in terms.items()}})
+    numeric = list(terms) + [f"{k}_x_male" for k in terms]
+    res = fe_event_study(df, "pay_deflated", {"t_treatment_6_month": 0}, numeric, month="sex_month",
+                         interact=("t_treatment_6_month", "census_sex"), label="spline_by_sex")
+    return res.tidy(spark)
