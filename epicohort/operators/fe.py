@@ -1,43 +1,53 @@
-"""Two-way fixed-effects event study on Spark (M1-M6, M9).
+"""Two-way fixed-effects event studies on Spark.
 
 outcome ~ bin dummies + natural spline(age) + controls | person + month,
 errors clustered by person.
 
 The person effect is absorbed by demeaning within person; month effects
 enter as explicit dummies (first level dropped), which by Frisch-Waugh is the
-full two-way dummy regression.  Everything comes from sufficient
-statistics, so no person's rows are ever gathered in one task:
-
-* pass 1 (rows, any partitioning, ``mapInPandas``): Z'Z for z = [x, y] and
-  per-person sums S_i; person partials (at most a few per task) are summed
-  by a grouped aggregate.  The within-person Gram is Z'Z - sum_i S_i S_i'/n_i
-  (pass 2, one row per person).
-* the k x k system is solved on the driver;
-* pass 3 (rows, coefficients broadcast): per-person sums of x r with
-  r = y - x b, and sum r^2; pass 4 (one row per person): cluster score
+full two-way dummy regression.  Several outcomes and several strata (or
+variants of one model, stacked) are fitted in the same passes.  Everything
+comes from sufficient statistics, so no person's rows are ever gathered in one
+task:
+
+* outcomes and numeric columns are centred on their person means first (a
+  grouped aggregate, joined back), so no later sum cancels large levels;
+* pass 1 (rows, any partitioning): Z'Z for z = [x, y...] as one packed triangle
+  per task and stratum, and per-person sums S_i; the within-person Gram is
+  Z'Z - sum_i S_i S_i'/n_i (pass 2, one row per person);
+* the k x k systems are solved on the driver;
+* pass 3 (rows, coefficients shipped): per-person sums of x r with r = y - x b,
+  and sum r^2; pass 4 (one row per person): cluster score
   s_i = sum_t x_it r_it - S_x,i (S_y,i - S_x,i b) / n_i, meat = sum s_i s_i',
   RSS = sum r^2 - sum_i (S_y,i - S_x,i b)^2 / n_i.
 
-A person holding a third of all rows costs one partial vector per task.
+A person holding a third of all rows costs one partial vector per task, and
+partial vectors and triangles are summed in two rounds.  The width of a model
+is set by its design (bins, months, spline terms, interactions), not by the rows.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epicohort.functions.blas import single_thread_blas
-from epicohort.session import ship_package
+from epicohort.functions.dist import chi2_upper, normal_two_sided, t_quantile_975, t_two_sided
 from epicohort.operators.quantiles import quantile_values
+from epicohort.session import ship_package
+from epicohort.sources.io import read_stage, write_stage
 
 Z975 = 1.959963984540054
+#: A column whose variance after the columns before it is below this share of its own is collinear.
+COLLINEAR = 1e-9
+#: A numeric column whose centred sum of squares is below this share of its own does not vary within persons.
+CONSTANT = 1e-24
 
 
 # ----------------------------------------------------------------- spline basis
@@ -56,60 +66,22 @@ def natural_spline_terms(x: Column, knots: Sequence[float], prefix: str = "ns")
     same space as R's ``ns`` basis plus an intercept, which the fixed effects
     absorb; the individual spline coefficients differ from R's."""
     k = list(knots)
-    last, prev = k[-1], k[-2]
+    last = k[-1]
 
     def d(j):
         return ((F.greatest(x - F.lit(k[j]), F.lit(0.0)) ** 3 - F.greatest(x - F.lit(last), F.lit(0.0)) ** 3)
                 / F.lit(last - k[j]))
     terms = {f"{prefix}1": x.cast("double")}
     for j in range(len(k) - 2):
-        terms[f"{prefix}{j + 2}"] = d(j) - d(len(k) - 2) if j != len(k) - 2 else d(j)
+        terms[f"{prefix}{j + 2}"] = d(j) - d(len(k) - 2)
     return terms
 
 
-# ----------------------------------------------------------------- t distribution
-def _betacf(a, b, x):
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-    h = d
-    for m in range(1, 300):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > 1e-300 else 1e-300
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > 1e-300 else 1e-300
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 3e-14:
-            break
-    return h
-
-
-def _betai(a, b, x):
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x)
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-
-
 def two_sided_p(stat: float, dof: float | None) -> float:
-    """Normal p-value when dof is None, else Student t with dof degrees."""
+    """Student t p-value, or the normal one when dof is None."""
     if stat is None or not math.isfinite(stat):
         return float("nan")
-    if dof is None:
-        return math.erfc(abs(stat) / math.sqrt(2.0))
-    return _betai(dof / 2.0, 0.5, dof / (dof + stat * stat))
+    return normal_two_sided(stat) if dof is None else t_two_sided(stat, dof)
 
 
 # ----------------------------------------------------------------- design
@@ -117,13 +89,17 @@ def two_sided_p(stat: float, dof: float | None) -> float:
 class Design:
     """Column layout shared by the Spark passes and the driver algebra."""
     factors: dict            # column -> list of kept levels (reference removed)
-    numeric: list            # numeric column names (already computed on the frame)
+    numeric: list            # numeric column names (centred on the frame)
     absorb_month: str | None  # column whose levels become explicit dummies
     month_levels: list = field(default_factory=list)
     interact: str | None = None          # interaction factor column (M7)
     interact_levels: list = field(default_factory=list)
     interact_with: str | None = None     # factor interacted with ``interact``
 
+    @property
+    def absorbed(self) -> list:
+        return [f"{self.absorb_month}{m}" for m in self.month_levels]
+
     @property
     def terms(self) -> list:
         t = [f"{c}{lv}" for c, levels in self.factors.items() for lv in levels]
@@ -131,8 +107,7 @@ class Design:
         if self.interact:
             t += [f"{self.interact_with}{lv}:{self.interact}{g}" for lv in self.factors[self.interact_with]
                   for g in self.interact_levels]
-        t += [f"{self.absorb_month}{m}" for m in self.month_levels]
-        return t
+        return t + self.absorbed
 
     def matrix(self, pdf: pd.DataFrame) -> np.ndarray:
         n = len(pdf)
@@ -158,82 +133,99 @@ class Design:
         return np.hstack(blocks) if blocks else np.zeros((n, 0))
 
 
-FLUSH_PERSONS = 50000  # per-task bound on persons held in the partial-sum dict
+# ----------------------------------------------------------------- sums over rows
+FLUSH_PERSONS = 50000  # per-task bound on persons held in the partial-sum lists
+REDUCERS = 32          # tasks of a first round of sums at most, and partial sums of a person in the second
+
+SUMS = "kind int, s string, pid string, n long, v array<double>"
 
 
-def _group_sum(ids: np.ndarray, vec: np.ndarray, cnt: np.ndarray | None = None):
+def _pack(m: np.ndarray) -> np.ndarray:
+    return m[np.triu_indices(len(m))]
+
+
+def _unpack(v: np.ndarray, size: int) -> np.ndarray:
+    m = np.zeros((size, size))
+    m[np.triu_indices(size)] = v
+    return m + np.triu(m, 1).T
+
+
+def _group_sum(ids: np.ndarray, vec: np.ndarray, cnt: np.ndarray):
     """(unique ids, row counts, summed rows) by sort + reduceat (vectorised)."""
     codes, uniq = pd.factorize(ids)
     order = np.argsort(codes, kind="stable")
     sc = codes[order]
     starts = np.flatnonzero(np.r_[True, sc[1:] != sc[:-1]])
-    sums = np.add.reduceat(vec[order], starts, axis=0)
-    n = np.add.reduceat((cnt if cnt is not None else np.ones(len(ids), dtype=np.int64))[order], starts)
-    return uniq[sc[starts]], n, sums
-
-
-def _partial_person_sums(batches, person: str, build, flush: int = FLUSH_PERSONS):
-    """Per task: sum the rows' vectors per person across Arrow batches, kept
-    compact and flushed every FLUSH_PERSONS persons, so a person contributes
-    at most a few partial vectors per task however many rows it has."""
-    ids, cnts, sums, held = [], [], [], 0
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        vec, extra = build(pdf)
-        u, n, sm = _group_sum(pdf[person].to_numpy(), vec)
-        ids.append(np.asarray(u, dtype=object))
-        cnts.append(n)
-        sums.append(sm)
-        held += len(u)
-        yield extra
-        if held >= flush:
-            u, n, sm = _group_sum(np.concatenate(ids), np.vstack(sums), np.concatenate(cnts))
-            ids, cnts, sums, held = [np.asarray(u, dtype=object)], [n], [sm], len(u)
-            if held >= flush:
-                yield (u, n, sm)
-                ids, cnts, sums, held = [], [], [], 0
-    if ids:
-        yield _group_sum(np.concatenate(ids), np.vstack(sums), np.concatenate(cnts))
-
-
-def _emit(parts, k_total: int):
-    """Turn pass output (global partial vectors and per-person partial sums)
-    into rows of one schema: kind 0 = global entry (i, v), kind 1 = person partial."""
-    glob = np.zeros(k_total)
-    for part in parts:
-        if isinstance(part, tuple):
-            u, n, sm = part
-            yield pd.DataFrame({"kind": np.ones(len(u), dtype=np.int32), "pid": list(u),
-                                "n": n.astype(np.int64), "i": np.zeros(len(u), dtype=np.int64),
-                                "v": np.zeros(len(u)), "s": list(sm)})
-        elif part is not None:
-            glob += part
-    yield pd.DataFrame({"kind": np.zeros(k_total, dtype=np.int32), "pid": [None] * k_total,
-                        "n": np.zeros(k_total, dtype=np.int64), "i": np.arange(k_total, dtype=np.int64),
-                        "v": glob, "s": [None] * k_total})
-
-
-PASS_SCHEMA = "kind int, pid string, n long, i long, v double, s array<double>"
-
-
-def _reduce_people(rows: DataFrame, width: int) -> DataFrame:
-    """Sum person partial vectors: partials per person are bounded by the
-    number of tasks, and collect_list is aggregated map-side."""
-    zero = F.array_repeat(F.lit(0.0), width)
-    people = (rows.where(F.col("kind") == 1).groupBy("pid")
-                  .agg(F.sum("n").alias("n"), F.collect_list("s").alias("_ss")))
-    return people.select("pid", "n", F.aggregate("_ss", zero, lambda acc, x: F.zip_with(
-        acc, x, lambda a, b: a + b)).alias("s"))
+    return uniq[sc[starts]], np.add.reduceat(cnt[order], starts), np.add.reduceat(vec[order], starts, axis=0)
+
+
+def _row_pass(build, flush: int):
+    """A ``mapInPandas`` function: ``build(pdf)`` gives a vector for each row and one
+    total.  Emits the totals of each stratum once per task (kind 0) and the
+    vectors' sums per person (kind 1), flushed every ``flush`` persons, so a
+    person contributes at most a few partial vectors per task."""
+    def people_rows(s, held):
+        u, n, sm = _group_sum(np.concatenate([h[0] for h in held]), np.vstack([h[2] for h in held]),
+                              np.concatenate([h[1] for h in held]))
+        return pd.DataFrame({"kind": np.ones(len(u), np.int32), "s": s, "pid": list(u), "n": n.astype(np.int64), "v": list(sm)})
+
+    def run(batches):
+        totals: dict = {}
+        held: dict = {}
+        for pdf in batches:
+            for s, own in pdf.groupby("_s", sort=False):
+                vec, total = build(s, own)
+                totals[s] = totals[s] + total if s in totals else total
+                ids = own["_pid"].to_numpy()
+                held.setdefault(s, []).append(_group_sum(ids, vec, np.ones(len(ids), np.int64)))
+                if sum(len(h[0]) for h in held[s]) >= flush:
+                    yield people_rows(s, held.pop(s))
+        for s, parts in held.items():
+            yield people_rows(s, parts)
+        if totals:
+            yield pd.DataFrame({"kind": np.zeros(len(totals), np.int32), "s": list(totals), "pid": None,
+                                "n": np.zeros(len(totals), np.int64), "v": [t for t in totals.values()]})
+    return run
+
+
+def _person_pass(build):
+    """A ``mapInPandas`` function over one row per person: ``build(s, pdf)`` gives one total."""
+    def run(batches):
+        totals: dict = {}
+        for pdf in batches:
+            for s, own in pdf.groupby("s", sort=False):
+                total = build(s, own)
+                totals[s] = totals[s] + total if s in totals else total
+        if totals:
+            yield pd.DataFrame({"kind": np.zeros(len(totals), np.int32), "s": list(totals), "pid": None,
+                                "n": np.zeros(len(totals), np.int64), "v": [t for t in totals.values()]})
+    return run
+
+
+def _totals(rows: DataFrame) -> dict:
+    """Sum of the tasks' totals per stratum: first in REDUCERS tasks, then REDUCERS vectors per stratum on the driver."""
+    part = _person_pass(lambda s, own: np.sum(np.stack(own["v"].to_numpy()), axis=0))
+    out: dict = {}
+    tasks = min(REDUCERS, rows.sparkSession.sparkContext.defaultParallelism)
+    for r in rows.where(F.col("kind") == 0).repartition(tasks).mapInPandas(part, SUMS).collect():
+        v = np.array(r["v"])
+        out[r["s"]] = out[r["s"]] + v if r["s"] in out else v
+    return out
 
 
-def _global(rows: DataFrame, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    for r in rows.where(F.col("kind") == 0).groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
+def _people(rows: DataFrame, width: int) -> DataFrame:
+    """One summed vector per stratum and person, in two rounds: a person who is in
+    every task meets its partial vectors in REDUCERS groups first."""
+    add = lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)
+    zero = F.array_repeat(F.lit(0.0), width)
+    out = rows.where(F.col("kind") == 1).withColumn("_part", F.spark_partition_id() % REDUCERS)
+    for keys in (["s", "pid", "_part"], ["s", "pid"]):
+        out = out.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("v").alias("_vs"))
+        out = out.select(*keys, "n", F.aggregate("_vs", zero, add).alias("v"))
     return out
 
 
+# ----------------------------------------------------------------- results
 @dataclass
 class FEResult:
     terms: list
@@ -246,11 +238,18 @@ class FEResult:
     n_absorbed: int
     dropped: list
     label: str = ""
+    absorbed: list = field(default_factory=list)   # terms that are absorbed effects, not results
+    by_levels: list = field(default_factory=list)
 
     @property
     def k(self) -> int:
         return int(np.sum(~np.isnan(self.estimate)))
 
+    @property
+    def dof(self) -> int:
+        """Degrees of freedom of statistics and intervals: clusters less one."""
+        return max(self.n_clusters - 1, 1)
+
     def std_error(self) -> np.ndarray:
         return np.sqrt(np.clip(np.diag(self.cov), 0, None))
 
@@ -259,35 +258,40 @@ class FEResult:
         return -0.5 * n * (math.log(2 * math.pi) + math.log(max(self.rss, 1e-300) / n) + 1)
 
     def aic(self) -> float:
-        """M5: AIC counting estimated coefficients, absorbed effects and the variance."""
+        """M5: AIC counting estimated coefficients (month effects among them), person effects and the variance."""
         return -2 * self.loglik() + 2 * (self.k + self.n_absorbed + 1)
 
     def bic(self) -> float:
         return -2 * self.loglik() + math.log(self.n) * (self.k + self.n_absorbed + 1)
 
     def rows(self, scale: str | None = None) -> list[dict]:
-        """M4 + M6: tidy rows; scale 'percent' multiplies by 100, 'log' gives
-        exp(estimate) - 1 in percent."""
+        """M4 + M6: tidy rows of all terms but absorbed effects and levels that
+        no row has; scale 'percent' multiplies by 100, 'log' gives
+        exp(estimate) - 1 in percent.  Statistics and intervals are Student t's."""
         se = self.std_error()
-        dof = None if self.n_clusters > 200 else max(self.n_clusters - 1, 1)
+        crit = t_quantile_975(self.dof)
         out = []
+        skip = set(self.absorbed)
         for i, t in enumerate(self.terms):
+            if t in skip:
+                continue
             est = float(self.estimate[i])
             s = float(se[i]) if not math.isnan(est) else float("nan")
             stat = est / s if s and not math.isnan(est) else float("nan")
-            lo, hi = est - Z975 * s, est + Z975 * s
+            lo, hi = est - crit * s, est + crit * s
             if scale == "percent":
                 est, s, lo, hi = est * 100, s * 100, lo * 100, hi * 100
             elif scale == "log":
                 est, lo, hi = (math.exp(est) - 1) * 100, (math.exp(lo) - 1) * 100, (math.exp(hi) - 1) * 100
             out.append({"term": t, "estimate": _nn(est), "std_error": _nn(s), "statistic": _nn(stat),
-                        "p_value": _nn(two_sided_p(stat, dof)), "conf_low": _nn(lo), "conf_high": _nn(hi)})
+                        "p_value": _nn(two_sided_p(stat, self.dof)), "conf_low": _nn(lo), "conf_high": _nn(hi)})
         return out
 
+    TIDY = ("term string, estimate double, std_error double, statistic double, p_value double, "
+            "conf_low double, conf_high double")
+
     def tidy(self, spark, scale: str | None = None) -> DataFrame:
-        schema = ("term string, estimate double, std_error double, statistic double, p_value double, "
-                  "conf_low double, conf_high double")
-        return spark.createDataFrame(self.rows(scale), schema)
+        return spark.createDataFrame(self.rows(scale), self.TIDY)
 
     def effects_by_level(self, factor: str, by: str, by_levels: list, reference) -> list[dict]:
         """M7: effect of each ``factor`` level within each ``by`` level: the
@@ -319,200 +323,171 @@ def _nn(v):
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else v
 
 
-MAX_LEVELS = 20000
-
+def lr_test(restricted: FEResult, full: FEResult) -> dict:
+    """M5: likelihood-ratio test of nested models (chi-square p-value)."""
+    stat = 2 * (full.loglik() - restricted.loglik())
+    dof = max(full.k - restricted.k, 1)
+    return {"statistic": stat, "df": dof, "p_value": chi2_upper(stat, dof)}
+
+
+# ----------------------------------------------------------------- fitting
+def _centred(df: DataFrame, by: str | None, person: str, values: Sequence[str], keep: Sequence[str]):
+    """Complete rows with ``values`` less their person means (within the stratum), as a stored
+    stage; and the values' sums of squares before that, per stratum."""
+    data = df.select((F.col(by).cast("string") if by else F.lit("")).alias("_s"), F.col(person).cast("string").alias("_pid"),
+                     *[F.col(c).cast("double").alias(c) for c in values], *keep).dropna()
+    tag = uuid.uuid4().hex[:12]
+    means = data.groupBy("_s", "_pid").agg(*[F.avg(c).alias(f"_m_{c}") for c in values], *[F.sum(F.col(c) * F.col(c)).alias(f"_q_{c}") for c in values])
+    write_stage(means, "fe_means", tag)
+    means = read_stage(df.sparkSession, "fe_means", tag)
+    squares = {r["_s"]: np.array([r[c] for c in values]) for r in
+               means.groupBy("_s").agg(*[F.sum(f"_q_{c}").alias(c) for c in values]).collect()}
+    means = means.withColumnsRenamed({"_s": "_ms", "_pid": "_mp"})
+    own = data.join(means, (F.col("_s") == F.col("_ms")) & (F.col("_pid") == F.col("_mp")))
+    write_stage(own.select("_s", "_pid", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in values], *keep), "fe_rows", tag)
+    return read_stage(df.sparkSession, "fe_rows", tag), squares
+
+
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    tag = uuid.uuid4().hex[:12]
+    write_stage(df, name, tag)
+    return read_stage(df.sparkSession, name, tag)
+
+
+def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: Sequence[str] = (),
+               person: str = "census_id_final", month: str | None = "month_label", interact: tuple | None = None,
+               by: str | None = None, small_sample: bool = True, partitions: int | None = None,
+               flush_persons: int = FLUSH_PERSONS) -> dict:
+    """M1 (+M3, M7, M9, M11): one fit for each stratum of ``by`` and each outcome,
+    all in the same passes; keys of the result are (stratum, outcome).
 
-def _levels(df: DataFrame, col: str) -> list:
-    """Distinct levels of a low-cardinality factor (bins, months, groups);
-    refuses a column with more than MAX_LEVELS levels rather than pulling an
-    unbounded set to the driver (absorb such a factor by demeaning instead)."""
-    got = [r[0] for r in df.select(col).distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(got) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels; it cannot be an explicit dummy factor")
-    return sorted(v for v in got if v is not None)
+    factors: {column: reference level} expanded to dummies; numeric: ready
+    numeric columns; person: absorbed by demeaning and the cluster of the
+    standard errors; month: explicit dummies (first level dropped);
+    interact=(factor, by).  Rows with a missing value in any model column are
+    left out, as a regression on complete cases does; outcomes that are missing
+    on different rows belong in different calls.  A level that a stratum lacks
+    is left out of its result; a collinear term has a NULL estimate.
+    ``partitions`` spreads rows round-robin first (tests)."""
+    spark = df.sparkSession
+    ship_package(spark)
+    outcomes, numeric = list(outcomes), list(numeric)
+    labels = list(dict.fromkeys([*factors, *([month] if month else []), *([interact[1]] if interact else [])]))
+    data, sizes = _centred(df, by, person, list(dict.fromkeys([*numeric, *outcomes])), labels)
+    if partitions:
+        data = data.repartition(partitions)
+    found = data.agg(F.collect_set("_s").alias("_s"), *[F.collect_set(c).alias(c) for c in labels]).first()
+    levels = {c: sorted(found[c]) for c in labels}
+    design = Design({c: [lv for lv in levels[c] if str(lv) != str(ref)] for c, ref in factors.items()}, numeric, month,
+                    levels[month][1:] if month else [])
+    if interact:
+        design.interact_with, design.interact = interact
+        design.interact_levels = levels[interact[1]][1:]
+    k, m = len(design.terms), len(outcomes)
+    kz = k + m
+
+    def z_of(pdf):
+        return np.column_stack([design.matrix(pdf), pdf[outcomes].to_numpy(np.float64)])
+
+    def gram(s, pdf):
+        z = z_of(pdf)
+        return z, _pack(z.T @ z)
+    first = _staged(data.mapInPandas(_row_pass(gram, flush_persons), SUMS), "fe_gram")
+    people = _staged(_people(first, kz), "fe_people")
+
+    def between(s, pdf):
+        v, n = np.stack(pdf["v"].to_numpy()), pdf["n"].to_numpy(np.float64)
+        return np.concatenate([_pack((v / n[:, None]).T @ v), [len(pdf), n.sum()]])
+    raw, corr = _totals(first), _totals(people.withColumn("kind", F.lit(0)).mapInPandas(_person_pass(between), SUMS))
+    solved, absent = {}, {}
+    for s, v in raw.items():
+        zt = _unpack(v - corr[s][:-2], kz)
+        floor = COLLINEAR * v[_diagonal(kz)][:k]
+        at = sum(len(x) for x in design.factors.values())
+        floor[at:at + len(numeric)] = CONSTANT * sizes[s][:len(numeric)]
+        keep, inv = solve_normal(zt[:k, :k], floor)
+        beta = _times(inv, zt[:k, k:])
+        solved[s] = (inv, beta, keep, np.diag(zt)[k:], int(corr[s][-2]), int(corr[s][-1]))
+        absent[s] = {design.terms[j] for j in range(len(design.terms)) if v[_diagonal(kz)][j] == 0}
+    betas = {s: x[1] for s, x in solved.items()}
+
+    def residuals(s, pdf):
+        x = design.matrix(pdf)
+        r = pdf[outcomes].to_numpy(np.float64) - x @ betas[s]
+        return np.hstack([x * r[:, j:j + 1] for j in range(m)]), (r * r).sum(axis=0)
+    second = _staged(data.mapInPandas(_row_pass(residuals, flush_persons), SUMS), "fe_scores")
+    scores = _people(second, k * m).select(F.col("s").alias("_s2"), F.col("pid").alias("_p2"), F.col("v").alias("xr"))
+
+    def meat(s, pdf):
+        v, xr, n = np.stack(pdf["v"].to_numpy()), np.stack(pdf["xr"].to_numpy()), pdf["n"].to_numpy(np.float64)
+        out = []
+        for j in range(m):
+            mean = (v[:, k + j] - v[:, :k] @ betas[s][:, j]) / n
+            own = xr[:, j * k:(j + 1) * k] - v[:, :k] * mean[:, None]
+            out += [_pack(own.T @ own), [float(np.sum(mean * mean * n))]]
+        return np.concatenate(out)
+    joined = people.join(scores, (F.col("s") == F.col("_s2")) & (F.col("pid") == F.col("_p2"))).drop("_s2", "_p2")
+    squares, meats = _totals(second), _totals(joined.mapInPandas(_person_pass(meat), SUMS))
+    results, width = {}, k * (k + 1) // 2 + 1
+    for s, (inv, beta, keep, tss, groups, n) in solved.items():
+        gone = [j for j in range(k) if j not in keep]
+        for j, y in enumerate(outcomes):
+            own = meats[s][j * width:(j + 1) * width]
+            cov = _times(_times(inv, _unpack(own[:-1], k)), inv)
+            if small_sample and groups > 1 and n > len(keep):
+                cov *= (groups / (groups - 1)) * ((n - 1) / (n - len(keep)))
+            est = beta[:, j].copy()
+            est[gone], cov[gone, :], cov[:, gone] = np.nan, np.nan, np.nan
+            here = [i for i, t in enumerate(design.terms) if t not in absent[s]]
+            terms = [design.terms[i] for i in here]
+            results[s if by else None, y] = FEResult(
+                terms, est[here], cov[np.ix_(here, here)], n, groups, float(squares[s][j] - own[-1]), float(tss[j]), groups,
+                [design.terms[i] for i in gone if i in here], s, [t for t in design.absorbed if t not in absent[s]],
+                levels[interact[1]] if interact else [])
+    return results
 
 
 def fe_event_study(df: DataFrame, y: str, factors: dict, numeric: Sequence[str] = (),
                    person: str = "census_id_final", month: str | None = "month_label",
                    interact: tuple | None = None, partitions: int | None = None,
                    small_sample: bool = True, label: str = "", flush_persons: int = FLUSH_PERSONS) -> FEResult:
-    """M1 (+M3, M7 via ``interact=(factor, by)``).
-
-    factors: {column: reference level} expanded to dummies; numeric: ready
-    numeric columns; person: absorbed by demeaning and the cluster of the
-    standard errors; month: explicit dummies (first level dropped).  Rows
-    with a missing value in any model column are left out, as a regression
-    on complete cases does.  ``partitions`` spreads rows round-robin first
-    (tests use it to put one person's rows in many tasks)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    cols = [person, y] + list(factors) + list(numeric) + ([month] if month else [])
-    if interact:
-        cols.append(interact[1])
-    data = df.select(*dict.fromkeys(cols)).dropna(subset=list(dict.fromkeys(cols)))
-    levels = {c: [lv for lv in _levels(data, c) if str(lv) != str(ref)] for c, ref in factors.items()}
-    months = _levels(data, month)[1:] if month else []
-    design = Design(levels, list(numeric), month, months)
-    by_levels = []
-    if interact:
-        f, by = interact
-        by_levels = _levels(data, by)
-        design.interact, design.interact_with, design.interact_levels = by, f, by_levels[1:]
-    k = len(design.terms)
-    kz = k + 1
-    if partitions:  # optional round-robin spread (a person's rows then sit in many tasks)
-        data = data.repartition(partitions)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-
-    # Pass 1 (rows in any partitioning): raw Z'Z with z = [x, y] and per-person
-    # sums S_i of z.  The within-person Gram is Z'Z - sum_i S_i S_i' / n_i.
-    def pass1(batches):
-        def build(pdf):
-            z = np.column_stack([design.matrix(pdf), pdf[y].astype(np.float64).to_numpy()])
-            return z, (z.T @ z).ravel()
-        yield from _emit(_partial_person_sums(batches, person, build, flush_persons), kz * kz)
-
-    rows1 = data.select(F.col(person).cast("string").alias(person), *[c for c in data.columns if c != person]) \
-        .mapInPandas(pass1, PASS_SCHEMA)
-    rows1 = rows1.persist(StorageLevel.MEMORY_AND_DISK)
-    zz = _global(rows1, kz * kz).reshape(kz, kz)
-    people = _reduce_people(rows1, kz).persist(StorageLevel.MEMORY_AND_DISK)
-
-    # Pass 2 (one row per person): the between-person correction.
-    def pass2(batches):
-        c = np.zeros((kz, kz))
-        g, rows = 0, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            sm = np.array(pdf["s"].tolist(), dtype=np.float64)
-            c += (sm / pdf["n"].to_numpy(np.float64)[:, None]).T @ sm
-            g += len(pdf)
-            rows += int(pdf["n"].sum())
-        vec = np.concatenate([c.ravel(), [g, rows]])
-        yield pd.DataFrame({"i": np.arange(len(vec), dtype=np.int64), "v": vec})
-
-    corr = np.zeros(kz * kz + 2)
-    for r in people.mapInPandas(pass2, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        corr[r["i"]] = r["v"]
-    n_groups, n = int(corr[-2]), int(corr[-1])
-    zt = zz - corr[:-2].reshape(kz, kz)
-    xtx, xty, yy = zt[:k, :k], zt[:k, k], zt[k, k]
-
-    single_thread_blas()
-    keep = _independent_columns(xtx)
-    beta = np.full(k, np.nan)
-    bread = np.zeros((k, k))
-    if keep:
-        a = xtx[np.ix_(keep, keep)]
-        inv = np.linalg.inv(a)
-        beta[keep] = inv @ xty[keep]
-        bread[np.ix_(keep, keep)] = inv
-    b_use = np.nan_to_num(beta)
-
-    # Pass 3 (rows): r = y - x b; per-person sums of x r and the global sum of r^2.
-    def pass3(batches):
-        def build(pdf):
-            x = design.matrix(pdf)
-            r = pdf[y].astype(np.float64).to_numpy() - x @ b_use
-            return x * r[:, None], np.array([float(r @ r)])
-        yield from _emit(_partial_person_sums(batches, person, build, flush_persons), 1)
-
-    rows3 = data.select(F.col(person).cast("string").alias(person), *[c for c in data.columns if c != person]) \
-        .mapInPandas(pass3, PASS_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
-    rr = _global(rows3, 1)[0]
-    xr = _reduce_people(rows3, k).withColumnRenamed("s", "xr").drop("n")
-
-    # Pass 4 (one row per person): score s_i = sum_t x~ e = XR_i - S_x,i * Sr_i / n_i
-    # with Sr_i = S_y,i - S_x,i b; meat = sum_i s_i s_i'; RSS = sum r^2 - sum Sr_i^2 / n_i.
-    def pass4(batches):
-        m = np.zeros((k, k))
-        between = 0.0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            sm = np.array(pdf["s"].tolist(), dtype=np.float64)
-            xrm = np.array(pdf["xr"].tolist(), dtype=np.float64)
-            nn = pdf["n"].to_numpy(np.float64)
-            sr = sm[:, k] - sm[:, :k] @ b_use
-            sc = xrm - sm[:, :k] * (sr / nn)[:, None]
-            m += sc.T @ sc
-            between += float(np.sum(sr * sr / nn))
-        vec = np.concatenate([m.ravel(), [between]])
-        yield pd.DataFrame({"i": np.arange(len(vec), dtype=np.int64), "v": vec})
-
-    mv = np.zeros(k * k + 1)
-    for r in (people.join(xr, "pid").mapInPandas(pass4, "i long, v double")
-                    .groupBy("i").agg(F.sum("v").alias("v")).collect()):
-        mv[r["i"]] = r["v"]
-    for f in (rows1, rows3, people, data):
-        f.unpersist()
-    meat_m = mv[:k * k].reshape(k, k)
-    rss = rr - mv[-1]
-    cov = bread @ meat_m @ bread
-    kk = len(keep)
-    if small_sample and n_groups > 1 and n > kk:
-        cov *= (n_groups / (n_groups - 1)) * ((n - 1) / (n - kk))
-    cov[~np.isin(np.arange(k), keep), :] = np.nan
-    cov[:, ~np.isin(np.arange(k), keep)] = np.nan
-    dropped = [design.terms[i] for i in range(k) if i not in keep]
-    res = FEResult(design.terms, beta, cov, n, n_groups, rss, yy, n_groups + len(months), dropped, label)
-    res.by_levels = by_levels
+    """M1: one outcome over all rows (see ``fit_models``)."""
+    res = fit_models(df, [y], factors, numeric, person, month, interact, None, small_sample, partitions, flush_persons)[None, y]
+    res.label = label
     return res
 
 
-def _independent_columns(g: np.ndarray, tol: float = 1e-9) -> list:
-    """Greedy pivot on the Gram matrix: keep a column when its residual
-    variance after the kept ones is not negligible (collinear -> NULL estimate)."""
-    k = g.shape[0]
-    keep: list = []
-    for j in range(k):
-        if g[j, j] <= tol:
-            continue
-        if keep:
-            a = g[np.ix_(keep, keep)]
-            c = g[np.ix_(keep, [j])]
-            resid = g[j, j] - float((c.T @ np.linalg.solve(a, c))[0, 0])
-        else:
-            resid = g[j, j]
-        if resid > tol * max(g[j, j], 1.0):
-            keep.append(j)
-    return keep
+def _diagonal(size: int) -> np.ndarray:
+    """Places of the diagonal in a packed triangle."""
+    i = np.arange(size)
+    return i * size - i * (i - 1) // 2
 
 
-def lr_test(restricted: FEResult, full: FEResult) -> dict:
-    """M5: likelihood-ratio test of nested models (chi-square p-value)."""
-    stat = 2 * (full.loglik() - restricted.loglik())
-    dof = max(full.k - restricted.k, 1)
-    p = 1 - _gammainc_lower(dof / 2.0, stat / 2.0) if stat > 0 else 1.0
-    return {"statistic": stat, "df": dof, "p_value": p}
-
-
-def _gammainc_lower(a: float, x: float) -> float:
-    """Regularized lower incomplete gamma P(a, x) by series / continued fraction."""
-    if x <= 0:
-        return 0.0
-    gln = math.lgamma(a)
-    if x < a + 1:
-        ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(500):
-            ap += 1
-            d *= x / ap
-            s += d
-            if abs(d) < abs(s) * 1e-15:
-                break
-        return s * math.exp(-x + a * math.log(x) - gln)
-    b, c, d = x + 1 - a, 1e300, 1 / (x + 1 - a)
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = b + an / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1 / d
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return 1 - math.exp(-x + a * math.log(x) - gln) * h
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix product in one thread: a thread pool of the driver's linear algebra library
+    would spin on cores that Spark's tasks hold."""
+    return np.einsum("ij,jk->ik", a, b)
+
+
+def solve_normal(within: np.ndarray, floor: np.ndarray, tol: float = COLLINEAR) -> tuple[list, np.ndarray]:
+    """Columns kept, in order, and the inverse of their Gram matrix (0 elsewhere).  A
+    column goes when it does not vary within persons (its sum of squares is at most
+    its ``floor``), or when, on the scale of a unit diagonal, what the kept columns
+    before it leave of its variance is below ``tol``.  One Gauss-Jordan sweep per
+    kept column, k^3 in all; both tests are relative."""
+    own = np.diag(within)
+    varies = own > floor
+    d = np.where(varies, 1 / np.sqrt(np.where(varies, own, 1.0)), 0.0)
+    a = within * d[:, None] * d
+    keep: list = []
+    for j in np.flatnonzero(varies).tolist():
+        pivot = a[j, j]
+        if pivot <= tol:
+            continue
+        keep.append(j)
+        row, col = a[j] / pivot, a[:, j].copy()
+        a -= np.outer(col, row)
+        a[j], a[:, j], a[j, j] = row, -col / pivot, 1 / pivot
+    inverse = np.zeros_like(a)
+    inverse[np.ix_(keep, keep)] = a[np.ix_(keep, keep)]
+    return keep, inverse * d[:, None] * d

@@ -755,77 +755,6 @@ def q_fe_balanced(spark, sf_dir):
     return rounded(df)
 
 
-def main_fit(spark, sf_dir, y: str = "pay_deflated", subset=None, interact=None, label: str = "main",
-             transform=None, ref=0, controls=(), month: str = "month_label", spline: bool = True):
-    """M1 M2: outcome ~ six-month bins (reference ``ref``) + ns(age, 5) + controls
-    | person + month, clustered by person."""
-    from epicohort.operators.fe import fe_event_study, natural_spline_knots, natural_spline_terms
-    df = study(spark, sf_dir).combined
-    if transform is not None:
-        df = transform(df)
-    if subset is not None:
-        df = df.where(subset)
-    numeric = list(controls)
-    if spline:
-        # knots depend only on which rows enter (transforms here recode bins, never rows)
-        cache = study(spark, sf_dir).__dict__.setdefault("_knots", {})
-        key = "all" if subset is None else str(subset)
-        if key not in cache:
-            cache[key] = natural_spline_knots(df, "age_monthly")
-        knots = cache[key]
-        df = df.withColumns(natural_spline_terms(F.col("age_monthly"), knots, "age_ns"))
-        numeric = [f"age_ns{i}" for i in range(1, 6)] + numeric
-    return fe_event_study(df, y, {"t_treatment_6_month": ref}, numeric, interact=interact, label=label,
-                          month=month)
-
-
-@register("fe_event_study")
-def q_fe_event_study(spark, sf_dir):
-    """M1-M6: tidy coefficients of the main event study (pay, deflated)."""
-    return main_fit(spark, sf_dir).tidy(spark)
-
-
-@register("fe_suite")
-def q_fe_suite(spark, sf_dir):
-    """Pay, pay in work, employment (x100) and log pay in work
-    (exp(b) - 1, percent) fits side by side."""
-    from epicohort.operators.report import compare_models
-    fits = {"pay": main_fit(spark, sf_dir).tidy(spark),
-            "pay_in_work": main_fit(spark, sf_dir, subset=F.col("in_work") == 1).tidy(spark),
-            "employment": main_fit(spark, sf_dir, y="in_work").tidy(spark, scale="percent"),
-            "log_pay_in_work": main_fit(spark, sf_dir, y="log_pay", subset=F.col("in_work") == 1).tidy(
-                spark, scale="log")}
-    return compare_models(fits)
-
-
-@register("significance_table")
-def q_significance_table(spark, sf_dir):
-    """Estimate, stars and interval text per term, AIC/BIC rows."""
-    from epicohort.operators.report import significance_table
-    res = main_fit(spark, sf_dir)
-    return significance_table(res.tidy(spark), res.fit_stats())
-
-
-@register("fe_interaction")
-def q_fe_interaction(spark, sf_dir):
-    """M7: bins interacted with sex; effect per sex = reference + interaction,
-    SE from the joint covariance (delta rule), z-based interval."""
-    res = main_fit(spark, sf_dir, interact=("t_treatment_6_month", "census_sex"), label="by_sex")
-    rows = res.effects_by_level("t_treatment_6_month", "census_sex", res.by_levels, res.by_levels[0])
-    return spark.createDataFrame(rows, "term string, level string, estimate double, std_error double, "
-                                       "p_value double, conf_low double, conf_high double")
-
-
-@register("fe_by_stratum")
-def q_fe_by_stratum(spark, sf_dir):
-    """M9: one fit per sex (stratified models)."""
-    frames = []
-    for sex in ("Females", "Males"):
-        r = main_fit(spark, sf_dir, subset=F.col("census_sex") == sex, label=sex)
-        frames.append(r.tidy(spark).withColumn("stratum", F.lit(sex)))
-    return frames[0].unionByName(frames[1])
-
-
 # ------------------------------------------------------------------ descriptives (02)
 def _measures_sql(where: str = "TRUE") -> str:
     parts = []
@@ -1031,50 +960,6 @@ def q_describe_age(spark, sf_dir):
     return rounded(describe_num(person_level(spark, sf_dir), "age_monthly"))
 
 
-@register("fe_lr_test")
-def q_fe_lr_test(spark, sf_dir):
-    """M5: likelihood-ratio test of the age spline (bins only vs bins + spline), with AIC/BIC."""
-    from epicohort.operators.fe import lr_test
-    full = main_fit(spark, sf_dir)
-    restricted = main_fit(spark, sf_dir, spline=False, label="no_spline")
-    t = lr_test(restricted, full)
-    rows = [("lr_statistic", float(t["statistic"])), ("lr_df", float(t["df"])), ("lr_p_value", float(t["p_value"])),
-            ("aic_full", full.aic()), ("aic_restricted", restricted.aic()),
-            ("bic_full", full.bic()), ("bic_restricted", restricted.bic())]
-    return spark.createDataFrame(rows, "stat string, value double")
-
-
-@register("fe_with_births")
-def q_fe_with_births(spark, sf_dir):
-    """Main model with recent-birth controls."""
-    return main_fit(spark, sf_dir, controls=("birth_in_1yr", "birth_in_5yr"), label="births").tidy(spark)
-
-
-@register("fe_factor_month")
-def q_fe_factor_month(spark, sf_dir):
-    """M8: bins x sex interaction with sex-specific month effects absorbed."""
-    def tr(df):
-        return df.withColumn("sex_month", F.concat_ws("|", "census_sex", "month_label"))
-    return main_fit(spark, sf_dir, transform=tr, month="sex_month",
-                    interact=("t_treatment_6_month", "census_sex"), label="sex_month").tidy(spark)
-
-
-@register("sensitivity")
-def q_sensitivity(spark, sf_dir):
-    """Baseline 12 / 24 months, unexposed moved to bin -1 as
-    reference, months from index 72 dropped; estimates side by side."""
-    fits = {
-        "main": main_fit(spark, sf_dir),
-        "baseline_12m": main_fit(spark, sf_dir, transform=lambda d: P.rebase(d, merge_bins=(-1,))),
-        "baseline_24m": main_fit(spark, sf_dir, transform=lambda d: P.rebase(d, merge_bins=(-1, -2, -3))),
-        "unexposed_ref_-1": main_fit(spark, sf_dir, ref=-1,
-                                     transform=lambda d: P.rebase(d, merge_bins=(), unexposed_bin=-1)),
-        "before_month_72": main_fit(spark, sf_dir, subset=F.col("month_num") < 72),
-    }
-    from epicohort.operators.report import compare_models
-    return compare_models({k: v.tidy(spark) for k, v in fits.items()})
-
-
 @register("procedure_type_counts", oracle("""
 SELECT operation_type, CAST(count(*) AS BIGINT) AS n FROM exposed GROUP BY operation_type""", FLAGGED))
 def q_procedure_type_counts(spark, sf_dir):
@@ -1193,17 +1078,5 @@ def q_category_counts_unexposed(spark, sf_dir):
     return _category_counts(person_level(spark, sf_dir, "unexposed"))
 
 
-@register("fe_spline_interaction")
-def q_fe_spline_interaction(spark, sf_dir):
-    """M8: age spline interacted with sex (spline terms times the non-reference
-    sex dummy) plus bins x sex, with sex-specific month effects absorbed."""
-    from epicohort.operators.fe import fe_event_study, natural_spline_knots, natural_spline_terms
-    df = study(spark, sf_dir).combined.withColumn("sex_month", F.concat_ws("|", "census_sex", "month_label"))
-    knots = natural_spline_knots(df, "age_monthly")
-    terms = natural_spline_terms(F.col("age_monthly"), knots, "age_ns")
-    male = F.when(F.col("census_sex") == "Males", 1.0).otherwise(0.0)
-    df = df.withColumns({**terms, **{f"{k}_x_male": v * male for k, v in terms.items()}})
-    numeric = list(terms) + [f"{k}_x_male" for k in terms]
-    res = fe_event_study(df, "pay_deflated", {"t_treatment_6_month": 0}, numeric, month="sex_month",
-                         interact=("t_treatment_6_month", "census_sex"), label="spline_by_sex")
-    return res.tidy(spark)
+# the model fits register themselves over the names above
+from epicohort.plans import models  # noqa: E402,F401

@@ -80,3 +80,61 @@ def test_effects_by_level_delta_rule(spark):
     eff = {r["level"]: r for r in res.effects_by_level("bin", "sex", res.by_levels, res.by_levels[0])}
     assert abs(eff["F"]["estimate"] - 2.0) < 0.05 and abs(eff["M"]["estimate"] - 3.5) < 0.05
     assert eff["M"]["std_error"] > 0
+
+
+def _panel(seed, level, n_people=300, n_months=8):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for p in range(n_people):
+        a = level * rng.normal()
+        for m in range(n_months):
+            b = int(m >= 4 and p % 2 == 0)
+            x = rng.normal()
+            rows.append((f"p{p:03d}", f"m{m}", b, x, 2.0 * b + 0.5 * x + a + 0.1 * m + rng.normal(), rng.normal(), "s" + str(p % 2)))
+    return pd.DataFrame(rows, columns=["pid", "month", "bin", "x", "y", "y2", "half"])
+
+
+def test_rss_and_parameter_count_at_large_levels(spark):
+    """Person levels near 5e7 with unit noise: the residual sum of squares keeps its digits,
+    and the parameters counted are the rank of the full dummy regression."""
+    pdf = _panel(8, 5e7)
+    res = fe_event_study(spark.createDataFrame(pdf), "y", {"bin": 0}, ["x"], person="pid", month="month")
+    d = pdf.assign(**{c: pdf[c] - pdf.groupby("pid")[c].transform("mean") for c in ("x", "y")})
+    X = np.column_stack([(pdf.bin == 1).astype(float), d.x] + [(pdf.month == f"m{m}").astype(float) for m in range(1, 8)])
+    X = X - pd.DataFrame(X).groupby(pdf.pid).transform("mean").to_numpy()
+    e = d.y - X @ np.linalg.lstsq(X, d.y, rcond=None)[0]
+    assert abs(res.rss / float(e @ e) - 1) < 1e-9
+    assert res.k + res.n_absorbed == 300 + 9 and res.aic() == -2 * res.loglik() + 2 * (309 + 1)
+    assert [r["term"] for r in res.rows()] == ["bin1", "x"]
+
+
+def test_small_units_are_no_reason_to_drop_and_constants_are(spark):
+    pdf = _panel(9, 10.0, 40)
+    pdf["tiny"], pdf["same"], pdf["twice"] = pdf.x * 1e-9, pdf.groupby("pid").ngroup() * 1e6 + 0.1, 2 * pdf.x
+    res = fe_event_study(spark.createDataFrame(pdf), "y", {"bin": 0}, ["tiny", "same", "twice"], person="pid", month="month")
+    got = dict(zip(res.terms, res.estimate))
+    assert abs(got["tiny"] * 1e-9 - 0.5) < 0.2 and np.isnan(got["same"]) and np.isnan(got["twice"])
+    assert set(res.dropped) == {"same", "twice"}
+
+
+def test_strata_and_outcomes_in_one_job_equal_single_fits(spark):
+    from epicohort.operators.fe import fit_models
+    pdf = _panel(10, 10.0, 40)
+    pdf.loc[pdf.half == "s1", "bin"] = (pdf.month >= "m6").astype(int)
+    df = spark.createDataFrame(pdf)
+    both = fit_models(df, ["y", "y2"], {"bin": 0}, ["x"], person="pid", month="month", by="half", flush_persons=3, partitions=5)
+    assert set(both) == {(s, y) for s in ("s0", "s1") for y in ("y", "y2")}
+    for (s, y), res in both.items():
+        one = fe_event_study(df.where(df.half == s), y, {"bin": 0}, ["x"], person="pid", month="month")
+        assert res.terms == one.terms and res.n == one.n and abs(res.rss - one.rss) < 1e-8
+        assert np.allclose(res.estimate, one.estimate, equal_nan=True) and np.allclose(res.cov, one.cov, equal_nan=True)
+
+
+def test_tail_probabilities_match_known_values():
+    from epicohort.functions.dist import chi2_upper, t_quantile_975, t_two_sided
+    for stat, dof, p in ((2.0, 10, 0.07338803477074), (12.706204736, 1, 0.05), (8, 5, 0.00049290660), (0.5, 3, 0.65144796), (1.959963984540054, 1e9, 0.05)):
+        assert abs(t_two_sided(stat, dof) - p) < 1e-8
+    for dof, t in ((1, 12.7062047362), (10, 2.2281388520), (300, 1.9679030113)):
+        assert abs(t_quantile_975(dof) - t) < 1e-8
+    for x, dof in ((3.841458820694, 1), (5.991464547108, 2), (7.814727903251, 3), (18.30703805328, 10)):
+        assert abs(chi2_upper(x, dof) - 0.05) < 1e-10
