@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from epicohort.config import StudyConfig
 from epicohort.functions.dates import lit_date
 from epicohort.functions.slots import any_slot_in, first_match, secondary_only, slot_in
 from epicohort.sources.fixtures import DIAG_COLS, OP_COLS, OPDATE_COLS
+from epicohort.sources.io import new_version, read_stage, write_stage
 
 
 def with_date_diff(episodes: DataFrame, start: str = "epistart", end: str = "epiend") -> DataFrame:
@@ -41,23 +43,38 @@ def flag_episodes(ep: DataFrame, cfg: StudyConfig, op_cols: Sequence[str] = OP_C
     })
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a per-key table as a stage and read it back.  A join with it then has a
+    plain exchange on either side (or a broadcast, if the table is small enough
+    for Spark's own limit), which AQE can split for a hot key; an aggregate joined
+    in the same plan would sit between its exchange and the join and prevent that."""
+    tag = new_version()
+    write_stage(df, name, tag)
+    return read_stage(df.sparkSession, name, tag)
+
+
 def per_key(df: DataFrame, keys: Sequence[str], aggs: dict) -> DataFrame:
-    """Attach per-key aggregates to every row: a grouped aggregate (map-side
-    combined, so a key holding a third of the rows costs one row per task)
-    joined back on the key (AQE splits a skewed join partition).  Used in
-    place of ``agg().over(partitionBy(key))``, which would put a hot key's
-    rows into one task."""
-    stats = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
-    return df.join(stats, on=list(keys), how="inner")
+    """Attach per-key aggregates to every row with a key: a grouped aggregate
+    (map-side combined, so a key holding a third of the rows costs one row per
+    task), stored and joined back.  Used in place of
+    ``agg().over(partitionBy(key))``, which would put a hot key's rows into one task."""
+    stats = stored(df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(*[e.alias(n) for n, e in aggs.items()]), "per_key")
+    same = [F.col(k) == F.col(f"_key_{k}") for k in keys]
+    return df.join(stats, same, "inner").drop(*[f"_key_{k}" for k in keys])
 
 
 def any_flag_over(df: DataFrame, id_col: str, flags: dict) -> DataFrame:
     """Person-level 'any' of episode flags on every row of the person.
 
-    Rows without an id are kept apart (NULL person flags) so they never form
-    one giant group."""
-    keyed = per_key(df.where(F.col(id_col).isNotNull()), [id_col],
-                    {out: F.max(F.col(flag)) for out, flag in flags.items()})
+    Only rows that raise a flag are aggregated; the small table of people who
+    have one is joined to all rows (no shuffle of those where Spark broadcasts
+    it, a split one otherwise).  Rows without an id are kept apart (NULL person
+    flags) so they never form one giant group."""
+    raised = reduce(lambda a, b: a | b, [F.col(flag) == 1 for flag in flags.values()])
+    some = stored(df.where(F.col(id_col).isNotNull() & raised).groupBy(F.col(id_col).alias("_key"))
+                  .agg(*[F.max(F.col(flag)).alias(out) for out, flag in flags.items()]), "any_flag")
+    keyed = df.where(F.col(id_col).isNotNull()).join(some, F.col(id_col) == F.col("_key"), "left").drop("_key")
+    keyed = keyed.withColumns({out: F.coalesce(F.col(out), F.lit(0)) for out in flags})
     unkeyed = df.where(F.col(id_col).isNull()).withColumns(
         {out: F.lit(None).cast("int") for out in flags})
     return keyed.unionByName(unkeyed)
@@ -94,7 +111,7 @@ def first_procedure(df: DataFrame, cfg: StudyConfig, code_cols: Sequence[str] =
     m = first_match(code_cols, cfg.procedure_codes, date_cols)
     lookup = procedure_lookup(df.sparkSession, cfg)
     out = df.withColumns({"op_code": m["code"], "op_date": m["value"]})
-    return (out.join(F.broadcast(lookup), out["op_code"] == lookup["Code"], "left")
+    return (out.join(lookup, out["op_code"] == lookup["Code"], "left")
                .drop("Code").withColumnRenamed("Name", "operation_type"))
 
 
@@ -106,9 +123,9 @@ def with_first_procedure(df: DataFrame, cfg: StudyConfig, code_cols: Sequence[st
 
 
 def procedure_type(df: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Procedure type of ``op_code`` through the (broadcast) code lookup."""
+    """Procedure type of ``op_code`` through the code lookup."""
     lookup = procedure_lookup(df.sparkSession, cfg)
-    return (df.join(F.broadcast(lookup), df["op_code"] == lookup["Code"], "left")
+    return (df.join(lookup, df["op_code"] == lookup["Code"], "left")
               .drop("Code").withColumnRenamed("Name", "operation_type"))
 
 

@@ -408,7 +408,7 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
         keep, inv = solve_normal(zt[:k, :k], floor)
         beta = _times(inv, zt[:k, k:])
         solved[s] = (inv, beta, keep, np.diag(zt)[k:], int(corr[s][-2]), int(corr[s][-1]))
-        absent[s] = {design.terms[j] for j in range(len(design.terms)) if v[_diagonal(kz)][j] == 0}
+        absent[s] = {t for j, t in enumerate(design.terms) if v[_diagonal(kz)][j] == 0 and not at <= j < at + len(numeric)}
     betas = {s: x[1] for s, x in solved.items()}
 
     def residuals(s, pdf):

@@ -94,7 +94,7 @@ def crosswalk(df: DataFrame, xwalk: DataFrame, col: str = "lsoa_census", from_co
               to_col: str = "LSOA11CD", when=None) -> DataFrame:
     """Map codes of one route through a one-to-many crosswalk (rows fan out)."""
     when = when if when is not None else (F.col("census_id_flag") == 0)
-    x = F.broadcast(xwalk.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")))
+    x = xwalk.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to"))
     joined = df.join(x, when & (F.col(col) == F.col("_from")), "left")
     return joined.withColumn(col, F.when(when, F.col("_to")).otherwise(F.col(col))).drop("_from", "_to")
 
@@ -109,7 +109,7 @@ def enrich_areas(df: DataFrame, imd: DataFrame, ruc: DataFrame, region: DataFram
     reg = region.select(F.col("LSOA11CD").alias("_a3"), F.col("RGN20NM").alias("region"))
     out = df
     for t, k in ((imd, "_a1"), (ruc, "_a2"), (reg, "_a3")):
-        out = out.join(F.broadcast(t), F.col(area_col) == F.col(k), "left").drop(k)
+        out = out.join(t, F.col(area_col) == F.col(k), "left").drop(k)
     return out
 
 
@@ -137,5 +137,5 @@ def deflate(df: DataFrame, deflator: DataFrame, pay_col: str, out: str = "pay_de
     """Month-keyed deflator join (one row per month: bounded) and division."""
     d = deflator.select(F.col("month").alias("_dm"), F.col("cpih_deflator_2023").alias("_defl"))
     month = F.to_date(F.concat(F.col(label_col), F.lit("-01")), "yyyy-M-dd")
-    return (df.join(F.broadcast(d), month == F.col("_dm"), "left")
+    return (df.join(d, month == F.col("_dm"), "left")
               .withColumn(out, F.col(pay_col) / F.col("_defl")).drop("_dm", "_defl"))

@@ -5,14 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epicohort.config import StudyConfig
 from epicohort.functions.dates import (age_on, event_time, label_to_month, month_label, month_number,
                                        month_of_number, months_since)
 from epicohort.functions.recode import age_bands
-from epicohort.sources.fixtures import BIRTH_COLS
 
 
 def first_row_by(df: DataFrame, id_col: str, order_cols: Sequence[str]) -> DataFrame:
@@ -105,16 +104,17 @@ def attach_measures(panel: DataFrame, measures: DataFrame) -> DataFrame:
                  .fillna({"pay": 0.0, "days_worked": 0.0, "paye_flag": 0}))
 
 
-def recent_event_flags(df: DataFrame, cols=BIRTH_COLS, ref: str = "ref_date",
+def recent_event_flags(df: DataFrame, dates: Column | str = "baby_dobs", ref: str = "ref_date",
                        spans=(("birth_in_1yr", 0, 12), ("birth_in_5yr", 12, 60))) -> DataFrame:
-    """1 when any slot date lies lo <= months_between(ref, d) < hi."""
-    arr = F.array(*[F.col(c) for c in cols])
+    """1 when any date lies lo <= months_between(ref, d) < hi.  ``dates`` is an
+    array column of all dates; wide date columns go in as ``F.array(*cols)``."""
+    arr = F.col(dates) if isinstance(dates, str) else dates
     out = df
     for name, lo, hi in spans:
         hit = F.exists(arr, lambda d: d.isNotNull()
                        & (F.months_between(F.col(ref), d) >= lo) & (F.months_between(F.col(ref), d) < hi))
         out = out.withColumn(name, F.when(F.coalesce(hit, F.lit(False)), 1).otherwise(0))
-    return out.drop(*cols)
+    return out.drop(dates) if isinstance(dates, str) else out
 
 
 def monthly_panel(linked: DataFrame, id_routes: dict, pay: DataFrame, births: DataFrame,

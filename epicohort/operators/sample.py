@@ -69,7 +69,7 @@ def assign_dates(df: DataFrame, dist: DataFrame, cfg: StudyConfig, id_col: str =
     drawn = df.withColumn("_u", uniform_draw(F.col(id_col), cfg.seed)).withColumn(
         "_cell", F.floor(F.col("_u") * GRID).cast("int"))
     mid = dt.date(cfg.origin.year, cfg.origin.month, 15)
-    return (drawn.join(F.broadcast(bins), "_cell")
+    return (drawn.join(bins, "_cell")
                  .where((F.col("_u") > F.col("min_cum_prop")) & (F.col("_u") <= F.col("max_cum_prop")))
                  .withColumn("op_date", F.add_months(lit_date(mid), F.col("op_month")))
                  .drop("_cell", "_u", "min_cum_prop", "max_cum_prop", "op_count", "op_count_smooth"))
@@ -99,9 +99,18 @@ def stratum_targets(shares: DataFrame, total: int) -> DataFrame:
                          F.round(F.lit(total) * F.col("prop")).cast("long").alias("n_wanted"))
 
 
+def sample_shortfall(pop: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """People wanted, available and missing in each stratum (also in strata that nobody is in)."""
+    keys = list(keys)
+    have = pop.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_available"))
+    out = targets.select(*keys, "n_wanted").join(have, keys, "left")
+    out = out.withColumn("n_available", F.coalesce("n_available", F.lit(0)))
+    return out.withColumn("n_missing", F.greatest(F.col("n_wanted") - F.col("n_available"), F.lit(0)))
+
+
 def stratified_sample(pop: DataFrame, targets: DataFrame, keys: Sequence[str], seed: str,
                       id_col: str = "census_id_final", buckets: int = 65536,
-                      check: bool = False) -> DataFrame:
+                      check: bool = True) -> DataFrame:
     """X5 + T3: exactly ``n_wanted`` people per stratum, the ones with the
     smallest deterministic draws (ties broken by id); strata are matched by
     key, not by position (trap 4).
@@ -123,13 +132,11 @@ def stratified_sample(pop: DataFrame, targets: DataFrame, keys: Sequence[str], s
                .select(*keys, F.col("_m._b").alias("_cut"), F.col("_m._cum").alias("_cum_at"),
                        F.col("_m._c").alias("_c_at")))
     if check:
-        sizes = hist.groupBy(*keys).agg(F.max("_cum").alias("size"), F.first("n_wanted").alias("n_wanted"))
-        short = sizes.where(F.col("size") < F.col("n_wanted")).collect()
+        short = sample_shortfall(pop, targets, keys).where(F.col("n_missing") > 0).collect()
         if short:
             raise ValueError(f"strata smaller than their wanted size: {[r.asDict() for r in short]}")
-    # cut has one row per stratum (bounded by the number of strata): broadcast.
     # A stratum smaller than wanted has no cut and is taken whole.
-    dc = d.join(F.broadcast(cut), on=keys, how="left")
+    dc = d.join(cut, on=keys, how="left")
     lower = dc.where(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")))
     edge = dc.where(F.col("_b") == F.col("_cut"))
     need_in_edge = F.col("n_wanted") - (F.col("_cum_at") - F.col("_c_at"))

@@ -45,7 +45,7 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     the session's checkpoint folder, reused by every query of the same study."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STUDIES:
-        _STUDIES[key] = Study(FixtureTables(spark, sf_dir), CFG)
+        _STUDIES[key] = Study(FixtureTables(spark, sf_dir), CFG, allow_short=True)
     return _STUDIES[key]
 
 
@@ -405,8 +405,25 @@ def q_stratified_sample(spark, sf_dir):
     s = study(spark, sf_dir)
     pop = s.unexposed_linked.withColumn("five_year_bands", five_year_bands(F.col("age_at_operation"), tails=True))
     targets = S.stratum_targets(s.shares, SAMPLE_TOTAL)
-    return S.stratified_sample(pop, targets, STRATA, CFG.seed).select("census_id_final", "census_sex",
-                                                                  "five_year_bands", "op_date")
+    return S.stratified_sample(pop, targets, STRATA, CFG.seed, check=False).select(
+        "census_id_final", "census_sex", "five_year_bands", "op_date")
+
+
+def _shortfall_sql(total: int) -> str:
+    from epicohort.functions import recode as R
+    b5t = G.ranges_sql("age_at_operation", R.FIVE_YEAR_LOW_TAIL + R.FIVE_YEAR_BANDS + R.FIVE_YEAR_HIGH_TAIL, None,
+                       half_open=True)
+    return f"""
+SELECT s.census_sex, s.five_year_bands, s.n_wanted, coalesce(p.n, 0) AS n_available, greatest(s.n_wanted - coalesce(p.n, 0), 0) AS n_missing
+FROM (SELECT census_sex, five_year_bands, CAST(round({total} * prop) AS BIGINT) AS n_wanted FROM shares) s
+LEFT JOIN (SELECT census_sex, {b5t} AS five_year_bands, count(*) AS n FROM unexposed_dated_linked GROUP BY ALL) p
+  ON p.census_sex = s.census_sex AND p.five_year_bands = s.five_year_bands"""
+
+
+@register("sample_shortfall", oracle(_shortfall_sql(SAMPLE_TOTAL), FLAGGED, DIST, REG, LINK_E, LINK_U, SHARES))
+def q_sample_shortfall(spark, sf_dir):
+    """People wanted, available and missing per stratum; a ``Study`` raises on any missing unless told not to."""
+    return study(spark, sf_dir).shortfall()
 
 
 # ------------------------------------------------------------------ stage 1e
@@ -825,22 +842,25 @@ def q_type_month_totals(spark, sf_dir):
 
 
 _CAT_COLS = ["census_sex", "ethnic_group_tb", "disability_category", "ns_sec", "religion_tb", "highest_qualification",
-             "legal_partnership_status", "region", "rural_urban", "imd_quintile"]
+             "legal_partnership_status", "region", "rural_urban", "imd_quintile", "age_bands", "disability_binary", "imd_decile"]
 
 
 def _cat_sql(src: str) -> str:
     return "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS Variable_names, CAST({c} AS VARCHAR) AS Category_name, CAST(count(*) AS BIGINT) AS Count, "
+        f"SELECT '{c}' AS Variable_names, CAST({c} AS VARCHAR) AS Category_name, CAST(count(*) AS DOUBLE) AS Count, "
         f"round(count(*) * 100.0 / (SELECT count(*) FROM {src}), 1) AS Percentage "
-        f"FROM {src} GROUP BY {c}" for c in _CAT_COLS)
+        f"FROM {src} GROUP BY {c}" for c in _CAT_COLS) + (
+        f"\nUNION ALL SELECT 'age_at_operation', '', round(avg(age_at_operation), 4), round(stddev_samp(age_at_operation), 4) FROM {src}")
 
 
 def _category_counts(frame: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     from epicohort.operators.describe import category_counts
     cc = category_counts(frame, _CAT_COLS)
-    return cc.withColumn("Percentage", F.round(F.col("Count") / F.sum("Count").over(
-        Window.partitionBy("Variable_names")) * 100 * (1 + NUDGE), 1))
+    cc = cc.withColumn("Percentage", F.round(F.col("Count") / F.sum("Count").over(
+        Window.partitionBy("Variable_names")) * 100 * (1 + NUDGE), 1)).withColumn("Count", F.col("Count").cast("double"))
+    age = rounded(frame.agg(F.avg("age_at_operation").alias("Count"), F.stddev_samp("age_at_operation").alias("Percentage")))
+    return cc.unionByName(age.select(F.lit("age_at_operation").alias("Variable_names"), F.lit("").alias("Category_name"), "Count", "Percentage"))
 
 
 PL_E = "exposed_pl AS (SELECT * FROM exposed_desc WHERE t_op = 1)"
@@ -849,7 +869,7 @@ PL_U = "unexposed_pl AS (SELECT * FROM unexposed_desc WHERE t_op = 1)"
 
 @register("category_counts", oracle(_cat_sql("exposed_pl"), FLAGGED, REG, LINK_E, PANEL_E, DESCR_E, PL_E))
 def q_category_counts(spark, sf_dir):
-    """Counts and percent (1 dp) of each category of ten person attributes
+    """Counts and percent (1 dp) of each category of 13 person attributes, and mean and sd of age
     (person level = event-month panel row), one unpivot + aggregate."""
     return _category_counts(person_level(spark, sf_dir))
 

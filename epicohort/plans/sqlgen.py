@@ -10,7 +10,7 @@ import datetime as dt
 
 from epicohort.config import StudyConfig
 from epicohort.functions import recode as R
-from epicohort.sources.fixtures import BIRTH_COLS, DIAG_COLS, OP_COLS, OPDATE_COLS
+from epicohort.sources.fixtures import DIAG_COLS, OP_COLS, OPDATE_COLS
 
 
 def d(x: dt.date) -> str:
@@ -217,6 +217,7 @@ dth AS (
   UNION ALL
   SELECT census2021_person_id, 0, min(dod) FROM deaths_d
   WHERE census2011_person_id IS NULL AND census2021_person_id IS NOT NULL GROUP BY census2021_person_id),
+births_long AS (SELECT baby_dob_census_id_final AS pid, unnest(baby_dobs) AS d FROM births),
 links AS (
   SELECT 1 AS census_id_flag, census_id AS census_id_final, frameworks_nino AS valid_nino
   FROM person_ids_2011 WHERE nino_contains_multiple_census_id = 0
@@ -266,15 +267,14 @@ def panel_ctes(x: str, cfg: StudyConfig) -> str:
     bands = ranges_sql("age_at_operation", R.TEN_YEAR_BANDS, R.TEN_YEAR_DEFAULT, half_open=True)
 
     def births(lo, hi):
-        return " OR ".join(f"({c} IS NOT NULL AND {mb('ref_date', c)} >= {lo} AND {mb('ref_date', c)} < {hi})"
-                           for c in BIRTH_COLS)
+        return (f"EXISTS (SELECT 1 FROM births_long bl WHERE bl.pid = a.census_id_final AND {mb('ref_date', 'bl.d')} >= {lo} "
+                f"AND {mb('ref_date', 'bl.d')} < {hi})")
     return f"""
 {x}_p0 AS (SELECT * FROM {x}_linked QUALIFY row_number() OVER (PARTITION BY census_id_final ORDER BY lsoa_final NULLS LAST) = 1),
 {x}_p1 AS (
   SELECT p.*, {bands} AS age_bands FROM {x}_p0 p
   WHERE EXISTS (SELECT 1 FROM links k WHERE k.census_id_flag = p.census_id_flag AND k.census_id_final = p.census_id_final)),
-{x}_p2 AS (SELECT p.*, b.* EXCLUDE (baby_dob_census_id_final) FROM {x}_p1 p
-           LEFT JOIN births_wide b ON b.baby_dob_census_id_final = p.census_id_final),
+{x}_p2 AS (SELECT * FROM {x}_p1),
 {x}_p3 AS (
   SELECT p.*, s.ref_date,
          {month_no('s.ref_date')} - {month_no('p.op_date')} + 1 AS t_op,
@@ -285,7 +285,7 @@ def panel_ctes(x: str, cfg: StudyConfig) -> str:
 {x}_p4 AS (SELECT * FROM {x}_p3 WHERE (dod IS NULL OR dod > ref_date) AND age_monthly BETWEEN {alo} AND {ahi}
            AND t_op BETWEEN {tlo} AND {thi}),
 {x}_panel AS (
-  SELECT a.* EXCLUDE ({", ".join(BIRTH_COLS)}),
+  SELECT a.*,
          coalesce(m.pay, 0.0) AS pay, coalesce(m.days_worked, 0.0) AS days_worked,
          CASE WHEN m.pay IS NULL THEN 0 ELSE 1 END AS paye_flag,
          CASE WHEN {births(0, 12)} THEN 1 ELSE 0 END AS birth_in_1yr,

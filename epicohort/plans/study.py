@@ -5,7 +5,8 @@ exposed population.  1b: event-month distribution, pseudo event dates.
 1c: linkage to registries, deaths and areas; age and survival rules.
 1d: matched stratified sample of the unexposed.  1e: person x month panel
 with pay and recent births.  4a: analysis variables for both cohorts.
-Every stage returns DataFrames; nothing is collected.
+Every stage returns a DataFrame.  A finished stage is written when it is first
+asked for, and the analysis stage reads one quantile of pay to the driver.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ STRATA = ["census_sex", "five_year_bands"]
 class Study:
     """One study over one set of input tables (lazy DataFrames, cached per object)."""
 
-    def __init__(self, tables: FixtureTables, cfg: StudyConfig = FIXTURE_CONFIG, materialize: bool = True):
+    def __init__(self, tables: FixtureTables, cfg: StudyConfig = FIXTURE_CONFIG, materialize: bool = True,
+                 allow_short: bool = False):
+        """``allow_short``: take strata that are too small whole (see ``shortfall``); otherwise they raise."""
+        self.allow_short = allow_short
         self.t = tables
         self.cfg = cfg
         self.materialize = materialize
@@ -53,7 +57,7 @@ class Study:
         # the slot families are resolved into flags and (op_code, op_date): the
         # stage keeps narrow columns only
         fl = fl.drop(*OP_COLS, *OPDATE_COLS, *DIAG_COLS)
-        return self.stage("flagged", C.person_flags(fl))
+        return self.stage("flagged", C.person_flags(self.stage("episode_flags", fl)))
 
     def exposure_stages(self):
         op = F.col("metabolic_op_flag") == 1
@@ -168,7 +172,13 @@ class Study:
         pop = self.unexposed_linked.withColumn("five_year_bands",
                                                five_year_bands(F.col("age_at_operation"), tails=True))
         targets = S.stratum_targets(self.shares, total)
-        return S.stratified_sample(pop, targets, STRATA, self.cfg.seed).drop("five_year_bands")
+        return S.stratified_sample(pop, targets, STRATA, self.cfg.seed, check=not self.allow_short).drop("five_year_bands")
+
+    def shortfall(self, total: int | None = None) -> DataFrame:
+        """People wanted, available and missing in each stratum of the sample."""
+        pop = self.unexposed_linked.withColumn("five_year_bands", five_year_bands(F.col("age_at_operation"), tails=True))
+        targets = S.stratum_targets(self.shares, self.cfg.sample_total if total is None else total)
+        return S.sample_shortfall(pop, targets, STRATA)
 
     # ---------------------------------------------------------------- 1e
     @cached_property
@@ -176,7 +186,7 @@ class Study:
         return {1: self.t.person_ids_2011, 0: self.t.person_ids_2021}
 
     def panel(self, linked: DataFrame) -> DataFrame:
-        return P.monthly_panel(linked, self.id_routes, self.t.monthly_pay, self.t.births_wide, self.cfg)
+        return P.monthly_panel(linked, self.id_routes, self.t.monthly_pay, self.t.births, self.cfg)
 
     @cached_property
     def exposed_panel(self) -> DataFrame:
@@ -201,7 +211,9 @@ class Study:
         from epicohort.operators.quantiles import quantile_values
         df = P.calendar_index(P.event_bins(panel.select(*self.ANALYSIS_COLS)), self.cfg)
         q_hi = quantile_values(df, "pay", [0.9999])[0]
-        df = P.outcomes(df, q_hi if q_hi is not None else float("inf"), self.t.deflator)
+        if q_hi is None:
+            raise ValueError("no pay to take the upper quantile of")
+        df = P.outcomes(df, q_hi, self.t.deflator)
         if treated:
             df = P.value_where(df, "census_id_final", "six_month_num", F.col("t_op") == 1, "treatment_group")
             return df.withColumn("treat", F.lit(1)).where(F.col("t_op") <= self.cfg.event_window[1])

@@ -21,12 +21,10 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
 
 N_OP_SLOTS = 24
 N_DIAG_SLOTS = 20
-N_BIRTH_SLOTS = 11
 
 OP_COLS = [f"opertn_4_{i:02d}" for i in range(1, N_OP_SLOTS + 1)]
 OPDATE_COLS = [f"opdate_{i:02d}" for i in range(1, N_OP_SLOTS + 1)]
 DIAG_COLS = [f"diag_4_{i:02d}" for i in range(1, N_DIAG_SLOTS + 1)]
-BIRTH_COLS = [f"baby_dob_{i}" for i in range(1, N_BIRTH_SLOTS + 1)]
 
 
 def _wide(col: str, out: str, n: int) -> str:
@@ -204,17 +202,12 @@ FROM (
 GROUP BY valid_nino, month
 """
 
-BIRTHS_WIDE_SQL = f"""
-SELECT pid AS baby_dob_census_id_final,
-{",".join(f" max(CASE WHEN rn = {i} THEN d END) AS baby_dob_{i}" for i in range(1, N_BIRTH_SLOTS + 1))}
-FROM (
-  SELECT CASE WHEN o_custkey % 4 <> 0 THEN 'A' ELSE 'B' END || CAST(o_custkey AS STRING) AS pid,
-         CAST(o_orderdate AS DATE) AS d,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
-  FROM orders
-) t
-WHERE rn <= {N_BIRTH_SLOTS}
-GROUP BY pid
+# All dates of a person in one array, in no order.
+BIRTHS_SQL = """
+SELECT CASE WHEN o_custkey % 4 <> 0 THEN 'A' ELSE 'B' END || CAST(o_custkey AS STRING) AS baby_dob_census_id_final,
+       array_agg(CAST(o_orderdate AS DATE)) AS baby_dobs
+FROM orders
+GROUP BY o_custkey
 """
 
 DEFLATOR_SQL = """
@@ -236,7 +229,7 @@ FIXTURE_SQL = {
     "person_ids_2011": PERSON_IDS_2011_SQL,
     "person_ids_2021": PERSON_IDS_2021_SQL,
     "monthly_pay": MONTHLY_PAY_SQL,
-    "births_wide": BIRTHS_WIDE_SQL,
+    "births": BIRTHS_SQL,
     "deflator": DEFLATOR_SQL,
 }
 
