@@ -56,13 +56,26 @@ class Codec(dict):
         older = older.replace(r" ?\p{L}", rf" ?[\p{{L}}--[{NEWER_LETTERS}]]").replace(r" ?\p{N}", rf" ?[\p{{N}}--[{NEWER_NUMBERS}]]")
         self.split_older = regex.compile(older, regex.V1).findall
         n = max(ranks.values(), default=-1) + 1
-        # the rank queue: positions by rank, a bit for each rank that has any, a bit for each word that has any
-        self.buckets: dict[int, list[int]] = {}
+        # the rank queue: a position or a heap of them by rank, a bit for each rank that has any; a bit for each word that has any is merge()'s
+        self.buckets: list[int | list[int] | None] = [None] * n
         self.words = [0] * ((n >> SHIFT) + 1)
         self.vocabulary: list[bytes | None] = [None] * n
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
 
+    def push(self, rank: int, i: int) -> int:
+        """Queue a position under its rank; the bit of the rank's word."""
+        bucket = self.buckets[rank]
+        w = rank >> SHIFT
+        if bucket is None:
+            self.buckets[rank] = i
+            self.words[w] |= 1 << (rank & ((1 << SHIFT) - 1))
+        elif bucket.__class__ is int:
+            self.buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+        else:
+            heappush(bucket, i)
+        return 1 << w
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         rank_of = self.ranks.get
@@ -74,48 +87,57 @@ class Codec(dict):
         end = list(range(1, n + 1))  # where the part that starts here ends
         before = list(range(-1, n))  # where the part to the left of here starts
         pair = [-1] * n  # rank of the part that starts here joined with the next one
-        fresh = [(i, rank_of(piece[i:i + 2])) for i in range(n - 1)]  # pairs to queue
-        while True:
-            for i, rank in fresh:
-                if rank is None:
-                    pair[i] = -1
-                    continue
+        for i in range(n - 1):
+            rank = rank_of(piece[i:i + 2])
+            if rank is not None:
                 pair[i] = rank
-                if rank in buckets:
-                    heappush(buckets[rank], i)
-                else:
-                    buckets[rank] = [i]
+                bucket = buckets[rank]
+                if bucket is None:
+                    buckets[rank] = i
                     w = rank >> SHIFT
+                    if not words[w]:
+                        top |= 1 << w
                     words[w] |= 1 << (rank & mask)
-                    top |= 1 << w
-            fresh = ()
-            if not top:
-                break
+                elif bucket.__class__ is int:
+                    buckets[rank] = [bucket, i]
+                else:
+                    bucket.append(i)
+        while top:
             w = (top & -top).bit_length() - 1
             word = words[w]
             low = word & -word
             rank = (w << SHIFT) + low.bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                del buckets[rank]
-                words[w] = word ^ low
-                if word == low:
+            if bucket.__class__ is int:
+                i = bucket
+                buckets[rank] = None
+                words[w] = word = word ^ low
+                if not word:
                     top ^= 1 << w
+            else:
+                i = heappop(bucket)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
             if pair[i] != rank:
                 continue  # stale
             j = end[i]
             k = end[i] = end[j]
             pair[j] = pair[i] = -1
-            p = before[i]
+            left = before[i]
             if k < n:
                 before[k] = i
-                e = end[k]
-                fresh = [(i, rank_of(piece[i:e]) if e - i <= longest else None)]
-                if p >= 0:
-                    fresh.append((p, rank_of(piece[p:k]) if k - p <= longest else None))
-            elif p >= 0:
-                fresh = ((p, rank_of(piece[p:k]) if k - p <= longest else None),)
+                stop = end[k]
+                rank = rank_of(piece[i:stop]) if stop - i <= longest else None
+                if rank is not None:
+                    pair[i] = rank
+                    top |= self.push(rank, i)
+            if left >= 0:
+                rank = rank_of(piece[left:k]) if k - left <= longest else None
+                if rank is None:
+                    pair[left] = -1
+                else:
+                    pair[left] = rank
+                    top |= self.push(rank, left)
         ids, i = [], 0
         while i < n:
             ids.append(rank_of(piece[i:end[i]]))
