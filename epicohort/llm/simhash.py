@@ -9,7 +9,8 @@ that meet is checked. Equal fingerprints count once in all of this.
 A key that very many distinct fingerprints share is not paired out: under it
 each fingerprint is listed beside every fingerprint one bit away, and all that
 are listed for one centre are tied to the least of them and checked, which
-connects exactly the same fingerprints at ``distance`` 2 without their pairs.
+connects exactly the same fingerprints without their pairs (at ``distance`` 2,
+the only one at which it would; at others all keys are paired).
 
 Defined results: a null or empty text has fingerprint zero and links like any
 other; a null doc_id takes part, but is no component's name unless there is no
@@ -90,19 +91,19 @@ def near_links(distinct: DataFrame, distance: int) -> DataFrame:
     """Edges (u, v) that connect the fingerprints (column ``fp``, each once) at most ``distance`` bits apart."""
     keys, masks = block_keys(F.col("fp"), distance)
     keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.no", "k.bits")
-    crowded = stash(keyed.groupBy("no", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRED)
-                    .select("no", "bits"), "crowded")
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    crowd = crowded.count()
+    crowd = 0
+    if distance == 2:  # the distance at which centres connect all that is near, and only that
+        crowded = stash(keyed.groupBy("no", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRED)
+                        .select("no", "bits"), "crowded")
+        crowd = crowded.count()
     thin = keyed.join(crowded, ["no", "bits"], "left_anti") if crowd else keyed
     left, right = thin.select("no", "bits", F.col("fp").alias("u")), thin.select("no", "bits", F.col("fp").alias("v"))
     links = left.join(right, ["no", "bits"]).where((F.col("u") < F.col("v")) & close).select("u", "v")
     if not crowd:
         return links
     # centres: a fingerprint and those one flipped bit away, among the bits that the key leaves open
-    if distance != 2:
-        raise ValueError("centres connect fingerprints at a distance of 2 only")
-    bit = lambda i: F.shiftleft(F.lit(1).cast("long"), i)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     open_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("mask").bitwiseAND(bit(i)) == 0)
     centres = F.concat(F.array("fp"), F.transform(open_bits, lambda i: F.col("fp").bitwiseXOR(bit(i))))
     mask = F.get(F.array(*[F.lit(m) for m in masks]), F.col("no"))
