@@ -35,8 +35,9 @@ CALIBRATION_FOLD = 4
 #: Entries of the lexicon at most: the strongest of those that qualify.
 LEXICON = 4_000
 PREFIXES = range(3, 8)
-#: An entry stands in this many toxic training texts at least, with a log odds ratio and its z value of at least these.
-LEAST_TEXTS, LEAST_RATIO, LEAST_Z = 5, 2.0, 5.0
+#: An entry stands in this many toxic training texts at least, with a log odds ratio and a root of its
+#: likelihood-ratio statistic (against equal shares in both classes) of at least these.
+LEAST_TEXTS, LEAST_RATIO, LEAST_Z = 5, 2.0, 4.5
 #: Second persons of a few languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur ya du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos "
                           "tú ti tuyo usted ustedes vosotros".split())
@@ -95,11 +96,12 @@ def learn_lexicon(train: DataFrame, text: str, label: str) -> dict[str, float]:
     """Weights (log odds ratios) of the entries; ``train`` holds each text once. At most LEXICON entries reach the driver."""
     sizes = train.agg(F.sum(F.col(label).cast("long")).alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     toxic, other = sizes["toxic"] or 0, (sizes["n"] or 0) - (sizes["toxic"] or 0)
-    a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
-    ratio = F.log(a / (toxic + 0.5)) - F.log(b / (other + 0.5))
-    deviation = F.sqrt(1 / a + 1 / b)
+    ratio = F.log((F.col("toxic") + 0.5) / (toxic + 0.5)) - F.log((F.col("other") + 0.5) / (other + 0.5))
+    held, share = F.col("toxic") + F.col("other"), toxic / max(1, toxic + other)
+    surprise = lambda n, p: F.when(n > 0, n * F.log(n / (held * p))).otherwise(0.0)
+    z = F.sqrt(2 * (surprise(F.col("toxic"), share) + surprise(F.col("other"), 1 - share)))
     found = term_counts(train, text, label).where(F.col("toxic") >= LEAST_TEXTS) \
-        .select("term", ratio.alias("ratio"), (ratio / deviation).alias("z")) \
+        .select("term", ratio.alias("ratio"), z.alias("z")) \
         .where((F.col("ratio") >= LEAST_RATIO) & (F.col("z") >= LEAST_Z))
     return {r["term"]: float(r["ratio"]) for r in found.orderBy(F.desc("z"), "term").limit(LEXICON).collect()}
 
@@ -179,6 +181,24 @@ def training_sample(labels: DataFrame, label: str, doc_id: str, eligible: Column
     return stash(rows.where(hash_share(F.col("_id"), "labelled") < min(1.0, sample / max(1, n))), "sample")
 
 
+def _least_shingle(texts: pa.Array) -> pa.Array:
+    from xxhash import xxh64_digest
+    out = []
+    for _, part in slices(texts.cast(pa.binary())):
+        for text in part.to_pylist():
+            words = (text or b"").lower().split()
+            out.append(min(xxh64_digest(b" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))))
+    return pa.array(out, pa.binary())
+
+
+_least_shingle.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+
+
+def least_shingle(text: Column) -> Column:
+    """The least hash of a text's three-word shingles, which near copies mostly share."""
+    return F.arrow_udf(_least_shingle, "binary")(text)
+
+
 class Toxicity:
     """A fitted model: lexicon, trees and calibration (or a constant score where there was nothing to tell apart)."""
 
@@ -206,8 +226,8 @@ def learn(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str
     ready(spark)
     own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"))
     train = own.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
-    train = stash(train.select("_id", "_label", "text", F.xxhash64("text").alias("_copy")), "train")
-    train = stash(train.dropDuplicates(["_copy", "_label"]), "distinct")  # a text with many copies counts once
+    train = stash(train.select("_id", "_label", "text", least_shingle(F.col("text")).alias("_copy")), "train")
+    train = stash(train.dropDuplicates(["_copy", "_label"]), "distinct")  # copies and most near copies count once
     classes = {r[0]: r[1] for r in train.groupBy("_label").count().collect()}
     if len(classes) < 2:
         return Toxicity(constant=float(max(classes, default=0) > 0))
