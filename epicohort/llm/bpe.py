@@ -27,7 +27,7 @@ from epicohort.llm.common import Shared, fresh_name, ready, slices
 #: Ranks under one word of the bitmap's lower level: 2 ** SHIFT.
 SHIFT = 8
 #: Pre-tokens that a worker remembers, and the longest that it does.
-MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
 #: Letters and numbers newer than Unicode 16, the version of the library's own tables.
 NEWER_LETTERS = ("\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1"
                  "\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee"
@@ -199,7 +199,8 @@ class BytePairEncoding:
                 out += [None if t is None else codec.encode(t) for t in part.to_pylist()]
             return pa.array(out, pa.binary())
         run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        return F.arrow_udf(run, "binary")(text)
+        # not deterministic, as far as Spark is told: or it would encode once for the ids and again for decode(ids)
+        return F.arrow_udf(run, "binary").asNondeterministic()(text)
 
     def decode(self, ids: Column) -> Column:
         """The bytes that packed ids stand for."""

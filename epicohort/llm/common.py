@@ -28,9 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, where the session does not say: whole texts can be long, and a task holds a batch and its results.
+BATCH_ROWS = 1_000
+
+
 def ready(spark: SparkSession) -> None:
-    """What a job with Python tasks needs: the package on the workers."""
+    """What a job with Python tasks needs: the package on the workers, and batches that fit in their memory."""
     ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

@@ -207,7 +207,7 @@ def predict(text: Column, model: Languages, spark) -> Column:
         return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
                                           ["lang_pred", "score"])
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<lang_pred:string,score:double>")(text)
+    return F.arrow_udf(run, "struct<lang_pred:string,score:double>").asNondeterministic()(text)
 
 
 def keep_identified(docs: DataFrame, model: Languages, least: float = 0.5, text: str = "text") -> DataFrame:

@@ -115,7 +115,8 @@ _run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
 
 def clean_lines(text: Column) -> Column:
     """RESULT of a text: counts, verdict, and the text of the lines that stay."""
-    return F.arrow_udf(_run, RESULT)(text)
+    # not deterministic, as far as Spark is told: or a filter on the verdict would judge the text once more
+    return F.arrow_udf(_run, RESULT).asNondeterministic()(text)
 
 
 def quality_results(docs: DataFrame, text: str = "text") -> DataFrame:
