@@ -20,7 +20,7 @@ def planted(spark, n=400):
     draw = random.Random(4)
     rows = []
     for i in range(n):
-        words = [draw.choice("lorem ipsum dolor sit amet sed magna".split()) for _ in range(40)]
+        words = [f"w{draw.randint(0, 400)}" for _ in range(40)]
         if i % 4 == 0:
             words[draw.randrange(40)] = "rotter"
         rows.append((i, " ".join(words) + f" {i}", int(i % 4 == 0)))
