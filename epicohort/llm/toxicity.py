@@ -42,6 +42,11 @@ LEAST_TEXTS, LEAST_RATIO, LEAST_Z = 5, 2.0, 4.5
 SECOND_PERSON = frozenset("you your yours yourself u ur ya du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos "
                           "tú ti tuyo usted ustedes vosotros".split())
 NEAR = 5
+#: Training texts count as near copies from this Jaccard similarity of their three-word shingles.
+ALIKE = 0.8
+#: Four orders of the shingles' hashes; two texts as alike as that miss each other in all with a chance of 0.2 ** 4.
+_ORDERS = [(np.uint64(a), np.uint64(b)) for a, b in ((0, 1), (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9),
+                                                   (0xD1B54A32D192ED03, 0x94D049BB133111EB), (0x8CB92BA72F3D8DD7, 0xFF51AFD7ED558CCD))]
 #: Signs that stand for letters in disguised words.
 DISGUISE = str.maketrans("013457@$!|", "oleastasil")
 
@@ -181,22 +186,61 @@ def training_sample(labels: DataFrame, label: str, doc_id: str, eligible: Column
     return stash(rows.where(hash_share(F.col("_id"), "labelled") < min(1.0, sample / max(1, n))), "sample")
 
 
-def _least_shingle(texts: pa.Array) -> pa.Array:
+def _shingles(text: bytes | None) -> np.ndarray:
+    """The distinct hashes of a text's three-word shingles (of all its words, where there are fewer), sorted."""
     from xxhash import xxh64_digest
-    out = []
-    for _, part in slices(texts.cast(pa.binary())):
-        for text in part.to_pylist():
-            words = (text or b"").lower().split()
-            out.append(min(xxh64_digest(b" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))))
-    return pa.array(out, pa.binary())
+    words = (text or b"").lower().split()
+    return np.unique(np.frombuffer(b"".join([xxh64_digest(b" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))]), np.uint64))
 
 
-_least_shingle.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+def _sketch(texts: pa.Array) -> pa.Array:
+    out = []
+    for _, part in slices(texts.cast(pa.binary())):
+        for own in map(_shingles, part.to_pylist()):
+            out.append({"n": len(own), "least": [int(((own ^ a) * b).min().view(np.int64)) for a, b in _ORDERS]})
+    return pa.array(out, pa.struct([("n", pa.int64()), ("least", pa.list_(pa.int64()))]))
 
 
-def least_shingle(text: Column) -> Column:
-    """The least hash of a text's three-word shingles, which near copies mostly share."""
-    return F.arrow_udf(_least_shingle, "binary")(text)
+def _similarity(left: pa.Array, right: pa.Array) -> pa.Array:
+    out = []
+    for start, part in slices(left.cast(pa.binary())):
+        for a, b in zip(part.to_pylist(), right[start:start + len(part)].cast(pa.binary()).to_pylist()):
+            a, b = _shingles(a), _shingles(b)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both / (len(a) + len(b) - both))
+    return pa.array(out, pa.float64())
+
+
+_sketch.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+_similarity.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` (_id, _label, text) without copies: of equal texts with one label the least id stays, and a text goes
+    whose three-word shingles are verified to be ALIKE (Jaccard) or more to those of one with its label that stays.
+
+    Candidates are a text and the first of those that share a least shingle with it, in one of several orders of the
+    shingles; a shared shingle alone drops nothing.
+    """
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    own = rows.groupBy("_label", F.sha2(whole, 256).alias("_copy")).agg(F.min("_id").alias("_id"), F.first("text").alias("text"))
+    own = own.select("_id", "_label", "text", F.concat("_copy", F.col("_label").cast("string")).alias("_key"),
+                     F.arrow_udf(_sketch, "struct<n:bigint,least:array<bigint>>").asNondeterministic()(whole).alias("_s"))
+    own = stash(own.select("_id", "_label", "text", "_key", F.col("_s.n").alias("_n"), F.col("_s.least").alias("_least")), "texts")
+    keyed = own.select("_key", "_label", "_n", F.posexplode("_least").alias("_no", "_hash"))
+    first = keyed.groupBy("_label", "_no", "_hash").agg(F.min(F.struct("_key", "_n")).alias("_first"), F.count(F.lit(1)).alias("_held"))
+    first = stash(first.where(F.col("_held") > 1).drop("_held"), "first")
+    pairs = keyed.join(first, ["_label", "_no", "_hash"]) \
+        .where((F.col("_key") != F.col("_first._key"))
+               & (F.least("_n", "_first._n") >= ALIKE * F.greatest("_n", "_first._n")))  # others cannot be alike enough
+    pairs = stash(pairs.select("_key", F.col("_first._key").alias("_lead")).distinct(), "pairs")
+    texts = own.select("_key", F.coalesce("text", F.lit("")).alias("_text"))
+    leads = texts.select(F.col("_key").alias("_lead"), F.col("_text").alias("_other"))
+    alike = F.arrow_udf(_similarity, "double")(F.col("_text"), F.col("_other"))
+    near = stash(pairs.join(texts, "_key").join(leads, "_lead").where(alike >= ALIKE).select("_key", "_lead"), "near")
+    followers = near.select(F.col("_key").alias("_lead")).distinct()
+    gone = near.join(followers, "_lead", "left_anti").select("_key").distinct()  # what it is alike to stays
+    return own.join(gone, "_key", "left_anti").select("_id", "_label", "text")
 
 
 class Toxicity:
@@ -226,8 +270,8 @@ def learn(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str
     ready(spark)
     own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"))
     train = own.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
-    train = stash(train.select("_id", "_label", "text", least_shingle(F.col("text")).alias("_copy")), "train")
-    train = stash(train.dropDuplicates(["_copy", "_label"]), "distinct")  # copies and most near copies count once
+    train = stash(train.select("_id", "_label", "text"), "train")
+    train = stash(distinct_texts(train), "distinct")
     classes = {r[0]: r[1] for r in train.groupBy("_label").count().collect()}
     if len(classes) < 2:
         return Toxicity(constant=float(max(classes, default=0) > 0))

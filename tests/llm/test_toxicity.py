@@ -56,3 +56,41 @@ def test_held_out_rows(spark):
     toxic = np.array([label[r["doc_id"]] for r in rows]) == 1
     found = np.array([r["predicted"] for r in rows]) == 1
     assert toxic.sum() > 40 and (found & toxic).sum() / toxic.sum() > 0.9 and (found & ~toxic).sum() / (~toxic).sum() < 0.01
+
+
+def lorem(n):
+    """Different texts of a small vocabulary, a quarter with the one word that tells."""
+    draw, rows = random.Random(4), []
+    for i in range(n):
+        words = [draw.choice("lorem ipsum dolor sit amet sed magna".split()) for _ in range(40)]
+        if i % 4 == 0:
+            words[draw.randrange(40)] = "rotter"
+        rows.append((i, int(i % 4 == 0), " ".join(words) + f" {i}"))
+    return rows
+
+
+def test_only_true_copies_count_once(spark):
+    schema = "_id long, _label int, text string"
+    draw = random.Random(5)
+    word = lambda: f"v{draw.randint(0, 10**6)}"
+    passage = " ".join(word() for _ in range(100))
+    shared = [(1000 + i, 0, passage + " " + " ".join(word() for _ in range(100))) for i in range(200)]
+    base = [word() for _ in range(300)]
+    near = [(2000 + i, 0, " ".join(base[:10 * i] + [f"x{i}"] + base[10 * i + 1:])) for i in range(20)]
+    exact = [(3000, 0, "the same"), (3001, 0, "the same"), (3002, 1, "the same"), (3003, 0, None), (3004, 0, "")]
+    small = lorem(300)
+    left = [r["_id"] for r in T.distinct_texts(spark.createDataFrame(small + shared + near + exact, schema)).collect()]
+    assert len(left) == len(set(left))
+    assert {i for i in left if i < 2000} == {r[0] for r in small + shared}
+    assert len([i for i in left if 2000 <= i < 3000]) == 1
+    assert {i for i in left if i >= 3000} == {3000, 3002, 3003}
+
+
+def test_texts_that_share_a_passage_are_all_learned_from(spark):
+    draw = random.Random(6)
+    word = lambda: f"v{draw.randint(0, 10**6)}"
+    passage = " ".join(word() for _ in range(140))
+    rows = [(i, int(i % 4 == 0), " ".join([passage, *[word() for _ in range(40)], "rotter" if i % 4 == 0 else "calm"])) for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+    m = T.learn(docs, T.training_sample(docs, "toxic", "doc_id", F.lit(True)))
+    assert "=rotter" in m.lexicon
