@@ -6,7 +6,10 @@ proportions expectation-maximisation finds. Which languages belong to the
 document is settled by penalised likelihood: starting from all of them, the
 least language is put out, and the rest fitted again, as long as the
 log-likelihood lost is below the penalty for a language. The prediction is
-the largest proportion left, and the score that proportion.
+the largest proportion left, and the score that proportion; the languages left
+and their proportions are results too. A fit ends when its log-likelihood is
+known to be within ``SETTLED`` of the greatest one: it is concave in the
+proportions, so its steepest slope bounds what is missing.
 
 Trigrams run over lower-cased letters with one space between words, so each
 letter counts about three times; log-likelihoods are divided by three before
@@ -32,7 +35,8 @@ BUCKETS = 1 << 15
 #: Training documents of a language that are counted, in expectation (a bounded sample by hash of the id).
 SAMPLE_PER_LANGUAGE = 5_000
 SMOOTHING = 0.2
-STEPS, REFIT_STEPS = 8, 8
+#: What a fit's log-likelihood (in letters, as the penalty) may be short of the greatest one.
+SETTLED = 0.01
 UNKNOWN = "und"
 
 _SEEN: dict[str, np.ndarray] = {}
@@ -106,8 +110,12 @@ class Languages:
 
     def mixtures(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Prediction and score of each text."""
+        return [own[0] if own else (UNKNOWN, 0.0) for own in self.compositions(texts)]
+
+    def compositions(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
+        """The languages that belong to each text with their proportions, largest first."""
         buckets, starts = trigrams(texts)
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        out: list[list[tuple[str, float]]] = [[] for _ in texts]
         rows = np.flatnonzero(np.diff(starts) > 0)
         if not len(rows) or not self.names:
             return out
@@ -120,55 +128,66 @@ class Languages:
             sizes.append(len(at))
         chance = self.chance.T[np.concatenate(cols)]
         n = np.concatenate(counts).astype(np.float64)
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        doc = np.repeat(np.arange(len(rows)), sizes)
-        share, chosen = self._select(chance, n, first, doc)
-        best = share.argmax(axis=1)
+        share, chosen = self._select(chance, n, np.array(sizes))
+        order = np.argsort(np.where(chosen, -share, 2), axis=1, kind="stable")
         for k, r in enumerate(rows.tolist()):
-            out[r] = (self.names[best[k]], float(min(1.0, share[k, best[k]])))
+            out[r] = [(self.names[j], float(min(1.0, share[k, j]))) for j in order[k, :chosen[k].sum()].tolist()]
         return out
 
     @staticmethod
-    def _fit(chance, n, first, doc, share, steps):
-        """EM from ``share``; proportions, and each document's log-likelihood under them."""
-        total = np.add.reduceat(n, first)[:, None]
-        for _ in range(steps):
-            part = chance * share[doc]
-            part *= (n / part.sum(axis=1))[:, None]
-            share = np.add.reduceat(part, first) / total
-        like = np.add.reduceat(n * np.log((chance * share[doc]).sum(axis=1)), first)
-        return share, like
-
-    def _select(self, chance, n, first, doc):
-        n_docs, n_langs = len(first), len(self.names)
-        total = np.add.reduceat(n, first)
-        penalty = 0.5 * np.log(np.maximum(total / 3, 2))
-        share, like = self._fit(chance, n, first, doc, np.full((n_docs, n_langs), 1 / n_langs), STEPS)
+    def _fit(chance, n, sizes, share):
+        """Proportions of the greatest likelihood among the languages that have any in ``share``, where
+        expectation-maximisation (with squared extrapolation) begins, and each document's log-likelihood under them."""
+        share, like, left = share.copy(), np.empty(len(sizes)), np.arange(len(sizes))
+
+        def layout():
+            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            return first, np.repeat(np.arange(len(sizes)), sizes), np.add.reduceat(n, first)
+
+        def step(p):
+            """Log-likelihoods under ``p``, their slopes, and the next proportions."""
+            part = np.einsum("ij,ij->i", chance, p[doc])
+            slope = np.add.reduceat(chance * (n / part)[:, None], first)
+            return np.add.reduceat(n * np.log(part), first), slope, p * slope / total[:, None]
+        first, doc, total = layout()
+        p = share
+        while True:
+            now, slope, p1 = step(p)
+            # SETTLED is in letters; sums of many terms are no nearer than their rounding
+            short = np.where(p > 0, slope, 0).max(axis=1) - total
+            done = short <= np.maximum(3 * SETTLED, 1e-12 * np.abs(now))
+            share[left[done]], like[left[done]] = p[done], now[done]
+            if done.any():
+                keep = np.repeat(~done, sizes)
+                chance, n, sizes, left = chance[keep], n[keep], sizes[~done], left[~done]
+                p, p1 = p[~done], p1[~done]
+                if not len(left):
+                    return share, like
+                first, doc, total = layout()
+            base, _, p2 = step(p1)
+            r, v = p1 - p, p2 - 2 * p1 + p
+            size = np.sqrt((v * v).sum(axis=1))
+            far = np.maximum(1.0, np.sqrt((r * r).sum(axis=1)) / np.where(size > 0, size, np.inf))[:, None]
+            ahead = np.maximum(p + 2 * far * r + far * far * v, 0.1 * p2)
+            ahead /= ahead.sum(axis=1, keepdims=True)
+            reached, _, ahead = step(ahead)
+            p = np.where((reached >= base)[:, None], ahead, p2)
+
+    def _select(self, chance, n, sizes):
+        n_docs, n_langs = len(sizes), len(self.names)
+        doc = np.repeat(np.arange(n_docs), sizes)
+        penalty = 0.5 * np.log(np.maximum(np.bincount(doc, n) / 3, 2))
+        share, like = self._fit(chance, n, sizes, np.full((n_docs, n_langs), 1 / n_langs))
         chosen = np.ones((n_docs, n_langs), bool)
-        if n_langs == 1:
-            return share, chosen
-        # a document whose best single language loses less than all others cost is that language's
-        single = np.add.reduceat(n[:, None] * np.log(chance), first)
-        top = single.argmax(axis=1)
-        alone = (like - single.max(axis=1)) / 3 < penalty * (n_langs - 1)
-        chosen[alone] = False
-        chosen[alone, top[alone]] = True
-        share[alone] = chosen[alone]
-        rest = np.flatnonzero(~alone)
-        sizes = np.diff(np.append(first, len(n)))
-        for _ in range(n_langs - 1):
-            if not len(rest):
-                break
-            use = np.isin(doc, rest)
-            own = sizes[rest]
-            sub_first = np.concatenate(([0], np.cumsum(own)[:-1]))
-            sub_doc = np.repeat(np.arange(len(rest)), own)
+        rest = np.arange(n_docs if n_langs > 1 else 0)
+        while len(rest):
             least = np.where(chosen[rest], share[rest], 2).argmin(axis=1)
             fewer = chosen[rest].copy()
             fewer[np.arange(len(rest)), least] = False
             begin = np.where(fewer, np.maximum(share[rest], 1e-6), 0)
             begin /= begin.sum(axis=1, keepdims=True)
-            new, new_like = self._fit(chance[use], n[use], sub_first, sub_doc, begin, REFIT_STEPS)
+            use = np.isin(doc, rest)
+            new, new_like = self._fit(chance[use], n[use], sizes[rest], begin)
             drop = (like[rest] - new_like) / 3 < penalty[rest]
             gone = rest[drop]
             share[gone], like[gone], chosen[gone] = new[drop], new_like[drop], fewer[drop]
@@ -197,17 +216,22 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 
 def predict(text: Column, model: Languages, spark) -> Column:
-    """struct(lang_pred, score) of a whole text."""
+    """struct(lang_pred, score, languages, proportions) of a whole text; the last two are arrays of the
+    languages that belong to it and of their proportions, largest first (empty for ``und``)."""
     shared = Shared(spark, model, lambda own: own)
 
     def run(texts: pa.Array) -> pa.Array:
         languages, out = shared.get(), []
         for _, part in slices(texts):
-            out += languages.mixtures(part.to_pylist())
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
-                                          ["lang_pred", "score"])
+            out += languages.compositions(part.to_pylist())
+        top = [own[0] if own else (UNKNOWN, 0.0) for own in out]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in top], pa.string()), pa.array([x[1] for x in top], pa.float64()),
+                                           pa.array([[x[0] for x in own] for own in out], pa.list_(pa.string())),
+                                           pa.array([[x[1] for x in own] for own in out], pa.list_(pa.float64()))],
+                                          ["lang_pred", "score", "languages", "proportions"])
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<lang_pred:string,score:double>").asNondeterministic()(text)
+    return F.arrow_udf(run, "struct<lang_pred:string,score:double,languages:array<string>,proportions:array<double>>") \
+        .asNondeterministic()(text)
 
 
 def keep_identified(docs: DataFrame, model: Languages, least: float = 0.5, text: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from epicohort.llm import langid as G
 from epicohort.llm.queries import op4_language_id
@@ -43,3 +44,43 @@ def test_held_out_accuracy(spark):
     assert len(rows) == len(lang) and len(held) > 150
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def overlapping(n_langs):
+    """A model of languages that share half their words, and a text generator."""
+    draw = np.random.default_rng(3)
+    word = lambda: "".join(draw.choice(list("abcdefghijklmnop"), draw.integers(3, 8)))
+    common = [word() for _ in range(60)]
+    words = [[*draw.choice(common, 30), *[word() for _ in range(30)]] for _ in range(n_langs)]
+
+    def text(lang, letters):
+        out = ""
+        while len(out) < letters:
+            out += draw.choice(words[lang]) + " "
+        return out
+    buckets = [G.trigrams([text(k, 30_000)])[0] for k in range(n_langs)]
+    return G.Languages([f"l{k:02}" for k in range(n_langs)], np.array([np.bincount(b, minlength=G.BUCKETS) for b in buckets])), text
+
+
+def test_a_second_language_stays_however_many_are_learned(spark):
+    m, text = overlapping(30)
+    mixed = m.mixtures([text(k, 240) + text((k + 7) % 30, 60) for k in range(30)])
+    assert [x[0] for x in mixed] == m.names and sum(0.5 < x[1] < 0.9 for x in mixed) >= 27
+    pure = m.mixtures([text(k, 300) for k in range(30)])
+    assert [x[0] for x in pure] == m.names and sum(x[1] > 0.95 for x in pure) >= 27
+
+
+def test_fits_settle_and_the_chosen_set_is_a_result(spark):
+    m, text = overlapping(6)
+    texts = [text(2, 700) + text(4, 300), text(1, 500), "", text(0, 400) + text(3, 350) + text(5, 300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = [r["p"] for r in rows.select("i", G.predict(F.col("text"), m, spark).alias("p")).orderBy("i").collect()]
+    assert [set(r["languages"]) for r in got] == [{"l02", "l04"}, {"l01"}, set(), {"l00", "l03", "l05"}]
+    for text, r in zip(texts, got):
+        if r["languages"]:
+            assert abs(sum(r["proportions"]) - 1) < 1e-9 and r["lang_pred"] == r["languages"][0] and r["score"] == r["proportions"][0] == max(r["proportions"])
+            own = np.bincount(G.trigrams([text])[0], minlength=G.BUCKETS)
+            chance = m.chance[[m.names.index(x) for x in r["languages"]]]
+            slope = (chance * own / (np.array(r["proportions"]) @ chance)).sum(axis=1)
+            assert slope.max() - own.sum() <= 3 * G.SETTLED + 1e-6
+    assert got[2]["lang_pred"] == "und" and got[2]["proportions"] == []
