@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from epicohort.config import StudyConfig
 from epicohort.functions.dates import lit_date
-from epicohort.functions.slots import any_slot_in, first_match, secondary_only, slot_in
+from epicohort.functions.slots import any_slot_in, first_match, first_slot, secondary_only, slot_in
 from epicohort.sources.fixtures import DIAG_COLS, OP_COLS, OPDATE_COLS
 from epicohort.sources.io import new_version, read_stage, write_stage
 
@@ -21,16 +21,16 @@ def with_date_diff(episodes: DataFrame, start: str = "epistart", end: str = "epi
     return episodes.withColumn("date_diff", F.datediff(F.col(end), F.col(start)))
 
 
-def flag_episodes(ep: DataFrame, cfg: StudyConfig, op_cols: Sequence[str] = OP_COLS,
-                  diag_cols: Sequence[str] = DIAG_COLS, id_a: str = "census_person_id_2011",
+def flag_episodes(ep: DataFrame, cfg: StudyConfig, op_cols: str | Sequence[str] = OP_COLS,
+                  diag_cols: str | Sequence[str] = DIAG_COLS, id_a: str = "census_person_id_2011",
                   id_b: str = "census_id_2021") -> DataFrame:
     """Episode-level 0/1 flags (NULL -> 0), the chosen person id and the
     before-window / in-window event flags (P1-P3, P6, P7)."""
     start, end = lit_date(cfg.follow_up_start), lit_date(cfg.follow_up_end)
     out = ep.withColumns({
-        "primary_obesity_flag": slot_in(diag_cols[0], cfg.diag_codes),
+        "primary_obesity_flag": slot_in(first_slot(diag_cols), cfg.diag_codes),
         "secondary_obesity_flag": secondary_only(diag_cols, cfg.diag_codes),
-        "associated_cond_flag": slot_in(diag_cols[0], cfg.associated_codes),
+        "associated_cond_flag": slot_in(first_slot(diag_cols), cfg.associated_codes),
         "metabolic_op_flag": any_slot_in(op_cols, cfg.procedure_codes),
         "census_id_flag": F.when(F.col(id_a).isNotNull(), 1).otherwise(0),
     })
@@ -104,8 +104,8 @@ def diagnosis_predicate():
         (F.col("secondary_obesity_flag") == 1) & (F.col("associated_cond_flag") == 1))
 
 
-def first_procedure(df: DataFrame, cfg: StudyConfig, code_cols: Sequence[str] = OP_COLS,
-                    date_cols: Sequence[str] = OPDATE_COLS) -> DataFrame:
+def first_procedure(df: DataFrame, cfg: StudyConfig, code_cols: str | Sequence[str] = OP_COLS,
+                    date_cols: str | Sequence[str] = OPDATE_COLS) -> DataFrame:
     """P4 + P5 + J1: first listed procedure code in slot order, its slot date,
     and its type through a lookup join."""
     m = first_match(code_cols, cfg.procedure_codes, date_cols)
@@ -115,8 +115,8 @@ def first_procedure(df: DataFrame, cfg: StudyConfig, code_cols: Sequence[str] =
                .drop("Code").withColumnRenamed("Name", "operation_type"))
 
 
-def with_first_procedure(df: DataFrame, cfg: StudyConfig, code_cols: Sequence[str] = OP_COLS,
-                         date_cols: Sequence[str] = OPDATE_COLS) -> DataFrame:
+def with_first_procedure(df: DataFrame, cfg: StudyConfig, code_cols: str | Sequence[str] = OP_COLS,
+                         date_cols: str | Sequence[str] = OPDATE_COLS) -> DataFrame:
     """P4 + P5 only: first listed code and its slot date (NULL when none)."""
     m = first_match(code_cols, cfg.procedure_codes, date_cols)
     return df.withColumns({"op_code": m["code"], "op_date": m["value"]})

@@ -23,7 +23,7 @@ from epicohort.operators import link as L
 from epicohort.operators import panel as P
 from epicohort.operators import sample as S
 from epicohort.functions.recode import five_year_bands
-from epicohort.sources.fixtures import DIAG_COLS, OP_COLS, OPDATE_COLS, FixtureTables
+from epicohort.sources.fixtures import DIAG_CODES, OP_CODES, OP_DATES, FixtureTables
 from epicohort.sources.io import new_version, read_stage, write_stage
 
 STRATA = ["census_sex", "five_year_bands"]
@@ -53,10 +53,10 @@ class Study:
     @cached_property
     def flagged(self) -> DataFrame:
         """Every episode with episode flags and person flags."""
-        fl = C.with_first_procedure(C.flag_episodes(self.t.episodes, self.cfg), self.cfg)
+        fl = C.with_first_procedure(C.flag_episodes(self.t.episodes, self.cfg, OP_CODES, DIAG_CODES), self.cfg, OP_CODES, OP_DATES)
         # the slot families are resolved into flags and (op_code, op_date): the
         # stage keeps narrow columns only
-        fl = fl.drop(*OP_COLS, *OPDATE_COLS, *DIAG_COLS)
+        fl = fl.drop(OP_CODES, OP_DATES, DIAG_CODES)
         return self.stage("flagged", C.person_flags(self.stage("episode_flags", fl)))
 
     def exposure_stages(self):

@@ -16,6 +16,7 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -25,6 +26,8 @@ N_DIAG_SLOTS = 20
 OP_COLS = [f"opertn_4_{i:02d}" for i in range(1, N_OP_SLOTS + 1)]
 OPDATE_COLS = [f"opdate_{i:02d}" for i in range(1, N_OP_SLOTS + 1)]
 DIAG_COLS = [f"diag_4_{i:02d}" for i in range(1, N_DIAG_SLOTS + 1)]
+#: The same families as array columns with a slot for every line (``FixtureTables.episodes``).
+OP_CODES, OP_DATES, DIAG_CODES = "opertn_4", "opdate", "diag_4"
 
 
 def _wide(col: str, out: str, n: int) -> str:
@@ -33,7 +36,8 @@ def _wide(col: str, out: str, n: int) -> str:
     )
 
 
-# One episode per order.  Slot = position of the line inside its order; only
+# The wide form, which the oracle reads (Spark's is FixtureTables.episodes, with
+# all lines).  One episode per order.  Slot = position of the line inside its order; only
 # slots 1..24 are kept right after numbering (Spark then keeps at most 24
 # lines per order in each task before the shuffle), and the episode end comes
 # from a separate grouped max over all lines.
@@ -275,7 +279,21 @@ class FixtureTables:
 
     @cached_property
     def episodes(self) -> DataFrame:
-        return self.table("episodes")
+        """One episode per order, as EPISODES_SQL, with its slot families as arrays over all lines."""
+        lines, parts, orders = (self.driver(n) for n in ("lineitem", "part", "orders"))
+        ship, person = F.col("l_shipdate").cast("date"), F.col("o_custkey").cast("string")
+        slot = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
+                        F.concat("p_brand", F.lit("-"), F.substring("p_type", 1, 1)).alias(OP_CODES),
+                        ship.alias(OP_DATES), F.col("p_type").alias(DIAG_CODES))
+        slots = (lines.join(parts, F.col("p_partkey") == F.col("l_partkey"), "left")
+                 .groupBy(F.col("l_orderkey").alias("okey"))
+                 .agg(F.sort_array(F.collect_list(slot)).alias("slots"), F.max(ship).alias("last_ship")))
+        start = F.col("o_orderdate").cast("date")
+        return orders.join(slots, F.col("okey") == F.col("o_orderkey"), "left").select(
+            F.col("o_orderkey").alias("epikey"), start.alias("epistart"), F.greatest(start, "last_ship").alias("epiend"),
+            *[F.col(f"slots.{c}").alias(c) for c in (OP_CODES, OP_DATES, DIAG_CODES)],
+            F.when(F.col("o_custkey") % 4 != 0, F.concat(F.lit("A"), person)).alias("census_person_id_2011"),
+            F.concat(F.lit("B"), person).alias("census_id_2021"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in FIXTURE_SQL:
