@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased runs of letters, digits and underscores. A document and
+Words are lower-cased runs of letters, digits and underscores; in scripts that
+set no spaces between words each letter counts as a word. A document and
 a benchmark item that share a seed (``MIN_TILE`` words in a row) are tiled:
 the longest common runs of words are marked one after another, each word once.
 An item leaks if tiles of ``MIN_TILE`` words or more cover at least
@@ -11,9 +12,9 @@ each block's index is broadcast and every document is read against it, so
 documents are never shuffled and a passage that many documents share costs
 each of them its own tiling alone. More items make more blocks.
 
-Defined results: null and empty texts match nothing; an item with fewer than
-``MIN_TILE`` words cannot be told from common speech and matches nothing; a
-null id is carried as null; repeated rows and items each match for themselves;
+Defined results: null and empty texts match nothing, items without a word too;
+an item with fewer than ``MIN_TILE`` words leaks where it stands as a whole, and
+has one tile, at its first place; a null id is carried as null; repeated rows and items each match for themselves;
 other columns are ignored by ``leaks`` and kept by ``decontaminate``.
 """
 
@@ -35,7 +36,9 @@ BLOCK_WORDS = 1_000_000
 #: Bits of the table that answers most seed look-ups.
 FILTER_BITS = 20
 
-_WORDS = re.compile(r"\w+").findall
+#: Thai, Lao, Myanmar, Khmer, kana, bopomofo and Han letters.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[^\W{_UNSPACED}]+|(?=[{_UNSPACED}])\w").findall
 
 LEAKS = "array<struct<item_id:bigint,item_words:int,covered_words:int,coverage:double,tiles:array<struct<item_word:int,doc_word:int,words:int>>>>"
 _TILE = pa.struct([("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])
@@ -50,10 +53,14 @@ class TileIndex:
         self.least, self.coverage = least, coverage
         self.words: dict[str, int] = {}
         self.items = []
+        #: Items below ``least`` words, by their number of words: the ids of each.
+        self.short: dict[int, dict[tuple[int, ...], list[int | None]]] = {}
         for item_id, text in items:
             ids = [self.words.setdefault(w, len(self.words) + 1) for w in _WORDS(text.lower())]
             if len(ids) >= least:
                 self.items.append((item_id, np.array(ids, np.int32)))
+            elif ids:
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), []).append(item_id)
         self.power = powers(least)
         hashes = [self.seed_hashes(ids) for _, ids in self.items]
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -68,14 +75,15 @@ class TileIndex:
     def _low(hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    def seed_hashes(self, ids: np.ndarray) -> np.ndarray:
-        """A hash of every window of ``least`` words, the same wherever it stands."""
-        n = len(ids) - self.least + 1
+    def seed_hashes(self, ids: np.ndarray, length: int | None = None) -> np.ndarray:
+        """A hash of every window of ``length`` (else ``least``) words, the same wherever it stands."""
+        length = length or self.least
+        n = len(ids) - length + 1
         if n < 1:
             return np.zeros(0, np.uint64)
         wide = ids.astype(np.uint64)
         out = np.zeros(n, np.uint64)
-        for k in range(self.least):
+        for k in range(length):
             out += wide[k:n + k] * self.power[k]
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
@@ -92,12 +100,13 @@ class TileIndex:
                 numbers += [get(w, 0) for w in _WORDS(t.lower())]
             numbers += gap  # no seed reaches over to the next text
         ids = np.array(numbers, np.int32)
+        out: list[list[tuple]] = [[] for _ in texts]
+        self._whole(ids, np.array(starts), out)
         hashes = self.seed_hashes(ids)
         at = np.flatnonzero(self.filter[self._low(hashes)])
         left = np.searchsorted(self.hashes, hashes[at], "left")
         right = np.searchsorted(self.hashes, hashes[at], "right")
         at, left, right = at[right > left], left[right > left], right[right > left]
-        out: list[list[tuple]] = [[] for _ in texts]
         if not len(at):
             return out
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -119,6 +128,18 @@ class TileIndex:
                                [(p, t - starts[d], n) for p, t, n in tiles]))
         return out
 
+    def _whole(self, ids: np.ndarray, starts: np.ndarray, out: list[list[tuple]]) -> None:
+        """Adds the short items that stand in each text."""
+        for length, items in self.short.items():
+            wanted = np.concatenate([self.seed_hashes(np.array(key), length) for key in items])
+            at = np.flatnonzero(np.isin(self.seed_hashes(ids, length), wanted))
+            seen = set()
+            for a, d in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist()):
+                key = tuple(ids[a:a + length].tolist())
+                if key in items and (d, key) not in seen:
+                    seen.add((d, key))
+                    out[d] += [(item_id, length, length, 1.0, [(0, a - int(starts[d]), length)]) for item_id in items[key]]
+
     def _tiles(self, item: np.ndarray, ids: np.ndarray, seeds: list[int]) -> list[tuple[int, int, int]]:
         """Tiles of an item over the stretches of a text that its seeds cover."""
         parts, places, end = [], [], -1

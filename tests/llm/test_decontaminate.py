@@ -62,6 +62,18 @@ def test_whole_reordered_partial_and_clean_passages(spark):
     assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_and_unspaced_scripts(spark):
+    chinese, thai = "水的沸点在海平面上是一百度", "น้ำเดือดที่อุณหภูมิหนึ่งร้อยองศา"
+    docs, items = frames(spark, ["who wrote The Iliad? the iliad", "the Iliad who wrote", f"我们知道{chinese}吗", f"รู้ไหมว่า{thai}ครับ", "水的颜色", "yes, iliad"],
+                         ["the iliad", chinese, thai, "who wrote the iliad", "Iliad", "Iliad", "..."])
+    rows = {(r["doc_id"], r["item_id"]): r for r in D.leaks(docs, items).collect()}
+    assert set(rows) == {(0, 0), (0, 3), (0, 4), (0, 5), (1, 0), (1, 4), (1, 5), (2, 1), (3, 2), (5, 4), (5, 5)}
+    assert all(r["coverage"] == 1.0 and r["covered_words"] == r["item_words"] for r in rows.values())
+    assert [tuple(t) for t in rows[0, 0]["tiles"]] == [(0, 2, 2)] and [tuple(t) for t in rows[0, 3]["tiles"]] == [(0, 0, 4)]
+    assert rows[2, 1]["item_words"] == 13
+    assert [r["doc_id"] for r in D.decontaminate(docs, items).collect()] == [4]
+
+
 def test_blocks_of_items_give_the_same_rows(spark, monkeypatch):
     draw = random.Random(5)
     items = [" ".join(draw.choice("abcdefghij") + str(draw.randint(0, 9)) for _ in range(20)) for _ in range(12)]
