@@ -7,8 +7,8 @@ the longest common runs of words are marked one after another, each word once.
 An item leaks if tiles of ``MIN_TILE`` words or more cover at least
 ``MIN_COVERAGE`` of its words, in whatever order they stand in the document.
 
-The items are taken in blocks of at most ``BLOCK_WORDS`` words in expectation;
-each block's index is broadcast and every document is read against it, so
+The items, equal ones once with their number, are taken in blocks of at most
+``BLOCK_WORDS`` words (a longer item has a block of its own); each block's index is broadcast and every document is read against it, so
 documents are never shuffled and a passage that many documents share costs
 each of them its own tiling alone. More items make more blocks.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epicohort.llm.common import Shared, fresh_name, ready, slices, union_all
+from epicohort.llm.common import Shared, fresh_name, ready, slices, stash, union_all
 from epicohort.llm.tiling import Rolling, greedy_tiles, powers
 
 MIN_TILE, MIN_COVERAGE = 5, 0.5
@@ -47,22 +47,22 @@ _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int32()),
 
 
 class TileIndex:
-    """Seeds of one block of items. Words get numbers from 1; 0 is any other word."""
+    """Seeds of one block of items (id, text, number of copies). Words get numbers from 1; 0 is any other word."""
 
-    def __init__(self, items: list[tuple[int | None, str]], least: int = MIN_TILE, coverage: float = MIN_COVERAGE):
+    def __init__(self, items: list[tuple[int | None, str, int]], least: int = MIN_TILE, coverage: float = MIN_COVERAGE):
         self.least, self.coverage = least, coverage
         self.words: dict[str, int] = {}
         self.items = []
         #: Items below ``least`` words, by their number of words: the ids of each.
         self.short: dict[int, dict[tuple[int, ...], list[int | None]]] = {}
-        for item_id, text in items:
+        for item_id, text, copies in items:
             ids = [self.words.setdefault(w, len(self.words) + 1) for w in _WORDS(text.lower())]
             if len(ids) >= least:
-                self.items.append((item_id, np.array(ids, np.int32)))
+                self.items.append((item_id, np.array(ids, np.int32), copies))
             elif ids:
-                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), []).append(item_id)
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), []).extend([item_id] * copies)
         self.power = powers(least)
-        hashes = [self.seed_hashes(ids) for _, ids in self.items]
+        hashes = [self.seed_hashes(ids) for _, ids, _ in self.items]
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         owner = np.concatenate([np.full(len(h), i) for i, h in enumerate(hashes)]) if hashes else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
@@ -115,7 +115,7 @@ class TileIndex:
             for k in range(lo, hi):
                 found.setdefault((d, int(self.owner[k])), []).append((a, int(self.place[k])))
         for (d, i), seeds in found.items():
-            item_id, item = self.items[i]
+            item_id, item, copies = self.items[i]
             reach = np.zeros(len(item), bool)
             for _, p in seeds:
                 reach[p:p + self.least] = True
@@ -124,8 +124,8 @@ class TileIndex:
             tiles = self._tiles(item, ids, sorted({a for a, _ in seeds}))
             covered = sum(n for _, _, n in tiles)
             if covered >= self.coverage * len(item):
-                out[d].append((item_id, len(item), covered, covered / len(item),
-                               [(p, t - starts[d], n) for p, t, n in tiles]))
+                out[d] += [(item_id, len(item), covered, covered / len(item),
+                            [(p, t - starts[d], n) for p, t, n in tiles])] * copies
         return out
 
     def _whole(self, ids: np.ndarray, starts: np.ndarray, out: list[list[tuple]]) -> None:
@@ -169,15 +169,30 @@ def _leaks_of(text: Column, shared: Shared) -> Column:
     return F.arrow_udf(run, LEAKS)(text)
 
 
+def _word_count(texts: pa.Array) -> pa.Array:
+    return pa.array([len(_WORDS(t.lower())) for _, part in slices(texts) for t in part.to_pylist()], pa.int64())
+
+
+_word_count.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+
+
 def _blocks(benchmark: DataFrame, item_id: str, text: str, least: int, coverage: float):
-    """Broadcast item blocks, one after another; their number comes from a count of the words."""
+    """Broadcast item blocks, one after another. Equal items come once with their number, and a block ends
+    before its words, counted as the index counts them, would go beyond BLOCK_WORDS."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = items.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n")).first()["n"] or 0
-    n = max(1, -(-int(words) // BLOCK_WORDS))
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield Shared(spark, [(r["item_id"], r["text"]) for r in block.collect()], partial(TileIndex, least=least, coverage=coverage))
+    items = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    items = stash(items.withColumn("words", F.arrow_udf(_word_count, "bigint")(F.col("text"))).where(F.col("words") > 0), "items")
+    build = partial(TileIndex, least=least, coverage=coverage)
+    block, held, some = [], 0, False
+    for r in items.toLocalIterator():
+        if block and held + r["words"] > BLOCK_WORDS:
+            yield Shared(spark, block, build)
+            block, held, some = [], 0, True
+        block.append((r["item_id"], r["text"], r["copies"]))
+        held += r["words"]
+    if block or not some:
+        yield Shared(spark, block, build)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",

@@ -85,6 +85,19 @@ def test_blocks_of_items_give_the_same_rows(spark, monkeypatch):
     assert key(D.leaks(docs, bench).collect()) == whole and len(whole) >= 30
 
 
+def test_blocks_hold_so_many_words_in_any_script(spark, monkeypatch):
+    draw = random.Random(6)
+    cyrillic = [" ".join("".join(draw.choice("абвгдежзик") for _ in range(6)) for _ in range(20)) for _ in range(12)]
+    docs, bench = frames(spark, cyrillic, cyrillic)
+    copies = bench.where("item_id = 0")
+    bench = bench.unionByName(copies).unionByName(copies)
+    monkeypatch.setattr(D, "BLOCK_WORDS", 50)
+    blocks = [shared.value.value for shared in D._blocks(bench, "item_id", "text", 5, 0.5)]
+    assert all(sum(len(D._WORDS(item[1])) for item in block) <= 50 for block in blocks) and len(blocks) == 6
+    found = sorted((r["doc_id"], r["item_id"]) for r in D.leaks(docs, bench).collect())
+    assert found == sorted([(i, i) for i in range(12)] + [(0, 0)] * 2)
+
+
 def test_query_matches_brute_force(spark):
     from epicohort.llm.queries import op2_decontaminate
     sf = "/root/testdata/sf0.001"
