@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epicohort.llm.common import ready, slices, stash
+from epicohort.llm.common import fresh_name, ready, slices, stash
 from epicohort.llm.components import connected_components
 
 SEED = 42
@@ -114,40 +114,46 @@ def near_links(distinct: DataFrame, distance: int) -> DataFrame:
     return links.unionByName(tied).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int, distance: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fp (bigint), component_id (the
-    least id of the documents that can be reached over links)."""
-    ready(docs.sparkSession)
-    own = stash(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words).alias("fp")), "fingerprints")
+def components(own: DataFrame, distance: int) -> DataFrame:
+    """_fp, root (the component's least fingerprint), component_id (its least doc_id): a row for each ``fp`` of ``own``."""
     distinct = stash(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected_components(near_links(distinct, distance))
     linked = roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least")
     linked = stash(linked, "linked")
     names = stash(linked.groupBy("root").agg(F.min("least").alias("name")), "names")
-    named = linked.join(names, "root").select(F.col("fp").alias("_fp"), "name")
+    named = linked.join(names, "root").select(F.col("fp").alias("_fp"), "root", "name")
     every = distinct.join(named, F.col("fp") == F.col("_fp"), "left") \
-        .select(F.col("fp").alias("_fp"), F.coalesce("name", "least").alias("component_id"))
-    every = stash(every, "components")
+        .select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"), F.coalesce("name", "least").alias("component_id"))
+    return stash(every, "components")
+
+
+def near_duplicates(docs: DataFrame, words: int, distance: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fp (bigint), component_id (the
+    least id of the documents that can be reached over links)."""
+    ready(docs.sparkSession)
+    own = stash(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words).alias("fp")), "fingerprints")
+    every = components(own, distance).select("_fp", "component_id")
     return own.join(every, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int, distance: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, each id once. Rows without an id
-    can be neither named nor told apart: of those whose group has no id one row for each
-    distinct text stays, the others go."""
-    groups = stash(near_duplicates(docs, words, distance, doc_id, text), "groups")
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
-    stay = stash(stay.withColumnRenamed("doc_id", "_keep"), "stay")
-    kept = docs.join(stay.select("_keep"), docs[doc_id] == F.col("_keep"), "left_semi")
-    repeated = stay.where(F.col("_copies") > 1).select("_keep")
+    """One row of ``docs`` for each component: that of its least id, or of no id where it has none,
+    and of the least hash of its text among those; of rows equal in both any one."""
+    ready(docs.sparkSession)
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    own = docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words).alias("fp"), digest.alias("digest"))
+    own = stash(own, "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = own.groupBy("fp").agg(F.min(order).alias("first"))  # a text has one fingerprint, and so one component
+    stay = first.join(components(own, distance), F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("first").alias("first"))
+    stay = stash(stay.select(F.col("first.doc_id").alias("_keep"), F.col("first.digest").alias("_digest")), "stay")
+    repeated = own.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("digest") == F.col("_digest")), "left_semi") \
+        .groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    repeated = stash(repeated.select(F.col("doc_id").alias("_keep"), F.col("digest").alias("_digest")), "repeated")
+    name = fresh_name(docs, "digest_of_text")
+    same = F.col(doc_id).eqNullSafe(F.col("_keep")) & (F.col(name) == F.col("_digest"))
+    kept = docs.withColumn(name, digest).join(stay, same, "left_semi")
     if repeated.limit(1).count():
-        once = docs.join(stay.where(F.col("_copies") == 1), docs[doc_id] == F.col("_keep"), "left_semi")
-        several = docs.join(repeated, docs[doc_id] == F.col("_keep"), "left_semi").dropDuplicates([doc_id])
-        kept = once.unionByName(several)
-    nameless = groups.where(F.col("component_id").isNull()).limit(1).count()
-    if nameless:
-        alone = groups.where(F.col("component_id").isNull()).select(as_hex(F.col("fp")).alias("_fp")).distinct()
-        rest = docs.where(F.col(doc_id).isNull()).withColumn("_fp", as_hex(fingerprints(F.col(text), words)))
-        rest = rest.join(alone, "_fp", "left_semi").dropDuplicates([text]).drop("_fp")
-        kept = kept.unionByName(rest)
-    return kept
+        several = kept.join(repeated, same, "left_semi").dropDuplicates([doc_id, name])
+        kept = kept.join(repeated, same, "left_anti").unionByName(several)
+    return kept.drop(name)

@@ -96,3 +96,14 @@ def test_one_row_of_each_group_stays(spark):
     kept = S.keep_one(docs, 3, 2).collect()
     assert sorted((r["doc_id"] for r in kept), key=repr) == [2, 7, 9, None]
     assert S.keep_one(docs.limit(0), 3, 2).count() == 0
+
+
+def test_repeated_ids_lose_no_text_and_nameless_near_copies_go(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "entirely different words"), (3, "entirely different words"),
+            (2, "some other text again"), (4, "one more of them here"), (4, "some other text again"),
+            (None, "only nameless ones"), (None, "Only  nameless ones"), (None, "only nameless ones"), (None, "another nameless text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"].lower().split()) for r in S.keep_one(docs, 3, 2).collect()]
+    want = [(1, "alpha beta gamma delta"), (1, "entirely different words"), (2, "some other text again"),
+            (4, "one more of them here"), (None, "only nameless ones"), (None, "another nameless text")]
+    assert sorted(kept, key=repr) == sorted([(i, t.split()) for i, t in want], key=repr)
