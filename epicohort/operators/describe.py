@@ -191,9 +191,3 @@ def rolling_mean(df: DataFrame, order: str, col: str, width: int = 3) -> DataFra
     half = width // 2
     w = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(-half, half)
     return df.withColumn(f"{col}_smooth", F.avg(col).over(w))
-
-
-def dense_id(df: DataFrame, id_col: str, out: str = "id") -> DataFrame:
-    """A stable integer per group without a global window: 63-bit hash of
-    the key (collisions are astronomically unlikely for person ids)."""
-    return df.withColumn(out, F.xxhash64(F.col(id_col)))

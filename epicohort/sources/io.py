@@ -46,6 +46,15 @@ def read_stage(spark: SparkSession, name: str, version: str) -> DataFrame:
     return spark.read.parquet(os.path.join(stage_root(spark), f"{name}_{version}"))
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table beside the stages, under a name of its own, and
+    read it back: the lineage ends at files that every executor can read."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "scratch", f"{name}_{new_version()}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def new_version() -> str:
     return uuid.uuid4().hex[:12]
 
