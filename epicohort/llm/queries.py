@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epicohort.llm import bpe, chat, decontaminate, langid, quality, rules, sharding, simhash, toxicity, urlfilter
-from epicohort.llm.common import held_out, table
+from epicohort.llm import bpe, chat, decontaminate, langid, periodic, prefix_trie, quality, rules, sharding, simhash, toxicity, urlfilter, warc
+from epicohort.llm.common import held_out, stash, table
+from epicohort.operators.numbering import lookup_join
 
 #: Shingle length and greatest distance of linked fingerprints.
 SIMHASH_WORDS, SIMHASH_BITS = 3, 2
@@ -99,8 +100,53 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def rebuilt_conversations(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every conversation c with the first h turns of conversation c - c % 100 in place
+    of its own first h, h = crc32(c) % 6 (a conversation that lacks turns or is absent gives what it has)."""
+    lengths = turns.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    plans = ids.select("seq", (F.col("seq") - F.col("seq") % 100).alias("base"),
+                       (F.crc32(F.col("seq").cast("string").cast("binary")) % 6).alias("h"))
+    plans = plans.join(lengths.select(F.col("seq").alias("base"), "n"), "base", "left")
+    plans = stash(plans.withColumn("head", F.least("h", F.coalesce("n", F.lit(0)))).drop("n"), "plans")
+    heads = turns.where((F.col("pos") < 5) & (F.col("seq") % 100 == 0)).withColumnRenamed("seq", "base")
+    borrowed = plans.join(heads, "base").where(F.col("pos") < F.col("h")).select("seq", "pos", "item", "weight")
+    own = lookup_join(turns, plans, "seq").where(F.col("pos") >= F.col("h"))
+    return borrowed.unionByName(own.select("seq", (F.col("pos") - F.col("h") + F.col("head")).alias("pos"), "item", "weight"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    rows = table(spark, sf_dir, "conversations")
+    turns = stash(prefix_trie.ordered_turns(rows), "turns")
+    ids = stash(rows.select(F.col("conv_id").cast("long").alias("seq")).where(F.col("seq").isNotNull()).distinct(), "ids")
+    nodes = prefix_trie.prefix_trie(stash(rebuilt_conversations(turns, ids), "rebuilt"), ids)
+    return nodes.select(F.col("least").alias("conv_id"), "depth", F.col("parent_least").alias("parent_conv_id"), F.col("n_members").alias("n_convs"),
+                        "n_children", "n_leaves", F.col("saved_weight").alias("saved_tokens"), "ends_sha256")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every whole text, of which every tenth is made to repeat, and what is left without their repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find_runs(periodic.repeat_tail(docs))
+    runs, collapsed = found.columns[-2:]
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    listed = F.when(F.size(runs) > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), longest.alias("l"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                       F.sha2(F.col(collapsed).cast("binary"), 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("l.start")).alias("start"), F.col("l.length").alias("length"), (-F.col("l.period")).alias("period"),
+                      F.floor(1000 * F.col("l.length") / -F.col("l.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page into WARC archives and read all records back."""
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_back(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_url_filter, op4_language_id, op5_simhash, op6_toxicity,
-                                   op7_quality, op8_quality_rules, op9_chat_format, op10_sharding)}
+                                   op7_quality, op8_quality_rules, op9_chat_format, op10_sharding, op11_prefix_trie,
+                                   op12_periodic_runs, op13_warc)}
 
 _RULE_VALUES = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES)
 
@@ -181,4 +227,88 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p GROUP BY conv_id
 """
 
-ORACLES = {"op3_url_filter": OP3_SQL, "op8_quality_rules": OP8_SQL, "op9_chat_format": OP9_SQL}
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    bits = "list_reduce(list_prepend(xor(crc, code), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda crc, code: {bits}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+         sha256(coalesce(role, '') || chr(0) || coalesce(text, '')) AS item, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, c - c % 100 AS base, {_crc32_sql("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+plans AS (
+  SELECT *, least(h, coalesce((SELECT count(*) FROM t WHERE t.c = ids.base), 0)) AS head FROM ids),
+r AS (
+  SELECT p.c, t.pos, item, chars FROM plans p JOIN t ON t.c = p.base WHERE t.pos < p.h
+  UNION ALL SELECT p.c, t.pos - p.h + p.head, item, chars FROM plans p JOIN t ON t.c = p.c WHERE t.pos >= p.h),
+steps AS (
+  SELECT c, pos + 1 AS depth, chars, sha256(string_agg(item, '') OVER (PARTITION BY c ORDER BY pos)) AS name FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+whole AS (SELECT c, max(depth) AS depth FROM steps GROUP BY c),
+nodes AS (
+  SELECT s.depth, s.name, min(s.c) AS least, count(*) AS n, min(s.chars) AS chars,
+         sha256(coalesce(string_agg(CAST(s.c AS VARCHAR), ',' ORDER BY s.c) FILTER (WHERE w.depth = s.depth), '')) AS ends
+  FROM steps s JOIN whole w ON s.c = w.c GROUP BY s.depth, s.name),
+up AS (
+  SELECT n.*, p.name AS parent FROM nodes n LEFT JOIN steps p ON p.c = n.least AND p.depth = n.depth - 1),
+own AS (
+  SELECT u.*, (SELECT count(*) FROM up k WHERE k.parent = u.name AND k.depth = u.depth + 1) AS n_children FROM up u),
+totals AS (
+  SELECT s.depth, s.name, count(*) FILTER (WHERE o.n_children = 0) AS leaves, sum((o.n - 1) * o.chars) AS saved
+  FROM own o JOIN steps s ON s.c = o.least AND s.depth <= o.depth GROUP BY s.depth, s.name)
+SELECT o.least AS conv_id, CAST(o.depth AS BIGINT) AS depth, p.least AS parent_conv_id, o.n AS n_convs, o.n_children,
+       CAST(t.leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, o.ends AS ends_sha256
+FROM own o JOIN totals t ON t.depth = o.depth AND t.name = o.name LEFT JOIN nodes p ON p.depth = o.depth - 1 AND p.name = o.parent
+"""
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+e AS (
+  SELECT *, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS again, (h // 10) % greatest(len(ws), 1) AS a,
+         3 + (h // 10) % 8 AS parts FROM d),
+w AS (
+  SELECT r, i, ws[1 + CASE WHEN again AND i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND y.i > x.i
+  JOIN e ON e.r = x.r WHERE 4 * (y.i - x.i) <= e.n),
+islands AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island),
+runs AS (
+  SELECT r, start, length, min(q) AS period FROM islands WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+gone AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+left_words AS (
+  SELECT w.r, string_agg(word, ' ' ORDER BY w.i) AS collapsed FROM w ANTI JOIN gone g ON w.r = g.r AND w.i = g.i GROUP BY w.r),
+listed AS (
+  SELECT r, count(*) AS n_runs, arg_max((start, length, period), (length, -start, -period)) AS longest,
+         string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY r)
+SELECT e.doc_id, coalesce(l.n_runs, 0) AS n_runs, l.longest[1] AS start, l.longest[2] AS length, l.longest[3] AS period,
+       CAST(1000 * l.longest[2] // l.longest[3] AS BIGINT) AS exponent_milli, sha256(coalesce(l.lines, '')) AS runs_sha256,
+       sha256(coalesce(k.collapsed, '')) AS collapsed_sha256
+FROM e LEFT JOIN listed l ON l.r = e.r LEFT JOIN left_words k ON k.r = e.r
+"""
+
+OP13_SQL = f"""
+WITH p AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS bytes, url FROM pages),
+o AS (
+  SELECT *, row_number() OVER w AS nth, first(page_id) OVER w AS of_page FROM p
+  WINDOW w AS (PARTITION BY digest ORDER BY page_id NULLS LAST, url NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+       CASE WHEN nth = 1 OR bytes < {warc.LEAST_REVISIT} THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 AND bytes >= {warc.LEAST_REVISIT} THEN of_page END AS refers_to
+FROM o
+"""
+
+ORACLES = {"op3_url_filter": OP3_SQL, "op8_quality_rules": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_prefix_trie": OP11_SQL,
+           "op12_periodic_runs": OP12_SQL, "op13_warc": OP13_SQL}
