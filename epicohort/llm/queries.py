@@ -102,7 +102,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rebuilt_conversations(turns: DataFrame, ids: DataFrame) -> DataFrame:
     """Every conversation c with the first h turns of conversation c - c % 100 in place
-    of its own first h, h = crc32(c) % 6 (a conversation that lacks turns or is absent gives what it has)."""
+    of its own first h, h = crc32(c) % 6 (a conversation that lacks turns or is absent
+    gives what it has; % takes the sign of c)."""
     lengths = turns.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
     plans = ids.select("seq", (F.col("seq") - F.col("seq") % 100).alias("base"),
                        (F.crc32(F.col("seq").cast("string").cast("binary")) % 6).alias("h"))
