@@ -672,41 +672,106 @@ psi AS (
 att_se AS (SELECT grp, tm, sqrt(sum(psi * psi)) AS se FROM psi GROUP BY grp, tm)"""
 
 
-def _att_frames(spark, sf_dir):
-    from epicohort.operators.att import att_gt, six_month_panel
-    sp = six_month_panel(study(spark, sf_dir).combined)
-    return sp, att_gt(sp, "pay_deflated_six_month")
+def _effects(spark, sf_dir, covariates=()):
+    """The group-time effects of the study's pay, kept with the study."""
+    from epicohort.operators.att import group_time_effects, six_month_panel
+    s = study(spark, sf_dir)
+    return s.kept(("att", *covariates), lambda: group_time_effects(
+        s.kept("six_month", lambda: s.stage("six_month", six_month_panel(s.combined))), "pay_deflated_six_month", covariates=covariates))
+
 
+ATT_COLUMNS = """CAST(a.grp AS BIGINT) AS "group", CAST(a.tm AS BIGINT) AS time, CAST(a.event_time AS BIGINT) AS event_time,
+       round(a.att, 4) AS att, round(s.se, 4) AS se, round(a.att - 1.959963984540054 * s.se, 4) AS conf_low,
+       round(a.att + 1.959963984540054 * s.se, 4) AS conf_high, CAST(a.n_treated AS BIGINT) AS n_treated,
+       CAST(a.n_control AS BIGINT) AS n_control"""
 
-@register("att_gt", oracle("""
-SELECT CAST(a.grp AS BIGINT) AS "group", CAST(a.tm AS BIGINT) AS time, CAST(a.event_time AS BIGINT) AS event_time,
-       round(a.att, 4) AS att, round(s.se, 4) AS se, CAST(a.n_treated AS BIGINT) AS n_treated,
-       CAST(a.n_control AS BIGINT) AS n_control
+
+@register("att_gt", oracle(f"""
+SELECT {ATT_COLUMNS}
 FROM att a JOIN att_se s ON s.grp = a.grp AND s.tm = a.tm WHERE a.att IS NOT NULL""", *FULL, SIX, ATT))
 def q_att_gt(spark, sf_dir):
     """Group-time ATT with not-yet-treated controls (own cohort excluded),
     universal base period g-1, person-clustered influence-function SE."""
-    from epicohort.operators.att import att_standard_errors
-    sp, att = _att_frames(spark, sf_dir)
-    att = att.where(F.col("att").isNotNull())
-    se = att_standard_errors(sp, att, "pay_deflated_six_month")
-    return rounded(att.join(se, ["group", "time"]).select(
-        F.col("group").cast("long").alias("group"), F.col("time").cast("long").alias("time"),
-        F.col("event_time").cast("long").alias("event_time"), "att", "se", "n_treated", "n_control"))
-
-
-@register("att_dynamic", oracle("""
-SELECT CAST(a.event_time AS BIGINT) AS event_time, round(sum(a.att * w.w) / sum(w.w), 4) AS att,
-       CAST(count(*) AS BIGINT) AS n_groups
-FROM att a JOIN (SELECT treatment_group AS grp, count(DISTINCT census_id_final) AS w FROM six2
-                 WHERE treatment_group > 0 GROUP BY treatment_group) w USING (grp)
-WHERE a.att IS NOT NULL GROUP BY a.event_time""", *FULL, SIX, ATT))
+    return rounded(_effects(spark, sf_dir).table(spark))
+
+
+ATT_COVARIATE = """
+obs AS (
+  SELECT census_id_final AS pid, treatment_group AS G, six_month_num AS T, pay_deflated_six_month AS y,
+         CAST(age_monthly_six_month AS DOUBLE) AS x
+  FROM six2 WHERE pay_deflated_six_month IS NOT NULL AND age_monthly_six_month IS NOT NULL),
+ocells AS (SELECT G, T, avg(y) AS m, count(*) AS n FROM obs GROUP BY G, T),
+opairs AS (
+  SELECT a.G AS grp, a.T AS tm, a.m AS m_t, b.m AS m_b, a.n AS n_treated, b.n AS n_base
+  FROM ocells a JOIN ocells b ON b.G = a.G AND b.T = a.G - 1 WHERE a.G > 0),
+sides AS (SELECT *, 1 AS side, tm AS at FROM opairs UNION ALL SELECT *, -1 AS side, grp - 1 AS at FROM opairs),
+octl AS (
+  SELECT s.grp, s.tm, s.side, o.pid, o.x, o.y FROM sides s JOIN obs o
+    ON o.T = s.at AND (o.G = 0 OR (o.G > greatest(s.tm, s.grp - 1) AND o.G <> s.grp))),
+ofit AS (
+  SELECT grp, tm, side, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx
+  FROM octl GROUP BY grp, tm, side),
+otrt AS (SELECT s.grp, s.tm, s.side, o.pid, o.x, o.y FROM sides s JOIN obs o ON o.T = s.at AND o.G = s.grp),
+oprofile AS (SELECT grp, tm, avg(x) AS px, count(*) AS n FROM otrt GROUP BY grp, tm),
+ochange AS (
+  SELECT a.*, a.tm - a.grp AS event_time, t.n AS n_control, p.px, p.n AS n_profile, t.b0 - b.b0 AS d0, t.b1 - b.b1 AS d1
+  FROM opairs a JOIN ofit t ON t.grp = a.grp AND t.tm = a.tm AND t.side = 1
+  JOIN ofit b ON b.grp = a.grp AND b.tm = a.tm AND b.side = -1 JOIN oprofile p ON p.grp = a.grp AND p.tm = a.tm),
+att AS (SELECT *, (m_t - m_b) - (d0 + d1 * px) AS att FROM ochange),
+opsi AS (
+  SELECT a.grp, a.tm, o.pid, CASE WHEN o.side = 1 THEN (o.y - a.m_t) / a.n_treated ELSE -(o.y - a.m_b) / a.n_base END
+         - (o.x - a.px) * a.d1 / a.n_profile AS psi
+  FROM att a JOIN otrt o ON o.grp = a.grp AND o.tm = a.tm
+  UNION ALL
+  SELECT a.grp, a.tm, o.pid, -o.side * (1.0 / f.n + (a.px - f.mx) * (o.x - f.mx) / f.sxx) * (o.y - f.b0 - f.b1 * o.x) AS psi
+  FROM att a JOIN octl o ON o.grp = a.grp AND o.tm = a.tm JOIN ofit f ON f.grp = o.grp AND f.tm = o.tm AND f.side = o.side),
+psi AS (SELECT grp, tm, pid, sum(psi) AS psi FROM opsi GROUP BY grp, tm, pid),
+att_se AS (SELECT grp, tm, sqrt(sum(psi * psi)) AS se FROM psi GROUP BY grp, tm)"""
+
+
+@register("att_gt_covariate", oracle(f"""
+SELECT {ATT_COLUMNS}
+FROM att a JOIN att_se s ON s.grp = a.grp AND s.tm = a.tm WHERE a.att IS NOT NULL""", *FULL, SIX, ATT_COVARIATE))
+def q_att_gt_covariate(spark, sf_dir):
+    """M15 with a covariate: outcome regression on age within each pair's controls."""
+    return rounded(_effects(spark, sf_dir, ("age_monthly_six_month",)).table(spark))
+
+
+DYNAMIC = """
+sizes AS (
+  SELECT treatment_group AS grp, count(DISTINCT census_id_final) AS w FROM six2 WHERE treatment_group > 0 GROUP BY treatment_group),
+dyn AS (
+  SELECT a.event_time, sum(a.att * z.w) / sum(z.w) AS att, sum(z.w) AS total, count(*) AS n_groups
+  FROM att a JOIN sizes z USING (grp) WHERE a.att IS NOT NULL GROUP BY a.event_time),
+moves AS (
+  SELECT a.event_time, p.pid, p.psi * z.w / d.total AS phi
+  FROM psi p JOIN att a ON a.grp = p.grp AND a.tm = p.tm JOIN sizes z ON z.grp = a.grp JOIN dyn d ON d.event_time = a.event_time
+  WHERE a.att IS NOT NULL
+  UNION ALL
+  SELECT a.event_time, m.pid, (a.att - d.att) / d.total AS phi
+  FROM (SELECT DISTINCT census_id_final AS pid, treatment_group AS grp FROM six2 WHERE treatment_group > 0) m
+  JOIN att a ON a.grp = m.grp JOIN dyn d ON d.event_time = a.event_time WHERE a.att IS NOT NULL),
+dyn_se AS (
+  SELECT event_time, sqrt(sum(phi * phi)) AS se
+  FROM (SELECT event_time, pid, sum(phi) AS phi FROM moves GROUP BY event_time, pid) GROUP BY event_time)"""
+
+DYNAMIC_SELECT = """
+SELECT CAST(d.event_time AS BIGINT) AS event_time, round(d.att, 4) AS att, round(s.se, 4) AS se,
+       round(d.att - 1.959963984540054 * s.se, 4) AS conf_low, round(d.att + 1.959963984540054 * s.se, 4) AS conf_high,
+       CAST(d.n_groups AS BIGINT) AS n_groups
+FROM dyn d JOIN dyn_se s USING (event_time)"""
+
+
+@register("att_dynamic", oracle(DYNAMIC_SELECT, *FULL, SIX, ATT, DYNAMIC))
 def q_att_dynamic(spark, sf_dir):
-    """Dynamic aggregation of ATT(g, t) by event time, weighted by group size."""
-    from epicohort.operators.att import aggregate_att
-    sp, att = _att_frames(spark, sf_dir)
-    agg = aggregate_att(att.where(F.col("att").isNotNull()), sp)
-    return rounded(agg.select(F.col("event_time").cast("long").alias("event_time"), "att", "n_groups"))
+    """ATT(g, t) by event time, weighted by group size, with its standard error from the joint covariance."""
+    return rounded(_effects(spark, sf_dir).dynamic(spark))
+
+
+@register("att_dynamic_covariate", oracle(DYNAMIC_SELECT, *FULL, SIX, ATT_COVARIATE, DYNAMIC))
+def q_att_dynamic_covariate(spark, sf_dir):
+    """M16 over the effects with a covariate."""
+    return rounded(_effects(spark, sf_dir, ("age_monthly_six_month",)).dynamic(spark))
 
 
 # ------------------------------------------------------------------ models

@@ -40,6 +40,13 @@ class Study:
         self.cfg = cfg
         self.materialize = materialize
         self.version = new_version()
+        self._kept: dict = {}
+
+    def kept(self, key, make):
+        """What ``make()`` gives, computed once for this study (fits and other bounded results)."""
+        if key not in self._kept:
+            self._kept[key] = make()
+        return self._kept[key]
 
     def stage(self, name: str, df: DataFrame) -> DataFrame:
         """S6 + S2: persist a finished stage in the shared checkpoint folder and
