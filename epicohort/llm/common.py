@@ -6,13 +6,16 @@ import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epicohort.session import ensure_checkpoint_dir, ship_package
 
-#: Rows of one slice of an Arrow batch that a worker holds as Python objects.
-SLICE = 256
+#: Rows and bytes of one slice of an Arrow batch that a worker holds as Python objects (one row at least).
+SLICE, SLICE_BYTES = 256, 2 << 20
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -61,9 +64,22 @@ def hash_share(key: Column, salt: str) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def slices(values: Sequence, size: int = SLICE) -> Iterator[tuple[int, Sequence]]:
-    for start in range(0, len(values), size):
-        yield start, values[start:start + size]
+def slices(values: Sequence, size: int = SLICE, most: int | None = None) -> Iterator[tuple[int, Sequence]]:
+    """(start, slice) of at most ``size`` values in a row that are, where they are an Arrow array of texts or
+    bytes, at most ``most`` (``SLICE_BYTES``) bytes together; a longer value is a slice of its own."""
+    n = len(values)
+    if not isinstance(values, pa.Array):
+        for start in range(0, n, size):
+            yield start, values[start:start + size]
+        return
+    until = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < n:
+        before = until[start - 1] if start else 0
+        stop = int(np.searchsorted(until, before + (most or SLICE_BYTES), "right"))
+        stop = min(max(stop, start + 1), start + size)
+        yield start, values[start:stop]
+        start = stop
 
 
 _BUILT: dict[str, object] = {}

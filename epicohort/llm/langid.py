@@ -37,6 +37,8 @@ SAMPLE_PER_LANGUAGE = 5_000
 SMOOTHING = 0.2
 #: What a fit's log-likelihood (in letters, as the penalty) may be short of the greatest one.
 SETTLED = 0.01
+#: Bytes of text times languages that are worked on at a time (one text at least).
+SLICE_TRIGRAMS = 8 << 20
 UNKNOWN = "und"
 
 _SEEN: dict[str, np.ndarray] = {}
@@ -81,11 +83,12 @@ def profile_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     def run(batches):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for _, part in slices(batch.to_pylist()):
-                buckets, starts = trigrams([r["text"] for r in part])
-                for k, row in enumerate(part):
+            langs = batch.column("lang").to_pylist()
+            for start, part in slices(batch.column("text")):
+                buckets, starts = trigrams(part.to_pylist())
+                for k in range(len(part)):
                     add = np.bincount(buckets[starts[k]:starts[k + 1]], minlength=BUCKETS)
-                    totals[row["lang"]] = totals.get(row["lang"], 0) + add
+                    totals[langs[start + k]] = totals.get(langs[start + k], 0) + add
             if len(totals) * BUCKETS > 1 << 23:
                 yield from _rows(totals)
                 totals = {}
@@ -222,7 +225,8 @@ def predict(text: Column, model: Languages, spark) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         languages, out = shared.get(), []
-        for _, part in slices(texts):
+        # a trigram takes a number for each language
+        for _, part in slices(texts, most=max(SLICE_TRIGRAMS // max(len(languages.names), 1), 1)):
             out += languages.compositions(part.to_pylist())
         top = [own[0] if own else (UNKNOWN, 0.0) for own in out]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in top], pa.string()), pa.array([x[1] for x in top], pa.float64()),

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epicohort.llm.common import fresh_name, ready
+from epicohort.llm.common import fresh_name, ready, slices
 
 LEAST_WORDS, LEAST_POWER = 6, 4
 #: Text that is worked on at a time.
@@ -148,25 +148,10 @@ def _judge(texts: list[bytes | None]) -> tuple[list[list[tuple[int, int, int]]],
     return runs, collapsed
 
 
-def _parts(texts: pa.Array):
-    """Texts of at most ``PART_BYTES`` together, one at least."""
-    part, held = [], 0
-    for t in texts:
-        value = t.as_py()
-        size = len(value or b"")
-        if part and held + size > PART_BYTES:
-            yield part
-            part, held = [], 0
-        part.append(value)
-        held += size
-    if part:
-        yield part
-
-
 def _run(texts: pa.Array) -> pa.Array:
     out = []
-    for part in _parts(texts.cast(pa.binary())):
-        runs, collapsed = _judge(part)
+    for _, part in slices(texts.cast(pa.binary()), most=PART_BYTES):
+        runs, collapsed = _judge(part.to_pylist())
         lists = pa.array([[dict(zip(("start", "length", "period"), r)) for r in own] for own in runs], _RESULT.field("runs").type)
         out.append(pa.StructArray.from_arrays([lists, pa.array(collapsed, pa.string())], fields=list(_RESULT)))
     return pa.concat_arrays(out) if out else pa.array([], _RESULT)

@@ -74,10 +74,10 @@ def term_counts(train: DataFrame, text: str, label: str) -> DataFrame:
     def run(batches):
         counts: dict[str, list[int]] = {}
         for batch in batches:
-            for _, part in slices(batch.to_pylist()):
-                for row in part:
-                    side = int(row["label"])
-                    for term in terms(row["text"]):
+            labels = batch.column("label").to_pylist()
+            for start, part in slices(batch.column("text")):
+                for side, body in zip(labels[start:start + len(part)], part.to_pylist()):
+                    for term in terms(body):
                         own = counts.get(term)
                         if own is None:
                             own = counts[term] = [0, 0]

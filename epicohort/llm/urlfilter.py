@@ -9,7 +9,8 @@ is DataFrame functions.
 Defined results: host and path are empty for a null URL or one without
 ``://``; such URLs, empty ones and those that no rule fits get a null rule and
 the default verdict; of several fitting rules the longest wins (ties: the
-larger rule text); repeated rows each get a row; other columns are ignored.
+larger rule text); a very long URL is a row like any other, its tokens with it; repeated rows
+each get a row; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,12 +59,19 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(parts, lambda t: t != ""), F.array(F.lit(ANY))))
 
 
-def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rules with their rarest token: ``urls`` has a ``tokens`` column."""
+def index_rules(urls: DataFrame, rules: DataFrame, n_rules: int = 0) -> DataFrame:
+    """The rules with their rarest token: ``urls`` has a ``tokens`` column.
+
+    The token of all URLs is not counted, as a rule has it alone or not at all. Of the
+    others only those that a rule asks for are counted, up to ``BROADCAST_RULES`` rules by
+    a broadcast of theirs, and each task adds up its own before the shuffle; with more rules all tokens
+    are counted, each task's own first, and then looked up."""
     wanted = rules.select("rule", "pattern", "verdict",
                           F.explode(F.when(F.size("tokens") > 0, F.array_distinct("tokens")).otherwise(F.array(F.lit(ANY)))).alias("token"))
-    counts = urls.select(F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi") \
-        .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = urls.select(F.explode(F.filter("tokens", lambda t: t != ANY)).alias("token"))
+    if n_rules <= BROADCAST_RULES:
+        tokens = tokens.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     found = wanted.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return found.groupBy("rule", "pattern", "verdict").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
 
@@ -74,7 +82,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, n_rules: int, key: str = "pa
     host, path = url_parts(F.col(url))
     urls = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
-    index = index_rules(urls, rules)
+    index = index_rules(urls, rules, n_rules)
     asked = urls.withColumn("_row", F.monotonically_increasing_id()).withColumn("token", F.explode("tokens")).drop("tokens")
     index = index.select("token", "rule", "pattern", F.col("verdict").alias("_verdict"))
     if n_rules <= BROADCAST_RULES:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from epicohort.llm import urlfilter as U
 
@@ -43,3 +44,33 @@ def test_rarest_token_and_empty_tables(spark):
     assert index["rare.net/en/"] in ("rare", "net") and index["example.com/en/"] in ("com", "example")
     assert U.filter_urls(pages.limit(0), rules, 2).count() == 0
     assert {r["verdict"] for r in U.filter_urls(pages, rules.limit(0), 0).collect()} == {"allow"}
+
+
+def test_tokens_are_counted_before_the_shuffle(spark, monkeypatch):
+    """Neither form of the index shuffles a row for each token of each URL."""
+    urls = spark.createDataFrame([(f"h{i}.example.com", "/en/a/b") for i in range(50)], "host string, path string")
+    urls = urls.withColumn("tokens", U.url_tokens(F.col("host"), F.col("path")))
+    rules = U.rule_table(spark, [("example.com/en/", "block"), ("com/", "allow"), ("absent/x/", "block")])
+    for most in (U.BROADCAST_RULES, 1):
+        monkeypatch.setattr(U, "BROADCAST_RULES", most)
+        index = U.index_rules(urls, rules, 3)
+        lines = index._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+        seen = 0
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning(token" in line:
+                below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+                if "explode(filter" in "".join(lines[i:below]):
+                    assert "partial_count" in lines[i + 1]
+                    seen += 1
+        assert seen == 1
+        assert {r["rule"]: r["token"] for r in index.collect()} == {"example.com/en/": "com", "com/": "com", "absent/x/": "absent"}
+
+
+def test_very_long_url_and_empty_table(spark):
+    long = "http://www.example.com/en/" + "segment/" * 20_000 + "?q=" + "z" * 100_000
+    pages = spark.createDataFrame([(1, long, "x", "y"), (2, long.replace("/en/", "/xx/"), "x", "y")], "page_id long, url string, host string, _row string")
+    rules = U.rule_table(spark, [("example.com/en/", "block")])
+    got = {r["page_id"]: (r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in U.filter_urls(pages, rules, 1).collect()}
+    assert got == {1: ("www.example.com", 160_004, "example.com/en/", "block"), 2: ("www.example.com", 160_004, None, "allow")}
+    assert U.filter_urls(pages.limit(0), rules, 1).count() == 0
