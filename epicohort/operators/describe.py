@@ -3,14 +3,13 @@ conditional (FILTER-style) measures instead of separate jobs plus joins."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epicohort.operators.quantiles import exact_quantiles
+from epicohort.sources.io import stash
 
 
 def count_by(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
@@ -138,40 +137,57 @@ def std_diff_binary(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame
 
 def _std_diff_finish(st: DataFrame, pooled_var: Column) -> DataFrame:
     d = F.try_divide(F.abs(F.col("m1") - F.col("m0")), F.sqrt(pooled_var))  # no spread -> NULL, never an ANSI error
-    st = st.withColumn("std_diff", d)
+    return _std_diff_interval(st.withColumn("std_diff", d))
+
+
+def _std_diff_interval(st: DataFrame) -> DataFrame:
+    """variable, std_diff and its 95 % interval, from std_diff and the group sizes n1 and n0."""
     se = F.sqrt(F.try_divide(F.col("n1") + F.col("n0"), F.col("n1") * F.col("n0"))
                 + F.try_divide(F.col("std_diff") ** 2, 2 * (F.col("n1") + F.col("n0"))))
     return st.select("variable", "std_diff", (F.col("std_diff") - 1.96 * se).alias("std_diff_lcl"),
                      (F.col("std_diff") + 1.96 * se).alias("std_diff_ucl"))
 
 
-def std_diff_category(df: DataFrame, group: str, col: str) -> dict:
-    """A15 for a factor with K levels: Mahalanobis distance of the level
-    shares (first level dropped).  Spark counts (group, level); the
-    (K-1) x (K-1) algebra runs on the driver over K numbers per group."""
-    counts = df.groupBy(F.col(group).alias("g"), F.col(col).cast("string").alias("lev")).count().collect()
-    levels = sorted({r["lev"] for r in counts if r["lev"] is not None})
-    n = {g: sum(r["count"] for r in counts if r["g"] == g and r["lev"] is not None) for g in (0, 1)}
-    p = {g: np.array([sum(r["count"] for r in counts if r["g"] == g and r["lev"] == lv) / max(n[g], 1)
-                      for lv in levels[1:]]) for g in (0, 1)}
-    t, c = p[1], p[0]
-    s = (np.diag(t * (1 - t) + c * (1 - c)) - (np.outer(t, t) + np.outer(c, c)) * (1 - np.eye(len(t)))) / 2
-    diff = t - c
-    dval = float(math.sqrt(max(diff @ np.linalg.pinv(s) @ diff, 0.0))) if len(t) else 0.0
-    se = math.sqrt((n[1] + n[0]) / (n[1] * n[0]) + dval ** 2 / (2 * (n[1] + n[0])))
-    return {"variable": col, "std_diff": dval, "std_diff_lcl": dval - 1.96 * se, "std_diff_ucl": dval + 1.96 * se}
+def std_diff_category(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
+    """A15 for factors: the Mahalanobis distance of the two groups' level shares t and
+    c, one level left out, for all columns from one unpivoted count.
+
+    The covariance of the shares is diag((t + c) / 2) - (t t' + c c') / 2, a diagonal
+    less a matrix of rank two, so its inverse needs six sums over the levels and
+    no matrix (Woodbury): any number of columns and levels is two grouped aggregates.
+    The level left out is the most frequent one, which keeps the sums well conditioned; the
+    distance is the same for any.  NULL levels and groups are left out; a column with
+    one level has distance 0; groups that share no level, or an empty one, give NULL."""
+    long = df.select(F.col(group).alias("_g"), *[F.col(c).cast("string").alias(c) for c in cols]).where(F.col("_g").isin(0, 1)) \
+        .unpivot(["_g"], list(cols), "variable", "_level").where(F.col("_level").isNotNull())
+    counts = long.groupBy("variable", "_level").agg(
+        *[F.sum((F.col("_g") == g).cast("long")).alias(f"_c{g}") for g in (0, 1)])
+    sizes = counts.groupBy("variable").agg(F.sum("_c1").alias("n1"), F.sum("_c0").alias("n0"),
+                                           F.max_by("_level", F.struct(F.col("_c0") + F.col("_c1"), "_level")).alias("_out"))
+    shares = counts.join(sizes, "variable").withColumns({"_t": F.try_divide("_c1", "n1"), "_c": F.try_divide("_c0", "n0")})
+    t, c, kept = F.col("_t"), F.col("_c"), F.col("_level") != F.col("_out")
+    over = lambda x: F.coalesce(F.sum(F.when(kept, F.try_divide(2 * x, t + c))), F.lit(0.0))
+    sums = shares.groupBy("variable").agg(
+        F.first("n1").alias("n1"), F.first("n0").alias("n0"), over((t - c) * (t - c)).alias("a"), over(t * (t - c)).alias("b1"),
+        over(c * (t - c)).alias("b0"), over(t * t).alias("g11"), over(t * c).alias("g10"), over(c * c).alias("g00"))
+    h1, h0 = 1 - F.col("g11") / 2, 1 - F.col("g00") / 2
+    det = h1 * h0 - F.col("g10") * F.col("g10") / 4
+    more = (h0 * F.col("b1") * F.col("b1") + F.col("g10") * F.col("b1") * F.col("b0") + h1 * F.col("b0") * F.col("b0")) / 2
+    distance = F.sqrt(F.greatest(F.col("a") + F.try_divide(more, F.when(F.abs(det) > 1e-12, det)), F.lit(0.0)))
+    empty = (F.col("n1") == 0) | (F.col("n0") == 0)
+    return _std_diff_interval(sums.withColumn("std_diff", F.when(~empty & (F.abs(det) > 1e-12), distance)))
 
 
 def follow_up(df: DataFrame, id_col: str = "census_id_final", t: str = "t_op") -> DataFrame:
     """Months of follow-up per person (max - min + 1), summarised
-    overall, after the event (t >= 1) and before it (t < 1); the median is
-    the distributed exact quantile (no group is gathered in one task)."""
-    frames = []
-    for label, cond in (("overall", F.lit(True)), ("post", F.col(t) >= 1), ("pre", F.col(t) < 1)):
-        per = df.where(cond).groupBy(id_col).agg((F.max(t) - F.min(t) + 1).alias("_len"))
-        per = per.withColumn("period", F.lit(label))
-        frames.append(per)
-    per = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    overall, after the event (t >= 1) and before it (t < 1): one conditional
+    aggregate per person for all three, stored; the median is the distributed exact
+    quantile (no group is gathered in one task)."""
+    periods = {"overall": F.lit(True), "post": F.col(t) >= 1, "pre": F.col(t) < 1}
+    lengths = [(F.max(F.when(cond, F.col(t))) - F.min(F.when(cond, F.col(t))) + 1).alias(label) for label, cond in periods.items()]
+    per = df.groupBy(id_col).agg(*lengths).drop(id_col)
+    per = per.unpivot([], list(periods), "period", "_len").where(F.col("_len").isNotNull())
+    per = stash(per, "follow_up")
     stats = per.groupBy("period").agg(F.avg("_len").alias("mean_months"), F.max("_len").alias("max_months"),
                                       F.min("_len").alias("min_months"))
     med = exact_quantiles(per, "_len", [0.5], by=["period"]).select("period", F.col("q").alias("median_months"))
@@ -179,11 +195,15 @@ def follow_up(df: DataFrame, id_col: str = "census_id_final", t: str = "t_op") -
 
 
 def histogram(df: DataFrame, col: str, width: float = 100.0, lo: float = 0.0, hi: float = 10000.0) -> DataFrame:
-    """Counts per bin [lo + k w, lo + (k + 1) w) inside [lo, hi)."""
-    b = F.floor((F.col(col) - lo) / width)
-    return (df.where((F.col(col) >= lo) & (F.col(col) < hi)).groupBy(b.alias("bin"))
-              .agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("bin_start", F.col("bin") * width + lo))
+    """Counts per bin [lo + k w, lo + (k + 1) w) inside [lo, hi); rows below are
+    bin -1, which has no start, and rows from hi on a last bin, which has no end.  NULL and
+    NaN values are in no bin."""
+    last = F.lit(int(-((lo - hi) // width))).cast("long")
+    x = F.col(col)
+    b = F.when(x < lo, F.lit(-1).cast("long")).when(x >= hi, last).otherwise(F.floor((x - lo) / width))
+    start = F.when(F.col("bin") < 0, F.lit(None)).when(F.col("bin") == last, F.lit(float(hi))).otherwise(F.col("bin") * width + lo)
+    return (df.where(x.isNotNull() & ~F.isnan(x.cast("double"))).groupBy(b.alias("bin"))
+              .agg(F.count(F.lit(1)).alias("n")).withColumn("bin_start", start))
 
 
 def rolling_mean(df: DataFrame, order: str, col: str, width: int = 3) -> DataFrame:

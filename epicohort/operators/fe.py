@@ -240,10 +240,11 @@ class FEResult:
     label: str = ""
     absorbed: list = field(default_factory=list)   # terms that are absorbed effects, not results
     by_levels: list = field(default_factory=list)
+    absorbed_rank: int = 0   # effects that were absorbed beside the persons' (see ``absorb``)
 
     @property
     def k(self) -> int:
-        return int(np.sum(~np.isnan(self.estimate)))
+        return int(np.sum(~np.isnan(self.estimate))) + self.absorbed_rank
 
     @property
     def dof(self) -> int:
@@ -357,7 +358,7 @@ def _staged(df: DataFrame, name: str) -> DataFrame:
 def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: Sequence[str] = (),
                person: str = "census_id_final", month: str | None = "month_label", interact: tuple | None = None,
                by: str | None = None, small_sample: bool = True, partitions: int | None = None,
-               flush_persons: int = FLUSH_PERSONS) -> dict:
+               flush_persons: int = FLUSH_PERSONS, floors: dict | None = None, absorbed_rank: dict | None = None) -> dict:
     """M1 (+M3, M7, M9, M11): one fit for each stratum of ``by`` and each outcome,
     all in the same passes; keys of the result are (stratum, outcome).
 
@@ -368,7 +369,9 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
     left out, as a regression on complete cases does; outcomes that are missing
     on different rows belong in different calls.  A level that a stratum lacks
     is left out of its result; a collinear term has a NULL estimate.
-    ``partitions`` spreads rows round-robin first (tests)."""
+    ``partitions`` spreads rows round-robin first (tests).  ``floors`` (by stratum, of
+    the numeric columns) and ``absorbed_rank`` come with rows that had effects absorbed:
+    sums of squares up to which a column counts as absorbed, and the effects' number."""
     spark = df.sparkSession
     ship_package(spark)
     outcomes, numeric = list(outcomes), list(numeric)
@@ -376,7 +379,7 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
     data, sizes = _centred(df, by, person, list(dict.fromkeys([*numeric, *outcomes])), labels)
     if partitions:
         data = data.repartition(partitions)
-    found = data.agg(F.collect_set("_s").alias("_s"), *[F.collect_set(c).alias(c) for c in labels]).first()
+    found = data.agg(F.count(F.lit(1)).alias("_n"), *[F.collect_set(c).alias(c) for c in labels]).first()
     levels = {c: sorted(found[c]) for c in labels}
     design = Design({c: [lv for lv in levels[c] if str(lv) != str(ref)] for c, ref in factors.items()}, numeric, month,
                     levels[month][1:] if month else [])
@@ -404,7 +407,7 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
         zt = _unpack(v - corr[s][:-2], kz)
         floor = COLLINEAR * v[_diagonal(kz)][:k]
         at = sum(len(x) for x in design.factors.values())
-        floor[at:at + len(numeric)] = CONSTANT * sizes[s][:len(numeric)]
+        floor[at:at + len(numeric)] = floors[s] if floors else CONSTANT * sizes[s][:len(numeric)]
         keep, inv = solve_normal(zt[:k, :k], floor)
         beta = _times(inv, zt[:k, k:])
         solved[s] = (inv, beta, keep, np.diag(zt)[k:], int(corr[s][-2]), int(corr[s][-1]))
@@ -434,8 +437,9 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
         for j, y in enumerate(outcomes):
             own = meats[s][j * width:(j + 1) * width]
             cov = _times(_times(inv, _unpack(own[:-1], k)), inv)
-            if small_sample and groups > 1 and n > len(keep):
-                cov *= (groups / (groups - 1)) * ((n - 1) / (n - len(keep)))
+            rank = (absorbed_rank or {}).get(s, 0)
+            if small_sample and groups > 1 and n > len(keep) + rank:
+                cov *= (groups / (groups - 1)) * ((n - 1) / (n - len(keep) - rank))
             est = beta[:, j].copy()
             est[gone], cov[gone, :], cov[:, gone] = np.nan, np.nan, np.nan
             here = [i for i, t in enumerate(design.terms) if t not in absent[s]]
@@ -443,7 +447,7 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
             results[s if by else None, y] = FEResult(
                 terms, est[here], cov[np.ix_(here, here)], n, groups, float(squares[s][j] - own[-1]), float(tss[j]), groups,
                 [design.terms[i] for i in gone if i in here], s, [t for t in design.absorbed if t not in absent[s]],
-                levels[interact[1]] if interact else [])
+                levels[interact[1]] if interact else [], rank)
     return results
 
 

@@ -1157,6 +1157,73 @@ def q_pay_summary_unexposed(spark, sf_dir):
     return rounded(pay_summary_pre_post(described(spark, sf_dir, "unexposed")))
 
 
+BALANCE_COLS = ("census_sex", "disability_category", "ethnic_group_tb", "age_bands", "ns_sec", "rural_urban", "imd_decile",
+                "disability_binary", "religion_tb", "region", "highest_qualification", "legal_partnership_status")
+
+BALANCE = f"""
+bal_long AS ({" UNION ALL ".join(f"SELECT treat, '{c}' AS variable, CAST({c} AS VARCHAR) AS level FROM (SELECT 1 AS treat, {c} FROM exposed_pl UNION ALL SELECT 0, {c} FROM unexposed_pl)" for c in BALANCE_COLS)}),
+bal_n AS (
+  SELECT variable, count(*) FILTER (WHERE treat = 1) AS n1, count(*) FILTER (WHERE treat = 0) AS n0
+  FROM bal_long WHERE level IS NOT NULL GROUP BY variable),
+bal_share AS (
+  SELECT l.variable, level, row_number() OVER (PARTITION BY l.variable ORDER BY level) AS k,
+         count(*) FILTER (WHERE treat = 1) / any_value(n1) AS t, count(*) FILTER (WHERE treat = 0) / any_value(n0) AS c
+  FROM bal_long l JOIN bal_n n ON l.variable = n.variable WHERE level IS NOT NULL GROUP BY l.variable, level),
+bal_rows AS (
+  SELECT a.variable, a.k, list_append(list(CASE WHEN a.k = b.k THEN (a.t * (1 - a.t) + a.c * (1 - a.c)) / 2
+           ELSE -(a.t * b.t + a.c * b.c) / 2 END ORDER BY b.k), any_value(a.t - a.c)) AS cells
+  FROM bal_share a JOIN bal_share b ON a.variable = b.variable AND b.k > 1 WHERE a.k > 1 GROUP BY a.variable, a.k),
+bal_sweep AS (
+  SELECT variable, 1 AS j, list(cells ORDER BY k) AS m FROM bal_rows GROUP BY variable
+  UNION ALL
+  SELECT variable, j + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = j THEN m[i]
+           ELSE list_transform(range(1, len(m) + 2), lambda c: m[i][c] - m[i][j] / m[j][j] * m[j][c]) END)
+  FROM bal_sweep WHERE j <= len(m)),
+bal_d AS (
+  SELECT s.variable, sqrt(greatest(sum((h.t - h.c) * s.m[h.k - 1][len(s.m) + 1] / s.m[h.k - 1][h.k - 1]), 0)) AS d
+  FROM bal_sweep s JOIN bal_share h ON h.variable = s.variable AND h.k > 1 WHERE s.j = len(s.m) + 1 GROUP BY s.variable),
+bal_age AS (
+  SELECT count(age_at_operation) FILTER (WHERE treat = 1) AS n1, count(age_at_operation) FILTER (WHERE treat = 0) AS n0,
+         abs(avg(age_at_operation) FILTER (WHERE treat = 1) - avg(age_at_operation) FILTER (WHERE treat = 0))
+         / sqrt((var_samp(age_at_operation) FILTER (WHERE treat = 1) + var_samp(age_at_operation) FILTER (WHERE treat = 0)) / 2) AS d
+  FROM (SELECT 1 AS treat, CAST(age_at_operation AS DOUBLE) AS age_at_operation FROM exposed_pl
+        UNION ALL SELECT 0, CAST(age_at_operation AS DOUBLE) FROM unexposed_pl)),
+bal_all AS (
+  SELECT n.variable, n1, n0, CASE WHEN n1 > 0 AND n0 > 0 THEN coalesce(d, 0) END AS d FROM bal_n n LEFT JOIN bal_d b ON b.variable = n.variable
+  UNION ALL SELECT 'age_at_operation', n1, n0, d FROM bal_age),
+balance AS (
+  SELECT variable, round(d, 4) AS std_diff, round(d - 1.96 * se, 4) AS std_diff_lcl, round(d + 1.96 * se, 4) AS std_diff_ucl
+  FROM (SELECT *, sqrt((n1 + n0) / (n1 * n0) + d * d / (2 * (n1 + n0))) AS se FROM bal_all))"""
+
+
+def _recursive(sql: str) -> str:
+    return "WITH RECURSIVE" + sql[len("WITH"):]
+
+
+def _balance(spark, sf_dir) -> DataFrame:
+    """Standardised differences of the 12 factors and age at the event between the cohorts."""
+    from epicohort.operators.describe import std_diff_category, std_diff_numeric
+    cols = [*BALANCE_COLS, "age_at_operation"]
+    people = person_level(spark, sf_dir).select(F.lit(1).alias("treat"), *cols).unionByName(
+        person_level(spark, sf_dir, "unexposed").select(F.lit(0).alias("treat"), *cols))
+    return rounded(std_diff_category(people, "treat", BALANCE_COLS).unionByName(std_diff_numeric(people, "treat", ["age_at_operation"])))
+
+
+@register("std_diff_category", _recursive(oracle("SELECT * FROM balance", *FULL, DESCR_E, DESCR_U, PL_E, PL_U, BALANCE)))
+def q_std_diff_category(spark, sf_dir):
+    """A15 for 12 factors, and A14 for age: exposed against matched unexposed people at the event month."""
+    return _balance(spark, sf_dir)
+
+
+@register("category_balance", _recursive(oracle(
+    f"SELECT c.*, b.std_diff, b.std_diff_lcl, b.std_diff_ucl FROM ({_cat_sql('unexposed_pl')}) c FULL JOIN balance b ON b.variable = c.Variable_names",
+    *FULL, DESCR_E, DESCR_U, PL_E, PL_U, BALANCE)))
+def q_category_balance(spark, sf_dir):
+    """A11 with A15: the unexposed cohort's category counts beside the standardised difference of their attribute."""
+    counts = _category_counts(person_level(spark, sf_dir, "unexposed"))
+    return counts.join(_balance(spark, sf_dir).withColumnRenamed("variable", "Variable_names"), "Variable_names", "full")
+
+
 @register("category_counts_unexposed", oracle(_cat_sql("unexposed_pl"), *FULL, DESCR_U, PL_U))
 def q_category_counts_unexposed(spark, sf_dir):
     """A11 for the matched unexposed cohort."""

@@ -13,6 +13,7 @@ from epicohort.operators import cohort as C
 from epicohort.operators.describe import rolling_mean
 from epicohort.operators.flow import flow_counts
 from epicohort.operators.panel import combine_ids, event_bins
+from epicohort.operators import quantiles
 from epicohort.operators.quantiles import exact_quantiles
 from epicohort.operators.sample import stratified_sample
 
@@ -112,28 +113,87 @@ def test_draws_independent_of_partitioning(spark):
     assert a == b and all(0 <= v < 1 for v in a.values())
 
 
-def test_exact_quantiles_match_numpy_with_ties(spark):
+def test_exact_quantiles_match_numpy_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "LISTED", 5)
+    monkeypatch.setattr(quantiles, "CELLS", 8)
     rng = np.random.default_rng(1)
     vals = np.concatenate([np.zeros(400), rng.normal(size=600).round(2)])
     rows = [(int(i % 3), float(v)) for i, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "g int, x double")
-    got = {(r.g, r.p): r.q for r in exact_quantiles(df, "x", [0.1, 0.5, 0.9999], by=["g"], small=50, accuracy=100).collect()}
+    got = {(r.g, r.p): r.q for r in exact_quantiles(df, "x", [0.1, 0.5, 0.9999], by=["g"], accuracy=100).collect()}
     for g in range(3):
         xs = np.array([v for k, v in rows if k == g])
         for p in (0.1, 0.5, 0.9999):
             assert abs(got[(g, p)] - np.quantile(xs, p)) < 1e-9
 
 
+def test_exact_quantiles_of_large_groups(spark):
+    """More rows than any bracket lists, in two groups of different spread and one NULL group."""
+    df = spark.range(600_000).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"),
+        F.round(F.exp(F.randn(7) * 3) * F.when(F.col("id") % 3 == 0, 1e6).otherwise(1.0), 3).alias("x"))
+    pdf = df.toPandas()
+    probs = [0.0, 0.0001, 0.25, 0.5, 0.9999, 1.0]
+    got = {(r.g, r.p): r.q for r in exact_quantiles(df, "x", probs, by=["g"], accuracy=100).collect()}
+    assert len(got) == 18
+    for g in ("a", "b", None):
+        xs = pdf.x[pdf.g.isna() if g is None else pdf.g == g].to_numpy()
+        assert len(xs) == 200_000
+        for p in probs:
+            want = np.quantile(xs, p)
+            assert abs(got[g, p] - want) <= 1e-12 * max(1.0, abs(want))
+
+
+def test_exact_quantiles_survive_a_poor_first_bracket(spark, monkeypatch):
+    """The guess lies wholly below, wholly above, or at both ends of the wanted ranks."""
+    values = [float(v) for v in range(1000)] + [1e308, -1e308, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([("g", v) for v in values] + [("one", 3.0), ("none", None)], "g string, x double")
+    finite = np.array([v for v in values if v is not None and np.isfinite(v)])
+    for guess in ((-1e308, -1e308), (1e308, 1e308), (-1e308, 1e308), (499.0, 499.0), (2.5, 3.5)):
+        monkeypatch.setattr(quantiles.F, "percentile_approx", lambda c, ps, acc: F.array(*[F.lit(x) for x in guess * (len(ps) // 2)]))
+        got = {(r.g, r.p): r.q for r in exact_quantiles(df, "x", [0.1, 0.5, 1.0], by=["g"]).collect()}
+        assert {g for g, _ in got} == {"g", "one"}
+        for p in (0.1, 0.5, 1.0):
+            assert got["g", p] == np.quantile(finite, p) and got["one", p] == 3.0
+
+
+def test_std_diff_category_matches_the_matrix_form(spark):
+    from epicohort.operators.describe import std_diff_category
+    rng = np.random.default_rng(4)
+    rows = [(int(g), str(rng.choice(list("abcd"), p=[.4, .3, .2, .1] if g else [.1, .2, .3, .4])), f"l{rng.integers(30)}",
+             "only", "x" if g else "y", None if i % 5 else "n") for i, g in enumerate(rng.integers(0, 2, 900))]
+    cols = ["a", "b", "one", "apart", "holes"]
+    df = spark.createDataFrame([*rows, (None, "a", "b", "c", "d", "e")], "g int, a string, b string, one string, apart string, holes string")
+    got = {r.variable: r for r in std_diff_category(df, "g", cols).collect()}
+    for k, col in enumerate(cols[:3], 1):
+        levels = sorted({r[k] for r in rows})[1:]
+        n = {g: sum(r[0] == g for r in rows) for g in (0, 1)}
+        p = {g: np.array([sum(r[0] == g and r[k] == lv for r in rows) / n[g] for lv in levels]) for g in (0, 1)}
+        cov = sum(np.diag(p[g]) - np.outer(p[g], p[g]) for g in (0, 1)) / 2
+        d = float(np.sqrt((p[1] - p[0]) @ np.linalg.pinv(cov) @ (p[1] - p[0]))) if levels else 0.0
+        se = np.sqrt((n[0] + n[1]) / (n[0] * n[1]) + d * d / (2 * (n[0] + n[1])))
+        assert abs(got[col].std_diff - d) < 1e-10 and abs(got[col].std_diff_ucl - d - 1.96 * se) < 1e-10
+    assert got["apart"].std_diff is None and got["holes"].std_diff == 0.0
+
+
+def test_histogram_counts_every_value(spark):
+    from epicohort.operators.describe import histogram
+    df = spark.createDataFrame([(v,) for v in (-5.0, 0.0, 99.9, 100.0, 249.0, 250.0, 1e9, None, float("nan"))], "x double")
+    got = {r.bin: (r.n, r.bin_start) for r in histogram(df, "x", 100.0, 0.0, 250.0).collect()}
+    assert got == {-1: (1, None), 0: (2, 0.0), 1: (1, 100.0), 2: (1, 200.0), 3: (2, 250.0)}
+
+
 def test_fixture_config_is_half_open_window():
     assert FIXTURE_CONFIG.follow_up_start < FIXTURE_CONFIG.follow_up_end
 
 
-def test_exact_quantiles_global_match_numpy(spark):
+def test_exact_quantiles_global_match_numpy(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vals = np.concatenate([np.zeros(300), rng.exponential(size=700).round(3)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    for small in (10, 10_000):
-        got = {r.p: r.q for r in exact_quantiles(df, "x", [0.0001, 0.5, 0.9, 0.9999], small=small, accuracy=200).collect()}
+    for listed in (2, 10_000):
+        monkeypatch.setattr(quantiles, "LISTED", listed)
+        got = {r.p: r.q for r in exact_quantiles(df, "x", [0.0001, 0.5, 0.9, 0.9999], accuracy=200).collect()}
         for p in (0.0001, 0.5, 0.9, 0.9999):
             assert abs(got[p] - np.quantile(vals, p)) < 1e-9
 
