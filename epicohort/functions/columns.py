@@ -4,6 +4,7 @@ and factor reference levels kept as column metadata."""
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +32,30 @@ def with_constants(df: DataFrame, values: dict) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in values.items()})
 
 
-def set_reference(df: DataFrame, refs: dict) -> DataFrame:
-    """Record each factor's reference level in the column metadata
-    (read back by ``reference_of``); values are unchanged."""
-    out = df
-    for col, ref in refs.items():
-        out = out.withMetadata(col, {"reference_level": str(ref)})
+def set_reference(df: DataFrame, refs: dict, orders: dict | None = None) -> DataFrame:
+    """Record each factor's reference level, and the order of its levels where
+    ``orders`` names one, in the column metadata.  Values are unchanged; the metadata
+    goes through select, join, rename and stage tables, and ``fe.fit_models`` reads it."""
+    out, orders = df, orders or {}
+    for col in dict.fromkeys([*refs, *orders]):
+        known = dict(out.schema[col].metadata)
+        if col in refs:
+            known["reference_level"] = str(refs[col])
+        if col in orders:
+            known["level_order"] = [str(lv) for lv in orders[col]]
+        out = out.withMetadata(col, known)
     return out
 
 
-def reference_of(df: DataFrame, col: str):
-    return df.schema[col].metadata.get("reference_level")
+def reference_of(df: DataFrame, col: str) -> str | None:
+    return df.schema[col].metadata.get("reference_level") if col in df.columns else None
+
+
+def level_order_of(df: DataFrame, col: str) -> list[str]:
+    return list(df.schema[col].metadata.get("level_order", [])) if col in df.columns else []
+
+
+def in_order(levels, reference: str | None = None, order: Sequence[str] = ()) -> list:
+    """Levels with the reference first, then those of ``order``, then the others sorted."""
+    place = {lv: i for i, lv in enumerate(order)}
+    return sorted(levels, key=lambda lv: (str(lv) != reference, place.get(str(lv), len(place)), lv))

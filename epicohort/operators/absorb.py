@@ -62,9 +62,9 @@ def _added(parts: DataFrame, add: Callable = np.add) -> np.ndarray | None:
     """Elementwise sum of the tasks' vectors, in two rounds."""
     tasks = min(REDUCERS, parts.sparkSession.sparkContext.defaultParallelism)
     total = None
-    for r in parts.repartition(tasks).mapInArrow(partial(_reduce, add=add), _VECTOR).toLocalIterator():
-        own = np.array(r["v"])
-        total = own if total is None else add(total, own)
+    for v in parts.repartition(tasks).mapInArrow(partial(_reduce, add=add), _VECTOR).toArrow().column(0):  # a vector of each task
+        own = v.values.to_numpy()
+        total = own.copy() if total is None else add(total, own)
     return total
 
 
@@ -201,32 +201,34 @@ def fit_absorbed(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric:
     outcomes, numeric = list(outcomes), list(numeric)
     stratum = F.col(by).cast("string") if by else F.lit("")
     levels = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in factors]).first() if factors else {}
-    dummies = {f"{c}{lv}": (F.col(c) == F.lit(lv)).cast("double") for c, ref in factors.items() for lv in levels[c] if str(lv) != str(ref)}
-    values = [*dummies, *numeric, *outcomes]
-    rows = df.dropna(subset=[*factors, *numeric, *outcomes, *cell, person]).select(
-        stratum.alias("_s"), F.col(person).cast("string").alias("_pid"), *[x.alias(c) for c, x in dummies.items()],
-        *[F.col(c).cast("double").alias(c) for c in [*numeric, *outcomes]],
-        F.to_json(F.struct(stratum.alias("s"), *[F.col(c).cast("string") for c in cell])).alias("_key")).where(F.col("_s").isNotNull())
+    columns = {f"{c}{lv}": (F.col(c) == F.lit(lv)) for c, ref in factors.items() for lv in levels[c] if str(lv) != str(ref)}
+    terms = [*columns, *numeric]
+    columns |= {c: F.col(f"`{c}`") for c in [*numeric, *outcomes]}
+    values = [f"v{i}" for i in range(len(columns))]
+    rows = df.dropna(subset=[*factors, *cell, person]).select(
+        stratum.alias("_s"), F.col(person).cast("string").alias("_pid"),
+        *[x.cast("double").alias(v) for v, x in zip(values, columns.values())],
+        F.to_json(F.struct(stratum.alias("s"), *[F.col(c).cast("string") for c in cell])).alias("_key")).dropna()
     rows = stash(dense_id(rows, "_key", "_c").withColumn("_c", F.col("_c") - 1).drop("_key"), "absorb_rows")
-    means = rows.groupBy("_s", "_pid").agg(*[F.avg(f"`{c}`").alias(f"_m{i}") for i, c in enumerate(values)],
-                                           *[F.sum(F.col(f"`{c}`") ** 2).alias(f"_q{i}") for i, c in enumerate(values)])
+    means = rows.groupBy("_s", "_pid").agg(*[F.avg(v).alias(f"_m_{v}") for v in values], *[F.sum(F.col(v) * F.col(v)).alias(f"_q_{v}") for v in values])
     means = stash(means, "absorb_means").withColumnsRenamed({"_s": "_ms", "_pid": "_mp"})
-    squares = {r["_ms"]: np.array(r[1:]) for r in means.groupBy("_ms").agg(*[F.sum(f"_q{i}") for i in range(len(values))]).collect()}
+    squares = {r["_ms"]: np.array(r[1:]) for r in means.groupBy("_ms").agg(*[F.sum(f"_q_{v}") for v in values]).collect()}
     centred = rows.join(means, (F.col("_s") == F.col("_ms")) & (F.col("_pid") == F.col("_mp"))).select(
-        "_s", "_pid", "_c", *[(F.col(f"`{c}`") - F.col(f"_m{i}")).alias(c) for i, c in enumerate(values)])
+        "_s", "_pid", "_c", *[(F.col(v) - F.col(f"_m_{v}")).alias(v) for v in values])
     centred = stash(centred, "absorb_centred")
     cells = Cells(centred.select("_s", "_pid", "_c"))
     if cells.n * len(values) > MAX_NUMBERS:
         raise ValueError(f"{cells.n} cells times {len(values)} columns are more than {MAX_NUMBERS}: absorb the larger effect as the person")
     if not cells.n:
         return {}
-    sums = centred.select("_c", *[F.col(f"`{c}`") for c in values]).mapInArrow(partial(_cell_sums, cells=cells.n, columns=len(values)), _VECTOR)
+    sums = centred.select("_c", *values).mapInArrow(partial(_cell_sums, cells=cells.n, columns=len(values)), _VECTOR)
     effects = cells.solve(_added(sums).reshape(cells.n, len(values)))
     sent = df.sparkSession.sparkContext.broadcast(effects)
     bare = stash(centred.mapInArrow(partial(_take_off, effects=sent, columns=values), centred.schema), "absorb_bare")
-    floors = {s: ABSORBED * q[:len(values) - len(outcomes)] for s, q in squares.items()}
-    fits = fit_models(bare, outcomes, {}, [*dummies, *numeric], "_pid", None, None, "_s", small_sample, floors=floors, absorbed_rank=cells.ranks())
-    return {(s if by else None, y): res for (s, y), res in fits.items()}
-
-
-__all__ = ["Cells", "FEResult", "fit_absorbed"]
+    x, y = values[:len(terms)], dict(zip(values[len(terms):], outcomes))
+    floors = {s: ABSORBED * q[:len(terms)] for s, q in squares.items()}
+    fits = fit_models(bare, list(y), {}, x, "_pid", None, None, "_s", small_sample, floors=floors, absorbed_rank=cells.ranks())
+    named = dict(zip(x, terms))
+    for res in fits.values():
+        res.terms, res.dropped = [named[t] for t in res.terms], [named[t] for t in res.dropped]
+    return {(s if by else None, y[v]): res for (s, v), res in fits.items()}

@@ -29,7 +29,6 @@ is set by its design (bins, months, spline terms, interactions), not by the rows
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -38,10 +37,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epicohort.functions.columns import in_order, level_order_of, reference_of
 from epicohort.functions.dist import chi2_upper, normal_two_sided, t_quantile_975, t_two_sided
 from epicohort.operators.quantiles import quantile_values
 from epicohort.session import ship_package
-from epicohort.sources.io import read_stage, write_stage
+from epicohort.sources.io import stash
 
 Z975 = 1.959963984540054
 #: A column whose variance after the columns before it is below this share of its own is collinear.
@@ -337,22 +337,13 @@ def _centred(df: DataFrame, by: str | None, person: str, values: Sequence[str],
     stage; and the values' sums of squares before that, per stratum."""
     data = df.select((F.col(by).cast("string") if by else F.lit("")).alias("_s"), F.col(person).cast("string").alias("_pid"),
                      *[F.col(c).cast("double").alias(c) for c in values], *keep).dropna()
-    tag = uuid.uuid4().hex[:12]
     means = data.groupBy("_s", "_pid").agg(*[F.avg(c).alias(f"_m_{c}") for c in values], *[F.sum(F.col(c) * F.col(c)).alias(f"_q_{c}") for c in values])
-    write_stage(means, "fe_means", tag)
-    means = read_stage(df.sparkSession, "fe_means", tag)
+    means = stash(means, "fe_means")
     squares = {r["_s"]: np.array([r[c] for c in values]) for r in
                means.groupBy("_s").agg(*[F.sum(f"_q_{c}").alias(c) for c in values]).collect()}
     means = means.withColumnsRenamed({"_s": "_ms", "_pid": "_mp"})
     own = data.join(means, (F.col("_s") == F.col("_ms")) & (F.col("_pid") == F.col("_mp")))
-    write_stage(own.select("_s", "_pid", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in values], *keep), "fe_rows", tag)
-    return read_stage(df.sparkSession, "fe_rows", tag), squares
-
-
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    tag = uuid.uuid4().hex[:12]
-    write_stage(df, name, tag)
-    return read_stage(df.sparkSession, name, tag)
+    return stash(own.select("_s", "_pid", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in values], *keep), "fe_rows"), squares
 
 
 def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: Sequence[str] = (),
@@ -362,7 +353,10 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
     """M1 (+M3, M7, M9, M11): one fit for each stratum of ``by`` and each outcome,
     all in the same passes; keys of the result are (stratum, outcome).
 
-    factors: {column: reference level} expanded to dummies; numeric: ready
+    factors: {column: reference level} expanded to dummies; a reference of None is that
+    of the column's metadata (``columns.set_reference``, L14), else the first level.  The
+    metadata's reference and level order also say which level of an interaction or of
+    the month effects is left out, and in which order the terms come.  numeric: ready
     numeric columns; person: absorbed by demeaning and the cluster of the
     standard errors; month: explicit dummies (first level dropped);
     interact=(factor, by).  Rows with a missing value in any model column are
@@ -380,8 +374,9 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
     if partitions:
         data = data.repartition(partitions)
     found = data.agg(F.count(F.lit(1)).alias("_n"), *[F.collect_set(c).alias(c) for c in labels]).first()
-    levels = {c: sorted(found[c]) for c in labels}
-    design = Design({c: [lv for lv in levels[c] if str(lv) != str(ref)] for c, ref in factors.items()}, numeric, month,
+    levels = {c: in_order(found[c], reference_of(df, c), level_order_of(df, c)) for c in labels}
+    refs = {c: ref if ref is not None else levels[c][0] if levels[c] else None for c, ref in factors.items()}
+    design = Design({c: [lv for lv in levels[c] if str(lv) != str(ref)] for c, ref in refs.items()}, numeric, month,
                     levels[month][1:] if month else [])
     if interact:
         design.interact_with, design.interact = interact
@@ -395,8 +390,8 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
     def gram(s, pdf):
         z = z_of(pdf)
         return z, _pack(z.T @ z)
-    first = _staged(data.mapInPandas(_row_pass(gram, flush_persons), SUMS), "fe_gram")
-    people = _staged(_people(first, kz), "fe_people")
+    first = stash(data.mapInPandas(_row_pass(gram, flush_persons), SUMS), "fe_gram")
+    people = stash(_people(first, kz), "fe_people")
 
     def between(s, pdf):
         v, n = np.stack(pdf["v"].to_numpy()), pdf["n"].to_numpy(np.float64)
@@ -418,7 +413,7 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
         x = design.matrix(pdf)
         r = pdf[outcomes].to_numpy(np.float64) - x @ betas[s]
         return np.hstack([x * r[:, j:j + 1] for j in range(m)]), (r * r).sum(axis=0)
-    second = _staged(data.mapInPandas(_row_pass(residuals, flush_persons), SUMS), "fe_scores")
+    second = stash(data.mapInPandas(_row_pass(residuals, flush_persons), SUMS), "fe_scores")
     scores = _people(second, k * m).select(F.col("s").alias("_s2"), F.col("pid").alias("_p2"), F.col("v").alias("xr"))
 
     def meat(s, pdf):

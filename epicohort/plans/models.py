@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epicohort.functions.columns import set_reference
+from epicohort.operators.absorb import fit_absorbed
 from epicohort.operators.fe import FEResult, fit_models, lr_test, natural_spline_terms
 from epicohort.operators.quantiles import exact_quantiles
 from epicohort.operators.report import compare_models, significance_table
@@ -142,8 +144,8 @@ SUITE_SCALE = "CASE WHEN c.s = 'main|in_work' THEN 'percent' WHEN c.s = 'in_work
 
 
 def suite(spark, sf_dir) -> dict:
-    every = fits(spark, sf_dir, [MAIN], ["pay_deflated", "in_work"])
-    return every | fits(spark, sf_dir, [IN_WORK], ["pay_deflated", "log_pay"])
+    return study(spark, sf_dir).kept("suite", lambda: fits(spark, sf_dir, [MAIN], ["pay_deflated", "in_work"])
+                                     | fits(spark, sf_dir, [IN_WORK], ["pay_deflated", "log_pay"]))
 
 
 @register("fe_suite", tidy_oracle(SUITE, SUITE_SCALE))
@@ -280,7 +282,8 @@ def _interaction_lr_oracle() -> str:
 
 def interaction_fits(spark, sf_dir, by: str) -> dict:
     extra = {by: F.col(by).cast("string")}
-    return three(fits(spark, sf_dir, [MAIN, IN_WORK], ["pay_deflated", "in_work"], interact=by, labels=extra))
+    return study(spark, sf_dir).kept(("interaction", by), lambda: three(
+        fits(spark, sf_dir, [MAIN, IN_WORK], ["pay_deflated", "in_work"], interact=by, labels=extra)))
 
 
 def effects(spark, results: dict, by: str) -> DataFrame:
@@ -309,9 +312,7 @@ for _by in FACTORS:
 @register("fe_interaction_lr", _interaction_lr_oracle())
 def q_fe_interaction_lr(spark, sf_dir):
     """M7 M5: likelihood-ratio test of each factor's interaction against the main model on the same rows, three outcomes."""
-    rows = []
-    main = [v for by in FACTORS for v in (Variant(f"main/{by}", f"{by} IS NOT NULL"), Variant(f"in_work/{by}", f"in_work = 1 AND {by} IS NOT NULL"))]
-    less = three(fits(spark, sf_dir, main, ["pay_deflated", "in_work"]))
+    less, rows = main_fits_by_factor(spark, sf_dir), []
     for by in FACTORS:
         for (model, y), res in interaction_fits(spark, sf_dir, by).items():
             t = lr_test(less[f"{model}/{by}", y], res)
@@ -319,6 +320,24 @@ def q_fe_interaction_lr(spark, sf_dir):
     return settled(spark.createDataFrame(rows, "factor string, model string, outcome string, lr double, df long, p_value double, aic double, bic double"))
 
 
+# ----------------------------------------------------------------- L14 reference levels
+def _reference_oracle() -> str:
+    src = source_ctes("src", [(MAIN, "pay_deflated")], ", CASE WHEN rural_urban = 'Urban' THEN '0' ELSE '1' || rural_urban END AS g")
+    rows = f"""SELECT replace(term, ':g1', ':rural_urban') AS term, estimate, std_error, statistic, p_value, conf_low, conf_high
+FROM ({Q.tidy_sql('f')}) x"""
+    cols = ["term", "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high"]
+    return recursive(oracle(settled_sql(cols, rows), *FULL, src, Q.fit_ctes("f", "src", SPLINE, interact="g"), Q.critical_ctes("f")))
+
+
+@register("fe_reference_level", _reference_oracle())
+def q_fe_reference_level(spark, sf_dir):
+    """Interaction contrasts against a reference level that the column's metadata names."""
+    df = set_reference(study(spark, sf_dir).combined, {"rural_urban": "Urban"})
+    cols = ["census_id_final", "month_label", "age_monthly", "in_work", BIN, "pay_deflated", "rural_urban"]
+    res = fit_models(stack(df.select(*cols), [MAIN]), ["pay_deflated"], {BIN: REFERENCE}, SPLINE, by="model", interact=(BIN, "rural_urban"))
+    return tidy_rows(spark, res).drop("model", "outcome")
+
+
 # ----------------------------------------------------------------- M8 fuller interactions
 def sex_month() -> dict:
     return {"sex_month": F.concat(F.col("census_sex"), F.lit("|"), F.col("month_label"))}
@@ -355,6 +374,79 @@ def q_fe_spline_interaction(spark, sf_dir):
     return tidy_rows(spark, res).drop("model", "outcome")
 
 
+#: Terms of the fuller models: bins, the age spline, and the spline in each level of the factor but the first.
+ALL_COLS = ["factor", "model", "outcome", "term", "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high"]
+
+
+def all_interaction_fits(spark, sf_dir, by: str) -> dict:
+    """Three outcomes ~ bins + spline x factor | person + factor x month, the last absorbed as cells (M8)."""
+    def run():
+        df = study(spark, sf_dir).combined.where(F.col(by).isNotNull()).withColumn(by, F.col(by).cast("string"))
+        cols = ["census_id_final", "month_label", "age_monthly", "in_work", BIN, "pay_deflated", by]
+        df = stack(df.select(*dict.fromkeys(cols)), [MAIN, IN_WORK])
+        levels = sorted(df.agg(F.collect_set(by)).first()[0])  # the categories of one person attribute
+        extra = {f"{c}:{by}{lv}": F.col(c) * (F.col(by) == lv).cast("double") for lv in levels[1:] for c in SPLINE}
+        return three(fit_absorbed(df.withColumns(extra), ["pay_deflated", "in_work"], {BIN: REFERENCE}, [*SPLINE, *extra],
+                                  [by, "month_label"], by="model"))
+    return study(spark, sf_dir).kept(("all_interactions", by), run)
+
+
+def main_fits_by_factor(spark, sf_dir) -> dict:
+    """The main model on the rows where each factor is known, three outcomes: what the interactions are tested against."""
+    main = [v for by in FACTORS for v in (Variant(f"main/{by}", f"{by} IS NOT NULL"), Variant(f"in_work/{by}", f"in_work = 1 AND {by} IS NOT NULL"))]
+    return study(spark, sf_dir).kept("main_by_factor", lambda: three(fits(spark, sf_dir, main, ["pay_deflated", "in_work"])))
+
+
+def _all_source(f: str, by: str, pairs, levels: Sequence[str]) -> tuple[str, list[str]]:
+    """CTE of the fuller model's rows (months as factor|month), and its numeric columns; ``levels`` are the factor's."""
+    more, names = [], []
+    for i, lv in enumerate(levels[1:]):
+        for x in Q.spline_sql():
+            expr, name = x.rsplit(" AS ", 1)
+            names.append(f"{name}_x{i + 1}")
+            more.append(f"({expr}) * CASE WHEN g = '{lv}' THEN 1.0 ELSE 0.0 END AS {names[-1]}")
+    src = source_ctes(f, pairs, f", CAST({by} AS VARCHAR) AS g", more)
+    return src.replace("month_label AS mon", f"CAST({by} AS VARCHAR) || '|' || month_label AS mon").replace(
+        "FROM combined WHERE TRUE", f"FROM combined WHERE {by} IS NOT NULL").replace("FROM combined WHERE in_work = 1", f"FROM combined WHERE in_work = 1 AND {by} IS NOT NULL"), names
+
+
+#: Factors whose fuller models the SQL solves too; the others have some hundred dummies, which its sweep is too slow for.
+ALL_IN_SQL = {"census_sex": ("Females", "Males"), "rural_urban": ("Rural", "Urban")}
+
+
+def _all_oracle(by: str) -> str:
+    levels = ALL_IN_SQL[by]
+    src, names = _all_source("src", by, THREE, levels)
+    terms = "CASE term " + " ".join(
+        f"WHEN '{n}' THEN '{n.rsplit('_x', 1)[0]}:{by}{levels[int(n.rsplit('_x', 1)[1])]}'" for n in names) + " ELSE term END"
+    rows = f"""SELECT '{by}' AS factor, split_part(s, '|', 1) AS model, split_part(s, '|', 2) AS outcome, {terms} AS term, estimate, std_error,
+       statistic, p_value, conf_low, conf_high FROM ({Q.tidy_sql('f')}) x"""
+    return recursive(oracle(settled_sql(ALL_COLS, rows), *FULL, src, Q.fit_ctes("f", "src", [*SPLINE, *names], month="cell"), Q.critical_ctes("f")))
+
+
+def _register_all_interactions(by: str) -> None:
+    @register(f"fe_all_interactions_{by}", _all_oracle(by) if by in ALL_IN_SQL else None)
+    def query(spark, sf_dir, by=by):
+        rows = [{"factor": by, "model": m, "outcome": y, **r} for (m, y), res in all_interaction_fits(spark, sf_dir, by).items() for r in res.rows()]
+        return settled(spark.createDataFrame(rows, "factor string, model string, outcome string, " + FEResult.TIDY))
+    query.__doc__ = f"M8: age spline interacted with {by} and {by}-specific month effects absorbed, for pay, employment and pay in work."
+
+
+for _by in FACTORS:
+    _register_all_interactions(_by)
+
+
+@register("fe_all_interactions_lr")
+def q_fe_all_interactions_lr(spark, sf_dir):
+    """M8 M5: likelihood-ratio test of each factor's fuller model against the main model on the same rows, three outcomes."""
+    less, rows = main_fits_by_factor(spark, sf_dir), []
+    for by in FACTORS:
+        for (model, y), res in all_interaction_fits(spark, sf_dir, by).items():
+            t = lr_test(less[f"{model}/{by}", y], res)
+            rows.append((by, model, y, float(t["statistic"]), int(t["df"]), float(t["p_value"]), res.aic(), res.bic()))
+    return settled(spark.createDataFrame(rows, "factor string, model string, outcome string, lr double, df long, p_value double, aic double, bic double"))
+
+
 # ----------------------------------------------------------------- M14 sensitivity
 def _merged(bins: Sequence[int]) -> dict:
     return {"bins": f"CASE WHEN {BIN} IN ({', '.join(map(str, bins))}) THEN 0 ELSE {BIN} END"}
@@ -382,7 +474,7 @@ SENSITIVITY = [(v, y) for v in sensitivity_variants() for y in ("pay_deflated",
 
 def sensitivity_fits(spark, sf_dir) -> dict:
     """All 18 fits in one set of passes."""
-    return three(fits(spark, sf_dir, sensitivity_variants(), ["pay_deflated", "in_work"]))
+    return study(spark, sf_dir).kept("sensitivity", lambda: three(fits(spark, sf_dir, sensitivity_variants(), ["pay_deflated", "in_work"])))
 
 
 @register("sensitivity", tidy_oracle(SENSITIVITY, "CASE WHEN c.s LIKE '%|in_work' THEN 'percent' END"))

@@ -1025,10 +1025,13 @@ def q_follow_up(spark, sf_dir):
 HIST = (10000.0, 0.0, 1000000.0)
 
 
+_BIN = f"CASE WHEN pay < {HIST[1]} THEN -1 WHEN pay >= {HIST[2]} THEN {int(-((HIST[1] - HIST[2]) // HIST[0]))} ELSE floor((pay - {HIST[1]}) / {HIST[0]}) END"
+
+
 @register("histogram", oracle(f"""
-SELECT CAST(floor((pay - {HIST[1]}) / {HIST[0]}) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n,
-       round(floor((pay - {HIST[1]}) / {HIST[0]}) * {HIST[0]} + {HIST[1]}, 4) AS bin_start
-FROM exposed_desc WHERE pay >= {HIST[1]} AND pay < {HIST[2]} GROUP BY floor((pay - {HIST[1]}) / {HIST[0]})""",
+SELECT CAST(bin AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n,
+       CASE WHEN bin >= 0 THEN least(bin * {HIST[0]} + {HIST[1]}, {HIST[2]}) END AS bin_start
+FROM (SELECT {_BIN} AS bin FROM exposed_desc WHERE pay IS NOT NULL) GROUP BY bin""",
                             FLAGGED, REG, LINK_E, PANEL_E, DESCR_E))
 def q_histogram(spark, sf_dir):
     """Histogram of monthly pay (fixed-width bins) computed on the cluster."""
@@ -1230,5 +1233,84 @@ def q_category_counts_unexposed(spark, sf_dir):
     return _category_counts(person_level(spark, sf_dir, "unexposed"))
 
 
+# ------------------------------------------------------------------ numbering, sources and sinks, column helpers
+@register("dense_id", oracle("""
+SELECT census_id_final, six_month_num, treat, CAST(dense_rank() OVER (ORDER BY census_id_final NULLS LAST) AS BIGINT) AS id FROM six2""",
+                             *FULL, SIX))
+def q_dense_id(spark, sf_dir):
+    """A dense number for each person of the six-month panel, without a global window."""
+    from epicohort.operators.att import six_month_panel
+    from epicohort.operators.numbering import dense_id
+    s = study(spark, sf_dir)
+    rows = s.kept("six_month", lambda: s.stage("six_month", six_month_panel(s.combined)))
+    return dense_id(rows.select("census_id_final", "six_month_num", "treat"), "census_id_final")
+
+
+@register("pruned_scan", """
+SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS epistart, year(o_orderdate) AS epi_year
+FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderpriority = '1-URGENT'""")
+def q_pruned_scan(spark, sf_dir):
+    """Columns, a pushed predicate and computed columns of one scan."""
+    from epicohort.sources.io import scan
+    where = (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp")) & (F.col("o_orderpriority") == "1-URGENT")
+    return scan(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_custkey"], where,
+                {"epistart": F.col("o_orderdate").cast("date"), "epi_year": F.year("o_orderdate").cast("long")})
+
+
+@register("view_sql", """
+SELECT r_name, CAST(count(*) AS BIGINT) AS n_customers FROM customer
+JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""")
+def q_view_sql(spark, sf_dir):
+    """SQL over tables registered as views."""
+    from epicohort.sources.io import register_view, scan
+    for name in ("customer", "nation", "region"):
+        register_view(scan(spark, f"{sf_dir}/{name}.parquet"), f"view_sql_{name}")
+    return spark.sql("""SELECT r_name, count(*) AS n_customers FROM view_sql_customer
+        JOIN view_sql_nation ON n_nationkey = c_nationkey JOIN view_sql_region ON r_regionkey = n_regionkey GROUP BY r_name""")
+
+
+@register("results_round_trip", oracle(f"SELECT c.*, 'exposed' AS cohort FROM ({_cat_sql('exposed_pl')}) c", FLAGGED, REG, LINK_E, PANEL_E, DESCR_E, PL_E))
+def q_results_round_trip(spark, sf_dir):
+    """A result table published as CSV in parallel files, read back by its manifest and types."""
+    import os
+
+    from epicohort.sources.io import read_results, scratch_root, write_results
+    folder = os.path.join(scratch_root(spark), "results")
+    write_results({"category_counts": _category_counts(person_level(spark, sf_dir))}, folder)
+    back = read_results(spark, folder, "category_counts", schema="Variable_names string, Category_name string, Count double, Percentage double")
+    return back.withColumn("Category_name", F.when(F.col("Variable_names") == "age_at_operation", F.lit("")).otherwise(F.col("Category_name"))) \
+        .withColumn("cohort", F.lit("exposed"))
+
+
+@register("code_lookup", """
+SELECT p_partkey, p_brand, p_type, CASE p_type[1] WHEN 'E' THEN 'Economy' WHEN 'L' THEN 'Large' WHEN 'M' THEN 'Medium' WHEN 'P' THEN 'Promo'
+       WHEN 'S' THEN 'Small or standard' END AS Name FROM part""")
+def q_code_lookup(spark, sf_dir):
+    """Codes of a table named by a CSV list that begins with a byte order mark."""
+    import os
+
+    from epicohort.sources.io import open_store, read_lookup, scratch_root
+    listed = [("Economy", "E"), ("Large", "L"), ("Medium", "M"), ("Promo", "P"), ("Small or standard", "S")]
+    store, root = open_store(scratch_root(spark))
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/codes.csv") as out:
+        out.write(("\ufeffName,Code\n" + "".join(f"{n},{c}\n" for n, c in listed)).encode())
+    codes = read_lookup(spark, os.path.join(scratch_root(spark), "codes.csv"), "Name string, Code string")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("Code", F.left("p_type", F.lit(1)))
+    return part.join(codes, "Code", "left").select("p_partkey", "p_brand", "p_type", "Name")
+
+
+@register("column_sets", """
+SELECT o_orderkey AS epikey, o_custkey AS census_id, CAST(o_orderdate AS DATE) AS start, o_totalprice AS pay, 1 AS treat FROM orders""")
+def q_column_sets(spark, sf_dir):
+    """Columns chosen, dropped and renamed by pattern, and constants."""
+    from epicohort.functions.columns import drop_matching, rename_regex, select_matching, with_constants
+    wide = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnsRenamed({
+        "o_orderkey": "epi_key_x", "o_custkey": "census_id_x", "o_totalprice": "pay_x", "o_orderdate": "epi_start_x"})
+    kept = drop_matching(select_matching(wide, r"_x$", keep=("o_orderstatus",)), "status")
+    named = rename_regex(rename_regex(kept, "_x$", ""), "^epi_", "epi", prefix="epi").withColumnsRenamed({"epistart": "start"})
+    return with_constants(named.withColumn("start", F.col("start").cast("date")), {"treat": 1}).select("epikey", "census_id", "start", "pay", "treat")
+
+
 # the model fits register themselves over the names above
 from epicohort.plans import models  # noqa: E402,F401

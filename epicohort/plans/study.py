@@ -24,7 +24,7 @@ from epicohort.operators import panel as P
 from epicohort.operators import sample as S
 from epicohort.functions.recode import five_year_bands
 from epicohort.sources.fixtures import DIAG_CODES, OP_CODES, OP_DATES, FixtureTables
-from epicohort.sources.io import new_version, read_stage, write_stage
+from epicohort.sources.io import drop_version, new_version, read_stage, write_stage
 
 STRATA = ["census_sex", "five_year_bands"]
 
@@ -56,6 +56,11 @@ class Study:
         write_stage(df, name, self.version)
         return read_stage(df.sparkSession, name, self.version)
 
+    def close(self) -> None:
+        """Remove the study's stage tables; its DataFrames cannot be read any more."""
+        self._kept.clear()
+        drop_version(self.t.spark, self.version)
+
     # ---------------------------------------------------------------- 1a
     @cached_property
     def flagged(self) -> DataFrame:
