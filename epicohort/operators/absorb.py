@@ -229,6 +229,9 @@ def fit_absorbed(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric:
     floors = {s: ABSORBED * q[:len(terms)] for s, q in squares.items()}
     fits = fit_models(bare, list(y), {}, x, "_pid", None, None, "_s", small_sample, floors=floors, absorbed_rank=cells.ranks())
     named = dict(zip(x, terms))
-    for res in fits.values():
-        res.terms, res.dropped = [named[t] for t in res.terms], [named[t] for t in res.dropped]
+    for (s, _), res in fits.items():
+        # levels of factors that no row of the stratum has are no terms of its fit
+        here = [i for i, v in enumerate(res.terms) if squares[s][x.index(v)] > 0 or named[v] in numeric]
+        res.estimate, res.cov = res.estimate[here], res.cov[np.ix_(here, here)]
+        res.terms, res.dropped = [named[res.terms[i]] for i in here], [named[t] for t in res.dropped if squares[s][x.index(t)] > 0 or named[t] in numeric]
     return {(s if by else None, y[v]): res for (s, v), res in fits.items()}

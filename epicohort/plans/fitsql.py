@@ -35,10 +35,12 @@ def spline_sql(x: str = "age_monthly", prefix: str = "age_ns") -> list[str]:
 
 
 def fit_ctes(f: str, source: str, numeric: Sequence[str] = (), interact: str | None = None,
-             factor: str = "t_treatment_6_month", month: str = "month_label") -> str:
+             factor: str = "t_treatment_6_month", month: str = "month_label", month_first: bool = False) -> str:
     """CTEs with prefix ``f``; the results are ``{f}_coef`` (s, term, ord, kind, estimate,
     std_error, statistic), ``{f}_cov`` (s, a, b, v) for pairs of terms, and
-    ``{f}_stat`` (s, n, g, kk, rss, aic, bic).  ``interact`` names a text column."""
+    ``{f}_stat`` (s, n, g, kk, rss, aic, bic).  ``interact`` names a text column.  With ``month_first``
+    the month effects are swept first, so that a term they explain is the one without an estimate."""
+    month_ord = 0 if month_first else 4000000
     values = [*numeric, "y"]
     cols = ", ".join(values)
     full = " AND ".join(f"{c} IS NOT NULL" for c in ["s", "pid", "y", "mon", *numeric] + ([interact] if interact else []))
@@ -49,7 +51,7 @@ def fit_ctes(f: str, source: str, numeric: Sequence[str] = (), interact: str | N
         long.append(f"""SELECT s, rid, pid, '{factor}' || bin || ':{interact}' || {interact},
           3000000 + 1000 * bin + dense_rank() OVER (ORDER BY {interact}), 'interaction', 1.0
           FROM {f}_c WHERE bin IS NOT NULL AND {interact} <> (SELECT min({interact}) FROM {f}_c)""")
-    long.append(f"SELECT s, rid, pid, '{month}' || mon, 4000000 + dense_rank() OVER (ORDER BY mon), 'month', 1.0 FROM {f}_c "
+    long.append(f"SELECT s, rid, pid, '{month}' || mon, {month_ord} + dense_rank() OVER (ORDER BY mon), 'month', 1.0 FROM {f}_c "
                 f"WHERE mon <> (SELECT min(mon) FROM {f}_c)")
     long.append(f"SELECT s, rid, pid, 'y', 9000000, 'y', y FROM {f}_c")
     sizes = " UNION ALL ".join(f"SELECT s, '{c}' AS term, sum({c} * {c}) AS q FROM {f}_r GROUP BY s" for c in values)

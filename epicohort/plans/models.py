@@ -411,7 +411,7 @@ def _all_source(f: str, by: str, pairs, levels: Sequence[str]) -> tuple[str, lis
 
 
 #: Factors whose fuller models the SQL solves too; the others have some hundred dummies, which its sweep is too slow for.
-ALL_IN_SQL = {"census_sex": ("Females", "Males"), "rural_urban": ("Rural", "Urban")}
+ALL_IN_SQL = {"census_sex": ("Females", "Males"), "rural_urban": ("Error", "Rural", "Urban")}
 
 
 def _all_oracle(by: str) -> str:
@@ -421,7 +421,7 @@ def _all_oracle(by: str) -> str:
         f"WHEN '{n}' THEN '{n.rsplit('_x', 1)[0]}:{by}{levels[int(n.rsplit('_x', 1)[1])]}'" for n in names) + " ELSE term END"
     rows = f"""SELECT '{by}' AS factor, split_part(s, '|', 1) AS model, split_part(s, '|', 2) AS outcome, {terms} AS term, estimate, std_error,
        statistic, p_value, conf_low, conf_high FROM ({Q.tidy_sql('f')}) x"""
-    return recursive(oracle(settled_sql(ALL_COLS, rows), *FULL, src, Q.fit_ctes("f", "src", [*SPLINE, *names], month="cell"), Q.critical_ctes("f")))
+    return recursive(oracle(settled_sql(ALL_COLS, rows), *FULL, src, Q.fit_ctes("f", "src", [*SPLINE, *names], month="cell", month_first=True), Q.critical_ctes("f")))
 
 
 def _register_all_interactions(by: str) -> None:

@@ -138,3 +138,22 @@ def test_tail_probabilities_match_known_values():
         assert abs(t_quantile_975(dof) - t) < 1e-8
     for x, dof in ((3.841458820694, 1), (5.991464547108, 2), (7.814727903251, 3), (18.30703805328, 10)):
         assert abs(chi2_upper(x, dof) - 0.05) < 1e-10
+
+
+def test_reference_level_and_order_of_the_metadata(spark):
+    """Contrasts against the named reference are those of the default fit, rebased."""
+    from epicohort.functions.columns import reference_of, set_reference
+    from epicohort.operators.fe import fit_models
+    from epicohort.sources.io import stash
+    rng = np.random.default_rng(8)
+    rows = [(f"p{p}", f"m{m}", rng.choice(list("abc")), float(rng.normal() + (m > 3)), ) for p in range(40) for m in range(7)]
+    df = spark.createDataFrame(rows, "pid string, month string, f string, y double")
+    plain = fit_models(df, ["y"], {"f": None}, person="pid", month="month")[None, "y"]
+    named = set_reference(df, {"f": "b"}, {"f": ["c", "a"]})
+    kept = stash(named.join(df.select("pid").distinct(), "pid").select("y", "f", "month", "pid"), "named")
+    assert reference_of(kept, "f") == "b"
+    other = fit_models(kept, ["y"], {"f": None}, person="pid", month="month")[None, "y"]
+    assert [t for t in plain.terms if t.startswith("f")] == ["fb", "fc"]
+    assert [t for t in other.terms if t.startswith("f")] == ["fc", "fa"]
+    a, b = dict(zip(plain.terms, plain.estimate)), dict(zip(other.terms, other.estimate))
+    assert abs(b["fc"] - (a["fc"] - a["fb"])) < 1e-9 and abs(b["fa"] + a["fb"]) < 1e-9
