@@ -33,6 +33,17 @@ def compare_models(tidies: dict, value: str = "estimate") -> DataFrame:
     return long.groupBy("term").pivot("model", list(tidies)).agg(F.first("v"))
 
 
+def compare_significance(models: dict, digits: int = 1) -> DataFrame:
+    """The models' text tables side by side: one row per term and for AIC and BIC,
+    one column per model (``models``: name -> (tidy rows, fit statistics)); a term that a
+    model lacks is NULL there."""
+    long = None
+    for name, (tidy, stats) in models.items():
+        part = significance_table(tidy, stats, digits).withColumn("model", F.lit(name))
+        long = part if long is None else long.unionByName(part)
+    return long.groupBy("term").pivot("model", list(models)).agg(F.first("value"))
+
+
 def compare_tables(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Full outer join of two result tables by label."""
     return a.join(b, on=list(on), how="full_outer")

@@ -17,7 +17,7 @@ from epicohort.functions.columns import set_reference
 from epicohort.operators.absorb import fit_absorbed
 from epicohort.operators.fe import FEResult, fit_models, lr_test, natural_spline_terms
 from epicohort.operators.quantiles import exact_quantiles
-from epicohort.operators.report import compare_models, significance_table
+from epicohort.operators.report import compare_models, compare_significance, significance_table
 from epicohort.plans import fitsql as Q
 from epicohort.plans.queries import FULL, oracle, register, study
 
@@ -503,3 +503,29 @@ def q_model_comparison(spark, sf_dir):
     results = fits(spark, sf_dir, [v for v, _ in COMPARED], ["pay_deflated"])
     out = compare_models({m: res.tidy(spark) for (m, _), res in results.items()})
     return out.select("term", *[F.round(v.label, 2).alias(v.label) for v, _ in COMPARED])
+
+
+def _text_sql(scale: str) -> str:
+    """Rows (s, term, value) of the text tables of all fits of ``f``."""
+    stars = "CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END"
+    text = f"printf('%.1f', estimate) || {stars} || ' (' || printf('%.1f', conf_low) || ', ' || printf('%.1f', conf_high) || ')'"
+    return f"""SELECT s, term, {text} AS value FROM ({Q.tidy_sql('f', scale)}) x
+UNION ALL SELECT s, 'AIC', printf('%.1f', aic) FROM f_stat UNION ALL SELECT s, 'BIC', printf('%.1f', bic) FROM f_stat"""
+
+
+PERCENT_SCALE = "CASE WHEN c.s LIKE '%|in_work' THEN 'percent' END"
+SIDE_BY_SIDE = [*THREE, *SENSITIVITY]
+
+
+def _side_by_side_sql() -> str:
+    cols = ", ".join(f"max(CASE WHEN s = '{v.label}|{y}' THEN value END) AS {v.label}_{y}" for v, y in SIDE_BY_SIDE)
+    return recursive(oracle(f"SELECT term, {cols} FROM ({_text_sql(PERCENT_SCALE)}) t GROUP BY term", *FULL, source_ctes("src", SIDE_BY_SIDE),
+                            Q.fit_ctes("f", "src", SPLINE), Q.critical_ctes("f")))
+
+
+@register("model_comparison_text", _side_by_side_sql())
+def q_model_comparison_text(spark, sf_dir):
+    """The main models and all sensitivity variants side by side, as text with stars and intervals, and AIC and BIC rows."""
+    results = three(fits(spark, sf_dir, [MAIN, IN_WORK], ["pay_deflated", "in_work"])) | sensitivity_fits(spark, sf_dir)
+    models = {f"{v.label}_{y}": (results[v.label, y].tidy(spark, PERCENT.get(y)), results[v.label, y].fit_stats()) for v, y in SIDE_BY_SIDE}
+    return compare_significance(models)
