@@ -13,12 +13,36 @@ from epicohort.config import StudyConfig
 from epicohort.functions.dates import lit_date
 from epicohort.functions.slots import any_slot_in, first_match, first_slot, secondary_only, slot_in
 from epicohort.sources.fixtures import DIAG_COLS, OP_COLS, OPDATE_COLS
-from epicohort.sources.io import new_version, read_stage, write_stage
-
-
-def with_date_diff(episodes: DataFrame, start: str = "epistart", end: str = "epiend") -> DataFrame:
-    """S1 computed column: days from start to end."""
-    return episodes.withColumn("date_diff", F.datediff(F.col(end), F.col(start)))
+from epicohort.sources.io import stash
+
+
+def line_flags(lines: DataFrame, cfg: StudyConfig, key: str, order: Sequence[str], code: str, date: str, diag: str) -> DataFrame:
+    """P1-P5 from one row per slot: per episode its first diagnosis, whether any
+    diagnosis and any procedure is listed, the first listed procedure with its date, and the
+    last date.  All are minima and maxima (map-side combined), so an episode of any
+    number of lines is never gathered."""
+    listed_code = F.col(code).isin(sorted(cfg.procedure_codes))
+    first = F.min(F.when(listed_code, F.struct(*order, F.col(code).alias("code"), F.col(date).alias("date"))))
+    return lines.groupBy(key).agg(
+        F.min(F.struct(*order, F.col(diag).alias("diag")))["diag"].alias("first_diag"),
+        F.max(F.col(diag).isin(sorted(cfg.diag_codes)).cast("int")).alias("any_diag"),
+        F.max(listed_code.cast("int")).alias("any_code"), first["code"].alias("op_code"), first["date"].alias("op_date"),
+        F.max(date).alias("last_date"))
+
+
+def flag_line_episodes(heads: DataFrame, flags: DataFrame, cfg: StudyConfig, key: str = "epikey", start: str = "epistart",
+                       id_a: str = "census_person_id_2011", id_b: str = "census_id_2021") -> DataFrame:
+    """``flag_episodes`` with the first listed code and its date, for episodes whose slots are
+    summed up by ``line_flags``; an episode ends on its last date, or where it starts."""
+    ep = heads.join(flags, key, "left").withColumn("epiend", F.greatest(F.col(start), F.col("last_date")))
+    primary = F.col("first_diag").isin(sorted(cfg.diag_codes))
+    out = ep.withColumns({
+        "primary_obesity_flag": F.when(primary, 1).otherwise(0),
+        "secondary_obesity_flag": F.when(~primary & (F.col("any_diag") == 1), 1).otherwise(0),
+        "associated_cond_flag": slot_in("first_diag", cfg.associated_codes),
+        "metabolic_op_flag": F.coalesce("any_code", F.lit(0)),
+    }).drop("first_diag", "any_diag", "any_code", "last_date")
+    return _windows(out, cfg, id_a, id_b)
 
 
 def flag_episodes(ep: DataFrame, cfg: StudyConfig, op_cols: str | Sequence[str] = OP_COLS,
@@ -26,14 +50,19 @@ def flag_episodes(ep: DataFrame, cfg: StudyConfig, op_cols: str | Sequence[str]
                   id_b: str = "census_id_2021") -> DataFrame:
     """Episode-level 0/1 flags (NULL -> 0), the chosen person id and the
     before-window / in-window event flags (P1-P3, P6, P7)."""
-    start, end = lit_date(cfg.follow_up_start), lit_date(cfg.follow_up_end)
     out = ep.withColumns({
         "primary_obesity_flag": slot_in(first_slot(diag_cols), cfg.diag_codes),
         "secondary_obesity_flag": secondary_only(diag_cols, cfg.diag_codes),
         "associated_cond_flag": slot_in(first_slot(diag_cols), cfg.associated_codes),
         "metabolic_op_flag": any_slot_in(op_cols, cfg.procedure_codes),
-        "census_id_flag": F.when(F.col(id_a).isNotNull(), 1).otherwise(0),
     })
+    return _windows(out, cfg, id_a, id_b)
+
+
+def _windows(flagged: DataFrame, cfg: StudyConfig, id_a: str, id_b: str) -> DataFrame:
+    """The chosen person id, and the event before or inside the window."""
+    start, end = lit_date(cfg.follow_up_start), lit_date(cfg.follow_up_end)
+    out = flagged.withColumn("census_id_flag", F.when(F.col(id_a).isNotNull(), 1).otherwise(0))
     op = F.col("metabolic_op_flag") == 1
     return out.withColumns({
         "census_id_final": F.when(F.col("census_id_flag") == 1, F.col(id_a)).otherwise(F.col(id_b)),
@@ -43,22 +72,16 @@ def flag_episodes(ep: DataFrame, cfg: StudyConfig, op_cols: str | Sequence[str]
     })
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a per-key table as a stage and read it back.  A join with it then has a
-    plain exchange on either side (or a broadcast, if the table is small enough
-    for Spark's own limit), which AQE can split for a hot key; an aggregate joined
-    in the same plan would sit between its exchange and the join and prevent that."""
-    tag = new_version()
-    write_stage(df, name, tag)
-    return read_stage(df.sparkSession, name, tag)
-
-
 def per_key(df: DataFrame, keys: Sequence[str], aggs: dict) -> DataFrame:
     """Attach per-key aggregates to every row with a key: a grouped aggregate
     (map-side combined, so a key holding a third of the rows costs one row per
     task), stored and joined back.  Used in place of
-    ``agg().over(partitionBy(key))``, which would put a hot key's rows into one task."""
-    stats = stored(df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(*[e.alias(n) for n, e in aggs.items()]), "per_key")
+    ``agg().over(partitionBy(key))``, which would put a hot key's rows into one task.
+    As the aggregate is stored, the join has a plain exchange on either side (or a
+    broadcast, if the table is small enough for Spark's own limit), which AQE can split
+    for a hot key; an aggregate joined in the same plan would sit between its
+    exchange and the join and prevent that."""
+    stats = stash(df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(*[e.alias(n) for n, e in aggs.items()]), "per_key")
     same = [F.col(k) == F.col(f"_key_{k}") for k in keys]
     return df.join(stats, same, "inner").drop(*[f"_key_{k}" for k in keys])
 
@@ -71,7 +94,7 @@ def any_flag_over(df: DataFrame, id_col: str, flags: dict) -> DataFrame:
     it, a split one otherwise).  Rows without an id are kept apart (NULL person
     flags) so they never form one giant group."""
     raised = reduce(lambda a, b: a | b, [F.col(flag) == 1 for flag in flags.values()])
-    some = stored(df.where(F.col(id_col).isNotNull() & raised).groupBy(F.col(id_col).alias("_key"))
+    some = stash(df.where(F.col(id_col).isNotNull() & raised).groupBy(F.col(id_col).alias("_key"))
                   .agg(*[F.max(F.col(flag)).alias(out) for out, flag in flags.items()]), "any_flag")
     keyed = df.where(F.col(id_col).isNotNull()).join(some, F.col(id_col) == F.col("_key"), "left").drop("_key")
     keyed = keyed.withColumns({out: F.coalesce(F.col(out), F.lit(0)) for out in flags})

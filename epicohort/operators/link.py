@@ -99,6 +99,12 @@ def crosswalk(df: DataFrame, xwalk: DataFrame, col: str = "lsoa_census", from_co
     return joined.withColumn(col, F.when(when, F.col("_to")).otherwise(F.col(col))).drop("_from", "_to")
 
 
+def final_area(df: DataFrame, own: str = "lsoa11", registry: str = "lsoa_census", out: str = "lsoa_final") -> DataFrame:
+    """The episode's own area code where there is one, else the registry's; without
+    such a column, the registry's."""
+    return df.withColumn(out, F.coalesce(own, registry) if own in df.columns else F.col(registry))
+
+
 def enrich_areas(df: DataFrame, imd: DataFrame, ruc: DataFrame, region: DataFrame,
                  area_col: str = "lsoa_final") -> DataFrame:
     """J2 + P13: deprivation, rural/urban class (regex, 'Error' default) and region."""

@@ -113,12 +113,10 @@ def q_code_flags(spark, sf_dir):
         "associated_cond_flag", "metabolic_op_flag")
 
 
-@register("first_code_and_date", oracle("""
-SELECT epikey, CASE {} END AS op_code, CASE {} END AS op_date, lk.Name AS operation_type
-FROM flagged f LEFT JOIN proc_lookup lk ON lk.Code = CASE {} END
-WHERE metabolic_op_flag = 1""".format(*[" ".join(
-    f"WHEN {c} IN {G.in_list(CFG.procedure_codes)} THEN {v}" for c, v in zip(
-        G.OP_COLS, vals)) for vals in (G.OP_COLS, G.OPDATE_COLS, G.OP_COLS)]), FLAGGED))
+@register("first_code_and_date", oracle(f"""
+SELECT epikey, {G.listed_slots(CFG)}[1][1] AS op_code, {G.listed_slots(CFG)}[1][2] AS op_date, lk.Name AS operation_type
+FROM flagged f LEFT JOIN proc_lookup lk ON lk.Code = {G.listed_slots(CFG)}[1][1]
+WHERE metabolic_op_flag = 1""", FLAGGED))
 def q_first_code(spark, sf_dir):
     """First listed procedure code, its date and type, for every procedure episode."""
     s = study(spark, sf_dir)
@@ -126,6 +124,15 @@ def q_first_code(spark, sf_dir):
         "epikey", "op_code", "op_date", "operation_type")
 
 
+@register("slot_columns", oracle(f"""
+SELECT epikey, primary_obesity_flag, secondary_obesity_flag, associated_cond_flag, metabolic_op_flag,
+       {G.listed_slots(CFG)}[1][1] AS op_code, {G.listed_slots(CFG)}[1][2] AS op_date FROM flagged""", FLAGGED))
+def q_slot_columns(spark, sf_dir):
+    """P1-P5 on the wide form: flags, first listed code and its date from numbered slot columns."""
+    wide = C.with_first_procedure(C.flag_episodes(study(spark, sf_dir).t.table("episodes"), CFG), CFG)
+    return wide.select("epikey", "primary_obesity_flag", "secondary_obesity_flag", "associated_cond_flag", "metabolic_op_flag", "op_code", "op_date")
+
+
 @register("person_any_flag", oracle("""
 SELECT epikey, census_id_final, previous_surgery, surgery_in_follow_up, any_prev_metab_surgery_flag,
        any_metabolic_op_flag_in_dates FROM flagged""", FLAGGED))
@@ -347,6 +354,23 @@ _LINK_COLS = ["census_id_final", "census_id_flag", "op_date", "age_at_operation"
               "dod", "lsoa_final", "region", "rural_urban", "imd_quintile", "census_sex"]
 
 
+OWN_AREA = """
+own_area AS (
+  SELECT *, CASE WHEN epikey % 3 = 0 THEN 'E0' || lpad(CAST(epikey % 25 AS VARCHAR), 3, '0') WHEN epikey % 3 = 1 THEN 'W0001' END AS lsoa11 FROM exposed)"""
+
+
+@register("area_precedence", oracle("""
+SELECT epikey, census_id_final, lsoa11, lsoa_census, lsoa_final, imd_decile, rural_urban, region FROM own_area_l5""",
+                                    FLAGGED, REG, OWN_AREA, G.linked_ctes("own_area", CFG, own_area=True)))
+def q_area_precedence(spark, sf_dir):
+    """The episode's own area code, where it has one, goes before the registry's."""
+    s = study(spark, sf_dir)
+    own = F.when(F.col("epikey") % 3 == 0, F.concat(F.lit("E0"), F.lpad((F.col("epikey") % 25).cast("string"), 3, "0"))) \
+        .when(F.col("epikey") % 3 == 1, F.lit("W0001"))
+    return s.linked_areas(s.exposed.withColumn("lsoa11", own)).select(
+        "epikey", "census_id_final", "lsoa11", "lsoa_census", "lsoa_final", "imd_decile", "rural_urban", "region")
+
+
 @register("linked_exposed", oracle(f"SELECT {', '.join(_LINK_COLS)} FROM exposed_linked", FLAGGED, REG, LINK_E))
 def q_linked_exposed(spark, sf_dir):
     """Stage 1c for the exposed: linkage, P14 working age on two dates, P15 alive after the index month."""

@@ -10,7 +10,6 @@ import datetime as dt
 
 from epicohort.config import StudyConfig
 from epicohort.functions import recode as R
-from epicohort.sources.fixtures import DIAG_COLS, OP_COLS, OPDATE_COLS
 
 
 def d(x: dt.date) -> str:
@@ -67,22 +66,23 @@ def num(col: str) -> str:
     return f"TRY_CAST(CAST({col} AS VARCHAR) AS DOUBLE)"
 
 
+def listed_slots(cfg: StudyConfig) -> str:
+    """The (code, date) pairs of an episode's slots with a listed procedure, in slot order."""
+    return f"list_filter(list_zip(opertn_4, opdate), lambda z: z[1] IN {in_list(cfg.procedure_codes)})"
+
+
 def flagged_ctes(cfg: StudyConfig) -> str:
-    dg, ac, pc = in_list(cfg.diag_codes), in_list(cfg.associated_codes), in_list(cfg.procedure_codes)
-    any_op = " OR ".join(f"{c} IN {pc}" for c in OP_COLS)
-    sec = " OR ".join(f"{c} IN {dg}" for c in DIAG_COLS[1:])
-    first_code = " ".join(f"WHEN {c} IN {pc} THEN {c}" for c in OP_COLS)
-    first_date = " ".join(f"WHEN {c} IN {pc} THEN {v}" for c, v in zip(OP_COLS, OPDATE_COLS))
+    dg, ac = in_list(cfg.diag_codes), in_list(cfg.associated_codes)
     lookup = ", ".join(f"('{k}', '{v}')" for k, v in sorted(cfg.procedure_codes.items()))
     s, e = d(cfg.follow_up_start), d(cfg.follow_up_end)
     endc = cfg.in_window_end_col
     return f"""
 fl0 AS (
   SELECT e.*,
-    CASE WHEN diag_4_01 IN {dg} THEN 1 ELSE 0 END AS primary_obesity_flag,
-    CASE WHEN NOT (diag_4_01 IN {dg}) AND ({sec}) THEN 1 ELSE 0 END AS secondary_obesity_flag,
-    CASE WHEN diag_4_01 IN {ac} THEN 1 ELSE 0 END AS associated_cond_flag,
-    CASE WHEN {any_op} THEN 1 ELSE 0 END AS metabolic_op_flag,
+    CASE WHEN diag_4[1] IN {dg} THEN 1 ELSE 0 END AS primary_obesity_flag,
+    CASE WHEN NOT (diag_4[1] IN {dg}) AND len(list_filter(diag_4[2:], lambda x: x IN {dg})) > 0 THEN 1 ELSE 0 END AS secondary_obesity_flag,
+    CASE WHEN diag_4[1] IN {ac} THEN 1 ELSE 0 END AS associated_cond_flag,
+    CASE WHEN len({listed_slots(cfg)}) > 0 THEN 1 ELSE 0 END AS metabolic_op_flag,
     CASE WHEN census_person_id_2011 IS NOT NULL THEN 1 ELSE 0 END AS census_id_flag
   FROM episodes e),
 fl1 AS (
@@ -101,7 +101,7 @@ flagged AS (
   FROM fl1),
 proc_lookup AS (SELECT * FROM (VALUES {lookup}) t(Code, Name)),
 proc AS (
-  SELECT f.*, CASE {first_code} END AS op_code, CASE {first_date} END AS op_date0
+  SELECT f.*, {listed_slots(cfg)}[1][1] AS op_code, {listed_slots(cfg)}[1][2] AS op_date0
   FROM flagged f
   WHERE census_id_final IS NOT NULL
     AND epistart >= {s} AND {endc} < {e} AND epiend > {d(cfg.episode_end_guard)}
@@ -230,8 +230,10 @@ pm AS (
   GROUP BY k.census_id_flag, k.census_id_final, p.month)"""
 
 
-def linked_ctes(x: str, cfg: StudyConfig) -> str:
+def linked_ctes(x: str, cfg: StudyConfig, own_area: bool = False) -> str:
+    """``own_area``: the people carry an area of their own (lsoa11), which goes before the registry's."""
     lo, hi = cfg.working_age
+    area = "coalesce(lsoa11, lsoa_census)" if own_area else "lsoa_census"
     ra = ", ".join(f"r.{c}" for c in REG_ATTRS)
     return f"""
 {x}_l1 AS (SELECT x.*, {ra} FROM {x} x JOIN regs r USING (census_id_flag, census_id_final)),
@@ -239,7 +241,7 @@ def linked_ctes(x: str, cfg: StudyConfig) -> str:
 {x}_l3 AS (
   SELECT a.* REPLACE (CASE WHEN a.census_id_flag = 0 THEN c.LSOA11CD ELSE a.lsoa_census END AS lsoa_census)
   FROM {x}_l2 a LEFT JOIN crosswalk c ON a.census_id_flag = 0 AND c.LSOA21CD = a.lsoa_census),
-{x}_l4 AS (SELECT *, lsoa_census AS lsoa_final FROM {x}_l3 WHERE substr(lsoa_census, 1, 1) = 'E'),
+{x}_l4 AS (SELECT *, {area} AS lsoa_final FROM {x}_l3 WHERE substr({area}, 1, 1) = 'E'),
 {x}_l5 AS (
   SELECT a.*, i.IMD_DECILE AS imd_decile, i.IMD_QUINTILE AS imd_quintile, u.RUC11CD AS ruc11cd, u.RUC11 AS ruc11,
          CASE WHEN regexp_matches(u.RUC11, 'Urban') THEN 'Urban' WHEN regexp_matches(u.RUC11, 'Rural') THEN 'Rural'

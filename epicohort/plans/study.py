@@ -23,7 +23,7 @@ from epicohort.operators import link as L
 from epicohort.operators import panel as P
 from epicohort.operators import sample as S
 from epicohort.functions.recode import five_year_bands
-from epicohort.sources.fixtures import DIAG_CODES, OP_CODES, OP_DATES, FixtureTables
+from epicohort.sources.fixtures import DIAG_CODES, OP_CODES, OP_DATES, SLOT_ORDER, FixtureTables
 from epicohort.sources.io import drop_version, new_version, read_stage, write_stage
 
 STRATA = ["census_sex", "five_year_bands"]
@@ -65,11 +65,8 @@ class Study:
     @cached_property
     def flagged(self) -> DataFrame:
         """Every episode with episode flags and person flags."""
-        fl = C.with_first_procedure(C.flag_episodes(self.t.episodes, self.cfg, OP_CODES, DIAG_CODES), self.cfg, OP_CODES, OP_DATES)
-        # the slot families are resolved into flags and (op_code, op_date): the
-        # stage keeps narrow columns only
-        fl = fl.drop(OP_CODES, OP_DATES, DIAG_CODES)
-        return self.stage("flagged", C.person_flags(self.stage("episode_flags", fl)))
+        lines = C.line_flags(self.t.episode_lines, self.cfg, "epikey", SLOT_ORDER, OP_CODES, OP_DATES, DIAG_CODES)
+        return self.stage("flagged", C.person_flags(self.stage("episode_flags", C.flag_line_episodes(self.t.episode_heads, lines, self.cfg))))
 
     def exposure_stages(self):
         op = F.col("metabolic_op_flag") == 1
@@ -157,7 +154,7 @@ class Study:
         df = L.link_two_route(people, self.registry_routes, "inner")
         df = L.link_two_route(df, L.death_routes(self.deaths), "left")
         df = L.crosswalk(df, self.t.crosswalk)
-        df = df.withColumn("lsoa_final", F.col("lsoa_census"))
+        df = L.final_area(df)
         df = df.where(F.substring(F.col("lsoa_final"), 1, 1) == "E")
         return L.enrich_areas(df, self.t.imd, self.t.rural_urban, self.t.region_lookup)
 

@@ -26,8 +26,10 @@ N_DIAG_SLOTS = 20
 OP_COLS = [f"opertn_4_{i:02d}" for i in range(1, N_OP_SLOTS + 1)]
 OPDATE_COLS = [f"opdate_{i:02d}" for i in range(1, N_OP_SLOTS + 1)]
 DIAG_COLS = [f"diag_4_{i:02d}" for i in range(1, N_DIAG_SLOTS + 1)]
-#: The same families as array columns with a slot for every line (``FixtureTables.episodes``).
+#: The families' names where they hold a slot for every line: lists in the oracle's tables, columns of ``FixtureTables.episode_lines``.
 OP_CODES, OP_DATES, DIAG_CODES = "opertn_4", "opdate", "diag_4"
+#: A line's place in its episode, from first to last key.
+SLOT_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
 
 
 def _wide(col: str, out: str, n: int) -> str:
@@ -36,11 +38,10 @@ def _wide(col: str, out: str, n: int) -> str:
     )
 
 
-# The wide form, which the oracle reads (Spark's is FixtureTables.episodes, with
-# all lines).  One episode per order.  Slot = position of the line inside its order; only
-# slots 1..24 are kept right after numbering (Spark then keeps at most 24
-# lines per order in each task before the shuffle), and the episode end comes
-# from a separate grouped max over all lines.
+# The wide form, with as many numbered columns as the reference's tables have: one
+# episode per order, slot = position of the line inside its order; lines beyond the last
+# column are not in it.  The study reads the lines themselves
+# (FixtureTables.episode_lines), the oracle lists of all lines (EPISODE_LISTS_SQL).
 EPISODES_SQL = f"""
 SELECT o.o_orderkey AS epikey,
        CAST(o.o_orderdate AS DATE) AS epistart,
@@ -77,6 +78,22 @@ LEFT JOIN (
 ) w ON w.okey = o.o_orderkey
 """
 
+_LINE_LIST = "list({} ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)"
+
+#: The oracle's episodes (DuckDB): slot families as lists over all lines of the order.
+EPISODE_LISTS_SQL = f"""
+SELECT o.o_orderkey AS epikey, CAST(o.o_orderdate AS DATE) AS epistart,
+       greatest(CAST(o.o_orderdate AS DATE), w.last_ship) AS epiend, w.opertn_4, w.opdate, w.diag_4,
+       CASE WHEN o.o_custkey % 4 <> 0 THEN 'A' || CAST(o.o_custkey AS VARCHAR) END AS census_person_id_2011,
+       'B' || CAST(o.o_custkey AS VARCHAR) AS census_id_2021
+FROM orders o
+LEFT JOIN (
+  SELECT l_orderkey AS okey, max(CAST(l_shipdate AS DATE)) AS last_ship,
+         {_LINE_LIST.format("p_brand || '-' || substr(p_type, 1, 1)")} AS opertn_4,
+         {_LINE_LIST.format("CAST(l_shipdate AS DATE)")} AS opdate, {_LINE_LIST.format("p_type")} AS diag_4
+  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey) w ON w.okey = o.o_orderkey
+"""
+
 _DOB = "(DATE '1940-01-15' + CAST(c_custkey * 37 % 14000 AS INT))"
 _AREA = ("CASE WHEN c_nationkey % 7 = 6 THEN 'W' ELSE 'E' END || '{wave}' "
          "|| lpad(CAST(c_nationkey AS STRING), 3, '0')")
@@ -278,20 +295,20 @@ class FixtureTables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def episodes(self) -> DataFrame:
-        """One episode per order, as EPISODES_SQL, with its slot families as arrays over all lines."""
-        lines, parts, orders = (self.driver(n) for n in ("lineitem", "part", "orders"))
-        ship, person = F.col("l_shipdate").cast("date"), F.col("o_custkey").cast("string")
-        slot = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
-                        F.concat("p_brand", F.lit("-"), F.substring("p_type", 1, 1)).alias(OP_CODES),
-                        ship.alias(OP_DATES), F.col("p_type").alias(DIAG_CODES))
-        slots = (lines.join(parts, F.col("p_partkey") == F.col("l_partkey"), "left")
-                 .groupBy(F.col("l_orderkey").alias("okey"))
-                 .agg(F.sort_array(F.collect_list(slot)).alias("slots"), F.max(ship).alias("last_ship")))
-        start = F.col("o_orderdate").cast("date")
-        return orders.join(slots, F.col("okey") == F.col("o_orderkey"), "left").select(
-            F.col("o_orderkey").alias("epikey"), start.alias("epistart"), F.greatest(start, "last_ship").alias("epiend"),
-            *[F.col(f"slots.{c}").alias(c) for c in (OP_CODES, OP_DATES, DIAG_CODES)],
+    def episode_lines(self) -> DataFrame:
+        """Every line of every order: epikey, its place (SLOT_ORDER) and its procedure code, date and diagnosis."""
+        lines, parts = self.driver("lineitem"), self.driver("part")
+        return lines.join(parts, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+            F.col("l_orderkey").alias("epikey"), *SLOT_ORDER,
+            F.concat("p_brand", F.lit("-"), F.substring("p_type", 1, 1)).alias(OP_CODES),
+            F.col("l_shipdate").cast("date").alias(OP_DATES), F.col("p_type").alias(DIAG_CODES))
+
+    @cached_property
+    def episode_heads(self) -> DataFrame:
+        """One episode per order: epikey, its start and its person's ids (the end is in the lines)."""
+        person = F.col("o_custkey").cast("string")
+        return self.driver("orders").select(
+            F.col("o_orderkey").alias("epikey"), F.col("o_orderdate").cast("date").alias("epistart"),
             F.when(F.col("o_custkey") % 4 != 0, F.concat(F.lit("A"), person)).alias("census_person_id_2011"),
             F.concat(F.lit("B"), person).alias("census_id_2021"))
 
@@ -302,5 +319,6 @@ class FixtureTables:
 
 
 def oracle_ctes() -> str:
-    """The same fixture tables as DuckDB CTE definitions (comma separated)."""
-    return ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in FIXTURE_SQL.items())
+    """The same fixture tables as DuckDB CTE definitions (comma separated); episodes with lists of all lines."""
+    tables = FIXTURE_SQL | {"episodes": EPISODE_LISTS_SQL}
+    return ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in tables.items())
