@@ -84,3 +84,59 @@ def test_fits_settle_and_the_chosen_set_is_a_result(spark):
             slope = (chance * own / (np.array(r["proportions"]) @ chance)).sum(axis=1)
             assert slope.max() - own.sum() <= 3 * G.SETTLED + 1e-6
     assert got[2]["lang_pred"] == "und" and got[2]["proportions"] == []
+
+
+def plain_em(chance, n, members):
+    """Proportions and log-likelihood of a mixture of some languages, by many plain steps."""
+    p = {j: 1 / len(members) for j in members}
+    for _ in range(4_000):
+        new = dict.fromkeys(members, 0.0)
+        for t, count in enumerate(n):
+            total = sum(p[j] * chance[j][t] for j in members)
+            for j in members:
+                new[j] += count * p[j] * chance[j][t] / total
+        whole = sum(new.values())
+        moved = max(abs(new[j] / whole - p[j]) for j in members)
+        p = {j: new[j] / whole for j in members}
+        if moved < 1e-9:
+            break
+    return p, sum(c * np.log(sum(p[j] * chance[j][t] for j in members)) for t, c in enumerate(n))
+
+
+def test_compositions_match_plain_em_over_all_sets_of_languages():
+    """Mixtures of one to three of four languages that share half of their syllables: the chosen set has the
+    greatest penalised likelihood of all sets, and its proportions are those of plain expectation-maximisation."""
+    from itertools import combinations
+    draw = np.random.default_rng(2)
+    common = ["ba", "do", "mi", "re"]
+    own = [common + s for s in (["ka", "xo", "zu"], ["lef", "nig", "pum"], ["thr", "ost", "eik"], ["qua", "vii", "woy"])]
+    word = lambda lang: "".join(draw.choice(own[lang], 3))
+    training = [" ".join(word(lang) for _ in range(4_000)) for lang in range(4)]
+    buckets, starts = G.trigrams(training)
+    counts = np.array([np.bincount(buckets[starts[k]:starts[k + 1]], minlength=G.BUCKETS) for k in range(4)], float)
+    model = G.Languages(list("abcd"), counts)
+    texts = [" ".join(word(lang) for lang in draw.choice(mix, 50)) for mix in ([0], [3], [0, 1], [2, 3], [1, 2], [0, 1, 2], [0, 0, 0, 3]) for _ in range(2)]
+    for text, found in zip(texts, model.compositions(texts)):
+        b, _ = G.trigrams([text])
+        at, n = np.unique(b, return_counts=True)
+        chance = model.chance[:, at]
+        penalty = 0.5 * np.log(max(n.sum() / 3, 2))
+        fits = {m: plain_em(chance, n, m) for size in range(1, 5) for m in combinations(range(4), size)}
+        best = max(fits, key=lambda m: fits[m][1] / 3 - penalty * len(m))
+        assert {name for name, _ in found} == {"abcd"[j] for j in best}
+        for name, share in found:
+            assert abs(share - fits[best][0]["abcd".index(name)]) < 0.02
+
+
+def test_memory_is_bounded_by_bytes_and_languages():
+    """A long text among others and forty languages: the slices of a batch hold few trigrams each."""
+    import pyarrow as pa
+
+    from epicohort.llm.common import slices
+    texts = pa.array(["short text"] * 50 + ["long text " * 200_000] + ["short text"] * 50)
+    sizes = [sum(len(t) for t in part.to_pylist()) for _, part in slices(texts, most=G.SLICE_TRIGRAMS // 40)]
+    assert sum(sizes) == sum(map(len, texts.to_pylist())) and sorted(sizes)[-2] <= G.SLICE_TRIGRAMS // 40
+    draw = np.random.default_rng(1)
+    model = G.Languages([f"l{i}" for i in range(40)], draw.integers(0, 9, (40, G.BUCKETS)).astype(float))
+    some = ["alpha beta gamma delta", "x" * 3_000, "", None, "one two three " * 60]
+    assert model.compositions(some) == [model.compositions([t])[0] for t in some]

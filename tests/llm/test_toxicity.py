@@ -94,3 +94,83 @@ def test_texts_that_share_a_passage_are_all_learned_from(spark):
     docs = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
     m = T.learn(docs, T.training_sample(docs, "toxic", "doc_id", F.lit(True)))
     assert "=rotter" in m.lexicon
+
+
+def plain_features(text, lexicon):
+    """The features by their definitions, one loop for each."""
+    import re
+    words = re.findall(r"[^\W_]+(?:[@$!*|0-9][^\W_]+)*", text or "")
+    n = len(words)
+    if not n:
+        return [0.0] * len(T.FEATURES)
+    lower = re.findall(r"[^\W_]+(?:[@$!*|0-9][^\W_]+)*", text.lower())
+    signs = dict(zip("013457@$!|", "oleastasil"))
+    word_w, stem_w, plain_w = [], [], []
+    for w in lower:
+        word_w.append(lexicon.get("=" + w, 0.0))
+        stem_w.append(max([lexicon.get("^" + w[:k], 0.0) for k in range(3, 8) if k < len(w)] + [0.0]))
+        bare = "".join(signs.get(c, c) for c in w)
+        plain_w.append(lexicon.get("=" + bare, 0.0) if not w.isalpha() and bare != w else 0.0)
+    hit = [i for i in range(len(lower)) if word_w[i] or stem_w[i] or plain_w[i]]
+    second = [w in T.SECOND_PERSON for w in lower]
+    capitals = sum(c.isupper() for c in text)
+    stretched = any(text[i] == text[i + 1] == text[i + 2] != "\n" for i in range(len(text) - 2))
+    mixed = lambda w: bool(re.search(r"\d.*[^\W\d_]|[^\W\d_].*\d|[@$!*|]", w))
+    return [sum(word_w) / n, max(word_w), float(min(20, len({w for w, x in zip(lower, word_w) if x}))),
+            sum(stem_w) / n, max(stem_w), float(min(20, len({w for w, x in zip(lower, stem_w) if x}))), sum(plain_w) / n,
+            sum(any(second[max(0, i - 5):i + 6]) for i in hit) / n, sum(second) / n, capitals / len(text),
+            sum(len(w) > 1 and w.isupper() for w in words) / n if capitals > n // 4 else 0.0, text.count("!") / n, text.count("?") / n,
+            sum(bool(re.match(r"[^\w\s!?]", c)) for c in text) / n, sum(not w.isalpha() and mixed(w) for w in words) / n,
+            sum(any(w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2)) for w in lower) / n if stretched else 0.0, float(np.log1p(n))]
+
+
+def tree_value(lines, x):
+    """The prediction of a tree, read from its printed form."""
+    import re
+    depth = lambda line: len(line) - len(line.lstrip())
+    i = 0
+    while True:
+        rule = lines[i].strip()
+        if rule.startswith("Predict:"):
+            return float(rule.split(":")[1])
+        feature, sign, bound = re.match(r"If \(feature (\d+) (<=|>) (\S+)\)", rule).groups()
+        if (x[int(feature)] <= float(bound)) == (sign == "<="):
+            i += 1
+        else:
+            i = next(j for j in range(i + 1, len(lines)) if depth(lines[j]) == depth(lines[i]) and lines[j].strip().startswith("Else")) + 1
+
+
+def test_scores_match_plain_features_tree_sums_and_pooled_violators(spark):
+    draw = random.Random(9)
+    docs = planted(spark)
+    model = T.learn(docs, T.training_sample(docs, "toxic", "doc_id", F.col("doc_id") < 300))
+    texts = ["You ROTTER!", "r0tter rotterly you", "calm words", "", None, "SHOUT OUT loud???", "soooo w1 @nd", "rotter"] + [
+        " ".join(draw.choice(["rotter", "you", "W7", "r0tt3r", "fine!", "a1b", "(so)", "yesss"]) for _ in range(draw.randint(1, 30))) for _ in range(60)]
+    featurizer = T.Featurizer(model.lexicon)
+    for t in texts:
+        assert np.allclose(featurizer.features(t), plain_features(t, model.lexicon), atol=1e-12)
+    rows = T.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    trees = [(w, [line for line in t.toDebugString.splitlines()[1:] if line.strip()]) for w, t in zip(model.trees.treeWeights, model.trees.trees)]
+    bounds, values = np.array(model.calibration.boundaries.toArray()), np.array(model.calibration.predictions.toArray())
+    for r in rows:
+        x = plain_features(texts[r["doc_id"]], model.lexicon)
+        raw = 1 / (1 + np.exp(-2 * sum(w * tree_value(lines, x) for w, lines in trees)))
+        want = float(np.interp(round(raw, 4), bounds, values))
+        assert abs(r["score"] - min(1.0, max(0.0, want))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_calibration_pools_adjacent_violators(spark):
+    from pyspark.ml.regression import IsotonicRegression
+    draw = random.Random(3)
+    points = sorted({round(draw.random(), 2): (draw.random(), float(draw.randint(1, 9))) for _ in range(60)}.items())
+    blocks = []
+    for x, (y, w) in points:
+        blocks.append([y * w, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            total, weight, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + weight, blocks[-1][2] + n]
+    want = [total / weight for total, weight, n in blocks for _ in range(n)]
+    df = spark.createDataFrame([(x, y, w) for x, (y, w) in points], "_raw double, label double, weight double")
+    fitted = IsotonicRegression(featuresCol="_raw", labelCol="label", weightCol="weight", predictionCol="_score").fit(df)
+    got = [r["_score"] for r in fitted.transform(df).orderBy("_raw").collect()]
+    assert np.allclose(got, want)
