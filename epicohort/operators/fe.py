@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,21 +61,75 @@ def natural_spline_knots(df: DataFrame, col: str, dfree: int = 5, boundary=(0.1,
     return [lo] + quantile_values(inner, col, probs) + [hi]
 
 
+def _b_splines(x: np.ndarray, t: np.ndarray, degree: int) -> np.ndarray:
+    """B-splines of the knots ``t`` at the points ``x`` inside them, by the recursion in the degree (0 / 0 is 0)."""
+    last = np.flatnonzero(t < t[-1])[-1]
+    out = np.array([(x >= t[i]) & ((x < t[i + 1]) | ((i == last) & (x == t[-1]))) for i in range(len(t) - 1)], float).T
+    share = lambda num, den: num / den if den > 0 else 0.0 * num
+    for k in range(1, degree + 1):
+        out = np.column_stack([share(x - t[i], t[i + k] - t[i]) * out[:, i] + share(t[i + k + 1] - x, t[i + k + 1] - t[i + 1]) * out[:, i + 1]
+                               for i in range(len(t) - k - 1)])
+    return out
+
+
+def _b_spline_slopes(x: np.ndarray, t: np.ndarray, degree: int, times: int) -> np.ndarray:
+    """Derivatives of B-splines: differences of those one degree lower."""
+    if not times:
+        return _b_splines(x, t, degree)
+    low = _b_spline_slopes(x, t, degree - 1, times - 1)
+    share = lambda i: degree / (t[i + degree] - t[i]) if t[i + degree] > t[i] else 0.0
+    return np.column_stack([share(i) * low[:, i] - share(i + 1) * low[:, i + 1] for i in range(low.shape[1] - 1)])
+
+
+def natural_spline_basis(x: np.ndarray, knots: Sequence[float]) -> np.ndarray:
+    """M2 in numbers: cubic B-splines without the first one, the second derivatives at
+    the boundary knots projected out by a QR decomposition (Householder), linear beyond
+    the boundary: the basis, columns and signs, that the reference's models report on."""
+    k = np.asarray(knots, float)
+    t = np.concatenate([[k[0]] * 3, k, [k[-1]] * 3])
+    inside = np.clip(x, k[0], k[-1])
+    basis = _b_splines(inside, t, 3) + (x - inside)[:, None] * _b_spline_slopes(inside, t, 3, 1)
+    curve = _b_spline_slopes(k[[0, -1]], t, 3, 2)[:, 1:]
+    return basis[:, 1:] @ np.linalg.qr(curve.T, mode="complete")[0][:, 2:]
+
+
+def _truncated(x, knots, cube, split) -> list:
+    """x and the K - 2 curvature terms of a natural cubic spline in truncated powers (linear beyond the boundary)."""
+    last = knots[-1]
+    d = [(cube(x, kj) - cube(x, last)) / (split(last) - split(kj)) for kj in knots[:-1]]
+    return [x, *[dj - d[-1] for dj in d[:-1]]]
+
+
+def natural_spline_change(knots: Sequence[float]) -> np.ndarray:
+    """The matrix that takes the truncated-power terms (less a constant, which the person
+    effects absorb) to the columns of ``natural_spline_basis``: both span the same splines."""
+    k = np.asarray(knots, float)
+    x = np.concatenate([np.linspace(lo, hi, 6) for lo, hi in zip(k[:-1], k[1:])] + [[k[0] - 1, k[-1] + 1]])
+    terms = _truncated(x, list(k), lambda v, kj: np.maximum(v - kj, 0) ** 3, float)
+    return np.linalg.lstsq(np.column_stack([np.ones_like(x), *terms]), natural_spline_basis(x, k), rcond=None)[0][1:]
+
+
+def _spline_powers(x: Column, knots: Sequence[float | Column]) -> list[Column]:
+    knots = [F.lit(float(k)) if not isinstance(k, Column) else k for k in knots]
+    return _truncated(x.cast("double"), knots, lambda v, kj: F.greatest(v - kj, F.lit(0.0)) ** 3, lambda kj: kj)
+
+
+def _spline_sums(powers: Sequence[Column], change, prefix: str) -> dict:
+    return {f"{prefix}{j + 1}": reduce(lambda a, b: a + b, [t * row[j] for t, row in zip(powers, change)]) for j in range(len(powers))}
+
+
 def natural_spline_terms(x: Column, knots: Sequence[float], prefix: str = "ns") -> dict:
-    """Truncated-power natural cubic spline basis without intercept
-    (x and K-2 curvature terms; linear beyond the boundary knots).  Spans the
-    same space as R's ``ns`` basis plus an intercept, which the fixed effects
-    absorb; the individual spline coefficients differ from R's."""
-    k = list(knots)
-    last = k[-1]
-
-    def d(j):
-        return ((F.greatest(x - F.lit(k[j]), F.lit(0.0)) ** 3 - F.greatest(x - F.lit(last), F.lit(0.0)) ** 3)
-                / F.lit(last - k[j]))
-    terms = {f"{prefix}1": x.cast("double")}
-    for j in range(len(k) - 2):
-        terms[f"{prefix}{j + 2}"] = d(j) - d(len(k) - 2)
-    return terms
+    """M2: columns of the natural cubic spline basis (up to a constant each), as
+    expressions: truncated powers times the change of basis."""
+    return _spline_sums(_spline_powers(x, knots), natural_spline_change(knots).tolist(), prefix)
+
+
+def with_natural_spline(df: DataFrame, x: str, knots: Sequence[Column], change, prefix: str = "ns") -> DataFrame:
+    """``df`` with the basis columns where knots, and the rows of the change of basis, are
+    columns that differ between rows; the powers are columns of their own in between, computed once."""
+    powers = {f"_p{i}": p for i, p in enumerate(_spline_powers(F.col(x), knots))}
+    out = df.withColumns(powers)
+    return out.withColumns(_spline_sums([F.col(c) for c in powers], change, prefix)).drop(*powers)
 
 
 def two_sided_p(stat: float, dof: float | None) -> float:

@@ -27,11 +27,39 @@ def knots_sql(name: str, source: str, col: str = "age_monthly") -> str:
   WHERE b.{col} >= e.k0 AND b.{col} <= e.k5 GROUP BY b.s, e.k0, e.k5)"""
 
 
-def spline_sql(x: str = "age_monthly", prefix: str = "age_ns") -> list[str]:
-    """The spline's columns ``{prefix}1`` ... ``{prefix}5`` over knots k0..k5."""
-    def d(j):
-        return f"((greatest({x} - k{j}, 0.0) ** 3 - greatest({x} - k5, 0.0) ** 3) / (k5 - k{j}))"
-    return [f"CAST({x} AS DOUBLE) AS {prefix}1"] + [f"{d(j)} - {d(4)} AS {prefix}{j + 2}" for j in range(4)]
+def b_spline_sql(x: str = "age_monthly") -> list[str]:
+    """Columns b2..b8: the cubic B-splines over knots k0..k5 (k0 and k5 four times) but the first, linear
+    beyond the boundary; u1, u2 and w5..w7, the Householder vectors that take off the second
+    derivatives at k0 (of b2, b3) and at k5 (of b6..b8), which have no spline in common."""
+    t = ["k0"] * 4 + [f"k{i}" for i in range(1, 5)] + ["k5"] * 4
+    xx = f"least(greatest({x}, k0), k5)"
+
+    def b(i: int, k: int) -> str:
+        if k == 0:
+            if t[i] == t[i + 1]:
+                return "0.0"
+            return f"(CASE WHEN {xx} >= {t[i]} AND ({xx} < {t[i + 1]}{f' OR {xx} = k5' if t[i + 1] == 'k5' else ''}) THEN 1.0 ELSE 0.0 END)"
+        parts = []
+        if t[i] != t[i + k]:
+            parts.append(f"coalesce(({xx} - {t[i]}) / nullif({t[i + k]} - {t[i]}, 0), 0) * {b(i, k - 1)}")
+        if t[i + 1] != t[i + k + 1]:
+            parts.append(f"coalesce(({t[i + k + 1]} - {xx}) / nullif({t[i + k + 1]} - {t[i + 1]}, 0), 0) * {b(i + 1, k - 1)}")
+        return "(" + " + ".join(parts) + ")"
+    low, high = f"3 * least({x} - k0, 0) / (k1 - k0)", f"3 * greatest({x} - k5, 0) / (k5 - k4)"
+    more = {2: f" + {low}", 7: f" - {high}", 8: f" + {high}"}
+    left = ("(-1 / (k1 - k0) - 1 / (k2 - k0))", "(1 / (k2 - k0))")
+    right = ("(1 / (k5 - k3))", "(-1 / (k5 - k4) - 1 / (k5 - k3))", "(1 / (k5 - k4))")
+    size_left = f"(-sqrt({left[0]} ** 2 + {left[1]} ** 2))"  # the sign of its first part
+    size_right = f"sqrt({' + '.join(f'{r} ** 2' for r in right)})"
+    return ([f"{b(i - 1, 3)}{more.get(i, '')} AS b{i}" for i in range(2, 9)]
+            + [f"{left[0]} / {size_left} + 1 AS u1", f"{left[1]} / {size_left} AS u2"]
+            + [f"{r} / {size_right} AS w{i + 5}" for i, r in enumerate(right)])
+
+
+def spline_sql(prefix: str = "age_ns") -> list[str]:
+    """The natural spline's columns ``{prefix}1`` ... ``{prefix}5`` over those of ``b_spline_sql``."""
+    s = "(b3 - u2 * (u1 * b2 + u2 * b3) / u1 + w5 * b6 + w6 * b7 + w7 * b8)"
+    return [f"b4 AS {prefix}1", f"b5 AS {prefix}2", f"b6 - w5 * {s} AS {prefix}3", f"b7 - w6 * {s} AS {prefix}4", f"b8 - w7 * {s} AS {prefix}5"]
 
 
 def fit_ctes(f: str, source: str, numeric: Sequence[str] = (), interact: str | None = None,

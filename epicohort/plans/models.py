@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from epicohort.functions.columns import set_reference
 from epicohort.operators.absorb import fit_absorbed
-from epicohort.operators.fe import FEResult, fit_models, lr_test, natural_spline_terms
+from epicohort.operators.fe import FEResult, fit_models, lr_test, natural_spline_change, with_natural_spline
 from epicohort.operators.quantiles import exact_quantiles
 from epicohort.operators.report import compare_models, compare_significance, significance_table
 from epicohort.plans import fitsql as Q
 from epicohort.plans.queries import FULL, oracle, register, study
 
 BIN, SPLINE = "t_treatment_6_month", [f"age_ns{i}" for i in range(1, 6)]
+#: Probabilities of the spline's knots: the boundary's of all ages, the inner ones of the ages between.
+KNOTS = (0.1, 0.2, 0.4, 0.6, 0.8, 0.9)
 #: The reference level of every variant, as a bin that no row has.
 REFERENCE = -999
 FACTORS = ("census_sex", "region", "age_bands", "imd_quintile", "ethnic_group_tb", "rural_urban")
@@ -71,7 +73,14 @@ def stack(df: DataFrame, variants: Sequence[Variant]) -> DataFrame:
     inner = out.where((F.col("age_monthly") >= pick(0.1)) & (F.col("age_monthly") <= pick(0.9)))
     for r in exact_quantiles(inner, "age_monthly", [0.2, 0.4, 0.6, 0.8], by=["model"]).collect():
         ends[r["model"]][r["p"]] = r["q"]
-    return out.withColumns(natural_spline_terms(F.col("age_monthly"), [pick(p) for p in (0.1, 0.2, 0.4, 0.6, 0.8, 0.9)], "age_ns"))
+    # one row for each variant: its knots and the change of basis
+    own = [(m, k, natural_spline_change(k).ravel().tolist()) for m, k in ((m, [e[p] for p in KNOTS]) for m, e in ends.items())]
+    table = out.sparkSession.createDataFrame(own, "model string, _knots array<double>, _change array<double>")
+    out = out.join(F.broadcast(table), "model")
+    at = lambda c, i: F.get(F.col(c), F.lit(i))
+    n = len(KNOTS) - 1
+    change = [[at("_change", i * n + j) for j in range(n)] for i in range(n)]
+    return with_natural_spline(out, "age_monthly", [at("_knots", i) for i in range(n + 1)], change, "age_ns").drop("_knots", "_change")
 
 
 def fits(spark, sf_dir, variants: Sequence[Variant], outcomes: Sequence[str], controls: Sequence[str] = (),
@@ -90,8 +99,14 @@ def fits(spark, sf_dir, variants: Sequence[Variant], outcomes: Sequence[str], co
 def source_ctes(f: str, pairs: Sequence[tuple[Variant, str]], extra: str = "", more: Sequence[str] = ()) -> str:
     """CTE ``{f}`` of the rows of (variant, outcome) pairs, with the spline's columns over each pair's own knots."""
     rows = " UNION ALL ".join(v.sql(y, extra) for v, y in pairs)
+    return spline_ctes(f, rows, more)
+
+
+def spline_ctes(f: str, rows: str, more: Sequence[str] = ()) -> str:
+    """CTE ``{f}``: ``rows`` with the spline's columns over the knots of each fit, and ``more`` columns of those."""
     cols = ", ".join([*Q.spline_sql(), *more])
-    return f"{f}_0 AS MATERIALIZED ({rows}),{Q.knots_sql(f + '_k', f + '_0')},\n{f} AS (SELECT b.*, {cols} FROM {f}_0 b JOIN {f}_k k ON k.s = b.s)"
+    return (f"{f}_0 AS MATERIALIZED ({rows}),{Q.knots_sql(f + '_k', f + '_0')},\n"
+            f"{f}_b4 AS (SELECT b.*, {', '.join(Q.b_spline_sql())} FROM {f}_0 b JOIN {f}_k k ON k.s = b.s),\n{f} AS (SELECT *, {cols} FROM {f}_b4)")
 
 
 # ----------------------------------------------------------------- M1-M6, M10
@@ -226,7 +241,7 @@ def _strata(values: Sequence[str], column: str) -> list[Variant]:
 def _by_stratum_sql() -> str:
     rows = (f"SELECT census_sex || '|pay_deflated' AS s, census_sex AS model, census_id_final AS pid, pay_deflated AS y, "
             f"CAST(NULLIF({BIN}, 0) AS INTEGER) AS bin, month_label AS mon, age_monthly FROM combined WHERE census_sex IS NOT NULL")
-    src = f"src_0 AS MATERIALIZED ({rows}),{Q.knots_sql('src_k', 'src_0')},\nsrc AS (SELECT b.*, {', '.join(Q.spline_sql())} FROM src_0 b JOIN src_k k ON k.s = b.s)"
+    src = spline_ctes("src", rows)
     sel = f"SELECT split_part(s, '|', 1) AS stratum, term, estimate, std_error, statistic, p_value, conf_low, conf_high FROM ({Q.tidy_sql('f')}) x"
     cols = ["stratum", "term", "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high"]
     return recursive(oracle(settled_sql(cols, sel), *FULL, src, Q.fit_ctes("f", "src", SPLINE), Q.critical_ctes("f")))

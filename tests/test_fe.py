@@ -157,3 +157,26 @@ def test_reference_level_and_order_of_the_metadata(spark):
     assert [t for t in other.terms if t.startswith("f")] == ["fc", "fa"]
     a, b = dict(zip(plain.terms, plain.estimate)), dict(zip(other.terms, other.estimate))
     assert abs(b["fc"] - (a["fc"] - a["fb"])) < 1e-9 and abs(b["fa"] + a["fb"]) < 1e-9
+
+
+def test_natural_spline_basis_has_known_values():
+    """A row of the textbook basis: heights 58..72 with inner knots at the fifths."""
+    from epicohort.operators.fe import natural_spline_basis
+    knots = [58, 60.8, 63.6, 66.4, 69.2, 72]
+    got = natural_spline_basis(np.array([58.0, 59.0]), knots)
+    assert np.allclose(got[0], 0, atol=1e-12)
+    assert np.allclose(got[1], [7.592323e-03, 0, -8.670223e-02, 2.601067e-01, -1.734045e-01], atol=1e-7)
+
+
+def test_spline_columns_are_the_basis_up_to_constants(spark):
+    from pyspark.sql import functions as F
+
+    from epicohort.operators.fe import natural_spline_basis, natural_spline_terms
+    knots = [20.0, 27.5, 31.0, 44.0, 52.0, 60.0]
+    x = np.linspace(5, 75, 141)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = df.select("x", *[c.alias(n) for n, c in natural_spline_terms(F.col("x"), knots).items()]).orderBy("x").toPandas().to_numpy()[:, 1:]
+    gap = got - natural_spline_basis(x, knots)
+    assert np.ptp(gap, axis=0).max() < 1e-9
+    # natural: straight beyond the boundary, on either side
+    assert np.abs(np.diff(got[x > 60], n=2, axis=0)).max() < 1e-9 and np.abs(np.diff(got[x < 20], n=2, axis=0)).max() < 1e-9
