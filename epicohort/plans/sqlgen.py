@@ -244,7 +244,8 @@ def linked_ctes(x: str, cfg: StudyConfig, own_area: bool = False) -> str:
 {x}_l4 AS (SELECT *, {area} AS lsoa_final FROM {x}_l3 WHERE substr({area}, 1, 1) = 'E'),
 {x}_l5 AS (
   SELECT a.*, i.IMD_DECILE AS imd_decile, i.IMD_QUINTILE AS imd_quintile, u.RUC11CD AS ruc11cd, u.RUC11 AS ruc11,
-         CASE WHEN regexp_matches(u.RUC11, 'Urban') THEN 'Urban' WHEN regexp_matches(u.RUC11, 'Rural') THEN 'Rural'
+         CASE WHEN u.LSOA11CD IS NULL THEN NULL  -- classified in the lookup: an area that is not in it has no class
+              WHEN regexp_matches(u.RUC11, 'Urban') THEN 'Urban' WHEN regexp_matches(u.RUC11, 'Rural') THEN 'Rural'
               ELSE 'Error' END AS rural_urban,
          g.RGN20NM AS region
   FROM {x}_l4 a LEFT JOIN imd i ON i.LSOA11CD = a.lsoa_final
