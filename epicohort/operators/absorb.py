@@ -227,7 +227,9 @@ def fit_absorbed(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric:
     bare = stash(centred.mapInArrow(partial(_take_off, effects=sent, columns=values), centred.schema), "absorb_bare")
     x, y = values[:len(terms)], dict(zip(values[len(terms):], outcomes))
     floors = {s: ABSORBED * q[:len(terms)] for s, q in squares.items()}
-    fits = fit_models(bare, list(y), {}, x, "_pid", None, None, "_s", small_sample, floors=floors, absorbed_rank=cells.ranks())
+    # collinear is what the effects and the terms before leave too little of: measured on the columns before the effects went
+    scales = {r["_s"]: np.array(r[1:]) for r in centred.groupBy("_s").agg(*[F.sum(F.col(v) * F.col(v)) for v in x]).collect()} if x else None
+    fits = fit_models(bare, list(y), {}, x, "_pid", None, None, "_s", small_sample, floors=floors, scales=scales, absorbed_rank=cells.ranks())
     named = dict(zip(x, terms))
     for (s, _), res in fits.items():
         # levels of factors that no row of the stratum has are no terms of its fit

@@ -404,7 +404,8 @@ def _centred(df: DataFrame, by: str | None, person: str, values: Sequence[str],
 def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: Sequence[str] = (),
                person: str = "census_id_final", month: str | None = "month_label", interact: tuple | None = None,
                by: str | None = None, small_sample: bool = True, partitions: int | None = None,
-               flush_persons: int = FLUSH_PERSONS, floors: dict | None = None, absorbed_rank: dict | None = None) -> dict:
+               flush_persons: int = FLUSH_PERSONS, floors: dict | None = None, scales: dict | None = None,
+               absorbed_rank: dict | None = None) -> dict:
     """M1 (+M3, M7, M9, M11): one fit for each stratum of ``by`` and each outcome,
     all in the same passes; keys of the result are (stratum, outcome).
 
@@ -419,8 +420,9 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
     on different rows belong in different calls.  A level that a stratum lacks
     is left out of its result; a collinear term has a NULL estimate.
     ``partitions`` spreads rows round-robin first (tests).  ``floors`` (by stratum, of
-    the numeric columns) and ``absorbed_rank`` come with rows that had effects absorbed:
-    sums of squares up to which a column counts as absorbed, and the effects' number."""
+    the numeric columns), ``scales`` and ``absorbed_rank`` come with rows that had effects
+    absorbed: sums of squares up to which a column counts as constant, those before the absorption, which
+    collinearity is measured on, and the effects' number."""
     spark = df.sparkSession
     ship_package(spark)
     outcomes, numeric = list(outcomes), list(numeric)
@@ -458,7 +460,7 @@ def fit_models(df: DataFrame, outcomes: Sequence[str], factors: dict, numeric: S
         floor = COLLINEAR * v[_diagonal(kz)][:k]
         at = sum(len(x) for x in design.factors.values())
         floor[at:at + len(numeric)] = floors[s] if floors else CONSTANT * sizes[s][:len(numeric)]
-        keep, inv = solve_normal(zt[:k, :k], floor)
+        keep, inv = solve_normal(zt[:k, :k], floor, scale=scales[s] if scales else None)
         beta = _times(inv, zt[:k, k:])
         solved[s] = (inv, beta, keep, np.diag(zt)[k:], int(corr[s][-2]), int(corr[s][-1]))
         absent[s] = {t for j, t in enumerate(design.terms) if v[_diagonal(kz)][j] == 0 and not at <= j < at + len(numeric)}
@@ -523,14 +525,15 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,jk->ik", a, b)
 
 
-def solve_normal(within: np.ndarray, floor: np.ndarray, tol: float = COLLINEAR) -> tuple[list, np.ndarray]:
+def solve_normal(within: np.ndarray, floor: np.ndarray, tol: float = COLLINEAR, scale: np.ndarray | None = None) -> tuple[list, np.ndarray]:
     """Columns kept, in order, and the inverse of their Gram matrix (0 elsewhere).  A
     column goes when it does not vary within persons (its sum of squares is at most
     its ``floor``), or when, on the scale of a unit diagonal, what the kept columns
     before it leave of its variance is below ``tol``.  One Gauss-Jordan sweep per
-    kept column, k^3 in all; both tests are relative."""
-    own = np.diag(within)
-    varies = own > floor
+    kept column, k^3 in all; both tests are relative.  ``scale``: the sums of squares
+    that stand for a unit diagonal, where they are not those of ``within``."""
+    varies = np.diag(within) > floor
+    own = np.diag(within) if scale is None else scale
     d = np.where(varies, 1 / np.sqrt(np.where(varies, own, 1.0)), 0.0)
     a = within * d[:, None] * d
     keep: list = []
