@@ -31,7 +31,7 @@ from epicohort.llm.common import Shared, fresh_name, ready, slices
 #: Ranks under one word of the bitmap's lower level: 2 ** SHIFT.
 SHIFT = 8
 #: Pre-tokens of each of the two generations that a worker remembers, and the longest that it does.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
 #: Bytes of new pre-tokens that are merged in one queue (one pre-token at least).
 QUEUE_BYTES = 1 << 14
 #: Stands between two pre-tokens: no Latin-1 character, so part of no token.
