@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epicohort.config import StudyConfig
@@ -91,11 +91,18 @@ def death_routes(deaths: DataFrame) -> dict:
 
 
 def crosswalk(df: DataFrame, xwalk: DataFrame, col: str = "lsoa_census", from_col: str = "LSOA21CD",
-              to_col: str = "LSOA11CD", when=None) -> DataFrame:
-    """Map codes of one route through a one-to-many crosswalk (rows fan out)."""
+              to_col: str = "LSOA11CD", when=None, first: str | None = None) -> DataFrame:
+    """Map codes of one route through a one-to-many crosswalk (rows fan out).
+    ``first`` names a column to add that is 1 on one of the rows a row has become and
+    0 on the others, so that rows before the step can still be counted."""
     when = when if when is not None else (F.col("census_id_flag") == 0)
     x = xwalk.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to"))
+    if first is not None:  # the lookup has one row per small area, and few of one code
+        nth = F.row_number().over(Window.partitionBy("_from").orderBy("_to"))
+        x = x.withColumn("_first", F.when(nth == 1, 1).otherwise(0))
     joined = df.join(x, when & (F.col(col) == F.col("_from")), "left")
+    if first is not None:
+        joined = joined.withColumn(first, F.coalesce("_first", F.lit(1))).drop("_first")
     return joined.withColumn(col, F.when(when, F.col("_to")).otherwise(F.col(col))).drop("_from", "_to")
 
 
@@ -127,15 +134,28 @@ def add_index_ages(df: DataFrame, op: str = "op_date", dob: str = "prov_dob") ->
     })
 
 
-def working_age(df: DataFrame, cfg: StudyConfig) -> DataFrame:
+def in_country(area: str = "lsoa_final", prefix: str = "E") -> Column:
+    """Areas of one country, by the first letter of their code."""
+    return F.substring(F.col(area), 1, 1) == prefix
+
+
+def in_working_age(cfg: StudyConfig) -> Column:
     """Both ages inside the working-age range (inclusive)."""
     lo, hi = cfg.working_age
-    return df.where(between_both([F.col("age_at_operation"), F.col("age_on_last_day_op_month")], lo, hi))
+    return between_both([F.col("age_at_operation"), F.col("age_on_last_day_op_month")], lo, hi)
 
 
-def alive_after_index(df: DataFrame, op: str = "op_date") -> DataFrame:
+def is_alive_after_index(op: str = "op_date") -> Column:
     """No death, or death after the end of the index month."""
-    return df.where(F.col("dod").isNull() | (F.col("dod") > F.last_day(F.col(op))))
+    return F.col("dod").isNull() | (F.col("dod") > F.last_day(F.col(op)))
+
+
+def working_age(df: DataFrame, cfg: StudyConfig) -> DataFrame:
+    return df.where(in_working_age(cfg))
+
+
+def alive_after_index(df: DataFrame, op: str = "op_date") -> DataFrame:
+    return df.where(is_alive_after_index(op))
 
 
 def deflate(df: DataFrame, deflator: DataFrame, pay_col: str, out: str = "pay_deflated",

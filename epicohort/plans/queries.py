@@ -1114,30 +1114,31 @@ def q_cohort_compare(spark, sf_dir):
     return rounded(compare_tables(side(s.exposed_panel, "exposed"), side(s.unexposed_panel, "unexposed"), ["period"]))
 
 
-_LINK_STEPS = [("index events", "exposed"), ("linked to registry", "exposed_l1"), ("with deaths", "exposed_l2"),
-               ("after area crosswalk", "exposed_l3"), ("address in England", "exposed_l4"),
-               ("working age at index", f"exposed_l6 WHERE age_at_operation BETWEEN {CFG.working_age[0]} AND "
-                                        f"{CFG.working_age[1]} AND age_on_last_day_op_month BETWEEN "
-                                        f"{CFG.working_age[0]} AND {CFG.working_age[1]}"),
-               ("alive after index month", "exposed_linked")]
-
-
-@register("linkage_flow", oracle("\nUNION ALL\n".join(
-    f"SELECT CAST({i + 1} AS INTEGER) AS step, '{lab}' AS stage, CAST(count(*) AS BIGINT) AS n_rows, "
-    f"CAST(count(DISTINCT census_id_final) AS BIGINT) AS n_ids FROM {src}"
-    for i, (lab, src) in enumerate(_LINK_STEPS)), FLAGGED, REG, LINK_E))
+def _steps_sql(steps) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT CAST({i + 1} AS INTEGER) AS step, '{lab}' AS stage, CAST(count(*) AS BIGINT) AS n_rows, "
+        f"CAST(count(DISTINCT census_id_final) AS BIGINT) AS n_ids FROM {src}" for i, (lab, src) in enumerate(steps))
+
+
+def _link_steps(x: str, start: str) -> list:
+    lo, hi = CFG.working_age
+    aged = f"{x}_l6 WHERE age_at_operation BETWEEN {lo} AND {hi} AND age_on_last_day_op_month BETWEEN {lo} AND {hi}"
+    return [(start, x), *zip(Study.LINK_STEPS, [f"{x}_l1", f"{x}_l2", f"{x}_l3", f"{x}_l4", aged, f"{x}_linked"])]
+
+
+@register("linkage_flow", oracle(_steps_sql(_link_steps("exposed", "index events")), FLAGGED, REG, LINK_E))
 def q_linkage_flow(spark, sf_dir):
     """A16 for stage 1c: rows and people after each linkage step of the exposed."""
-    from epicohort.operators.flow import concat_flows, frame_counts
     s = study(spark, sf_dir)
-    l1 = L.link_two_route(s.exposed, s.registry_routes, "inner")
-    l2 = L.link_two_route(l1, L.death_routes(s.deaths), "left")
-    l3 = L.crosswalk(l2, s.t.crosswalk)
-    l4 = l3.where(F.substring(F.col("lsoa_census"), 1, 1) == "E")
-    l6 = L.working_age(L.add_index_ages(l4.withColumn("lsoa_final", F.col("lsoa_census"))), CFG)
-    frames = [s.exposed, l1, l2, l3, l4, l6, s.exposed_linked]
-    return concat_flows(*[frame_counts(f, "census_id_final", lab, i + 1)
-                          for i, (f, (lab, _)) in enumerate(zip(frames, _LINK_STEPS))])
+    return s.linkage_flow(s.exposed, s.exposed_matched, "index events")
+
+
+@register("linkage_flow_unexposed", oracle(_steps_sql(_link_steps("unexposed_dated", "pseudo event dates")),
+                                           FLAGGED, DIST, REG, LINK_U))
+def q_linkage_flow_unexposed(spark, sf_dir):
+    """A16 for stage 1c: rows and people after each linkage step of the never exposed."""
+    s = study(spark, sf_dir)
+    return s.linkage_flow(s.unexposed_dated, s.matched(s.unexposed_dated), "pseudo event dates")
 
 
 _PANEL_STEPS = [("linked people", "exposed_linked"), ("one area per person", "exposed_p0"),
@@ -1145,24 +1146,10 @@ _PANEL_STEPS = [("linked people", "exposed_linked"), ("one area per person", "ex
                 ("person-months with pay records", "exposed_panel WHERE paye_flag = 1")]
 
 
-@register("panel_flow", oracle("\nUNION ALL\n".join(
-    f"SELECT CAST({i + 1} AS INTEGER) AS step, '{lab}' AS stage, CAST(count(*) AS BIGINT) AS n_rows, "
-    f"CAST(count(DISTINCT census_id_final) AS BIGINT) AS n_ids FROM {src}"
-    for i, (lab, src) in enumerate(_PANEL_STEPS)), FLAGGED, REG, LINK_E, PANEL_E))
+@register("panel_flow", oracle(_steps_sql(_PANEL_STEPS), FLAGGED, REG, LINK_E, PANEL_E))
 def q_panel_flow(spark, sf_dir):
     """A16 for stage 1e: people and person-months through the panel build."""
-    from epicohort.operators.flow import concat_flows, flow_counts, frame_counts
-    s = study(spark, sf_dir)
-    one = P.one_row_per_person(s.exposed_linked)
-    links = P.identifier_links(s.id_routes).select("census_id_flag", "census_id_final").distinct()
-    with_id = one.join(links, ["census_id_flag", "census_id_final"], "left_semi")
-    panel = s.exposed_panel
-    return concat_flows(
-        frame_counts(s.exposed_linked, "census_id_final", _PANEL_STEPS[0][0], 1),
-        frame_counts(one, "census_id_final", _PANEL_STEPS[1][0], 2),
-        frame_counts(with_id, "census_id_final", _PANEL_STEPS[2][0], 3),
-        flow_counts(panel, "census_id_final", [(_PANEL_STEPS[3][0], None),
-                                               (_PANEL_STEPS[4][0], F.col("paye_flag") == 1)], first_step=4))
+    return study(spark, sf_dir).panel_flow([lab for lab, _ in _PANEL_STEPS])
 
 
 # ------------------------------------------------------------------ descriptives of the matched unexposed

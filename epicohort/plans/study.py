@@ -11,6 +11,7 @@ asked for, and the analysis stage reads one quantile of pay to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -148,27 +149,50 @@ class Study:
     def deaths(self) -> DataFrame:
         return L.deaths_with_dates([self.t.deaths_first, self.t.deaths_repeat])
 
-    def linked_areas(self, people: DataFrame) -> DataFrame:
-        """Registry link (inner, by route), earliest death (left, by route),
-        2021 -> 2011 area crosswalk, England filter, area attributes."""
+    def matched(self, people: DataFrame) -> DataFrame:
+        """Registry link (inner, by route), earliest death (left, by route), 2021 -> 2011
+        area crosswalk, before any filter; ``first_area`` marks one row of each match."""
         df = L.link_two_route(people, self.registry_routes, "inner")
         df = L.link_two_route(df, L.death_routes(self.deaths), "left")
-        df = L.crosswalk(df, self.t.crosswalk)
-        df = L.final_area(df)
-        df = df.where(F.substring(F.col("lsoa_final"), 1, 1) == "E")
+        return L.final_area(L.crosswalk(df, self.t.crosswalk, first="first_area"))
+
+    def with_areas(self, matched: DataFrame) -> DataFrame:
+        """England filter and area attributes."""
+        df = matched.drop("first_area").where(L.in_country())
         return L.enrich_areas(df, self.t.imd, self.t.rural_urban, self.t.region_lookup)
 
-    def linked(self, people: DataFrame) -> DataFrame:
-        df = L.add_index_ages(self.linked_areas(people))
+    def linked_areas(self, people: DataFrame) -> DataFrame:
+        return self.with_areas(self.matched(people))
+
+    def linked(self, matched: DataFrame) -> DataFrame:
+        df = L.add_index_ages(self.with_areas(matched))
         return L.alive_after_index(L.working_age(df, self.cfg))
 
+    @cached_property
+    def exposed_matched(self) -> DataFrame:
+        """Kept for the sample flow; the exposed are few against the registries."""
+        return self.stage("exposed_matched", self.matched(self.exposed))
+
     @cached_property
     def exposed_linked(self) -> DataFrame:
-        return self.stage("exposed_linked", self.linked(self.exposed))
+        return self.stage("exposed_linked", self.linked(self.exposed_matched))
 
     @cached_property
     def unexposed_linked(self) -> DataFrame:
-        return self.stage("unexposed_linked", self.linked(self.unexposed_dated))
+        return self.stage("unexposed_linked", self.linked(self.matched(self.unexposed_dated)))
+
+    LINK_STEPS = ("linked to registry", "with deaths", "after area crosswalk", "address in England",
+                  "working age at index", "alive after index month")
+
+    def linkage_flow(self, people: DataFrame, matched: DataFrame, start: str) -> DataFrame:
+        """A16 for stage 1c: rows and people after each linkage step, from one pass over the
+        people and one over their matches.  Deaths and area lookups have one row per
+        key, so these joins keep the number of rows."""
+        steps = [(self.LINK_STEPS[0], None, F.col("first_area")), (self.LINK_STEPS[1], None, F.col("first_area")),
+                 (self.LINK_STEPS[2], None), (self.LINK_STEPS[3], L.in_country()),
+                 (self.LINK_STEPS[4], L.in_working_age(self.cfg)), (self.LINK_STEPS[5], L.is_alive_after_index())]
+        return FL.concat_flows(FL.frame_counts(people, "census_id_final", start, 1),
+                               FL.flow_counts(L.add_index_ages(matched), "census_id_final", steps, first_step=2))
 
     # ---------------------------------------------------------------- 1d
     @cached_property
@@ -209,6 +233,20 @@ class Study:
     def unexposed_panel(self) -> DataFrame:
         return self.stage("unexposed_panel", self.panel(self.unexposed_sample.withColumn("operation_type", F.lit("None"))))
 
+    def panel_flow(self, labels: Sequence[str]) -> DataFrame:
+        """A16 for stage 1e: people and person-months through the panel build.  Rows of the linked
+        people are counted per person, so three steps come from one pass."""
+        one = P.one_row_per_person(self.exposed_linked.select("census_id_final", "lsoa_final", "census_id_flag"))
+        rows = self.exposed_linked.groupBy(F.col("census_id_final").alias("_person")).agg(F.count(F.lit(1)).alias("n_areas"))
+        links = P.identifier_links(self.id_routes).select("census_id_flag", "census_id_final").distinct()
+        people = one.join(rows, F.col("census_id_final").eqNullSafe(F.col("_person"))) \
+            .join(links.withColumn("has_id", F.lit(True)), ["census_id_flag", "census_id_final"], "left")
+        return FL.concat_flows(
+            FL.flow_counts(people, "census_id_final", [(labels[0], None, F.col("n_areas")), (labels[1], None),
+                                                       (labels[2], F.col("has_id"))]),
+            FL.flow_counts(self.exposed_panel, "census_id_final", [(labels[3], None), (labels[4], F.col("paye_flag") == 1)],
+                           first_step=4))
+
     # ---------------------------------------------------------------- 4a
     ANALYSIS_COLS = ["census_id_final", "t_op", "month_label", "census_sex", "age_monthly", "pay",
                      "disability_binary", "rural_urban", "imd_quintile", "region", "age_bands",

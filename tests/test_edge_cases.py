@@ -44,6 +44,32 @@ def test_null_ids_count_as_one_id(spark):
     assert (r[1].n_rows, r[1].n_ids) == (1, 1)
 
 
+def test_steps_without_a_filter_hold_rows_that_fail_later(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 0), (None, 0)], "id string, ok int")
+    r = flow_counts(df, "id", [("all", None), ("joined", None), ("ok", F.col("ok") == 1)]).orderBy("step").collect()
+    assert [(x.n_rows, x.n_ids) for x in r] == [(3, 3), (3, 3), (1, 1)]
+
+
+def test_steps_before_a_fan_out_count_the_rows_of_then(spark):
+    from epicohort.operators.link import crosswalk
+    df = spark.createDataFrame([("p", 0, "X21"), ("p", 0, "X21"), ("q", 1, "Y11"), ("r", 0, None), (None, 0, "Z")],
+                               "census_id_final string, census_id_flag int, lsoa_census string")
+    xw = spark.createDataFrame([("A11", "X21"), ("B11", "X21"), (None, "X21"), ("Y11", "Y21"), ("C", None)],
+                               "LSOA11CD string, LSOA21CD string")
+    plain = crosswalk(df, xw)
+    out = crosswalk(df, xw, first="one")
+    assert sorted(map(str, out.drop("one").collect())) == sorted(map(str, plain.collect()))
+    steps = [("people", None, F.col("one")), ("areas", None), ("area A11", F.col("lsoa_census") == "A11")]
+    r = flow_counts(out, "census_id_final", steps, first_step=5).orderBy("step").collect()
+    assert [(x.step, x.n_rows, x.n_ids) for x in r] == [(5, 5, 4), (6, 9, 4), (7, 2, 1)]
+
+
+def test_flow_of_an_empty_frame_is_zero(spark):
+    df = spark.createDataFrame([], "id string, n int")
+    r = flow_counts(df, "id", [("all", None, F.col("n")), ("some", F.col("n") > 0)]).orderBy("step").collect()
+    assert [(x.n_rows, x.n_ids) for x in r] == [(0, 0), (0, 0)]
+
+
 def test_recode_markers_never_raise(spark):
     df = spark.createDataFrame([(c, c, c, c, c, c, "1") for c in ("XX", "X", "XXXX", None)] +
                                [("1", "1", "14.1", "10", "1", "1", "2"), ("1", "1", "14.2", "10", "1", "1", "2")],
