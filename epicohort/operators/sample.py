@@ -99,6 +99,20 @@ def stratum_targets(shares: DataFrame, total: int) -> DataFrame:
                          F.round(F.lit(total) * F.col("prop")).cast("long").alias("n_wanted"))
 
 
+def fitting_targets(pop: DataFrame, shares: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
+    """Wanted sizes of the largest sample, of ``total`` people at most, that keeps the shares and
+    leaves no stratum short.  Strata that nobody of ``pop`` is in carry no share (common
+    support).  With S people in all strata, n in one and a available there, round(T * n / S) <= a
+    holds up to T = ((2a + 1) * S - 1) div 2n; sizes are whole-number arithmetic throughout."""
+    keys = list(keys)
+    have = pop.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_available"))
+    every = Window.partitionBy(F.lit(1))  # one row per stratum
+    s = shares.select(*keys, "n").join(have, keys).withColumn("_s", F.sum("n").over(every))
+    s = s.withColumn("_t", F.expr("((2 * n_available + 1) * _s - 1) div (2 * n)"))
+    s = s.withColumn("total", F.least(F.lit(total).cast("long"), F.min("_t").over(every)))
+    return s.select(*keys, F.expr("(2 * total * n + _s) div (2 * _s)").alias("n_wanted"), "n_available", "total")
+
+
 def sample_shortfall(pop: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """People wanted, available and missing in each stratum (also in strata that nobody is in)."""
     keys = list(keys)

@@ -22,7 +22,8 @@ from epicohort.operators import panel as P
 from epicohort.operators import sample as S
 from epicohort.plans import sqlgen as G
 from epicohort.plans.study import STRATA, Study
-from epicohort.sources.fixtures import FixtureTables, oracle_ctes
+from epicohort.sources.fixtures import DRIVER_TABLES, FixtureTables, oracle_ctes
+from epicohort.sources.io import input_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,12 +42,13 @@ _STUDIES: dict = {}
 
 
 def study(spark: SparkSession, sf_dir: str) -> Study:
-    """One study per (session, input folder); its finished stages are tables in
-    the session's checkpoint folder, reused by every query of the same study."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STUDIES:
-        _STUDIES[key] = Study(FixtureTables(spark, sf_dir), CFG, allow_short=True)
-    return _STUDIES[key]
+    """One study per (session, input folder) and state of the input's files; its finished stages
+    are tables in the session's checkpoint folder, reused by every query of the same study.  Where
+    files have changed a new study begins; frames of the old one stay readable."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), input_state(spark, [f"{sf_dir}/{t}.parquet" for t in DRIVER_TABLES])
+    if key not in _STUDIES or _STUDIES[key][0] != state:
+        _STUDIES[key] = (state, Study(FixtureTables(spark, sf_dir), CFG, allow_short=True))
+    return _STUDIES[key][1]
 
 
 # Averages of cent amounts over a few rows often end exactly on a rounding
@@ -450,6 +452,56 @@ def q_sample_shortfall(spark, sf_dir):
     return study(spark, sf_dir).shortfall()
 
 
+def _fitting_sql(total: int) -> str:
+    from epicohort.functions import recode as R
+    b5t = G.ranges_sql("age_at_operation", R.FIVE_YEAR_LOW_TAIL + R.FIVE_YEAR_BANDS + R.FIVE_YEAR_HIGH_TAIL, None,
+                       half_open=True)
+    return f"""
+u_banded AS (SELECT u.*, {b5t} AS five_year_bands FROM unexposed_dated_linked u),
+support AS (
+  SELECT s.census_sex, s.five_year_bands, CAST(s.n AS BIGINT) AS n, p.a, CAST(sum(s.n) OVER () AS BIGINT) AS s_all
+  FROM shares s JOIN (SELECT census_sex, five_year_bands, count(*) AS a FROM u_banded GROUP BY ALL) p
+    ON p.census_sex = s.census_sex AND p.five_year_bands = s.five_year_bands),
+fitting AS (
+  SELECT census_sex, five_year_bands, a AS n_available, total, (2 * total * n + s_all) // (2 * s_all) AS n_wanted
+  FROM (SELECT *, least({total}, min(((2 * a + 1) * s_all - 1) // (2 * n)) OVER ()) AS total FROM support) t)"""
+
+
+FITTING = _fitting_sql(SAMPLE_TOTAL)
+
+
+def _banded_pool(s: Study) -> DataFrame:
+    return s.unexposed_linked.withColumn("five_year_bands", five_year_bands(F.col("age_at_operation"), tails=True))
+
+
+@register("sample_fitting_targets", oracle("""
+SELECT census_sex, five_year_bands, CAST(n_wanted AS BIGINT) AS n_wanted, CAST(n_available AS BIGINT) AS n_available,
+       CAST(total AS BIGINT) AS total FROM fitting""", FLAGGED, DIST, REG, LINK_E, LINK_U, SHARES, FITTING))
+def q_sample_fitting_targets(spark, sf_dir):
+    """Sizes of the largest sample with the exposed people's shares that leaves no stratum short."""
+    s = study(spark, sf_dir)
+    return S.fitting_targets(_banded_pool(s), s.shares, STRATA, SAMPLE_TOTAL)
+
+
+def _strict_sql() -> str:
+    from epicohort.functions.draws import duckdb_draw
+    return f"""
+SELECT census_id_final, census_sex, five_year_bands, op_date
+FROM (SELECT *, {duckdb_draw('census_id_final', CFG.seed)} AS u_draw FROM u_banded) p
+JOIN fitting USING (census_sex, five_year_bands)
+QUALIFY row_number() OVER (PARTITION BY census_sex, five_year_bands ORDER BY u_draw, census_id_final) <= n_wanted"""
+
+
+@register("stratified_sample_strict", oracle(_strict_sql(), FLAGGED, DIST, REG, LINK_E, LINK_U, SHARES, FITTING))
+def q_stratified_sample_strict(spark, sf_dir):
+    """Matched sample in which every stratum has its full share; raises if one were short."""
+    s = study(spark, sf_dir)
+    pop = _banded_pool(s)
+    targets = S.fitting_targets(pop, s.shares, STRATA, SAMPLE_TOTAL).select(*STRATA, "n_wanted")
+    return S.stratified_sample(pop, targets, STRATA, CFG.seed).select(
+        "census_id_final", "census_sex", "five_year_bands", "op_date")
+
+
 # ------------------------------------------------------------------ stage 1e
 _PANEL_COLS = ["census_id_final", "ref_date", "t_op", "month_label", "age_monthly", "pay", "days_worked", "paye_flag",
                "birth_in_1yr", "birth_in_5yr", "age_bands"]

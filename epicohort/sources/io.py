@@ -22,6 +22,7 @@ from urllib.parse import urlsplit
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from epicohort.session import ensure_checkpoint_dir
 
@@ -43,6 +44,15 @@ def scan(spark: SparkSession, path: str, cols: Sequence[str] | None = None, wher
     return df
 
 
+def input_state(spark: SparkSession, paths: Sequence[str]) -> tuple[int, int]:
+    """Number of files under ``paths`` and a digest of their places, sizes and times of change.
+    Only the listing is read, no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    each = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("digest")).first()
+    return row["n"], int(row["digest"] or 0)
+
+
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     if urlsplit(path).scheme in ("", "file"):

@@ -289,3 +289,21 @@ def test_hot_person_is_split_or_never_shuffled(spark):
     finally:
         for c, v in before.items():
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_fitting_sample_is_the_largest_without_a_short_stratum(spark):
+    from epicohort.operators import sample as S
+    have = {"a": 3, "b": 40, "c": 11}
+    shares = spark.createDataFrame([("a", 5), ("b", 8), ("c", 4), ("d", 9), (None, 2)], "k string, n long")
+    pop = spark.createDataFrame([(f"{k}{i}", k) for k, n in have.items() for i in range(n)], "census_id_final string, k string")
+    got = {r.k: r for r in S.fitting_targets(pop, shares, ["k"], 1000).collect()}
+    n, every = {"a": 5, "b": 8, "c": 4}, 17
+    size = lambda t, k: (2 * t * n[k] + every) // (2 * every)
+    best = max(t for t in range(200) if all(size(t, k) <= have[k] for k in n))
+    assert {k: r.n_wanted for k, r in got.items()} == {k: size(best, k) for k in n}
+    assert {r.total for r in got.values()} == {best}
+    assert {r.total for r in S.fitting_targets(pop, shares, ["k"], 4).collect()} == {4}
+    targets = S.fitting_targets(pop, shares, ["k"], 1000).select("k", "n_wanted")
+    out = {r.k: r["count"] for r in S.stratified_sample(pop, targets, ["k"], "42").groupBy("k").count().collect()}
+    assert out == {k: r.n_wanted for k, r in got.items()}
+    assert S.fitting_targets(pop.limit(0), shares, ["k"], 9).count() == 0

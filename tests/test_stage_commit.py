@@ -79,3 +79,17 @@ def test_no_folder_is_left_after_a_study(spark):
     assert s.version in os.listdir(root)
     s.close()
     assert s.version not in os.listdir(root)
+
+
+def test_changed_inputs_begin_a_new_study(spark, tmp_path):
+    import shutil
+
+    from epicohort.plans.queries import study
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    first = study(spark, str(tmp_path))
+    assert study(spark, str(tmp_path)) is first
+    fewer = spark.read.parquet(f"{tmp_path}/customer.parquet").limit(5).toPandas()
+    os.chmod(tmp_path / "customer.parquet", 0o644)
+    fewer.to_parquet(tmp_path / "customer.parquet")
+    assert study(spark, str(tmp_path)) is not first
