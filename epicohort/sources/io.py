@@ -47,7 +47,7 @@ def scan(spark: SparkSession, path: str, cols: Sequence[str] | None = None, wher
 def input_state(spark: SparkSession, paths: Sequence[str]) -> tuple[int, int]:
     """Number of files under ``paths`` and a digest of their places, sizes and times of change.
     Only the listing is read, no content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).coalesce(1)  # a row per file
     each = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
     row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("digest")).first()
     return row["n"], int(row["digest"] or 0)
