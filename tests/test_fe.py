@@ -180,3 +180,41 @@ def test_spline_columns_are_the_basis_up_to_constants(spark):
     assert np.ptp(gap, axis=0).max() < 1e-9
     # natural: straight beyond the boundary, on either side
     assert np.abs(np.diff(got[x > 60], n=2, axis=0)).max() < 1e-9 and np.abs(np.diff(got[x < 20], n=2, axis=0)).max() < 1e-9
+
+
+def test_vectors_of_whole_persons_stay_in_their_task(spark, monkeypatch):
+    """Only persons whose rows lie in several tasks leave a vector; the fit is the same either way."""
+    import epicohort.operators.fe as FE
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = stash(df, name)
+        return kept[name]
+    stash = FE.stash
+    monkeypatch.setattr(FE, "stash", keep)
+    df = spark.createDataFrame(_panel(12, 10.0, 60)).repartition(1)
+    fit = lambda **kw: FE.fe_event_study(df, "y", {"bin": 0}, ["x"], person="pid", month="month", **kw)
+    whole = fit()
+    assert all(kept[c].where("kind = 1").count() == 0 for c in ("fe_gram", "fe_scores"))
+    spread = fit(partitions=4, flush_persons=7)
+    assert kept["fe_scores"].where("kind = 1").count() > 60
+    assert np.allclose(whole.estimate, spread.estimate) and np.allclose(whole.cov, spread.cov) and whole.n == spread.n
+
+
+def test_spline_of_the_stack_is_looked_up(spark):
+    """One spline term for each variant and age, those of the age's expressions; rows without an age stay."""
+    from pyspark.sql import functions as F
+
+    from epicohort.operators.fe import natural_spline_basis
+    from epicohort.plans.models import BIN, KNOTS, MAIN, SPLINE, stack
+    df = spark.range(400).select(F.when(F.col("id") % 50 > 0, F.col("id") % 40 + 25).cast("int").alias("age_monthly"),
+                                 F.lit(1).alias("in_work"), (F.col("id") % 3).alias(BIN))
+    out = stack(df, [MAIN])
+    assert "POWER" not in out._jdf.queryExecution().optimizedPlan().toString().upper()
+    got = out.toPandas()
+    assert len(got) == 400 and got[got.age_monthly.isna()][SPLINE].isna().all().all()
+    got = got.dropna()
+    lo, hi = np.quantile(got.age_monthly, [0.1, 0.9])
+    inner = got.age_monthly[(got.age_monthly >= lo) & (got.age_monthly <= hi)]
+    knots = [lo, *np.quantile(inner, KNOTS[1:-1]), hi]
+    assert np.ptp(got[SPLINE].to_numpy() - natural_spline_basis(got.age_monthly.to_numpy(float), knots), axis=0).max() < 1e-9
