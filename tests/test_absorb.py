@@ -76,3 +76,20 @@ def test_a_hundred_thousand_levels(spark):
     res = fit_absorbed(df, ["y"], {}, ["x"], ["cell"])[None, "y"]
     assert abs(res.estimate[0] - 3.0) < 6 * res.std_error()[0] and res.std_error()[0] < 1e-3
     assert res.absorbed_rank > 100_000
+
+
+@pytest.mark.parametrize("by", [None, "half"])
+def test_formed_and_iterated_systems_agree(spark, monkeypatch, by):
+    """Few cells: no pass over the persons for a step; the fit is that of the passes."""
+    import epicohort.operators.absorb as A
+    df = spark.createDataFrame(_rows())
+    fit = lambda: fit_absorbed(df, ["y", "w"], {"bin": 0}, ["x"], ["region", "month_label"], by=by)
+    with monkeypatch.context() as m:
+        m.setattr(A, "MAX_FORMED", 0)
+        want = fit()
+    monkeypatch.setattr(A.Cells, "over_people", None)
+    got = fit()
+    assert set(got) == set(want) and len(got) == (4 if by else 2)
+    for key, res in got.items():
+        assert np.allclose(res.estimate, want[key].estimate, rtol=1e-9) and np.allclose(res.cov, want[key].cov, rtol=1e-8)
+        assert res.k == want[key].k and res.n == want[key].n
