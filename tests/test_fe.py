@@ -218,3 +218,34 @@ def test_spline_of_the_stack_is_looked_up(spark):
     inner = got.age_monthly[(got.age_monthly >= lo) & (got.age_monthly <= hi)]
     knots = [lo, *np.quantile(inner, KNOTS[1:-1]), hi]
     assert np.ptp(got[SPLINE].to_numpy() - natural_spline_basis(got.age_monthly.to_numpy(float), knots), axis=0).max() < 1e-9
+
+
+def test_memory_of_a_pass_does_not_grow_with_the_rows():
+    """A task's peak over ten times as many whole persons, each with a wide vector, stays the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    import epicohort.operators.fe as FE
+    width, persons, months = 600, 200, 6
+
+    def batches(n):
+        for i in range(n):
+            pid = [f"p{i}_{p}" for p in range(persons) for _ in range(months)]
+            yield pa.RecordBatch.from_pydict({"_s": ["a"] * len(pid), "_pid": pid, "_n": [months] * len(pid)})
+
+    def peak(n):
+        run = FE._row_pass(lambda s, rows, starts: (np.ones((len(starts), width)), np.ones(1)),
+                           lambda s, v, n: np.array([len(n), n.sum()], float), width, FE.FLUSH_PERSONS)
+        tracemalloc.start()
+        try:
+            out = [b for b in run(batches(n))]
+            return tracemalloc.get_traced_memory()[1], out
+        finally:
+            tracemalloc.stop()
+    peak(2)
+    small, _ = peak(20)
+    large, out = peak(200)
+    assert [b.column("kind").to_pylist() for b in out] == [[0]]
+    assert out[0].column("v")[0].as_py()[1:] == [200 * persons, 200 * persons * months]
+    assert large < 1.5 * small and large < 8e7
