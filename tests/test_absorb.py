@@ -93,3 +93,52 @@ def test_formed_and_iterated_systems_agree(spark, monkeypatch, by):
     for key, res in got.items():
         assert np.allclose(res.estimate, want[key].estimate, rtol=1e-9) and np.allclose(res.cov, want[key].cov, rtol=1e-8)
         assert res.k == want[key].k and res.n == want[key].n
+
+
+@pytest.mark.parametrize("formed", [True, False])
+def test_columns_within_levels_are_made_in_the_tasks(spark, monkeypatch, formed):
+    """Columns in the levels of a factor that some persons change are those of the products; no stored table of rows widens with
+    bins and levels."""
+    from pyspark.sql import functions as F
+    import epicohort.operators.absorb as A
+    if not formed:
+        monkeypatch.setattr(A, "MAX_FORMED", 0)
+    pdf = _rows(people=60)
+    moves = pdf.census_id_final.str[1:].astype(int) % 7 == 0
+    pdf.loc[moves & (pdf.month_label > "m4"), "region"] = "r1"
+    pdf["x"] += 50.0
+    df = spark.createDataFrame(pdf)
+    want = fit_absorbed(df.withColumns({f"x:region{r}": F.col("x") * (F.col("region") == r).cast("double") for r in ("r1", "r2", "r3")}),
+                        ["y", "w"], {"bin": 0}, ["x", "x:regionr1", "x:regionr2", "x:regionr3"], ["region", "month_label"], by="half")
+    stored = {}
+    stash = A.stash
+    monkeypatch.setattr(A, "stash", lambda out, name: stored.setdefault(name, stash(out, name)))
+    got = fit_absorbed(df, ["y", "w"], {"bin": 0}, ["x"], ["region", "month_label"], by="half", within=(["x"], "region"))
+    assert set(got) == set(want) and len(got) == 4
+    for key, res in got.items():
+        assert res.terms == want[key].terms == ["bin1", "bin2", "x", "x:regionr1", "x:regionr2", "x:regionr3"]
+        assert np.allclose(res.estimate, want[key].estimate, rtol=1e-8) and np.allclose(res.cov, want[key].cov, rtol=1e-7, atol=1e-12)
+        assert res.k == want[key].k and np.isclose(res.rss, want[key].rss, rtol=1e-9)
+    assert not {"v3", "z3"} & set(stored["absorb_centred"].columns)  # x, y, w and no dummies or products
+
+
+def test_factors_known_on_the_same_rows_share_the_main_fit(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import epicohort.plans.models as M
+    rows = [(1, 1, 1, None, 1, 1), (1, None, 1, None, None, 1), (1, 1, 1, 1, 1, None)]
+    combined = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in M.FACTORS))
+    monkeypatch.setattr(M, "study", lambda *_: SimpleNamespace(combined=combined))
+    got = dict(zip(M.FACTORS, map(M.known_alike(spark, "").get, M.FACTORS)))
+    a, b, c, d, e, f = M.FACTORS
+    assert got == {a: a, b: b, c: a, d: d, e: b, f: f}
+
+
+def test_weighted_quantiles_are_those_of_the_rows(spark):
+    from epicohort.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 6000).astype(str), "x": np.round(rng.normal(size=6000), 3)})
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    counts = spark.createDataFrame(pdf.value_counts(["g", "x"]).rename("n").reset_index())
+    got = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(counts, "x", probs, ["g"], weight="n").collect()}
+    assert got == {(g, p): pytest.approx(np.quantile(own.x, p)) for g, own in pdf.groupby("g") for p in probs}
